@@ -1,9 +1,10 @@
 """Exact order statistics without a global sort.
 
-Whole-table ranks are found by narrowing: approximate percentiles propose two pivots around
-each rank, one counting pass keeps the interval that holds it, and once few enough values
-are left inside the interval they are read exactly.  Every pass is a map-side aggregate, so
-no data is shuffled, and the counts decide, so an inaccurate pivot only costs another pass.
+Whole-table ranks are found by narrowing: percentiles of a bounded sample propose two pivots
+around each rank, one counting pass over all rows keeps the interval that holds it, and once
+few enough values are left inside they are read exactly.  Every pass is a map-side aggregate
+with a small result, so no data is shuffled, and the counts decide: an inaccurate pivot only
+costs another pass, never a wrong value.
 Grouped quantiles run over cells (``operators.order``) of value counts instead, so a group
 that owns a third of the table is still spread over many tasks.
 """
@@ -28,6 +29,7 @@ from plantloom.operators.order import (
 )
 
 EXACT_ROWS = 50_000
+PIVOT_SAMPLE = 200_000
 _PER_PASS = 16
 
 
@@ -73,7 +75,7 @@ def values_at_ranks(
     ranks: Mapping[str, Sequence[int]],
     sizes: Mapping[str, int],
     exact_rows: int = EXACT_ROWS,
-    accuracy: int = 10_000,
+    pivot_sample: int = PIVOT_SAMPLE,
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank of each column; ``sizes`` are the non-null counts."""
     found: dict[tuple[str, int], float] = {}
@@ -83,7 +85,7 @@ def values_at_ranks(
     while todo:
         wide = [s for s in todo if s.inside > exact_rows]
         for start in range(0, len(wide), _PER_PASS):
-            _narrow_once(df, wide[start:start + _PER_PASS], accuracy)
+            _narrow_once(df, wide[start:start + _PER_PASS], pivot_sample)
         small = [s for s in todo if s.value is None and s.inside <= exact_rows]
         for start in range(0, len(small), _PER_PASS):
             _read_exact(df, small[start:start + _PER_PASS])
@@ -94,14 +96,19 @@ def values_at_ranks(
     return found
 
 
-def _narrow_once(df: DataFrame, batch: list[_Search], accuracy: int) -> None:
-    slack = 2 / accuracy
+def _narrow_once(df: DataFrame, batch: list[_Search], pivot_sample: int) -> None:
+    # Four standard errors of a sampled percentile on either side of the rank.
+    slack = 2 / math.sqrt(pivot_sample)
     guesses = []
     for i, s in enumerate(batch):
         p = (s.rank - s.below + 0.5) / s.inside
         probs = [max(0.0, p - slack), min(1.0, p + slack)]
-        guesses.append(F.percentile_approx(s.inner(), probs, accuracy).alias(f"p{i}"))
-    pivots = df.agg(*guesses).first()
+        share = pivot_sample / s.inside
+        drawn = s.inner() if share >= 1 else F.when(col("__u") < F.lit(share), s.inner())
+        guesses.append(F.percentile_approx(drawn, probs, 10_000).alias(f"p{i}"))
+    pivots = df.withColumn("__u", F.rand(42)).agg(*guesses).first()
+    if any(pair is None for pair in pivots):
+        raise ArithmeticError("no pivot drawn; the counts do not match the frame")
     counts = []
     for i, s in enumerate(batch):
         c = col(s.column).cast("double")
