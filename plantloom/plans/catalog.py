@@ -1,6 +1,11 @@
 """All registered queries (import order is listing order)."""
 
-from plantloom.plans import catalog_quality, catalog_series, catalog_stats  # noqa: F401
+from plantloom.plans import (  # noqa: F401
+    catalog_models,
+    catalog_quality,
+    catalog_series,
+    catalog_stats,
+)
 from plantloom.plans.registry import ORACLES, QUERIES
 
 
