@@ -57,54 +57,54 @@ def mask_outliers(
     )
 
 
-def _filled(
-    cells: DataFrame, layout: Layout, columns: Sequence[str], forward: bool
-) -> tuple[DataFrame, dict[str, Column]]:
-    """(frame with the carry of each cell joined, filled value per column)."""
-    frame = (
-        layout.window().rowsBetween(Window.unboundedPreceding, 0)
-        if forward
-        else layout.window().rowsBetween(0, Window.unboundedFollowing)
-    )
-    pick = F.last if forward else F.first
-    values = {c: pick(col(c), ignorenulls=True).over(frame) for c in columns}
-    if not layout.is_cut:
-        return cells, values
-    # One value per cell and column crosses the border: its last (first) known value.
+def _carries(
+    cells: DataFrame, layout: Layout, values: dict[str, Column], forward: bool, backward: bool
+) -> DataFrame:
+    """Join to each cell what it receives over its borders: the last known value before it
+    (``<name>@p``) and the next known one after it (``<name>@n``)."""
     place = F.struct(*[col(c) for c in layout.order])
-    best = F.max_by if forward else F.min_by
-    tag = "p" if forward else "n"
+    sides = [(F.max_by, "p")] * forward + [(F.min_by, "n")] * backward
     edge = (
         cells.filter(col(LONG))
         .groupBy(*[col(k) for k in layout.keys])
         .agg(
             *[
-                best(col(c), F.when(col(c).isNotNull(), place)).alias(f"__{tag}{i}")
-                for i, c in enumerate(columns)
+                best(v, F.when(v.isNotNull(), place)).alias(f"{name}@{tag}")
+                for name, v in values.items()
+                for best, tag in sides
             ]
         )
     )
     walk = layout.across_cells()
-    reach = (
-        walk.rowsBetween(Window.unboundedPreceding, -1)
-        if forward
-        else walk.rowsBetween(1, Window.unboundedFollowing)
-    )
-    carry = edge.select(
-        *[col(k) for k in layout.keys],
-        *[
-            pick(col(f"__{tag}{i}"), ignorenulls=True).over(reach).alias(f"__{tag}{i}")
-            for i in range(len(columns))
-        ],
-    )
-    joined = join_cells(cells, carry, layout)
-    return joined, {
-        c: F.coalesce(values[c], col(f"__{tag}{i}")) for i, c in enumerate(columns)
-    }
+    earlier = walk.rowsBetween(Window.unboundedPreceding, -1)
+    later = walk.rowsBetween(1, Window.unboundedFollowing)
+    outs = []
+    for name in values:
+        if forward:
+            known = F.last(col(f"{name}@p"), ignorenulls=True).over(earlier)
+            outs.append(known.alias(f"{name}@p"))
+        if backward:
+            known = F.first(col(f"{name}@n"), ignorenulls=True).over(later)
+            outs.append(known.alias(f"{name}@n"))
+    return join_cells(cells, edge.select(*[col(k) for k in layout.keys], *outs), layout)
+
+
+def _known(layout: Layout, name: str, value: Column, forward: bool) -> Column:
+    """Last (or next) known value inside the cell, else what came over its border."""
+    w = layout.window()
+    if forward:
+        inside = F.last(value, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)
+        )
+    else:
+        inside = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if not layout.is_cut:
+        return inside
+    return F.coalesce(inside, col(f"{name}@{'p' if forward else 'n'}"))
 
 
-def _drop_carry(df: DataFrame, n: int) -> DataFrame:
-    return df.drop(*[f"__{t}{i}" for t in "pn" for i in range(n)])
+def _drop_carries(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.drop(*[f"{n}@{t}" for n in names for t in "pn"])
 
 
 def fill_ordered(
@@ -118,8 +118,13 @@ def fill_ordered(
 ) -> DataFrame:
     """Last (or next) known value within the series."""
     layout = layout or plan_layout(df, order, series, **sizing)
-    joined, values = _filled(layout.attach(df), layout, columns, forward)
-    return layout.strip(_drop_carry(joined.withColumns(values), len(columns)))
+    cells = layout.attach(df)
+    names = {f"__c{i}": c for i, c in enumerate(columns)}
+    if layout.is_cut:
+        values = {n: col(c) for n, c in names.items()}
+        cells = _carries(cells, layout, values, forward, not forward)
+    filled = {c: _known(layout, n, col(c), forward) for n, c in names.items()}
+    return layout.strip(_drop_carries(cells.withColumns(filled), list(names)))
 
 
 def ffill(df, columns, order, series=(), **options) -> DataFrame:
@@ -141,23 +146,25 @@ def interpolate(
     """Linear by row position; before the first and after the last value the nearest one."""
     layout = layout or plan_layout(df, order, series, **sizing)
     cells = add_ordinal(layout.attach(df), layout, "__ord")
-    spots = {f"__at{i}": F.when(col(c).isNotNull(), col("__ord")) for i, c in enumerate(columns)}
-    cells = cells.withColumns(spots)
-    tracked = [*columns, *spots]
-    cells, before = _filled(cells, layout, tracked, True)
-    cells, after = _filled(cells, layout, tracked, False)
-    cells = cells.withColumns({f"__b{i}": before[c] for i, c in enumerate(tracked)})
-    cells = cells.withColumns({f"__a{i}": after[c] for i, c in enumerate(tracked)})
-    n = len(columns)
+    names = {f"__c{i}": c for i, c in enumerate(columns)}
+    points = {
+        n: F.when(col(c).isNotNull(), F.struct(col(c).alias("v"), col("__ord").alias("o")))
+        for n, c in names.items()
+    }
+    if layout.is_cut:
+        cells = _carries(cells, layout, points, True, True)
+    sides = {}
+    for n, p in points.items():
+        sides[f"{n}@a"] = _known(layout, n, p, True)
+        sides[f"{n}@b"] = _known(layout, n, p, False)
+    cells = cells.withColumns(sides)
     out = {}
-    for i, c in enumerate(columns):
-        v0, v1 = col(f"__b{i}"), col(f"__a{i}")
-        o0, o1 = col(f"__b{i + n}"), col(f"__a{i + n}")
-        line = v0 + (v1 - v0) * F.try_divide(col("__ord") - o0, o1 - o0)
-        out[c] = F.coalesce(col(c), line, v0, v1)
-    temp = [f"__{t}{i}" for t in "ab" for i in range(2 * n)]
-    cells = cells.withColumns(out).drop(*temp, *spots, "__ord")
-    return layout.strip(_drop_carry(cells, 2 * n))
+    for n, c in names.items():
+        a, b = col(f"{n}@a"), col(f"{n}@b")
+        share = F.try_divide(col("__ord") - a["o"], b["o"] - a["o"])
+        out[c] = F.coalesce(col(c), a["v"] + (b["v"] - a["v"]) * share, a["v"], b["v"])
+    cells = cells.withColumns(out).drop(*sides, "__ord")
+    return layout.strip(_drop_carries(cells, list(names)))
 
 
 def fill_statistic(df: DataFrame, columns: Sequence[str], statistic: str) -> DataFrame:

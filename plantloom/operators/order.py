@@ -194,13 +194,12 @@ def _flag_long(df: DataFrame, layout: Layout) -> DataFrame:
     return flagged.withColumn(LONG, F.coalesce(col(LONG), F.lit(False))).drop(*alias.values())
 
 
-def cell_spans(df: DataFrame, layout: Layout, weight: Column | None = None) -> DataFrame:
+def cell_spans(df: DataFrame, layout: Layout) -> DataFrame:
     """Per cell of the cut series: first ordinal, end ordinal (exclusive), series total."""
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.filter(col(LONG))
         .groupBy(*[col(k) for k in layout.keys])
-        .agg(size.cast("long").alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
     walk = layout.across_cells()
     before = F.sum("__n").over(walk.rowsBetween(Window.unboundedPreceding, -1))

@@ -1,10 +1,11 @@
 """Exact order statistics without a global sort.
 
-Whole-table ranks are found by narrowing: percentiles of a bounded sample propose two pivots
-around each rank, one counting pass over all rows keeps the interval that holds it, and once
-few enough values are left inside they are read exactly.  Every pass is a map-side aggregate
-with a small result, so no data is shuffled, and the counts decide: an inaccurate pivot only
-costs another pass, never a wrong value.
+Whole-table ranks are found by narrowing: a bounded sample proposes two pivots around each
+rank, one counting pass over all rows keeps the interval that holds it, and once few enough
+values are left inside they are read exactly.  Every pass is a map-only scan of the needed
+columns (Arrow batches, NumPy inside) with a small result, so no data is shuffled.  The
+counts decide: an inaccurate pivot only costs another pass, never a wrong value.
+
 Grouped quantiles run over cells (``operators.order``) of value counts instead, so a group
 that owns a third of the table is still spread over many tasks.
 """
@@ -12,15 +13,16 @@ that owns a third of the table is still spread over many tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
 from plantloom.operators.order import (
-    CELL,
     LONG,
     Layout,
     cell_spans,
@@ -28,46 +30,160 @@ from plantloom.operators.order import (
     plan_layout,
 )
 
+# Values of one interval that may be read to the driver, and rows drawn to choose pivots.
 EXACT_ROWS = 50_000
-PIVOT_SAMPLE = 200_000
-_PER_PASS = 16
+PIVOT_SAMPLE = 20_000
+_COLUMNS_PER_PASS = 32
 
 
 @dataclass
-class _Search:
-    """Open interval of one column that still holds the value of one rank."""
+class _Interval:
+    """Open interval of one column that still holds the values of some ranks."""
 
-    column: str
-    rank: int
+    column: int
     lo: float | None
     hi: float | None
     below: int
     inside: int
-    value: float | None = None
+    ranks: list[int]
 
-    def inner(self) -> Column:
-        c = col(self.column).cast("double")
-        keep = c.isNotNull()
+    def inner(self, x: np.ndarray) -> np.ndarray:
+        keep = ~np.isnan(x)
         if self.lo is not None:
-            keep = keep & (c > F.lit(self.lo))
+            keep &= x > self.lo
         if self.hi is not None:
-            keep = keep & (c < F.lit(self.hi))
-        return F.when(keep, c)
-
-    def narrow(self, a, b, lt_a, eq_a, lt_b, eq_b) -> None:
-        end = self.below + self.inside
-        if self.rank < lt_a:
-            self.hi, self.inside = a, lt_a - self.below
-        elif self.rank < lt_a + eq_a:
-            self.value = a
-        elif self.rank < lt_b:
-            self.lo, self.hi, self.below = a, b, lt_a + eq_a
-            self.inside = lt_b - self.below
-        elif self.rank < lt_b + eq_b:
-            self.value = b
+            keep &= x < self.hi
+        return x[keep]
+
+
+def _scan(
+    df: DataFrame,
+    columns: Sequence[str],
+    step: Callable[[int, np.ndarray], Iterator[tuple[int, np.ndarray]]],
+) -> DataFrame:
+    """Map-only pass: ``step(column number, values)`` yields (interval, array) per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, arrays = [], []
+            for j in range(batch.num_columns):
+                x = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
+                for i, values in step(j, x):
+                    ids.append(i)
+                    arrays.append(values)
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int32()), pa.array(arrays, pa.list_(pa.float64()))],
+                    names=["i", "v"],
+                )
+
+    doubles = [col(c).cast("double").alias(f"c{j}") for j, c in enumerate(columns)]
+    return df.select(*doubles).mapInArrow(run, "i int, v array<double>")
+
+
+def _gather(found: DataFrame, n: int) -> list[np.ndarray]:
+    """Sorted values per interval number; the callers bound how many there are."""
+    got = found.toArrow()
+    parts: list[list[np.ndarray]] = [[] for _ in range(n)]
+    values = got.column("v").combine_chunks()
+    for i, start, end in zip(
+        got.column("i").to_pylist(), values.offsets.to_pylist(), values.offsets.to_pylist()[1:]
+    ):
+        parts[i].append(values.values.slice(start, end - start).to_numpy(zero_copy_only=False))
+    return [np.sort(np.concatenate(p)) if p else np.empty(0) for p in parts]
+
+
+def _draw(df, columns, intervals: list[_Interval], size: int) -> list[np.ndarray]:
+    by_column: dict[int, list[tuple[int, _Interval]]] = {}
+    for i, iv in enumerate(intervals):
+        by_column.setdefault(iv.column, []).append((i, iv))
+
+    def step(j: int, x: np.ndarray):
+        for i, iv in by_column.get(j, ()):
+            inner = iv.inner(x)
+            share = size / iv.inside
+            if share < 1 and len(inner):
+                # Seeded by the data itself, so a re-run task draws the same rows.
+                seed = int(np.abs(inner[:8].view(np.int64)).sum() % (2**32))
+                inner = inner[np.random.default_rng(seed).random(len(inner)) < share]
+            if len(inner):
+                yield i, inner
+
+    return _gather(_scan(df, columns, step), len(intervals))
+
+
+def _pivots(iv: _Interval, drawn: np.ndarray) -> np.ndarray:
+    if not len(drawn):
+        raise ArithmeticError("no pivot drawn; the counts do not match the frame")
+    # Four standard errors of a sampled percentile on either side of the rank.
+    slack = 2 / math.sqrt(len(drawn))
+    spots = []
+    for r in iv.ranks:
+        p = (r - iv.below + 0.5) / iv.inside
+        spots += [p - slack, p + slack]
+    at = np.clip(np.array(spots) * len(drawn), 0, len(drawn) - 1).astype(int)
+    return np.unique(drawn[at])
+
+
+def _counts(df, columns, intervals: list[_Interval], pivots: list[np.ndarray]):
+    """Per interval: counts of (below p0, = p0, between, = p1, …, above)."""
+    by_column: dict[int, list[tuple[int, _Interval, np.ndarray]]] = {}
+    for i, (iv, p) in enumerate(zip(intervals, pivots)):
+        by_column.setdefault(iv.column, []).append((i, iv, p))
+
+    def step(j: int, x: np.ndarray):
+        for i, iv, p in by_column.get(j, ()):
+            inner = iv.inner(x)
+            slot = np.searchsorted(p, inner, "left") + np.searchsorted(p, inner, "right")
+            yield i, np.bincount(slot, minlength=2 * len(p) + 1).astype(float)
+
+    sums = (
+        _scan(df, columns, step)
+        .select("i", F.posexplode("v").alias("slot", "n"))
+        .groupBy("i", "slot")
+        .agg(F.sum("n").cast("long").alias("n"))
+    )
+    out = [np.zeros(2 * len(p) + 1, dtype=np.int64) for p in pivots]
+    for r in sums.collect():
+        out[r["i"]][r["slot"]] = r["n"]
+    return out
+
+
+def _narrowed(iv: _Interval, p: np.ndarray, n: np.ndarray, found: dict) -> list[_Interval]:
+    """Settle the ranks that fall on a pivot; keep a smaller interval for the others."""
+    edges = np.concatenate([[iv.below], iv.below + np.cumsum(n)])
+    left: dict[int, list[int]] = {}
+    for r in iv.ranks:
+        slot = int(np.searchsorted(edges, r, "right")) - 1
+        if slot % 2:
+            found[iv.column, r] = float(p[slot // 2])
         else:
-            self.lo, self.below = b, lt_b + eq_b
-            self.inside = end - self.below
+            left.setdefault(slot, []).append(r)
+    fences = [iv.lo, *p.tolist(), iv.hi]
+    return [
+        _Interval(iv.column, fences[s // 2], fences[s // 2 + 1], int(edges[s]), int(n[s]), ranks)
+        for s, ranks in left.items()
+    ]
+
+
+def _search(df, columns, intervals, exact_rows: int, pivot_sample: int) -> dict:
+    found: dict[tuple[int, int], float] = {}
+    while intervals:
+        small = [iv for iv in intervals if iv.inside <= exact_rows]
+        wide = [iv for iv in intervals if iv.inside > exact_rows]
+        if small:
+            every = _draw(df, columns, small, exact_rows + 1)
+            for iv, values in zip(small, every):
+                if len(values) != iv.inside:
+                    raise ArithmeticError("the frame changed between two passes")
+                for r in iv.ranks:
+                    found[iv.column, r] = float(values[r - iv.below])
+        intervals = []
+        if wide:
+            pivots = [_pivots(iv, d) for iv, d in zip(wide, _draw(df, columns, wide, pivot_sample))]
+            for iv, p, n in zip(wide, pivots, _counts(df, columns, wide, pivots)):
+                intervals += _narrowed(iv, p, n, found)
+    return found
 
 
 def values_at_ranks(
@@ -78,57 +194,18 @@ def values_at_ranks(
     pivot_sample: int = PIVOT_SAMPLE,
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank of each column; ``sizes`` are the non-null counts."""
-    found: dict[tuple[str, int], float] = {}
-    todo = [
-        _Search(c, r, None, None, 0, sizes[c]) for c, rs in ranks.items() for r in sorted(set(rs))
-    ]
-    while todo:
-        wide = [s for s in todo if s.inside > exact_rows]
-        for start in range(0, len(wide), _PER_PASS):
-            _narrow_once(df, wide[start:start + _PER_PASS], pivot_sample)
-        small = [s for s in todo if s.value is None and s.inside <= exact_rows]
-        for start in range(0, len(small), _PER_PASS):
-            _read_exact(df, small[start:start + _PER_PASS])
-        for s in todo:
-            if s.value is not None:
-                found[s.column, s.rank] = s.value
-        todo = [s for s in todo if s.value is None]
-    return found
-
-
-def _narrow_once(df: DataFrame, batch: list[_Search], pivot_sample: int) -> None:
-    # Four standard errors of a sampled percentile on either side of the rank.
-    slack = 2 / math.sqrt(pivot_sample)
-    guesses = []
-    for i, s in enumerate(batch):
-        p = (s.rank - s.below + 0.5) / s.inside
-        probs = [max(0.0, p - slack), min(1.0, p + slack)]
-        share = pivot_sample / s.inside
-        drawn = s.inner() if share >= 1 else F.when(col("__u") < F.lit(share), s.inner())
-        guesses.append(F.percentile_approx(drawn, probs, 10_000).alias(f"p{i}"))
-    pivots = df.withColumn("__u", F.rand(42)).agg(*guesses).first()
-    if any(pair is None for pair in pivots):
-        raise ArithmeticError("no pivot drawn; the counts do not match the frame")
-    counts = []
-    for i, s in enumerate(batch):
-        c = col(s.column).cast("double")
-        for tag, pivot in zip("ab", pivots[i]):
-            counts.append(F.count_if(c < F.lit(pivot)).alias(f"lt_{tag}{i}"))
-            counts.append(F.count_if(c == F.lit(pivot)).alias(f"eq_{tag}{i}"))
-    row = df.agg(*counts).first()
-    for i, s in enumerate(batch):
-        a, b = pivots[i]
-        s.narrow(a, b, *row[4 * i:4 * i + 4])
-
-
-def _read_exact(df: DataFrame, batch: list[_Search]) -> None:
-    exprs = []
-    for i, s in enumerate(batch):
-        at = 0.0 if s.inside <= 1 else (s.rank - s.below) / (s.inside - 1)
-        exprs.append(F.percentile(s.inner(), F.lit(at)).alias(f"v{i}"))
-    row = df.agg(*exprs).first()
-    for s, v in zip(batch, row):
-        s.value = float(v)
+    out: dict[tuple[str, int], float] = {}
+    names = list(ranks)
+    for start in range(0, len(names), _COLUMNS_PER_PASS):
+        part = names[start:start + _COLUMNS_PER_PASS]
+        todo = [
+            _Interval(j, None, None, 0, sizes[c], sorted(set(ranks[c])))
+            for j, c in enumerate(part)
+            if len(ranks[c])
+        ]
+        got = _search(df, part, todo, exact_rows, pivot_sample)
+        out.update({(part[j], r): v for (j, r), v in got.items()})
+    return out
 
 
 def _positions(n: int, probs: Sequence[float]) -> list[float]:
@@ -166,18 +243,6 @@ def column_quantiles(
         return {}
     row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: row[i] for i, c in enumerate(columns)}
-    if max(sizes.values()) <= exact_rows:
-        out: dict[str, list[float | None]] = {}
-        for start in range(0, len(columns), _PER_PASS):
-            part = columns[start:start + _PER_PASS]
-            got = df.agg(
-                *[
-                    F.percentile(col(c).cast("double"), F.lit(list(probs))).alias(f"q{i}")
-                    for i, c in enumerate(part)
-                ]
-            ).first()
-            out.update({c: list(got[i] or [None] * len(probs)) for i, c in enumerate(part)})
-        return out
     positions = {c: _positions(sizes[c], probs) for c in columns}
     return interpolate_at(df, positions, sizes, exact_rows=exact_rows)
 
@@ -200,7 +265,7 @@ def grouped_quantiles(
     upto = F.sum("__c").over(layout.window().rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("__c").over(Window.partitionBy(*[col(k) for k in layout.keys]))
     if layout.is_cut:
-        spans = cell_spans(cells, layout, weight=F.col("__c")).drop("__end")
+        spans = cell_spans(layout.attach(known), layout).drop("__end")
         cells = join_cells(cells, spans, layout)
         upto = upto + F.coalesce(col("__start"), F.lit(0))
         whole = F.when(col(LONG), col("__total")).otherwise(whole)
@@ -220,11 +285,3 @@ def grouped_quantiles(
         outs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part).alias(name))
     return found.select(*[col(c) for c in by], *outs)
 
-
-__all__ = [
-    "CELL",
-    "column_quantiles",
-    "grouped_quantiles",
-    "interpolate_at",
-    "values_at_ranks",
-]

@@ -15,7 +15,9 @@ from plantloom.functions.safe import numeric_columns, rows_from, safe_corr
 from plantloom.operators.quantiles import column_quantiles, grouped_quantiles, interpolate_at
 
 QUARTILES = (0.25, 0.5, 0.75)
-_PAIRWISE_LIMIT = 24
+# Up to this many columns the pairs are plain aggregates; above, one pass of matrix products.
+_PAIRWISE_LIMIT = 3
+_PAIRS_PER_AGG = 12
 _COLUMNS_PER_AGG = 60
 
 
@@ -205,7 +207,7 @@ def correlations(
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     parts = []
-    step = _PAIRWISE_LIMIT * (_PAIRWISE_LIMIT - 1) // 2
+    step = _PAIRS_PER_AGG
     for start in range(0, len(pairs), step):
         part = pairs[start:start + step]
         agg = df.agg(*[safe_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])

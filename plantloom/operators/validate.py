@@ -169,18 +169,21 @@ def invalid_summary(
     return diagnose(df, rules, skip).filter((F.col("n_invalid") > 0) | (F.col("pct_null") > 10))
 
 
-def check_value(
-    name: Column, value: Column, rules: PhysicalRules = RULES, strict: bool = False
-) -> Column:
-    """struct(valid, reason) for long data of (sensor name, value) rows."""
-    category = rules.category_expr(name)
-    lo, hi = rules.limit_exprs(name, category)
-    missing = value.isNull() | F.isnan(value)
-    reason = F.when(missing, "not a number").when(is_infinite(value), "infinite")
+def check_values(
+    df: DataFrame, name: str, value: str, rules: PhysicalRules = RULES, strict: bool = False
+) -> DataFrame:
+    """Add ``valid`` and ``reason`` to long data of (sensor name, value) rows."""
+    v = col(value)
+    reason = F.when(v.isNull() | F.isnan(v), "not a number").when(is_infinite(v), "infinite")
     if strict:
-        reason = reason.when(category == UNKNOWN, "no category")
-    reason = reason.when(value < lo, "below minimum").when(value > hi, "above maximum")
-    return F.struct(reason.isNull().alias("valid"), reason.alias("reason"))
+        reason = reason.when(F.coalesce(col("category"), F.lit(UNKNOWN)) == UNKNOWN, "no category")
+    reason = reason.when(v < col("min_allowed"), "below minimum").when(
+        v > col("max_allowed"), "above maximum"
+    )
+    ruled = rules.classify(df, name).withColumn("reason", reason)
+    return ruled.withColumn("valid", col("reason").isNull()).drop(
+        "category", "min_allowed", "max_allowed"
+    )
 
 
 def check_target(df: DataFrame, target: str, min_rows: int = 10) -> None:

@@ -128,10 +128,8 @@ j AS (SELECT r.*, CASE WHEN v IS NULL THEN 'not a number' WHEN isinf(v) THEN 'in
   FROM r LEFT JOIN limits l ON r.sensor = l.sensor)
 SELECT event_id, sensor, reason IS NULL AS valid, reason FROM j""")
 def _(spark, sf):
-    checked = _long(spark, sf).withColumn(
-        "c", validate.check_value(F.col("sensor"), F.col("v"), strict=True)
-    )
-    return checked.select("event_id", "sensor", "c.valid", "c.reason")
+    checked = validate.check_values(_long(spark, sf), "sensor", "v", strict=True)
+    return checked.select("event_id", "sensor", "valid", "reason")
 
 
 @query("physical_category", f"""WITH {_LIMITS_SQL}, r AS (SELECT {_NAMES_SQL} AS sensor FROM events)
@@ -139,12 +137,10 @@ SELECT r.sensor, coalesce(category, 'UNKNOWN') AS category,
   coalesce(lo, '-Infinity'::DOUBLE) AS lo, coalesce(hi, 'Infinity'::DOUBLE) AS hi, count(*) AS n
 FROM r LEFT JOIN limits l ON r.sensor = l.sensor GROUP BY ALL""")
 def _(spark, sf):
-    named = _long(spark, sf).withColumn("category", RULES.category_expr(F.col("sensor")))
-    lo, hi = RULES.limit_exprs(F.col("sensor"), F.col("category"))
-    return (
-        named.withColumn("lo", lo).withColumn("hi", hi)
-        .groupBy("sensor", "category", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    )
+    named = RULES.classify(_long(spark, sf), "sensor")
+    return named.groupBy(
+        "sensor", "category", F.col("min_allowed").alias("lo"), F.col("max_allowed").alias("hi")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 _SEEN = ["feed_flow", "pulp_ph", "tank_level", "mystery"]

@@ -121,17 +121,22 @@ def _(spark, sf):
 
 
 def _wide(spark, sf):
-    """Thirty columns made of the four readings, with gaps: the matrix-product path."""
-    s, out = samples(spark, sf), {}
+    """Thirty columns made of the four readings, every third one with gaps."""
+    li, out = table(spark, sf, "lineitem"), {}
     for i in range(30):
-        base = F.col(NUM[i % 4]) * (i + 1) + F.col("y") * (i % 7)
-        out[f"s{i}"] = F.when((F.col("l_orderkey") + i) % (11 + i) != 0, base)
-    return s.select(*[e.alias(n) for n, e in out.items()])
+        base = F.col(NUM[i % 4]) * (i + 1) + F.col(NUM[(i + 1) % 4]) * (i % 7)
+        gap = F.when(F.col("l_linenumber") != 1 + i % 7, base)
+        out[f"s{i}"] = gap if i % 3 == 0 else base
+    return li.select(*[e.alias(n) for n, e in out.items()])
 
 
-_WIDE_SQL = SAMPLES_SQL + ", wide AS (SELECT " + ", ".join(
-    f"CASE WHEN (l_orderkey + {i}) % {11 + i} != 0 THEN {NUM[i % 4]} * {i + 1} + y * {i % 7} END AS s{i}"
-    for i in range(30)) + " FROM samples)"
+def _wide_column(i: int) -> str:
+    base = f"{NUM[i % 4]} * {i + 1} + {NUM[(i + 1) % 4]} * {i % 7}"
+    return f"CASE WHEN l_linenumber <> {1 + i % 7} THEN {base} END" if i % 3 == 0 else base
+
+
+_WIDE_SQL = "wide AS (SELECT " + ", ".join(
+    f"{_wide_column(i)} AS s{i}" for i in range(30)) + " FROM lineitem)"
 
 
 @query("corr_matrix_wide", f"WITH {_WIDE_SQL} " + " UNION ALL ".join(
