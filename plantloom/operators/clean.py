@@ -75,29 +75,22 @@ def _carries(
             ]
         )
     )
-    walk = layout.across_cells()
-    earlier = walk.rowsBetween(Window.unboundedPreceding, -1)
-    later = walk.rowsBetween(1, Window.unboundedFollowing)
     outs = []
     for name in values:
-        if forward:
-            known = F.last(col(f"{name}@p"), ignorenulls=True).over(earlier)
-            outs.append(known.alias(f"{name}@p"))
-        if backward:
-            known = F.first(col(f"{name}@n"), ignorenulls=True).over(later)
-            outs.append(known.alias(f"{name}@n"))
+        for _, tag in sides:
+            walk = layout.across_cells(descending=tag == "n")
+            before = walk.rowsBetween(Window.unboundedPreceding, -1)
+            known = F.last(col(f"{name}@{tag}"), ignorenulls=True).over(before)
+            outs.append(known.alias(f"{name}@{tag}"))
     return join_cells(cells, edge.select(*[col(k) for k in layout.keys], *outs), layout)
 
 
 def _known(layout: Layout, name: str, value: Column, forward: bool) -> Column:
     """Last (or next) known value inside the cell, else what came over its border."""
-    w = layout.window()
-    if forward:
-        inside = F.last(value, ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)
-        )
-    else:
-        inside = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Looking ahead is looking back in reverse order: a frame that ends at UNBOUNDED FOLLOWING
+    # is evaluated anew for every row.
+    w = layout.window(descending=not forward)
+    inside = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if not layout.is_cut:
         return inside
     return F.coalesce(inside, col(f"{name}@{'p' if forward else 'n'}"))

@@ -66,10 +66,10 @@ class Layout:
             *self.order_cols(descending)
         )
 
-    def across_cells(self) -> WindowSpec:
+    def across_cells(self, descending: bool = False) -> WindowSpec:
         """Cells of one series in order; a series has a bounded number of them."""
         by = [col(c) for c in self.series] or [F.lit(0)]
-        return Window.partitionBy(*by).orderBy(CELL)
+        return Window.partitionBy(*by).orderBy(col(CELL).desc() if descending else col(CELL))
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the cell number (and the long-series flag where the layout is cut)."""
