@@ -57,7 +57,9 @@ def read_raw_csv(
         .csv(path)
     )
     cut = "\\" + sep if sep == "|" else sep
-    too_long = col(_BAD).isNotNull() & (F.size(F.split(col(_BAD), cut)) > width)
+    # Spark refuses a scan that needs the bad-line column alone, so the test also reads a field.
+    reads_field = F.length(F.concat_ws("", col(schema.names[0]))) >= 0
+    too_long = col(_BAD).isNotNull() & (F.size(F.split(col(_BAD), cut)) > width) & reads_field
     return lines.filter(~too_long).drop(_BAD)
 
 
