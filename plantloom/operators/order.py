@@ -336,12 +336,3 @@ def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     last = df.orderBy(*[col(c).desc() for c in order]).limit(n)
     return last.orderBy(*[col(c) for c in order])
 
-
-def trailing_slice(
-    df: DataFrame, n: int, end: int | None, order: Sequence[str], **sizing
-) -> DataFrame:
-    """``n`` rows that end before position ``end`` (None: the end of the table)."""
-    if end is None:
-        return tail(df, n, order)
-    rows = with_ordinal(df, order, name="__ord", **sizing)
-    return rows.filter((col("__ord") >= end - n) & (col("__ord") < end)).drop("__ord")

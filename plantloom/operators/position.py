@@ -43,18 +43,20 @@ def cuts_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> li
     total = keyed.count()
     inside = sorted({p for p in positions if 0 <= p < total})
     at = values_at_ranks(keyed, {"k": inside}, {"k": total}) if inside else {}
-    cuts = {}
+    cuts, sizes = {}, []
     for p in inside:
-        key = at["k", p]
-        row = keyed.agg(
-            F.count_if(F.col("k") < key).alias("lt"), F.count_if(F.col("k") == key).alias("eq")
-        ).first()
-        tie = None
-        if p > row["lt"]:
+        key = F.lit(at["k", p])
+        sizes += [F.count_if(F.col("k") < key), F.count_if(F.col("k") == key)]
+    row = keyed.agg(*sizes).first() if sizes else ()
+    for i, p in enumerate(inside):
+        before, equal = row[2 * i], row[2 * i + 1]
+        key, tie = at["k", p], None
+        if p > before:
             if second is None:
                 raise ValueError(f"ties in {order[0]!r}: name a second order key")
             ties = keyed.filter(F.col("k") == key)
-            tie = values_at_ranks(ties, {"t": [p - row["lt"]]}, {"t": row["eq"]})["t", p - row["lt"]]
+            rank = p - before
+            tie = values_at_ranks(ties, {"t": [rank]}, {"t": equal})["t", rank]
         cuts[p] = Cut(lead, second, key, tie)
     nothing = Cut(lead, second, float("-inf"))
     return [cuts.get(p, nothing if p < 0 else Cut(lead, second, None)) for p in positions]
@@ -66,3 +68,13 @@ def last_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
         return tail(df, n, order)
     cut = cuts_at(df, order, [max(0, df.count() - n)])[0]
     return df.filter(~cut.before()).orderBy(*[col(c) for c in order])
+
+
+def trailing_slice(
+    df: DataFrame, n: int, end: int | None, order: Sequence[str]
+) -> DataFrame:
+    """``n`` rows that end before position ``end`` (None: the end of the table)."""
+    if end is None:
+        return last_rows(df, n, order)
+    start, stop = cuts_at(df, order, [max(0, end - n), end])
+    return df.filter(~start.before() & stop.before()).orderBy(*[col(c) for c in order])

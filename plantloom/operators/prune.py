@@ -12,6 +12,9 @@ from plantloom.functions.safe import rows_from, safe_corr
 from plantloom.operators.stats import correlations
 
 
+CONSTANT_BELOW = 1e-8
+
+
 def leakage_report(
     df: DataFrame, features: Sequence[str], target: str, threshold: float = 0.999
 ) -> DataFrame:
@@ -44,13 +47,13 @@ def drop_leakage(
 
 
 def constant_columns(
-    df: DataFrame, features: Sequence[str], tolerance: float = 1e-8
+    df: DataFrame, features: Sequence[str], tolerance: float = CONSTANT_BELOW
 ) -> list[str]:
     row = df.agg(*[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
     return [c for i, c in enumerate(features) if row[i] is not None and row[i] < tolerance]
 
 
-def drop_constant(df, features, tolerance: float = 1e-8) -> tuple[DataFrame, list[str]]:
+def drop_constant(df, features, tolerance: float = CONSTANT_BELOW) -> tuple[DataFrame, list[str]]:
     gone = constant_columns(df, features, tolerance)
     return df.drop(*gone), gone
 
@@ -83,18 +86,33 @@ def prune_features(
     collinear: float = 0.98,
     strict: bool = False,
 ) -> tuple[list[str], dict[str, str]]:
-    """Surviving features and the reason each other one was removed."""
-    _, leaked = drop_leakage(df, features, target, leak, strict)
-    kept = [c for c in features if c not in leaked]
-    flat = constant_columns(df, kept)
-    kept = [c for c in kept if c not in flat]
-    twins = collinear_columns(df, kept, collinear)
+    """Surviving features and the reason each other one was removed.
+
+    Two scans whatever the number of rules: spreads, then all correlations at once.
+    """
+    names = list(features)
+    row = df.agg(
+        *[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(names)],
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
+    ).first()
+    spread = {c: row[f"s{i}"] for i, c in enumerate(names)}
+    known = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    pairs = [r for r in correlations(df, [*names, target]).collect() if r["r"] is not None]
     reasons = {
-        **dict.fromkeys(leaked, "leak"),
-        **dict.fromkeys(flat, "constant"),
-        **dict.fromkeys(twins, "collinear"),
+        r["a"]: "leak"
+        for r in pairs
+        if r["b"] == target and abs(r["r"]) >= leak and known[r["a"]] >= 3
     }
-    return [c for c in kept if c not in twins], reasons
+    if reasons and strict:
+        raise ValueError(f"features copy the target {target!r}: {sorted(reasons)}")
+    for c in names:
+        if c not in reasons and spread[c] is not None and spread[c] < CONSTANT_BELOW:
+            reasons[c] = "constant"
+    kept = [c for c in names if c not in reasons]
+    for r in pairs:
+        if r["a"] in kept and r["b"] in kept and abs(r["r"]) > collinear:
+            reasons[r["a"]] = "collinear"
+    return [c for c in names if c not in reasons], reasons
 
 
 def low_variation(df: DataFrame, columns: Sequence[str], limit: float = 5.0) -> DataFrame:

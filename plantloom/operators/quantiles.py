@@ -30,8 +30,9 @@ from plantloom.operators.order import (
     plan_layout,
 )
 
-# Values of one interval that may be read to the driver, and rows drawn to choose pivots.
-EXACT_ROWS = 50_000
+# Values that one pass may read to the driver (16 MB of doubles over all its intervals), and
+# rows drawn to choose pivots.
+EXACT_VALUES = 2_000_000
 PIVOT_SAMPLE = 20_000
 _COLUMNS_PER_PASS = 32
 
@@ -166,9 +167,10 @@ def _narrowed(iv: _Interval, p: np.ndarray, n: np.ndarray, found: dict) -> list[
     ]
 
 
-def _search(df, columns, intervals, exact_rows: int, pivot_sample: int) -> dict:
+def _search(df, columns, intervals, exact_values: int, pivot_sample: int) -> dict:
     found: dict[tuple[int, int], float] = {}
     while intervals:
+        exact_rows = max(1, exact_values // len(intervals))
         small = [iv for iv in intervals if iv.inside <= exact_rows]
         wide = [iv for iv in intervals if iv.inside > exact_rows]
         if small:
@@ -190,7 +192,7 @@ def values_at_ranks(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
     sizes: Mapping[str, int],
-    exact_rows: int = EXACT_ROWS,
+    exact_values: int = EXACT_VALUES,
     pivot_sample: int = PIVOT_SAMPLE,
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank of each column; ``sizes`` are the non-null counts."""
@@ -203,7 +205,7 @@ def values_at_ranks(
             for j, c in enumerate(part)
             if len(ranks[c])
         ]
-        got = _search(df, part, todo, exact_rows, pivot_sample)
+        got = _search(df, part, todo, exact_values, pivot_sample)
         out.update({(part[j], r): v for (j, r), v in got.items()})
     return out
 
@@ -236,7 +238,7 @@ def interpolate_at(
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], **options
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles per column, over its non-null values."""
     if not columns:
@@ -244,7 +246,7 @@ def column_quantiles(
     row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: row[i] for i, c in enumerate(columns)}
     positions = {c: _positions(sizes[c], probs) for c in columns}
-    return interpolate_at(df, positions, sizes, exact_rows=exact_rows)
+    return interpolate_at(df, positions, sizes, **options)
 
 
 def grouped_quantiles(

@@ -26,6 +26,9 @@ class Scaler:
         centre, scale = self.params[name]
         return value * F.lit(scale) + F.lit(centre)
 
+    def only(self, names: Sequence[str]) -> Scaler:
+        return Scaler({c: self.params[c] for c in names})
+
     def apply(self, df: DataFrame, suffix: str = "") -> DataFrame:
         return df.withColumns({f"{c}{suffix}": self.expr(c) for c in self.params})
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantloom.functions.names import select_by_rules
 from plantloom.functions.scalars import (
+    baseline_verdict,
     class_band,
     error_band,
     flag_class,
@@ -15,6 +16,7 @@ from plantloom.functions.scalars import (
     r2_quality,
     relative_error,
     signal_verdict,
+    strength_verdict,
 )
 from plantloom.operators import encode, joins, metrics, order, position, split, timeseries
 from plantloom.plans.registry import query, rounded
@@ -184,7 +186,7 @@ def _(spark, sf):
 WHERE o >= n // 2 - 100 AND o < n // 2""")
 def _(spark, sf):
     e = events(spark, sf)
-    out = order.trailing_slice(e, 100, e.count() // 2, TIME, **CELLS)
+    out = position.trailing_slice(e, 100, e.count() // 2, TIME)
     return rounded(out.select("event_id", "value"))
 
 
@@ -571,7 +573,9 @@ m AS (SELECT l_suppkey, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r, 1
   FROM t GROUP BY 1)
 SELECT l_suppkey, CASE WHEN r > 0.8 THEN 'excellent' WHEN r > 0.5 THEN 'acceptable' ELSE 'poor' END AS quality,
   CASE WHEN r > q + 0.02 THEN 'model' WHEN r > q - 0.02 THEN 'tie' ELSE 'persistence' END AS verdict,
-  CASE WHEN r > 0.3 AND q < 0.05 THEN 'real' WHEN r > 0.1 THEN 'weak' ELSE 'none' END AS signal FROM m""")
+  CASE WHEN r > 0.3 AND q < 0.05 THEN 'real' WHEN r > 0.1 THEN 'weak' ELSE 'none' END AS signal,
+  CASE WHEN q > 0.5 THEN 'strong' WHEN q > 0.2 THEN 'moderate' ELSE 'none' END AS strength,
+  CASE WHEN r > q + 0.15 THEN 'clear gain' WHEN r > q THEN 'small gain' ELSE 'no gain' END AS gain FROM m""")
 def _(spark, sf):
     s = samples(spark, sf).withColumn("p", 2.9 * F.col("l_quantity") + 1).withColumn(
         "b", F.col("l_quantity") * 2 + 10
@@ -581,5 +585,6 @@ def _(spark, sf):
     r, q = F.col("r"), F.col("q")
     return a.join(b, "l_suppkey").select(
         "l_suppkey", r2_quality(r).alias("quality"), model_verdict(r, q).alias("verdict"),
-        signal_verdict(r, q).alias("signal"),
+        signal_verdict(r, q).alias("signal"), strength_verdict(q).alias("strength"),
+        baseline_verdict(r, q).alias("gain"),
     )

@@ -18,7 +18,7 @@ from plantloom.plans.tables import (
     samples,
     table,
 )
-from plantloom.sources.profile import ingestion_stats
+from plantloom.sources.profile import ingestion_stats, schema_report
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -99,7 +99,7 @@ FROM lineitem GROUP BY 1, 2""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     return rounded(
-        stats.box_stats(li, "l_extendedprice", ["l_returnflag", "l_linestatus"], target_rows=5000)
+        stats.box_stats(li, "l_extendedprice", ["l_returnflag", "l_linestatus"], target_rows=20_000)
     )
 
 
@@ -239,6 +239,21 @@ def _(spark, sf):
     return ingestion_stats(plant(spark, sf).select(*PLANT_SENSORS), "events")
 
 
+def _schema_sql(c: str, kind: str, numeric: bool) -> str:
+    num = lambda e: f"round({e}, 6)" if numeric else "NULL::DOUBLE"
+    return f"""SELECT '{c}' AS "column", '{kind}' AS type, count(*) - count({c}) AS n_null,
+  round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS pct_null, {num(f'min({c})::DOUBLE')} AS min,
+  {num(f'max({c})::DOUBLE')} AS max, {num(f'avg({c})')} AS mean, {num(f'stddev_samp({c})')} AS std FROM plant"""
+
+
+@query("schema_report", f"WITH {PLANT_SQL} " + " UNION ALL ".join([
+    _schema_sql("event_type", "string", False), _schema_sql("user_id", "bigint", True),
+    _schema_sql("pulp_ph", "double", True), _schema_sql("tank_level", "double", True)]))
+def _(spark, sf):
+    p = plant(spark, sf).select("event_type", "user_id", "pulp_ph", "tank_level")
+    return rounded(schema_report(p))
+
+
 @query("time_profile", """WITH g AS (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) AS g
   FROM (SELECT date_trunc('minute', ts) AS ts, event_id FROM events)),
 t AS (SELECT g, count(*) AS n FROM g WHERE g IS NOT NULL GROUP BY 1 ORDER BY n DESC, g LIMIT 1)

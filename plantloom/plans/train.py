@@ -118,7 +118,8 @@ def train(
         raise ValueError(f"no usable feature is left: {removed}")
     model = SensorModel(target, kept, list(lags), "kernel", removed=removed)
     if force != "boosted":
-        x_scaler, y_scaler = fit_robust(train_rows, kept), fit_robust(train_rows, [target])
+        both = fit_robust(train_rows, [*kept, target])
+        x_scaler, y_scaler = both.only(kept), both.only([target])
         blocks = forward_folds(train_rows, order)
         ranked = forward_search(
             blocks, kept, target, x_scaler, y_scaler, "block", random_grid(trials, width, seed)
