@@ -481,7 +481,7 @@ def _(spark, sf):
     _stateful(spark)
     out, log = scratch_path(spark, "ffill-rows"), scratch_path(spark, "ffill-log")
     p = plant(spark, sf).select("event_id", "ts", "user_id", "pulp_ph")
-    _arriving(p, "plant-files", 3, lambda src: etl.write_stream_table(
+    _arriving(p, "plant-files", 2, lambda src: etl.write_stream_table(
         stateful.ffill_stream(src, ["pulp_ph"], ["user_id"], TIME), out, log))
     return rounded(spark.read.parquet(out).select("event_id", "pulp_ph"))
 
@@ -498,7 +498,7 @@ def _(spark, sf):
     out, log = scratch_path(spark, "scored"), scratch_path(spark, "scored-log")
     predict = lambda b: b.withColumn(
         "prediction", linear.linear_expr(["value_lag_1"], [10.0, 0.5]))
-    _arriving(e, "event-files", 3, lambda src: etl.score_stream(
+    _arriving(e, "event-files", 2, lambda src: etl.score_stream(
         stateful.lag_stream(src, "value", ["user_id"], TIME), predict, out, log))
     cols = ["value_lag_1", "value_lag_20", "value_diff_5", "value_rolling_mean_10",
             "value_rolling_std_10", "prediction"]

@@ -3,7 +3,8 @@
 State per series is a few numbers (last values, or the last 21 targets).  A series that
 owns much of the stream still needs its rows in time order, so the rows of one micro-batch
 are sorted per series; ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound that batch.
-Rows older than the state (late across batches) never rewrite it.
+Rows older than the state (late across batches) are passed on but never change it: they are
+filled from each other only, and get no lag features.
 The RocksDB state store must be configured, see ``plantloom.session``.
 """
 
@@ -26,6 +27,14 @@ def _sorted(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
     return frame.sort_values(list(order), kind="stable", ignore_index=True)
 
 
+def _clock(frame: pd.DataFrame, name: str) -> np.ndarray:
+    """The leading order column as integers or floats that can be kept in the state."""
+    values = frame[name]
+    if pd.api.types.is_datetime64_any_dtype(values):
+        return values.astype("int64").to_numpy()
+    return values.astype(float).to_numpy()
+
+
 class ForwardFill(StatefulProcessor):
     """Carries the last known value of each column."""
 
@@ -34,20 +43,24 @@ class ForwardFill(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"v{i} double" for i in range(len(self.columns)))
-        self.last = handle.getValueState("last", fields)
+        self.last = handle.getValueState("last", f"seen double, {fields}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         frame = _sorted(rows, self.order)
-        held = self.last.get() if self.last.exists() else [None] * len(self.columns)
+        clock = _clock(frame, self.order[0])
+        seen, *held = self.last.get() if self.last.exists() else [None] * (len(self.columns) + 1)
+        late = np.zeros(len(frame), dtype=bool) if seen is None else clock < seen
         after = []
         for c, before in zip(self.columns, held):
-            filled = frame[c].astype(float).ffill()
+            values = frame[c].astype(float)
+            fresh = values[~late].ffill()
             if before is not None:
-                filled = filled.fillna(before)
-            frame[c] = filled
-            end = filled.iloc[-1]
-            after.append(None if pd.isna(end) else float(end))
-        self.last.update(tuple(after))
+                fresh = fresh.fillna(before)
+            frame[c] = pd.concat([values[late].ffill(), fresh]).reindex(frame.index)
+            end = fresh.iloc[-1] if len(fresh) else before
+            after.append(None if end is None or pd.isna(end) else float(end))
+        newest = float(clock.max()) if seen is None else max(seen, float(clock.max()))
+        self.last.update((newest, *after))
         yield frame[self.out]
 
     def close(self) -> None:
@@ -63,22 +76,28 @@ class LagFeatures(StatefulProcessor):
         self.keep = max([*self.lags, 10]) + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getValueState("past", "values array<double>")
+        self.past = handle.getValueState("past", "seen double, values array<double>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         frame = _sorted(rows, self.order)
-        old = list(self.past.get()[0]) if self.past.exists() else []
-        new = frame[self.target].astype(float)
-        y = pd.Series(np.array([np.nan if v is None else v for v in old] + list(new), dtype=float))
-        t, n = self.target, len(old)
-        for k in self.lags:
-            frame[f"{t}_lag_{k}"] = y.shift(k).to_numpy()[n:]
-        past = y.shift(1)
-        frame[f"{t}_diff_1"] = (past - y.shift(2)).to_numpy()[n:]
-        frame[f"{t}_diff_5"] = (past - y.shift(6)).to_numpy()[n:]
-        frame[f"{t}_rolling_mean_10"] = past.rolling(10, min_periods=1).mean().to_numpy()[n:]
-        frame[f"{t}_rolling_std_10"] = past.rolling(10, min_periods=1).std().to_numpy()[n:]
-        self.past.update(([None if np.isnan(v) else float(v) for v in y.to_numpy()[-self.keep:]],))
+        clock = _clock(frame, self.order[0])
+        seen, old = self.past.get() if self.past.exists() else (None, [])
+        late = np.zeros(len(frame), dtype=bool) if seen is None else clock < seen
+        new = frame.loc[~late, self.target].astype(float)
+        history = [np.nan if v is None else v for v in old]
+        y = pd.Series(np.array([*history, *new], dtype=float))
+        t, n, past = self.target, len(history), y.shift(1)
+        made = {f"{t}_lag_{k}": y.shift(k) for k in self.lags}
+        made[f"{t}_diff_1"] = past - y.shift(2)
+        made[f"{t}_diff_5"] = past - y.shift(6)
+        made[f"{t}_rolling_mean_10"] = past.rolling(10, min_periods=1).mean()
+        made[f"{t}_rolling_std_10"] = past.rolling(10, min_periods=1).std()
+        for name, values in made.items():
+            frame[name] = np.nan
+            frame.loc[~late, name] = values.to_numpy()[n:]
+        newest = float(clock.max()) if seen is None else max(seen, float(clock.max()))
+        kept = [None if np.isnan(v) else float(v) for v in y.to_numpy()[-self.keep:]]
+        self.past.update((newest, kept))
         yield frame[self.out]
 
     def close(self) -> None:
