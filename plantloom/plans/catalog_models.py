@@ -186,11 +186,10 @@ x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN y < 50 TH
 t AS (SELECT * FROM x WHERE l_suppkey % 5 <> 0),
 e AS (SELECT 1e-9 * greatest(var_pop(q), var_pop(d)) AS eps, count(*)::DOUBLE AS n FROM t),
 k AS (SELECT c, count(*) / max(n) AS prior, avg(q) AS mq, avg(d) AS md, var_pop(q) + max(eps) AS vq,
-  var_pop(d) + max(eps) AS vd FROM t, e GROUP BY 1),
-z AS (SELECT x.*, k.c AS p, ln(prior) - 0.5 * (ln(2 * pi() * vq) + (q - mq) ** 2 / vq)
-  - 0.5 * (ln(2 * pi() * vd) + (d - md) ** 2 / vd) AS s FROM x, k WHERE l_suppkey % 5 = 0)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, any_value(c) AS c, arg_max(p, s) AS prediction
-FROM z GROUP BY ALL"""
+  var_pop(d) + max(eps) AS vd FROM t, e GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c, (SELECT arg_max(k.c, ln(prior)
+  - 0.5 * (ln(2 * pi() * vq) + (x.q - mq) ** 2 / vq) - 0.5 * (ln(2 * pi() * vd) + (x.d - md) ** 2 / vd)) FROM k) AS prediction
+FROM x WHERE l_suppkey % 5 = 0"""
 
 
 @query("naive_bayes", _NB_SQL)
