@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from plantloom.llm.lang import op10_language_mixture
 from plantloom.llm.mix import op2_mix_sources
+from plantloom.llm.near import op3_ngram_jaccard_join
 from plantloom.llm.pack import op9_best_fit_packing
 from plantloom.llm.shard import op1_kd_shards
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_mix_sources": op2_mix_sources,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_mixture": op10_language_mixture,
 }
 
 ORACLES: dict[str, str] = {}
