@@ -92,3 +92,45 @@ def shingle_sets(texts, words: int = 5):
             keep[bounds[:-1][count > 0]] = True
         kept = np.concatenate([[0], np.cumsum(keep)])
         yield out[keep], kept[bounds]
+
+
+def sentence_hashes(part: list[bytes], most: int = 16):
+    """Sentences of some texts: (hash, number of words, index of each text's first + end).
+
+    A sentence ends with a word whose last byte is one of ``.!?``, after ``most`` words, or with
+    the text.
+    """
+    data = np.frombuffer(b" " + b" ".join(part) + b" ", "uint8")
+    lengths = np.fromiter(map(len, part), "int64", len(part))
+    begin = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
+    starts, h = word_hashes(data)
+    gap = SPACES[data]
+    last = data[np.flatnonzero(~gap[:-1] & gap[1:])]
+    edge = np.searchsorted(starts, begin)
+    if not len(h):
+        return h, edge[:0], edge
+    new = np.zeros(len(h), bool)
+    new[1:] = np.isin(last[:-1], np.frombuffer(b".!?", "uint8"))
+    new[edge[:-1][np.diff(edge) > 0]] = True
+    run = np.flatnonzero(new)
+    inside = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
+    first = np.flatnonzero(inside % most == 0)
+    n = np.diff(np.append(first, len(h)))
+    at = np.arange(len(h)) - np.repeat(first, n)
+    power = np.multiply.accumulate(np.concatenate([[1], np.full(most, _STEP)]).astype("uint64"))
+    sums = mixed(np.add.reduceat(h * power[at], first) + n.astype("uint64"))
+    return sums, n, np.searchsorted(first, edge)
+
+
+def in_parts(texts, size: int = CHUNK_BYTES):
+    """(index of the first, lower-cased bytes) of runs of texts of about ``size`` bytes."""
+    part, held, first = [], 0, 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode().lower()
+        if part and held + len(raw) > size:
+            yield first, part
+            part, held, first = [], 0, i
+        part.append(raw)
+        held += len(raw) + 1
+    if part:
+        yield first, part
