@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from plantloom.llm.lang import op10_language_mixture
+from plantloom.llm.license import op7_license_scan
 from plantloom.llm.lm import op4_ppm_scores
 from plantloom.llm.mix import op2_mix_sources
 from plantloom.llm.near import op3_ngram_jaccard_join
 from plantloom.llm.pack import op9_best_fit_packing
 from plantloom.llm.shard import op1_kd_shards
+from plantloom.llm.warc import op8_warc_revisits
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_ppm_scores": op4_ppm_scores,
+    "op7_license_scan": op7_license_scan,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_mixture": op10_language_mixture,
 }
