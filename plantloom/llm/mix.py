@@ -95,11 +95,12 @@ def mix_sources(
         df.select("*", *head).join(shared, key, "left").withColumn(
             "_pattern", F.coalesce("_pattern", F.array("_code"))), "mix-rows")
 
-    cells = {(tuple(r._pattern), r._code): r.w for r in rows.groupBy("_pattern", "_code").agg(
-        F.sum("_size").alias("w")).collect()}
+    # In a fixed order: equal tables give equal flows.
+    cells = dict(sorted(((tuple(r._pattern), r._code), r.w) for r in rows.groupBy(
+        "_pattern", "_code").agg(F.sum("_size").alias("w")).collect()))
     distinct = rows.select("_pattern", *key).distinct().groupBy("_pattern").agg(
         F.sum("_size").alias("w"))
-    patterns = {tuple(r._pattern): r.w for r in distinct.collect()}
+    patterns = dict(sorted((tuple(r._pattern), r.w) for r in distinct.collect()))
     names = sorted({s for _, s in cells}, key=lambda s: (s == "n", s))
     sizes = [sum(w for (_, s), w in cells.items() if s == x) for x in names]
     goals = targets(sizes, weights, most)

@@ -158,7 +158,7 @@ def pack_documents(
     total = pieces.agg(F.sum("length")).first()[0] or 0
     buckets = 1 + total // BUCKET_TOKENS
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "_id", "piece"], ascending=[False, True, True],
                               kind="stable", ignore_index=True)
         bins, offsets = best_fit(pdf["length"], size)
