@@ -37,14 +37,20 @@ def is_infinite(c: Column) -> Column:
 
 
 def finite(c: Column) -> Column:
-    """The value, or NULL where it is ±infinity."""
-    return F.when(~is_infinite(c), c)
+    """The value, or NULL where it is ±infinity or NaN."""
+    return F.when(~is_infinite(c) & ~F.isnan(c), c)
+
+
+def known(c: Column) -> Column:
+    """A number as a double, NULL where it is NaN: both mark a missing value."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson correlation; NULL where a side is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    """Pearson correlation over rows where both sides are finite; NULL where one is constant."""
+    xs, ys = finite(x.cast("double")), finite(y.cast("double"))
+    both = xs.isNotNull() & ys.isNotNull()
+    xs, ys = F.when(both, xs), F.when(both, ys)
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 

@@ -32,8 +32,8 @@ def outlier_bounds(
     """Allowed interval per column; columns without spread are left out."""
     if method == "zscore":
         stats = df.agg(
-            *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(columns)],
+            *[F.avg(finite(col(c))).alias(f"m{i}") for i, c in enumerate(columns)],
+            *[F.stddev_samp(finite(col(c))).alias(f"s{i}") for i, c in enumerate(columns)],
         ).first()
         spread = {c: (stats[f"m{i}"], stats[f"s{i}"]) for i, c in enumerate(columns)}
         return {c: (m - threshold * s, m + threshold * s) for c, (m, s) in spread.items() if s}

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from plantloom.functions.names import col
 from plantloom.functions.scalars import perturb
 
-# One-hot levels become columns; a column with more levels than this is not categorical.
-MAX_LEVELS = 1000
-
 
 def to_number(c: Column) -> Column:
     """Trimmed text with a decimal comma or point as a double, else NULL."""
@@ -51,23 +48,26 @@ def sentinel_to_null(df: DataFrame, columns: Sequence[str], sentinel: str = "?")
     return df.withColumns({c: F.nullif(col(c), F.lit(sentinel)) for c in columns})
 
 
-def levels_of(df: DataFrame, column: str) -> list:
-    found = (
-        df.select(col(column).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        .orderBy("v").limit(MAX_LEVELS + 1).collect()
-    )
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column!r} has more than {MAX_LEVELS} levels")
+def levels_of(df: DataFrame, column: str, max_levels: int | None = None) -> list:
+    levels = df.select(col(column).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    ordered = levels.orderBy("v")
+    found = (ordered if max_levels is None else ordered.limit(max_levels + 1)).collect()
+    if max_levels is not None and len(found) > max_levels:
+        raise ValueError(f"{column!r} has more than {max_levels} levels")
     return [r["v"] for r in found]
 
 
 def one_hot(
-    df: DataFrame, columns: Sequence[str], drop_first: bool = True, levels: dict | None = None
+    df: DataFrame, columns: Sequence[str], drop_first: bool = True, levels: dict | None = None,
+    max_levels: int | None = None,
 ) -> DataFrame:
-    """0/1 columns ``<column>_<level>`` in level order, replacing the text column."""
+    """0/1 columns ``<column>_<level>`` in level order, replacing the text column.
+
+    ``max_levels`` makes a column with more levels an error; by default there is no limit.
+    """
     out = df
     for c in columns:
-        names = (levels or {}).get(c) or levels_of(df, c)
+        names = (levels or {}).get(c) or levels_of(df, c, max_levels)
         kept = names[1:] if drop_first else names
         flags = {f"{c}_{v}": F.coalesce((col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in kept}
         out = out.withColumns(flags).drop(c)

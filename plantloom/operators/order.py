@@ -2,8 +2,9 @@
 
 ``Window.orderBy(ts)`` without a key, or with a key that owns a third of the rows, sends
 an unbounded group to one task.  A :class:`Layout` cuts only such long series into cells of
-consecutive rows (equal-frequency bounds of the order key, measured on the data), so every
-window runs over ``(series, cell)``.  What crosses a cell border is small and is shipped
+consecutive rows (equal-frequency bounds of the whole order key, of any types, measured on
+the data), so every window runs over ``(series, cell)``; the number of cells grows with the
+table.  What crosses a cell border is small and is shipped
 explicitly: the few rows a bounded window reaches back (:func:`apply_windows`), or one carry
 value per cell for unbounded fills (``operators.clean``).
 
@@ -18,7 +19,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,14 +29,29 @@ CELL = "__cell"
 LONG = "__long_series"
 HALO = "__halo"
 _KEY = "__order_key"
-_TIE = "__tie_key"
-_BIN = "__bin"
-_SUB = "__sub"
+_BOUNDS = "__bounds"
 
 TARGET_ROWS = 1_000_000
-MAX_CELLS = 8192
-# Rows drawn to choose cell bounds.  Bounds only balance the cells; every row gets a cell.
-BOUND_SAMPLE = 1_000_000
+# Key tuples drawn per cell, and at least, to choose bounds.  Bounds only balance the cells;
+# every row gets a cell.
+DRAWN_PER_CELL, DRAWN = 8, 20_000
+# Long series that are named in a filter; more of them are joined.
+_NAMED = 100
+
+
+def sort_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order keys as one comparable struct; NULL comes first, NaN last, as in a sort.
+
+    Timestamps are counted in microseconds, so that a key read by the driver compares equal.
+    """
+    kinds = dict(df.dtypes)
+    parts = []
+    for i, c in enumerate(order):
+        value = col(c)
+        if kinds[c] in ("timestamp", "timestamp_ntz"):
+            value = F.unix_micros(value.cast("timestamp"))
+        parts.append(value.alias(f"k{i}"))
+    return F.struct(*parts)
 
 
 @dataclass(frozen=True)
@@ -45,9 +60,7 @@ class Layout:
 
     order: tuple[str, ...]
     series: tuple[str, ...] = ()
-    bounds: tuple[float, ...] = ()
-    tied: tuple[float, ...] = ()
-    tie_bounds: tuple[float, ...] = ()
+    bounds: tuple[tuple, ...] = ()
     long_series: tuple[tuple, ...] = ()
 
     @property
@@ -75,18 +88,23 @@ class Layout:
         """Add the cell number (and the long-series flag where the layout is cut)."""
         if not self.is_cut:
             return df.withColumn(CELL, F.lit(0).cast("long"))
-        df = _flag_long(df, self)
-        df = df.withColumn(_KEY, _numeric(df, self.order[0]))
-        df = _bin(df, _KEY, self.bounds, _BIN)
-        if self.tie_bounds:
-            df = df.withColumn(_TIE, _numeric(df, self.order[1]))
-            df = _bin(df, _TIE, self.tie_bounds, _SUB)
-            sub = F.when(col(_KEY).isin([float(v) for v in self.tied]), col(_SUB)).otherwise(0)
-            cell = col(_BIN) * F.lit(len(self.tie_bounds) + 2).cast("long") + sub
-        else:
-            cell = col(_BIN)
+        df = _flag_long(df, self).withColumn(_KEY, sort_key(df, self.order))
+        kind = T.StructType([
+            T.StructField("__one", T.IntegerType()),
+            T.StructField(_BOUNDS, T.ArrayType(df.schema[_KEY].dataType)),
+        ])
+        one = df.sparkSession.createDataFrame([(1, list(self.bounds))], kind)
+        df = df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+        # Number of bounds at or below the key, by halving.
+        steps = [1 << i for i in reversed(range(len(self.bounds).bit_length()))]
+        cell = F.aggregate(
+            F.array(*map(F.lit, steps)),
+            F.lit(0),
+            lambda at, step: F.when(F.get(col(_BOUNDS), at + step - 1) <= col(_KEY), at + step)
+            .otherwise(at),
+        )
         return df.withColumn(CELL, F.when(col(LONG), cell).otherwise(0).cast("long")).drop(
-            _KEY, _TIE, _BIN, _SUB
+            _KEY, _BOUNDS
         )
 
     def strip(self, df: DataFrame) -> DataFrame:
@@ -97,91 +115,49 @@ def plan_layout(
     df: DataFrame,
     order: Sequence[str],
     series: Sequence[str] = (),
-    target_rows: int = TARGET_ROWS,
-    max_cells: int = MAX_CELLS,
+    target_rows: int | None = None,
 ) -> Layout:
     """Measure the table (key columns only) and decide which series to cut, and where.
 
-    At most ``max_cells`` series can exceed rows / cells, so the list of long series and
-    all bounds are small whatever the table holds.
+    There is one cell per ``target_rows`` (by default a million) rows, so long series and bounds together are at most
+    rows / ``target_rows`` entries.
     """
     order, series = tuple(order), tuple(series)
+    target_rows = target_rows or TARGET_ROWS
     total = df.count()
-    cells = min(max_cells, math.ceil(total / target_rows))
+    cells = math.ceil(total / target_rows)
     if cells <= 1:
         return Layout(order, series)
-    limit = max(target_rows, math.ceil(total / cells))
     longs: list[tuple] = []
     if series:
         heavy = (
             df.groupBy(*[col(c) for c in series])
             .agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") > limit)
+            .filter(F.col("__n") > target_rows)
             .drop("__n")
         )
         longs = [tuple(r) for r in heavy.collect()]
         if not longs:
             return Layout(order, series)
-    draft = Layout(order, series, long_series=tuple(longs))
-    keyed = _flag_long(df, draft).filter(col(LONG))
-    keyed = keyed.withColumn(_KEY, _numeric(df, order[0]))
-    fraction = min(1.0, BOUND_SAMPLE / total)
-    found = _cuts(keyed, _KEY, cells, fraction)
-    if not found:
-        return Layout(order, series)
-    tied = sorted({v for v, w in zip(found, found[1:]) if v == w})
-    bounds = sorted(set(found) | {math.nextafter(v, math.inf) for v in tied})
-    tie_bounds: list[float] = []
-    if tied and len(order) > 1:
-        ties = keyed.filter(col(_KEY).isin(tied)).withColumn(_TIE, _numeric(df, order[1]))
-        tie_bounds = sorted(set(_cuts(ties, _TIE, cells, fraction)))
-    return Layout(
-        order, series, tuple(bounds), tuple(tied), tuple(tie_bounds), tuple(longs)
-    )
-
-
-def _cuts(df: DataFrame, key: str, cells: int, fraction: float) -> list[float]:
-    probs = [i / cells for i in range(1, cells)]
-    drawn = df.select(key).sample(fraction, seed=42) if fraction < 1 else df
-    row = drawn.agg(
-        F.percentile_approx(col(key), probs, max(10_000, 20 * cells)).alias("cuts")
-    ).first()
-    return [float(v) for v in row["cuts"] or () if math.isfinite(v)]
-
-
-def _numeric(df: DataFrame, name: str) -> Column:
-    """A monotone double image of an order column; NULL sorts first as in Spark."""
-    kind = dict(df.dtypes)[name]
-    c = col(name)
-    if kind in ("timestamp", "timestamp_ntz"):
-        value = F.unix_micros(c.cast("timestamp")).cast("double")
-    elif kind == "date":
-        value = F.unix_date(c).cast("double")
-    elif kind in ("string", "boolean", "binary") or kind.startswith(("array", "map", "struct")):
-        raise ValueError(f"order column {name!r} must be numeric or temporal to be cut")
-    else:
-        value = c.cast("double")
-    return F.coalesce(value, F.lit(float("-inf")))
-
-
-def _bin(df: DataFrame, name: str, bounds: Sequence[float], out: str) -> DataFrame:
-    splits = [float("-inf"), *bounds, float("inf")]
-    binned = Bucketizer(
-        splits=splits, inputCol=name, outputCol=out, handleInvalid="keep"
-    ).transform(df)
-    return binned.withColumn(out, col(out).cast("long"))
+    keyed = _flag_long(df, Layout(order, series, long_series=tuple(longs))).filter(col(LONG))
+    fraction = min(1.0, max(DRAWN, DRAWN_PER_CELL * cells) / total)
+    keys = keyed.select(sort_key(df, order).alias(_KEY))
+    drawn = keys.sample(fraction, seed=42) if fraction < 1 else keys
+    found = [tuple(r[_KEY]) for r in drawn.orderBy(_KEY).collect()]
+    picks = [found[len(found) * i // cells] for i in range(1, cells)] if found else []
+    return Layout(order, series, tuple(dict.fromkeys(picks)), tuple(longs))
 
 
 def _flag_long(df: DataFrame, layout: Layout) -> DataFrame:
     if not layout.series:
         return df.withColumn(LONG, F.lit(True))
-    if len(layout.series) == 1:
+    if len(layout.series) == 1 and len(layout.long_series) <= _NAMED:
         values = [v[0] for v in layout.long_series]
         named = [v for v in values if v is not None]
         hit = col(layout.series[0]).isin(named) if named else F.lit(False)
         hit = F.coalesce(hit, F.lit(None in values))
         return df.withColumn(LONG, hit)
-    # At most MAX_CELLS rows, see plan_layout.
+    # At most one row per cell, see plan_layout.
     alias = {c: f"__l_{i}" for i, c in enumerate(layout.series)}
     schema = T.StructType(
         [T.StructField(alias[c], df.schema[c].dataType, True) for c in layout.series]
@@ -320,19 +296,7 @@ def apply_windows(
     return layout.strip(out.filter(~col(HALO)))
 
 
-def row_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Total sort by the order keys (range-partitioned by Spark)."""
-    return df.orderBy(*[col(c) for c in order])
-
-
 def subsample(df, every: int, order, series=(), start: int = 0, **sizing) -> DataFrame:
     """Every ``every``-th row of each series, by position."""
     rows = with_ordinal(df, order, series, "__ord", **sizing)
     return rows.filter(F.pmod(col("__ord") - start, F.lit(every)) == 0).drop("__ord")
-
-
-def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The last ``n`` rows by the order keys, ascending (top-k, no full sort)."""
-    last = df.orderBy(*[col(c).desc() for c in order]).limit(n)
-    return last.orderBy(*[col(c) for c in order])
-

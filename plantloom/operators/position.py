@@ -1,7 +1,8 @@
 """Cuts by row position without sorting or shuffling the table.
 
-"The first 80 % of the rows" needs only the order key found at one rank.  The rank search of
-``operators.quantiles`` finds it with map-side counts, and the split is then a plain filter.
+"The first 80 % of the rows" needs only the order key found at one rank.  The key is the whole
+tuple of order columns, of any types, compared by Spark; counting passes between pivots drawn
+from the rows narrow the interval that holds the rank, and the split is then a plain filter.
 """
 
 from __future__ import annotations
@@ -11,63 +12,148 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantloom.functions.names import col
-from plantloom.operators.order import _numeric, tail
-from plantloom.operators.quantiles import values_at_ranks
+from plantloom.operators.order import sort_key
+
+# Rows of an interval that are sorted, and rows drawn from an interval to choose pivots.
+SORTED_ROWS = 200_000
+PIVOT_SAMPLE = 2_000
+# Rows up to which the end of a table is a top-k; it gives the rows that a cut gives.
+TOP_ROWS = 10_000
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Rows strictly before this point of the order: ``lead < key``, or a tie before ``tie``."""
+    """Rows strictly before a point of the order; without a key, all rows or none."""
 
-    lead: Column
-    second: Column | None
-    key: float | None
-    tie: float | None = None
+    key: Column | None = None
+    value: Column | None = None
+    tie: Column | None = None
+    tie_value: int | None = None
+    none: bool = False
 
     def before(self) -> Column:
         if self.key is None:
-            return F.lit(True)
-        out = self.lead < F.lit(self.key)
+            return F.lit(not self.none)
+        out = self.key < self.value
         if self.tie is not None:
-            out = out | ((self.lead == F.lit(self.key)) & (self.second < F.lit(self.tie)))
+            out = out | ((self.key == self.value) & (self.tie < F.lit(self.tie_value)))
         return out
 
 
+@dataclass
+class _Search:
+    """Rows strictly between two keys that still hold a rank."""
+
+    rank: int
+    inside: int
+    below: int = 0
+    low: tuple | None = None
+    high: tuple | None = None
+    found: tuple | None = None
+
+    def within(self, k: Column, kind: T.StructType) -> Column:
+        out = F.lit(True)
+        if self.low is not None:
+            out &= k > _literal(self.low, kind)
+        if self.high is not None:
+            out &= k < _literal(self.high, kind)
+        return out
+
+    def narrow(self, counted: Sequence[tuple[tuple, int, int]]) -> None:
+        """Use (key, rows below it, rows equal to it) of some pivots."""
+        end = self.below + self.inside
+        for key, start, same in counted:
+            if start <= self.rank < start + same:
+                self.found = key
+            elif start + same <= self.rank and start + same > self.below:
+                self.below, self.low = start + same, key
+            elif start > self.rank and start < end:
+                end, self.high = start, key
+        self.inside = end - self.below
+
+
+def _literal(value: tuple, kind: T.StructType) -> Column:
+    """A key tuple as a struct of exactly the key's types."""
+    return F.struct(*[
+        F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)
+    ])
+
+
+def _keys_at(keys: DataFrame, ranks: Sequence[int], total: int) -> dict[int, tuple]:
+    """rank → (key, rows below the key) of the struct column ``k``, by Spark's own order."""
+    kind, k = keys.schema["k"].dataType, F.col("k")
+    searches, seed = {r: _Search(r, total) for r in ranks}, 42
+
+    def count(pivots: Sequence[tuple]) -> list[tuple[tuple, int, int]]:
+        sizes = keys.agg(*[
+            F.count_if(op) for p in pivots
+            for op in (k < _literal(p, kind), k == _literal(p, kind))
+        ]).first()
+        return [(p, sizes[2 * i], sizes[2 * i + 1]) for i, p in enumerate(pivots)]
+
+    while wide := [s for s in searches.values() if s.found is None and s.inside > SORTED_ROWS]:
+        pivots: dict[tuple, None] = {}
+        for s in wide:
+            drawn = keys.filter(s.within(k, kind)).sample(
+                min(1.0, PIVOT_SAMPLE / s.inside), seed=seed)
+            got = [tuple(r.k) for r in drawn.orderBy("k").collect()]
+            spot = (s.rank - s.below) / s.inside * len(got)
+            reach = 2 * len(got) ** 0.5
+            for x in (spot - reach, spot, spot + reach) if got else ():
+                pivots[got[min(len(got) - 1, max(0, int(x)))]] = None
+        seed += 1
+        if pivots:
+            counted = count(list(pivots))
+            for s in wide:
+                s.narrow(counted)
+    for s in searches.values():
+        if s.found is None:
+            row = keys.filter(s.within(k, kind)).orderBy("k").offset(s.rank - s.below).limit(1)
+            s.found = tuple(row.first().k)
+    starts = {p: start for p, start, _ in count(list({s.found: None for s in searches.values()}))}
+    return {r: (s.found, starts[s.found]) for r, s in searches.items()}
+
+
 def cuts_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> list[Cut]:
-    """A cut before each position (0-based) of the table ordered by up to two keys."""
-    lead = _numeric(df, order[0])
-    second = _numeric(df, order[1]) if len(order) > 1 else None
-    keyed = df.select(lead.alias("k"), (F.lit(0.0) if second is None else second).alias("t"))
-    total = keyed.count()
-    inside = sorted({p for p in positions if 0 <= p < total})
-    at = values_at_ranks(keyed, {"k": inside}, {"k": total}) if inside else {}
-    cuts, sizes = {}, []
+    """A cut before each position (0-based) of the table in the order of all keys.
+
+    Rows that tie in every key are ordered by a hash of the whole row; a position between equal
+    rows has no cut and raises.
+    """
+    key = sort_key(df, order)
+    keys = df.select(key.alias("k"))
+    total = keys.count()
+    inside = sorted({p for p in positions if 0 < p < total})
+    at = _keys_at(keys, inside, total) if inside else {}
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    row_hash = F.xxhash64(*[col(c) for c in plain])
+    cuts = {}
     for p in inside:
-        key = F.lit(at["k", p])
-        sizes += [F.count_if(F.col("k") < key), F.count_if(F.col("k") == key)]
-    row = keyed.agg(*sizes).first() if sizes else ()
-    for i, p in enumerate(inside):
-        before, equal = row[2 * i], row[2 * i + 1]
-        key, tie = at["k", p], None
-        if p > before:
-            if second is None:
-                raise ValueError(f"ties in {order[0]!r}: name a second order key")
-            ties = keyed.filter(F.col("k") == key)
-            rank = p - before
-            tie = values_at_ranks(ties, {"t": [rank]}, {"t": equal})["t", rank]
-        cuts[p] = Cut(lead, second, key, tie)
-    nothing = Cut(lead, second, float("-inf"))
-    return [cuts.get(p, nothing if p < 0 else Cut(lead, second, None)) for p in positions]
+        value, start = at[p]
+        bound = _literal(value, keys.schema["k"].dataType)
+        if p == start:
+            cuts[p] = Cut(key, bound)
+            continue
+        ties = df.filter(key == bound).select(F.struct(row_hash.alias("h")).alias("k"))
+        (found,), below = _keys_at(ties, [p - start], ties.count())[p - start]
+        if below != p - start:
+            raise ValueError(f"equal rows on both sides of position {p} in the order {list(order)}")
+        cuts[p] = Cut(key, bound, row_hash, found)
+    return [cuts.get(p, Cut(none=p <= 0)) for p in positions]
 
 
 def last_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The last ``n`` rows by the order keys; small ``n`` is a top-k, a large one a filter."""
-    if n <= 10_000:
-        return tail(df, n, order)
-    cut = cuts_at(df, order, [max(0, df.count() - n)])[0]
-    return df.filter(~cut.before()).orderBy(*[col(c) for c in order])
+    """The last ``n`` rows by the order keys, ascending; ties as in :func:`cuts_at`."""
+    ascending = [col(c) for c in order]
+    if n <= TOP_ROWS:
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        keys = [*[c.desc() for c in ascending], F.xxhash64(*[col(c) for c in plain]).desc()]
+        return df.orderBy(*keys).limit(n).orderBy(*ascending)
+    cut = cuts_at(df, order, [df.count() - n])[0]
+    return df.filter(~cut.before()).orderBy(*ascending)
 
 
 def trailing_slice(

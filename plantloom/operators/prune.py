@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
-from plantloom.functions.safe import rows_from, safe_corr
+from plantloom.functions.safe import finite, rows_from, safe_corr
 from plantloom.operators.stats import correlations
 
 
@@ -23,7 +23,7 @@ def leakage_report(
     aggs, structs = [], []
     for i, c in enumerate(features):
         x = col(c).cast("double")
-        aggs += [safe_corr(x, y).alias(f"r{i}"), F.count(x).alias(f"n{i}")]
+        aggs += [safe_corr(x, y).alias(f"r{i}"), F.count(finite(x)).alias(f"n{i}")]
         leaks = F.coalesce((F.abs(col(f"r{i}")) >= threshold) & (col(f"n{i}") >= 3), F.lit(False))
         structs.append(
             F.struct(F.lit(c).alias("feature"), col(f"r{i}").alias("r"), leaks.alias("leak"))
@@ -49,7 +49,9 @@ def drop_leakage(
 def constant_columns(
     df: DataFrame, features: Sequence[str], tolerance: float = CONSTANT_BELOW
 ) -> list[str]:
-    row = df.agg(*[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    row = df.agg(*[
+        F.stddev_samp(finite(col(c))).alias(f"s{i}") for i, c in enumerate(features)
+    ]).first()
     return [c for i, c in enumerate(features) if row[i] is not None and row[i] < tolerance]
 
 
@@ -92,8 +94,8 @@ def prune_features(
     """
     names = list(features)
     row = df.agg(
-        *[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.stddev_samp(finite(col(c))).alias(f"s{i}") for i, c in enumerate(names)],
+        *[F.count(finite(col(c))).alias(f"n{i}") for i, c in enumerate(names)],
     ).first()
     spread = {c: row[f"s{i}"] for i, c in enumerate(names)}
     known = {c: row[f"n{i}"] for i, c in enumerate(names)}

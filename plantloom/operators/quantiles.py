@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
+from plantloom.functions.safe import known
 from plantloom.operators.order import (
     LONG,
     Layout,
@@ -240,10 +241,10 @@ def interpolate_at(
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], **options
 ) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles per column, over its non-null values."""
+    """Exact linear-interpolated quantiles per column, over its values that are neither NULL nor NaN."""
     if not columns:
         return {}
-    row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count(known(col(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: row[i] for i, c in enumerate(columns)}
     positions = {c: _positions(sizes[c], probs) for c in columns}
     return interpolate_at(df, positions, sizes, **options)
@@ -258,16 +259,16 @@ def grouped_quantiles(
     **sizing,
 ) -> DataFrame:
     """One row per group with the named exact quantiles of ``value``."""
-    known = df.select(
-        *[col(c) for c in by], col(value).cast("double").alias("__v")
+    values = df.select(
+        *[col(c) for c in by], known(col(value)).alias("__v")
     ).filter(col("__v").isNotNull())
-    layout = layout or plan_layout(known, ["__v"], by, **sizing)
-    tally = known.groupBy(*[col(c) for c in by], "__v").agg(F.count(F.lit(1)).alias("__c"))
+    layout = layout or plan_layout(values, ["__v"], by, **sizing)
+    tally = values.groupBy(*[col(c) for c in by], "__v").agg(F.count(F.lit(1)).alias("__c"))
     cells = layout.attach(tally)
     upto = F.sum("__c").over(layout.window().rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("__c").over(Window.partitionBy(*[col(k) for k in layout.keys]))
     if layout.is_cut:
-        spans = cell_spans(layout.attach(known), layout).drop("__end")
+        spans = cell_spans(layout.attach(values), layout).drop("__end")
         cells = join_cells(cells, spans, layout)
         upto = upto + F.coalesce(col("__start"), F.lit(0))
         whole = F.when(col(LONG), col("__total")).otherwise(whole)

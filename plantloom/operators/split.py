@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,17 @@ from plantloom.operators.order import with_ordinal
 from plantloom.operators.position import cuts_at
 
 
+def join_flags(df: DataFrame, flags: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the per-key columns of ``flags``; NULL is a key like any other."""
+    renamed = flags
+    for i, c in enumerate(keys):
+        renamed = renamed.withColumnRenamed(c, f"__f{i}")
+    same = reduce(
+        lambda a, b: a & b, [col(c).eqNullSafe(col(f"__f{i}")) for i, c in enumerate(keys)]
+    )
+    return df.join(renamed, same, "left").drop(*[f"__f{i}" for i in range(len(keys))])
+
+
 def hash_key(keys: Sequence[str], seed: int = 42) -> Column:
     """Seeded 64-bit hash of the row keys: the random order that survives recomputation."""
     return F.xxhash64(F.lit(seed), *[col(k) for k in keys])
@@ -76,7 +88,7 @@ def stratified_split(
     """Per class the first floor(n·(1-test_size)) rows train: by time order, or by key hash."""
     ranked = _class_ranked(df, label, order, seed, keys, sizing)
     sizes = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__n"))
-    joined = ranked.join(sizes, label, "left")
+    joined = join_flags(ranked, sizes, [label])
     return joined.withColumn(
         name, F.col("__ord") < F.floor(F.col("__n") * F.lit(1 - test_size))
     ).drop("__ord", "__n")
@@ -90,7 +102,7 @@ def unit_split(
     total = units.count()
     ranked = with_ordinal(units, ["__h"], name="__ord")
     flags = ranked.select(unit, (F.col("__ord") >= int(total * test_size)).alias(name))
-    return df.join(flags, unit, "left")
+    return join_flags(df, flags, [unit])
 
 
 def kfold(
@@ -114,7 +126,7 @@ def group_folds(
     ranked = with_ordinal(keyed, ["__neg", "__h"], name="__ord", **sizing)
     lap, seat = F.floor(F.col("__ord") / k), F.col("__ord") % k
     fold = F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
-    return df.join(ranked.select(group, fold.alias(name)), group, "left")
+    return join_flags(df, ranked.select(group, fold.alias(name)), [group])
 
 
 def sample_cap(

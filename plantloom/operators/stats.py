@@ -11,13 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
-from plantloom.functions.safe import numeric_columns, rows_from, safe_corr
+from plantloom.functions.safe import finite, known, numeric_columns, rows_from
 from plantloom.operators.quantiles import column_quantiles, grouped_quantiles, interpolate_at
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Up to this many columns the pairs are plain aggregates; above, one pass of matrix products.
-_PAIRWISE_LIMIT = 3
-_PAIRS_PER_AGG = 12
 _COLUMNS_PER_AGG = 60
 
 
@@ -30,7 +27,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         part = names[start:start + _COLUMNS_PER_AGG]
         aggs, structs = [], []
         for i, c in enumerate(part):
-            v = col(c).cast("double")
+            v = known(col(c))
             aggs += [
                 F.count(v).alias(f"n{i}"),
                 F.avg(v).alias(f"m{i}"),
@@ -198,31 +195,24 @@ def correlations(
     df: DataFrame, columns: Sequence[str], against: Sequence[str] | None = None
 ) -> DataFrame:
     """Long (a, b, r): upper-triangle pairs in column order, or ``columns`` × ``against``."""
-    if against is None:
-        pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-        if len(columns) > _PAIRWISE_LIMIT:
-            return _wide_correlations(df, list(columns))
-    else:
-        pairs = [(a, b) for b in against for a in columns if a != b]
-    if not pairs:
+    names = list(dict.fromkeys([*columns, *(against or ())]))
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    parts = []
-    step = _PAIRS_PER_AGG
-    for start in range(0, len(pairs), step):
-        part = pairs[start:start + step]
-        agg = df.agg(*[safe_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        structs = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(part)
-        ]
-        parts.append(rows_from(agg, structs))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    pair = _pair_sums(df, names)
+    if against is None:
+        return pair.filter("i < j").drop("i", "j")
+    return pair.filter(F.col("a").isin(list(columns)) & F.col("b").isin(list(against))
+                       & (F.col("i") != F.col("j"))).drop("i", "j")
+
 
+def _pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlations (i, j, a, b, r) of all columns from one pass of matrix products.
 
-def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise-complete correlations of many columns from one pass of matrix products."""
+    A pair counts the rows where both values are finite; sums are centred on the means.
+    """
     p = len(columns)
-    centre = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    means = [F.avg(finite(col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)]
+    centre = df.agg(*means).first()
     shift = np.array([m or 0.0 for m in centre])
     narrow = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
 
@@ -232,7 +222,7 @@ def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
             x = np.column_stack(
                 [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)]
             ).astype(float)
-            seen = ~np.isnan(x)
+            seen = np.isfinite(x)
             x = np.where(seen, x - shift, 0.0)
             m = seen.astype(float)
             sq = x * x
@@ -261,7 +251,8 @@ def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     flat_y = vy <= F.col("syy") * 1e-13
     names = F.array(*[F.lit(c) for c in columns])
     r = F.when(~flat_x & ~flat_y, F.try_divide(cov, F.sqrt(vx * vy)))
-    return pair.filter("i < j").select(
+    return pair.select(
+        "i", "j",
         F.element_at(names, F.col("i") + 1).alias("a"),
         F.element_at(names, F.col("j") + 1).alias("b"),
         r.alias("r"),
@@ -281,9 +272,9 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     none = F.lit(None).cast("double")
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(names):
-        aggs += [F.count(col(c)).alias(f"k{i}"), F.countDistinct(col(c)).alias(f"d{i}")]
+        v = known(col(c)) if c in numbers else col(c)
+        aggs += [F.count(v).alias(f"k{i}"), F.countDistinct(v).alias(f"d{i}")]
         if c in numbers:
-            v = col(c).cast("double")
             aggs += [
                 F.count_if(v == 0).alias(f"z{i}"),
                 F.avg(v).alias(f"m{i}"),

@@ -20,7 +20,8 @@ def _bad(name: str, rules: PhysicalRules) -> Column | None:
     if limits is None:
         return None
     value = col(name)
-    return value.isNotNull() & ~value.between(F.lit(limits[0]), F.lit(limits[1]))
+    outside = ~value.between(F.lit(limits[0]), F.lit(limits[1]))
+    return value.isNotNull() & ~F.isnan(value) & outside
 
 
 def _checked(df: DataFrame, rules: PhysicalRules, skip: Sequence[str]) -> dict[str, Column]:

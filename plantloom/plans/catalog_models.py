@@ -11,7 +11,6 @@ from plantloom.operators.position import cuts_at
 from plantloom.plans import experiments, score
 from plantloom.plans.registry import query, rounded
 from plantloom.plans.tables import (
-    CELLS,
     FINITE_SQL,
     LINE,
     PLANT_SQL,
@@ -74,7 +73,7 @@ def _(spark, sf):
   0 AS n_as_good, 20 AS n_permutations, round(1.0::DOUBLE / 21, 6) AS p_value, count(*) AS n_rows FROM p""")
 def _(spark, sf):
     got = linear.permutation_test(
-        _folded(spark, sf), ["l_quantity"], "y", "fold", LINE, n=20, target_rows=200_000
+        _folded(spark, sf), ["l_quantity"], "y", "fold", LINE, n=20
     )
     return rounded(got.drop("best_shuffled_r2"))
 
@@ -254,7 +253,7 @@ def _soft_sensor(spark: SparkSession, sf: str):
 def _series_model(spark, sf):
     e = events(spark, sf).withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("double"))
     model, _ = train(
-        e, "value", ["k"], TIME, trials=2, width=32, force="kernel", **CELLS
+        e, "value", ["k"], TIME, ["user_id"], trials=2, width=32, force="kernel"
     )
     return e, model
 
@@ -300,7 +299,7 @@ def _(spark, sf):
     hourly = _hours(spark, sf)
     names = [c for c in hourly.columns if c.startswith("value__")]
     return rounded(experiments.evaluate_horizons(
-        hourly, names, ["y"], ["slot"], [1, 3, 6], {"maxIter": 5}, **CELLS
+        hourly, names, ["y"], ["slot"], [1, 3, 6], {"maxIter": 5}
     ))
 
 
@@ -315,7 +314,7 @@ def _(spark, sf):
     names = ["value__mean", "hour"]
     report = experiments.evaluate_horizons(
         hourly.withColumn("hour", F.hour("slot") * 1.0), names, ["y"], ["slot"], [6, 12],
-        {"maxIter": 5}, **CELLS,
+        {"maxIter": 5},
     )
     return rounded(experiments.best_horizon(report))
 
@@ -329,7 +328,7 @@ def _(spark, sf):
     config = readers.DatasetConfig(
         "events.parquet", "value", "ts", include=("_id", "type"), exclude=("type",)
     )
-    return rounded(readers.load_dataset(spark, sf, config, **CELLS).drop("seq"))
+    return rounded(readers.load_dataset(spark, sf, config).drop("seq"))
 
 
 @query("prepare_dataset", f"""WITH {FINITE_SQL}, f AS (SELECT event_id, ts,
@@ -342,7 +341,7 @@ def _(spark, sf):
 
     config = readers.DatasetConfig("", "pulp_ph", "ts", include=("feed", "tank"), exclude=("tank",))
     p = inf_to_null(plant(spark, sf), ["feed_flow", "mystery"])
-    return rounded(readers.prepare_dataset(p, config, TIME, **CELLS))
+    return rounded(readers.prepare_dataset(p, config, TIME))
 
 
 @query("csv_round_trip", """SELECT o_orderdate AS date, o_orderkey::DOUBLE AS o_orderkey,
@@ -405,32 +404,25 @@ def _(spark, sf):
 # ── streams ─────────────────────────────────────────────────────────────────────────────
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
-
-
 @query("stream_hourly", """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS slot, count(*) AS n, round(avg(value), 6) AS value__mean,
   round(stddev_samp(value), 6) AS value__std, round(min(value), 6) AS value__min, round(max(value), 6) AS value__max,
-  round(arg_max(value, (ts, event_id)), 6) AS value__last FROM events GROUP BY 1, 2
-HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+  round(arg_max(value, (ts, event_id)), 6) AS value__last FROM events GROUP BY 1, 2""")
 def _(spark, sf):
+    """All hours, the last ones included, of events that arrive up to 42 minutes out of order."""
     out, log = scratch_path(spark, "stream-hours"), scratch_path(spark, "stream-hours-log")
-    hours = etl.hourly_stream(
-        _event_stream(spark, sf), "ts", ["value"], seq="event_id", series=["event_type"]
-    )
-    etl.write_stream_table(hours, out, log)
-    return rounded(spark.read.parquet(out))
+    late = F.make_dt_interval(mins=(F.col("event_id") % 7 * 7).cast("int"))
+    e = events(spark, sf).withColumn("arrival", F.col("ts") + late)
+    _arriving(e, "event-files", 3, lambda src: etl.write_updates(
+        etl.hourly_stream(src, "ts", ["value"], seq="event_id", series=["event_type"]), out, log,
+    ), order=["arrival", "event_id"])
+    return rounded(etl.read_latest(spark, out, ["event_type", "slot"]))
 
 
 _OK = """(feed_flow IS NULL OR feed_flow BETWEEN 0 AND 50000)
   AND (pulp_ph IS NULL OR pulp_ph BETWEEN 0 AND 14) AND (tank_level IS NULL OR tank_level BETWEEN -500 AND 1500)"""
 
 
-def _arriving(df: DataFrame, label: str, n: int, run) -> None:
+def _arriving(df: DataFrame, label: str, n: int, run, order=TIME) -> None:
     """Write the frame in ``n`` time slices and start the stream after each of them.
 
     Every start resumes from the checkpoint and sees only the files that are new.
@@ -438,7 +430,7 @@ def _arriving(df: DataFrame, label: str, n: int, run) -> None:
     path = scratch_path(df.sparkSession, label)
     total = df.count()
     rest = df
-    for cut in cuts_at(df, TIME, [total * (i + 1) // n for i in range(n)]):
+    for cut in cuts_at(df, order, [total * (i + 1) // n for i in range(n)]):
         rest.filter(cut.before()).write.mode("append").parquet(path)
         rest = rest.filter(~cut.before())
         run(df.sparkSession.readStream.schema(df.schema).parquet(path))

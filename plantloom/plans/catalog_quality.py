@@ -8,7 +8,6 @@ from plantloom.functions.names import PhysicalRules
 from plantloom.operators import clean, stats, validate
 from plantloom.plans.registry import query, rounded
 from plantloom.plans.tables import (
-    CELLS,
     FINITE_SQL,
     PLANT_SENSORS,
     PLANT_SQL,
@@ -191,7 +190,7 @@ def _fill_sql(pick) -> str:
 
 def _cleaned(spark, sf, strategy, **options):
     out = clean.clean(
-        plant(spark, sf), strategy, TIME, columns=PLANT_SENSORS, **options, **CELLS
+        plant(spark, sf), strategy, TIME, columns=PLANT_SENSORS, **options
     ) if strategy in ("ffill", "bfill", "interpolate") else clean.clean(
         plant(spark, sf), strategy, columns=PLANT_SENSORS, **options
     )
@@ -213,7 +212,7 @@ def _(spark, sf):
 def _(spark, sf):
     cols = ["feed_flow", "pulp_ph"]
     src = clean.inf_to_null(plant(spark, sf), cols)
-    out = clean.ffill(src, cols, TIME, ["user_id"], target_rows=80)
+    out = clean.ffill(src, cols, TIME, ["user_id"])
     return rounded(out.select("event_id", *cols))
 
 
@@ -322,7 +321,7 @@ SELECT count(*) AS rows, (SELECT count(*) FROM plant WHERE isinf(feed_flow)) AS
 FROM l""")
 def _(spark, sf):
     return clean.cleaning_stats(
-        plant(spark, sf), "ffill", TIME, columns=["feed_flow"], outliers="zscore", **CELLS
+        plant(spark, sf), "ffill", TIME, columns=["feed_flow"], outliers="zscore"
     )
 
 

@@ -20,7 +20,7 @@ from plantloom.functions.scalars import (
 )
 from plantloom.operators import encode, joins, metrics, order, position, split, timeseries
 from plantloom.plans.registry import query, rounded
-from plantloom.plans.tables import CELLS, LINE, SAMPLES_SQL, TIME, events, samples, table
+from plantloom.plans.tables import LINE, SAMPLES_SQL, TIME, events, samples, table
 from plantloom.sources.typing import parse_dates
 
 # ── ordered features ────────────────────────────────────────────────────────────────────
@@ -44,13 +44,13 @@ _FEATURES = timeseries.feature_names("value")
 
 @query("lag_features", _lag_sql())
 def _(spark, sf):
-    out = timeseries.lag_features(events(spark, sf), "value", TIME, **CELLS)
+    out = timeseries.lag_features(events(spark, sf), "value", TIME)
     return rounded(out.select("event_id", *_FEATURES))
 
 
 @query("lag_features_by_unit", _lag_sql("PARTITION BY user_id"))
 def _(spark, sf):
-    out = timeseries.lag_features(events(spark, sf), "value", TIME, ["user_id"], target_rows=80)
+    out = timeseries.lag_features(events(spark, sf), "value", TIME, ["user_id"])
     return rounded(out.select("event_id", *_FEATURES))
 
 
@@ -61,7 +61,7 @@ def _(spark, sf):
       " WINDOW w AS (ORDER BY ts, event_id)")
 def _(spark, sf):
     e = events(spark, sf).withColumn("user_id", F.col("user_id").cast("double"))
-    out = timeseries.input_lags(e, ["value", "user_id"], TIME, **CELLS)
+    out = timeseries.input_lags(e, ["value", "user_id"], TIME)
     names = [f"{c}_t-{k}" for k in (1, 2, 3) for c in ("value", "user_id")]
     return rounded(out.select("event_id", *names))
 
@@ -72,7 +72,7 @@ SELECT event_id, round(CASE WHEN rn <= 10 THEN value ELSE avg(value) OVER (PARTI
   ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END, 6) AS value_rm FROM t""")
 def _(spark, sf):
     out = timeseries.unit_rolling_mean(
-        events(spark, sf), ["value"], ["user_id"], TIME, target_rows=80
+        events(spark, sf), ["value"], ["user_id"], TIME
     )
     return rounded(out.select("event_id", "value_rm"))
 
@@ -82,7 +82,7 @@ _CYCLES_SQL = """cycles AS (SELECT event_id, user_id, value,
 
 
 def _cycles(spark, sf):
-    placed = order.with_ordinal(events(spark, sf), TIME, ["user_id"], "o", target_rows=80)
+    placed = order.with_ordinal(events(spark, sf), TIME, ["user_id"], "o")
     return placed.select(
         "event_id", "user_id", "value", (F.col("o") + 1).cast("long").alias("time_cycles")
     )
@@ -115,7 +115,7 @@ _HORIZON_SQL = " UNION ALL ".join(
 @query("horizon_target",
        f"SELECT event_id, horizon, value, target FROM ({_HORIZON_SQL}) WHERE f IS NOT NULL")
 def _(spark, sf):
-    out = timeseries.horizon_targets(events(spark, sf), "value", TIME, **CELLS)
+    out = timeseries.horizon_targets(events(spark, sf), "value", TIME)
     return rounded(out.select("event_id", "horizon", "value", "target"))
 
 
@@ -124,7 +124,7 @@ SELECT count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6)
   round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
   round(avg(abs((y - p) / nullif(y, 0))) * 100, 4) AS mape FROM t WHERE p IS NOT NULL""")
 def _(spark, sf):
-    out = timeseries.persistence(events(spark, sf), "value", TIME, **CELLS)
+    out = timeseries.persistence(events(spark, sf), "value", TIME)
     got = metrics.regression_metrics(out, "value", "persistence")
     return rounded(got.withColumn("mape", F.round("mape", 4)))
 
@@ -155,14 +155,14 @@ SELECT n AS n_samples, round(m, 6) AS mean, round(sd, 6) AS std, round(sd / m *
     + """ ELSE 200 END AS recommended_step, CASE WHEN a1 > 0.98 THEN 'critical' WHEN a1 > 0.95 THEN 'high'
   WHEN a1 > 0.9 THEN 'moderate' ELSE 'ok' END AS severity FROM s""")
 def _(spark, sf):
-    return rounded(timeseries.autocorr_diagnosis(events(spark, sf), "value", TIME, **CELLS))
+    return rounded(timeseries.autocorr_diagnosis(events(spark, sf), "value", TIME))
 
 
 @query("subsample", """SELECT event_id, ord FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord
   FROM events) WHERE ord % 7 = 0""")
 def _(spark, sf):
-    placed = order.with_ordinal(events(spark, sf), TIME, **CELLS)
-    return order.subsample(placed, 7, TIME, **CELLS).select("event_id", "ord")
+    placed = order.with_ordinal(events(spark, sf), TIME)
+    return order.subsample(placed, 7, TIME).select("event_id", "ord")
 
 
 @query("tail_rows", """SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, props
@@ -218,14 +218,14 @@ def _(spark, sf):
   SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS o,
   count(*) OVER (PARTITION BY event_type) AS n FROM events)""")
 def _(spark, sf):
-    out = split.stratified_split(events(spark, sf), "event_type", 0.2, order=TIME, **CELLS)
+    out = split.stratified_split(events(spark, sf), "event_type", 0.2, order=TIME)
     return out.select("event_id", "event_type", "is_train")
 
 
 @query("strat_random_split", """SELECT event_type, floor(count(*) * 0.65::DOUBLE)::BIGINT AS n_train,
   count(*) - floor(count(*) * 0.65::DOUBLE)::BIGINT AS n_test FROM events GROUP BY 1""")
 def _(spark, sf):
-    out = split.stratified_split(events(spark, sf), "event_type", 0.35, keys=["event_id"], **CELLS)
+    out = split.stratified_split(events(spark, sf), "event_type", 0.35, keys=["event_id"])
     return out.groupBy("event_type").agg(
         F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test")
     )
@@ -258,7 +258,7 @@ def _(spark, sf):
 @query("kfold", """WITH n AS (SELECT count(*) AS n FROM events) SELECT f.range::INT AS fold,
   (n + 4 - f.range) // 5 AS n FROM n, range(5) f""")
 def _(spark, sf):
-    return split.kfold(events(spark, sf), ["event_id"], 5, **CELLS).groupBy("fold").agg(
+    return split.kfold(events(spark, sf), ["event_id"], 5).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -343,7 +343,7 @@ SELECT o_orderkey, event_id FROM a FULL JOIN b USING (p)""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
     e = events(spark, sf).select("event_id", "ts")
-    return joins.concat_columns(o, e, ["o_orderkey"], TIME, **CELLS).select(
+    return joins.concat_columns(o, e, ["o_orderkey"], TIME).select(
         "o_orderkey", "event_id"
     )
 

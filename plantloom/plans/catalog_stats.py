@@ -8,7 +8,6 @@ from plantloom.functions.scalars import confidence
 from plantloom.operators import prune, scale, stats, timeseries
 from plantloom.plans.registry import query, rounded
 from plantloom.plans.tables import (
-    CELLS,
     PLANT_SENSORS,
     PLANT_SQL,
     SAMPLES_SQL,
@@ -99,7 +98,7 @@ FROM lineitem GROUP BY 1, 2""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     return rounded(
-        stats.box_stats(li, "l_extendedprice", ["l_returnflag", "l_linestatus"], target_rows=20_000)
+        stats.box_stats(li, "l_extendedprice", ["l_returnflag", "l_linestatus"])
     )
 
 
@@ -199,7 +198,7 @@ def _cycle_sql() -> str:
 def _(spark, sf):
     e = events(spark, sf).withColumn("day", F.date_trunc("day", "ts"))
     return rounded(
-        stats.cycle_features(e, ["day"], "event_type", "value", "event_id", _TYPES, **CELLS)
+        stats.cycle_features(e, ["day"], "event_type", "value", "event_id", _TYPES)
     )
 
 
@@ -262,7 +261,7 @@ SELECT (SELECT min(date_trunc('minute', ts))::TIMESTAMP FROM events) AS first_ts
   g / 1e6 AS gap_seconds, n AS gap_count FROM t""")
 def _(spark, sf):
     e = events(spark, sf).withColumn("ts", F.date_trunc("minute", "ts"))
-    return rounded(timeseries.gap_frequency(e, "ts", TIME, **CELLS))
+    return rounded(timeseries.gap_frequency(e, "ts", TIME))
 
 
 @query("leak_drop", f"WITH {SAMPLES_SQL}, s2 AS (SELECT *, y * 2 + 1 AS leak_copy, 1500.0::DOUBLE AS flat"
@@ -405,5 +404,6 @@ SELECT model, count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*
 def _(spark, sf):
     from plantloom.plans.etl import baseline_report
 
-    return rounded(baseline_report(plant(spark, sf), "ts", "event_id", "feed_flow", "pulp_ph"))
+    return rounded(baseline_report(
+        plant(spark, sf), "ts", "event_id", "feed_flow", "pulp_ph", skip=["user_id", "mystery"]))
 

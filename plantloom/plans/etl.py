@@ -13,6 +13,7 @@ from plantloom.operators.metrics import mean_baseline, regression_metrics
 from plantloom.operators.split import chronological_split
 from plantloom.operators.timeseries import persistence
 from plantloom.operators.validate import RULES, validate_rows
+from plantloom.session import written
 
 
 def run_etl(
@@ -32,20 +33,18 @@ def run_etl(
 
 
 def baseline_report(
-    df: DataFrame, ts: str, seq: str, sensor: str, target: str, unit: str = "hour"
+    df: DataFrame, ts: str, seq: str, sensor: str, target: str, unit: str = "hour",
+    skip: Sequence[str] = (), **options,
 ) -> DataFrame:
     """Metrics of the mean and the persistence forecast on time-unit averages.
 
-    The averages are few (one per time unit) and feed several passes, so they are kept.
+    The averages are few (one per time unit) and feed several passes, so they are written once.
     """
-    rows = run_etl(
-        df, ts, [ts, seq], columns=[sensor, target], skip=["user_id", "mystery"],
-        target_rows=2000,
-    )
-    slots = (
+    rows = run_etl(df, ts, [ts, seq], columns=[sensor, target], skip=skip, **options)
+    slots = written(
         rows.groupBy(F.date_trunc(unit, col(ts)).alias("slot"))
-        .agg(F.avg(col(sensor)).alias("x"), F.avg(col(target)).alias("y"))
-        .persist()
+        .agg(F.avg(col(sensor)).alias("x"), F.avg(col(target)).alias("y")),
+        "slots",
     )
     ordered = persistence(slots, "y", ["slot"])
     parts = chronological_split(ordered, ["slot"])

@@ -13,9 +13,6 @@ TIME = ["ts", "event_id"]
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 PLANT_SENSORS = ["feed_flow", "pulp_ph", "tank_level", "mystery"]
 
-# Cells of about this many rows at test scale; the cell count is bounded at any scale.
-CELLS = {"target_rows": 2000}
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

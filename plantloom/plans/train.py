@@ -20,7 +20,7 @@ from plantloom.operators.scale import fit_robust
 from plantloom.operators.split import chronological_split, forward_folds
 from plantloom.operators.timeseries import LAGS, feature_names, lag_features
 from plantloom.operators.validate import check_target, drop_missing
-from plantloom.session import scratch_path
+from plantloom.session import written
 from plantloom.sources import sinks
 
 FALLBACK_BELOW = 0.60
@@ -79,13 +79,6 @@ class SensorModel:
         )
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, read by many passes."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def train(
     df: DataFrame,
     target: str,

@@ -23,10 +23,21 @@ SEPARATORS = (",", ";", "\t", "|")
 _BAD = "__bad_line"
 
 
-def detect_separator(spark: SparkSession, path: str, lines: int = 1000) -> str:
-    """The candidate that cuts the first lines into the steadiest number (> 1) of fields."""
-    head = spark.read.text(path).limit(lines)
-    fields = {s: F.size(F.split("value", "\\" + s if s == "|" else s)) for s in SEPARATORS}
+def _fields(line, sep: str):
+    """Number of fields of a line; a separator between double quotes is part of its field."""
+    cut = "\\" + sep if sep == "|" else sep
+    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', "q"), cut))
+
+
+def detect_separator(spark: SparkSession, path: str, lines: int | None = None) -> str:
+    """The candidate that cuts the lines into the steadiest number (> 1) of fields.
+
+    All lines count unless ``lines`` asks for the first ones only.
+    """
+    head = spark.read.text(path)
+    if lines is not None:
+        head = head.limit(lines)
+    fields = {s: _fields(col("value"), s) for s in SEPARATORS}
     aggs = [F.mode(n).alias(f"m{i}") for i, n in enumerate(fields.values())]
     modes = head.agg(*aggs).first()
     shares = head.agg(
@@ -42,10 +53,14 @@ def detect_separator(spark: SparkSession, path: str, lines: int = 1000) -> str:
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8"
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8",
+    place: str | None = None, detect_lines: int | None = None,
 ) -> DataFrame:
-    """Header CSV as text columns; over-long lines are skipped, short ones padded."""
-    sep = sep or detect_separator(spark, path)
+    """Header CSV as text columns; over-long lines are skipped, short ones padded.
+
+    ``place`` names a column that orders the rows as files and lines do: file, block, row.
+    """
+    sep = sep or detect_separator(spark, path, detect_lines)
     options = {"sep": sep, "header": True, "encoding": encoding}
     schema = spark.read.options(**options).csv(path).schema
     width = len(schema)
@@ -56,13 +71,21 @@ def read_raw_csv(
         .schema(schema.add(_BAD, "string"))
         .csv(path)
     )
-    cut = "\\" + sep if sep == "|" else sep
     # Spark refuses a scan that needs the bad-line column alone, so the test also reads a field.
     reads_field = F.length(F.concat_ws("", col(schema.names[0]))) >= 0
-    too_long = col(_BAD).isNotNull() & (F.size(F.split(col(_BAD), cut)) > width) & reads_field
+    too_long = col(_BAD).isNotNull() & (_fields(col(_BAD), sep) > width) & reads_field
+    if place:
+        lines = lines.withColumn(place, _place())
     return lines.filter(~too_long).drop(_BAD)
 
 
+def _place():
+    """Position of a row in its files: name, start of the block read, running number in a task."""
+    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0")
+    row = F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")
+    return F.concat_ws(":", F.col("_metadata.file_path"), block, row)
+
+
 def read_sensor_csv(
     spark: SparkSession,
     path: str,
@@ -71,14 +94,17 @@ def read_sensor_csv(
     max_rows: int | None = None,
     date_column: str = "date",
 ) -> DataFrame:
-    """Clean names, numbers with comma or point, parsed dates; ``seq`` keeps the read order."""
-    raw = sanitize_columns(read_raw_csv(spark, path, sep, encoding))
+    """Clean names, numbers with comma or point, parsed dates.
+
+    ``seq`` orders the rows as files and lines do; ``max_rows`` takes the first of them.
+    """
+    raw = sanitize_columns(read_raw_csv(spark, path, sep, encoding, place="seq"))
     if max_rows is not None:
-        raw = raw.limit(max_rows)
-    typed = nan_to_null(numeric_coerce(raw)).withColumn("seq", F.monotonically_increasing_id())
-    if date_column in typed.columns:
-        typed = parse_dates(typed, date_column).orderBy(date_column, "seq")
-    return typed
+        raw = raw.orderBy("seq").limit(max_rows)
+    numbers = [c for c in raw.columns if c != "seq" and "date" not in c.lower()]
+    typed = nan_to_null(numeric_coerce(raw, numbers))
+    typed = typed.select(*[col(c) for c in typed.columns if c != "seq"], "seq")
+    return parse_dates(typed, date_column) if date_column in typed.columns else typed
 
 
 def read_whitespace(
@@ -165,15 +191,14 @@ def load_dataset(spark: SparkSession, root: str, config: DatasetConfig, **option
     path = resolve_inside(root, config.filename)
     ts = config.timestamp
     if path.endswith(".parquet"):
-        raw = spark.read.parquet(path)
+        raw = spark.read.parquet(path).withColumn("seq", _place())
         if dict(raw.dtypes)[ts] != "timestamp":
             raw = raw.withColumn(ts, col(ts).cast("timestamp"))
     else:
-        text = read_raw_csv(spark, path, config.separator)
-        numbers = numeric_coerce(text, [c for c in text.columns if c != ts])
+        text = read_raw_csv(spark, path, config.separator, place="seq")
+        numbers = numeric_coerce(text, [c for c in text.columns if c not in (ts, "seq")])
         raw = parse_dates(numbers, ts)
-    ordered = nan_to_null(raw).withColumn("seq", F.monotonically_increasing_id())
-    return prepare_dataset(ordered, config, [ts, "seq"], **options)
+    return prepare_dataset(nan_to_null(raw), config, [ts, "seq"], **options)
 
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -94,6 +94,32 @@ def hourly_stream(
     )
 
 
+def write_updates(
+    stream: DataFrame, path: str, checkpoint: str, wait: bool = True
+) -> StreamingQuery:
+    """Keep what each micro-batch changed; with :func:`read_latest` a table that is always whole.
+
+    A batch that runs again after a failure overwrites its own folder.
+    """
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _drain(
+        stream.writeStream.outputMode("update").foreachBatch(one_batch), checkpoint, wait
+    )
+
+
+def read_latest(spark, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last state of every key, windows that are still open included."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = F.max_by(F.struct(*[col(c) for c in rest]), col("batch")).alias("__last")
+    return rows.groupBy(*[col(c) for c in keys]).agg(last).select(
+        *[col(c) for c in keys], *[col("__last")[c].alias(c) for c in rest]
+    )
+
+
 def write_stream_table(
     stream: DataFrame, path: str, checkpoint: str, wait: bool = True
 ) -> StreamingQuery:

@@ -27,7 +27,7 @@ def same(a, b):
 
 LAYOUTS = [
     ((), {"target_rows": 10**6}), ((), {"target_rows": 90}), ((), {"target_rows": 7}),
-    (("unit",), {"target_rows": 50}), (("unit",), {"target_rows": 10, "max_cells": 60}),
+    (("unit",), {"target_rows": 50}), (("unit",), {"target_rows": 10}),
     (("unit", "event_type"), {"target_rows": 10}),
 ]
 
@@ -84,7 +84,7 @@ def test_hot_instant_is_split_by_the_second_key(spark):
         F.xxhash64("id").alias("u"), "id",
     )
     layout = plan_layout(df, ["t", "u"], target_rows=100)
-    assert layout.tied
+    assert len(layout.bounds) > 10
     assert layout.attach(df).groupBy(CELL).count().agg(F.max("count")).first()[0] < 250
     want = df.withColumn("ord", (F.row_number().over(Window.orderBy("t", "u")) - 1).cast("long"))
     same(order.with_ordinal(df, ["t", "u"], layout=layout), want)

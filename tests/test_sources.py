@@ -19,7 +19,7 @@ def test_tolerant_csv(spark, tmp_path):
     assert readers.detect_separator(spark, str(p)) == ";"
     df = readers.read_sensor_csv(spark, str(p))
     assert df.columns == ["date", "_silica_concentrate", "flow_m3_h", "name", "seq"]
-    rows = df.collect()
+    rows = df.orderBy("date").collect()
     assert [r["date"].day for r in rows] == [1, 2, 4]
     assert [r["_silica_concentrate"] for r in rows] == [2.25, 1.5, 4.0]
     assert [r["flow_m3_h"] for r in rows] == [None, 10.0, None]
@@ -83,3 +83,24 @@ def test_cache_and_append(spark, tmp_path):
     sinks.append_table(spark.range(3), out, "csv", first=True)
     sinks.append_table(spark.range(2), out, "csv")
     assert spark.read.csv(out, header=True).agg(F.count("id")).first()[0] == 5
+
+
+def test_several_files_keep_their_order_and_quoted_fields(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text('note,v,w\n"p,q,r,s",5,1\nplain,6\n')
+    (folder / "b.csv").write_text("note,v,w\n" + "".join(f"n{i},{i},0\n" for i in range(57))
+                                  + "too,many,fields,here\n")
+    df = readers.read_sensor_csv(spark, str(folder), sep=",")
+    rows = df.orderBy("seq").collect()
+    assert [r.v for r in rows] == [5.0, 6.0, *map(float, range(57))]
+    assert rows[1].w is None
+    first = readers.read_sensor_csv(spark, str(folder), sep=",", max_rows=2).collect()
+    assert sorted(r.v for r in first) == [5.0, 6.0]
+
+
+def test_separator_of_a_long_file(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n" * 1200 + "x;y;z\n" * 5000)
+    assert readers.detect_separator(spark, str(path)) == ";"
+    assert readers.detect_separator(spark, str(path), lines=1000) == ","
