@@ -13,24 +13,27 @@ RULES = PhysicalRules()
 @pytest.mark.parametrize(
     ("name", "category", "limits"),
     [
-        ("rougher.input.feed_au", "PERCENTAGE", (0, 100)),
-        ("rougher.output.recovery", "PERCENTAGE", (0, 100)),
-        ("primary_cleaner.state.floatbank8_a_level", "LEVEL", (-500, 1500)),
-        ("flotation_section_01_air_amount", "FLOW_RATE", (0, 50000)),
-        ("flotation_column_01_air_flow", "FLOW_RATE", (0, 50000)),
-        ("Air temperature [K]", "TEMPERATURE_KELVIN", (200, 600)),
-        ("air_temperature_[k]", "TEMPERATURE_KELVIN", (200, 600)),
-        ("Torque [Nm]", "TORQUE", (0, 500)),
-        ("Rotational speed [rpm]", "ROTATIONAL_SPEED", (0, 10000)),
-        ("Tool wear [min]", "TOOL_WEAR", (0, 500)),
-        ("Machine failure", "BINARY", (0, 1)),
-        ("TWF", "BINARY", (0, 1)),
-        ("ore_pulp_ph", "PH", (0, 14)),
-        ("ball_mill_feed", "PERCENTAGE", (0, 100)),  # _fe
-        ("motor_phase", "PH", (0, 14)),  # _ph
+        ("line2.tails_pb", "PERCENTAGE", (0, 100)),
+        ("bank_grade_out", "PERCENTAGE", (0, 100)),
+        ("sump_7_nivel", "LEVEL", (-500, 1500)),
+        ("blower_airflow_n3", "FLOW_RATE", (0, 50000)),
+        ("xanthate_dose", "FLOW_RATE", (0, 50000)),
+        ("Shell temperature [K]", "TEMPERATURE_KELVIN", (200, 600)),
+        ("bearing_temp", "TEMPERATURE_KELVIN", (200, 600)),
+        ("bearing_temperature_c", "TEMPERATURE_CELSIUS", (-50, 350)),
+        ("shaft_torque_nm", "TORQUE", (0, 500)),
+        ("mill_rpm", "ROTATIONAL_SPEED", (0, 10000)),
+        ("toolwear_2", "TOOL_WEAR", (0, 500)),
+        ("pump_fault_3", "BINARY", (0, 1)),
+        ("thickener.ph", "PH", (0, 14)),
+        ("slurry_densidad", "DENSITY", (0.5, 5)),
+        ("cyclone_p80", "PARTICLE_SIZE", (0, 1000)),
+        ("drive_watt", "POWER", (0, 50000)),
+        ("coffee_feed", "PERCENTAGE", (0, 100)),  # _fe
+        ("weekly_phase", "PH", (0, 14)),  # _ph
         ("x_avg", "CURRENT", (0, 1000)),  # _a
         ("crossbar", "PRESSURE", (0, 1000)),  # bar
-        ("columna_completamente_random_xyz_123", "UNKNOWN", None),
+        ("zz_9_misc", "UNKNOWN", None),
     ],
 )
 def test_category(name, category, limits):
@@ -39,18 +42,18 @@ def test_category(name, category, limits):
 
 
 def test_overrides():
-    rules = RULES.with_rule("Test_AU", 0, 50)
-    assert RULES.limits("test_au") == (0, 100)
-    assert rules.limits("test_au") == (0, 50)
-    assert rules.has_rule("TEST_au") and not RULES.has_rule("test_au")
-    assert rules.list_overrides() == {"test_au": (0.0, 50.0)}
-    assert rules.without_rule("test_au").limits("test_au") == (0, 100)
+    rules = RULES.with_rule("Probe_AG", 0, 50)
+    assert RULES.limits("probe_ag") == (0, 100)
+    assert rules.limits("probe_ag") == (0, 50)
+    assert rules.has_rule("PROBE_ag") and not RULES.has_rule("probe_ag")
+    assert rules.list_overrides() == {"probe_ag": (0.0, 50.0)}
+    assert rules.without_rule("probe_ag").limits("probe_ag") == (0, 100)
     with pytest.raises(ValueError):
         RULES.with_rule("x", 2, 1)
 
 
 def test_expression_agrees_with_names(spark):
-    names = ["rougher.input.feed_au", " Torque [Nm] ", "x_avg", "nothing", "my_special"]
+    names = ["line2.tails_pb", " Torque [Nm] ", "x_avg", "nothing", "my_special"]
     rules = RULES.with_rule("my_special", 1, 2)
     df = spark.createDataFrame([(n,) for n in names], "name string")
     got = {r["name"]: r for r in rules.classify(df, "name").collect()}
@@ -61,7 +64,7 @@ def test_expression_agrees_with_names(spark):
 
 
 def test_sanitize():
-    assert sanitize_name("% Silica Concentrate") == "_silica_concentrate"
+    assert sanitize_name("% Solids / Overflow") == "_solids_overflow"
     assert sanitize_name(" Flow (m3/h) ") == "flow_m3_h"
 
 

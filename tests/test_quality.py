@@ -9,41 +9,39 @@ from plantloom.functions.scalars import class_band, confidence
 from plantloom.operators import clean, metrics, prune, quantiles, stats, timeseries, validate
 
 INF = float("inf")
-FEED, REC = "rougher.input.feed_au", "rougher.output.recovery"
-LEVEL, AIR = "primary_cleaner.state.floatbank8_a_level", "flotation_section_01_air_amount"
+PB, GRADE, SUMP, AIR = "line2.tails_pb", "bank.grade", "sump.7.nivel", "blower_airflow"
 
 
 @pytest.fixture(scope="module")
 def dirty(spark):
-    rows = list(zip(
-        range(10),
-        [2.5, 3.1, 150.0, None, 4.2, 2.0, 3.0, -5.0, 4.0, 5.0],
-        [65.0, 70.0, 102.0, 68.0, 71.0, 66.0, 69.0, 72.0, -10.0, 75.0],
-        [450.0, 500.0, -600.0, 480.0, 520.0, 490.0, 510.0, 2000.0, 485.0, 495.0],
-        [1200.0, 1300.0, -100.0, 1250.0, 1280.0, INF, 1220.0, 1260.0, 1240.0, 1270.0],
-    ))
+    rows = [
+        (0, 11.0, 20.0, 30.0, 900.0), (1, -0.5, 21.0, 31.0, 901.0), (2, 12.0, 100.5, 32.0, 902.0),
+        (3, None, 22.0, None, 903.0), (4, 13.0, 23.0, 1500.5, 904.0), (5, 14.0, 24.0, 33.0, -1.0),
+        (6, 15.0, 25.0, -500.0, 0.0), (7, 250.0, -3.0, -501.0, INF), (8, 0.0, 100.0, 1500.0, 905.0),
+        (9, 16.0, 26.0, 34.0, 50_000.0), (10, 17.0, None, 35.0, 906.0), (11, 18.0, 27.0, 36.0, 907.0),
+    ]
     return spark.createDataFrame(
-        rows, f"t int, `{FEED}` double, `{REC}` double, `{LEVEL}` double, `{AIR}` double")
+        rows, f"t int, `{PB}` double, `{GRADE}` double, `{SUMP}` double, `{AIR}` double")
 
 
 def test_validate_rows(dirty):
     seen = Observation("v")
     kept = validate.validate_rows(dirty, skip=["t"], observation=seen)
-    assert sorted(r["t"] for r in kept.collect()) == [0, 1, 3, 4, 6, 9]
-    assert seen.get["rows_in"] == 10 and seen.get["rows_out"] == 6
+    assert sorted(r["t"] for r in kept.collect()) == [0, 3, 6, 8, 9, 10, 11]
+    assert seen.get["rows_in"] == 12 and seen.get["rows_out"] == 7
     s = validate.validation_stats(dirty, skip=["t"]).first()
-    assert s["invalid_by_column"] == {FEED: 2, REC: 2, LEVEL: 2, AIR: 2}
-    assert (s["reject_pct"], s["severity"]) == (40.0, "high")
-    assert s["categories"][FEED] == "PERCENTAGE"
+    assert s["invalid_by_column"] == {PB: 2, GRADE: 2, SUMP: 2, AIR: 2}
+    assert (s["reject_pct"], s["severity"]) == (pytest.approx(500 / 12, abs=0.01), "high")
+    assert s["categories"][PB] == "PERCENTAGE"
 
 
 def test_validate_small_frame_and_dates(spark):
     df = spark.sql("""SELECT * FROM VALUES
-      (TIMESTAMP '2023-01-01', 45D, 7.0D, 100D), (TIMESTAMP '2023-01-02', 50D, 8.5D, 200D),
-      (TIMESTAMP '2023-01-03', 150D, 15.0D, -50D), (TIMESTAMP '2023-01-04', NULL, 6.0D, 300D),
-      (NULL, 50D, 7D, 10D) AS t(ts, _iron_feed, ore_pulp_ph, starch_flow)""")
+      (TIMESTAMP '2024-05-01', 12.5D, 9.1D, 70D), (TIMESTAMP '2024-05-02', NULL, 8.8D, 71D),
+      (TIMESTAMP '2024-05-03', 13.0D, 14.5D, 72D), (TIMESTAMP '2024-05-04', 101D, 9.0D, -2D),
+      (TIMESTAMP '2024-05-05', 14.0D, 9.2D, 0D), (NULL, 15D, 9.3D, 73D) AS t(ts, tails_pb, cell_ph, amina_dose)""")
     kept = validate.validate_rows(df, "ts")
-    assert sorted(r["ts"].day for r in kept.collect()) == [1, 2, 4]
+    assert sorted(r["ts"].day for r in kept.collect()) == [1, 2, 5]
     assert validate.validation_stats(df, "ts").first()["rows_without_timestamp"] == 1
 
 
@@ -64,26 +62,27 @@ def test_summary_lists_only_problems(dirty):
 @pytest.mark.parametrize(
     ("strategy", "a", "b"),
     [
-        ("ffill", [1, 2, 2, 4, 4, 6], [10, 10, 30, 30, 50, 60]),
-        ("bfill", [1, 2, 4, 4, 6, 6], [10, 30, 30, 50, 50, 60]),
-        ("interpolate", [1, 2, 3, 4, 5, 6], [10, 20, 30, 40, 50, 60]),
-        ("mean", [1, 2, 3.25, 4, 3.25, 6], [10, 37.5, 30, 37.5, 50, 60]),
-        ("median", [1, 2, 3, 4, 3, 6], [10, 40, 30, 40, 50, 60]),
+        ("ffill", [3, 3, 3, 9, 9, 12, 12], [7, 7, 5, 5, 5, 5, 1]),
+        ("bfill", [3, 9, 9, 9, 12, 12, 0], [7, 5, 5, 1, 1, 1, 1]),
+        ("interpolate", [3, 5, 7, 9, 10.5, 12, 12], [7, 6, 5, 4, 3, 2, 1]),
+        ("mean", [3, 8, 8, 9, 8, 12, 8], [7, 13 / 3, 5, 13 / 3, 13 / 3, 13 / 3, 1]),
+        ("median", [3, 9, 9, 9, 9, 12, 9], [7, 5, 5, 5, 5, 5, 1]),
     ],
 )
 @pytest.mark.parametrize("target_rows", [2, 100])
 def test_clean(spark, strategy, a, b, target_rows):
     df = spark.createDataFrame(
-        list(zip(range(6), [1.0, 2.0, INF, 4.0, None, 6.0], [10.0, None, 30.0, -INF, 50.0, 60.0], "abcdef")),
-        "t int, sensor_a double, sensor_b double, text string")
+        list(zip(range(7), [3.0, None, INF, 9.0, None, 12.0, -INF],
+                 [7.0, None, 5.0, None, INF, None, 1.0], "abcdefg")),
+        "t int, p double, q double, text string")
     sizing = {"target_rows": target_rows} if strategy in ("ffill", "bfill", "interpolate") else {}
     out = clean.clean(df, strategy, ["t"], **sizing).orderBy("t").collect()
-    assert [r["sensor_a"] for r in out] == pytest.approx(a)
-    assert [r["sensor_b"] for r in out] == pytest.approx(b)
-    assert "".join(r["text"] for r in out) == "abcdef"
+    assert [r["p"] for r in out] == pytest.approx(a)
+    assert [r["q"] for r in out] == pytest.approx(b)
+    assert "".join(r["text"] for r in out) == "abcdefg"
     if strategy == "ffill":
         s = clean.cleaning_stats(df, strategy, ["t"]).first()
-        assert (s["rows"], s["inf_replaced"], s["nulls_imputed"]) == (6, 2, 4)
+        assert (s["rows"], s["inf_replaced"], s["nulls_imputed"]) == (7, 3, 8)
 
 
 def test_unknown_strategy(spark):
