@@ -25,8 +25,9 @@ def join_flags(df: DataFrame, flags: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def hash_key(keys: Sequence[str], seed: int = 42) -> Column:
-    """Seeded 64-bit hash of the row keys: the random order that survives recomputation."""
-    return F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    """Seeded md5 of the row keys: a random order that survives recomputation, in any engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+                 .cast("binary"))
 
 
 def chronological_split(
@@ -61,11 +62,9 @@ def random_split(
     """Seeded split by rank of the key hash: ceil(n·test_size) test rows."""
     n = df.count()
     n_test = -int(-n * test_size // 1)
-    keyed = df.withColumn("__h", hash_key(keys, seed)).withColumn(
-        "__g", hash_key(keys, seed + 1)
-    )
-    cut = cuts_at(keyed, ["__h", "__g"], [n_test])[0]
-    return keyed.withColumn(name, ~cut.before()).drop("__h", "__g")
+    keyed = df.withColumn("__h", hash_key(keys, seed))
+    cut = cuts_at(keyed, ["__h", *keys], [n_test])[0]
+    return keyed.withColumn(name, ~cut.before()).drop("__h")
 
 
 def _class_ranked(df, label, order, seed, keys, sizing) -> DataFrame:
@@ -121,7 +120,7 @@ def group_folds(
     sizes = df.groupBy(col(group)).agg(F.count(F.lit(1)).alias("__n"))
     k = min(k or 5, sizes.count())
     keyed = sizes.select(
-        group, (-F.col("__n")).alias("__neg"), F.xxhash64(col(group)).alias("__h")
+        group, (-F.col("__n")).alias("__neg"), hash_key([group]).alias("__h")
     )
     ranked = with_ordinal(keyed, ["__neg", "__h"], name="__ord", **sizing)
     lap, seat = F.floor(F.col("__ord") / k), F.col("__ord") % k

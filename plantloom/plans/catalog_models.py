@@ -70,19 +70,30 @@ def _(spark, sf):
 
 
 @query("permutation_test", f"""WITH {_OOF_SQL} SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2,
-  0 AS n_as_good, 20 AS n_permutations, round(1.0::DOUBLE / 21, 6) AS p_value, count(*) AS n_rows FROM p""")
+  0 AS n_as_good, 200 AS n_permutations, round(1.0::DOUBLE / 201, 6) AS p_value, count(*) AS n_rows FROM p""")
 def _(spark, sf):
     got = linear.permutation_test(
-        _folded(spark, sf), ["l_quantity"], "y", "fold", LINE, n=20
+        _folded(spark, sf), ["l_quantity"], "y", "fold", LINE, n=200
     )
     return rounded(got.drop("best_shuffled_r2"))
 
 
-@query("backward_elimination")
+_TWO_SQL = f"""{SAMPLES_SQL}, a AS (SELECT count(*)::DOUBLE AS n, var_pop(l_quantity) * count(*) AS xx, var_pop(l_tax) * count(*) AS zz,
+  covar_pop(l_quantity, l_tax) * count(*) AS xz, covar_pop(l_quantity, t) * count(*) AS xy, covar_pop(l_tax, t) * count(*) AS zy,
+  var_pop(t) * count(*) AS yy FROM (SELECT *, 3 * l_quantity + (l_orderkey * 7 + l_partkey * 3) % 11 AS t FROM samples)),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM a),
+e AS (SELECT *, (yy - bx * xy - bz * zy) / (n - 3) AS s2, xx * zz - xz * xz AS det FROM b)"""
+
+
+@query("backward_elimination", f"""WITH {_TWO_SQL} SELECT 'l_quantity' AS feature, abs(bx) / sqrt(s2 * zz / det) > 1.96 AS kept FROM e
+UNION ALL SELECT 'l_tax', abs(bz) / sqrt(s2 * xx / det) > 1.96 FROM e""")
 def _(spark, sf):
-    kept, removed = linear.backward_elimination(samples(spark, sf), NUM, "y")
-    rows = [(n, True, None) for n in kept] + [(n, False, p) for n, p in removed]
-    return spark.createDataFrame(rows, "feature string, kept boolean, p_value double")
+    """A target that follows one of two features; the other has no effect of its own."""
+    noise = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 3) % 11
+    s = samples(spark, sf).withColumn("t", 3 * F.col("l_quantity") + noise)
+    kept, removed = linear.backward_elimination(s, ["l_quantity", "l_tax"], "t")
+    rows = [(n, True) for n in kept] + [(n, False) for n, _ in removed]
+    return spark.createDataFrame(rows, "feature string, kept boolean")
 
 
 # ── neighbours ──────────────────────────────────────────────────────────────────────────
@@ -113,20 +124,39 @@ def _report(scored: DataFrame) -> DataFrame:
     return rounded(metrics.regression_metrics(scored, "y", "prediction").drop("mape"))
 
 
+# A target of four levels that a tree of depth 2 finds exactly, so the prediction is a group mean.
+_STEP_SQL = f"""{SAMPLES_SQL}, st AS (SELECT *, l_suppkey % 5 AS fold, l_quantity <= 25 AS low, l_discount > 0.055 AS off,
+  CASE WHEN l_quantity <= 25 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END + CASE WHEN l_discount > 0.055 THEN 4 ELSE 0 END AS step FROM samples)"""
+_MEANS_SQL = f"""{_STEP_SQL}, g AS (SELECT low, off, avg(step) AS p FROM st WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2),
+p AS (SELECT step, p FROM st JOIN g USING (low, off) WHERE l_suppkey % 5 = 0)"""
+_METRICS_SQL = """SELECT count(*) AS n, round(1 - sum((step - p) ** 2) / (var_pop(step) * count(*)), 6) AS r2,
+  round(sqrt(avg((step - p) ** 2)), 6) AS rmse, round(avg(abs(step - p)), 6) AS mae FROM p"""
+# Every value of a feature can be a threshold.
+_EXACT = {"maxBins": 64, "subsamplingRate": 1.0}
+_FOREST = {**_EXACT, "bootstrap": False, "featureSubsetStrategy": "all"}
+
+
+def _stepped(spark, sf):
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    step = F.when(q <= 25, 10.0).otherwise(20.0) + F.when(d > 0.055, 4).otherwise(0)
+    return _folded(spark, sf).withColumn("step", step)
+
+
 def _fit_score(spark, sf, kind, **params):
-    s = samples(spark, sf)
-    model = learners.fit(s.filter(_SPLIT), NUM, "y", kind, **params)
-    return _report(learners.score(model, s.filter(_TEST), NUM))
+    s = _stepped(spark, sf)
+    model = learners.fit(s.filter(_SPLIT), NUM, "step", kind, **params)
+    scored = learners.score(model, s.filter(_TEST), NUM)
+    return rounded(metrics.regression_metrics(scored, "step", "prediction").drop("mape"))
 
 
-@query("fit_boosted")
+@query("fit_boosted", f"WITH {_MEANS_SQL} {_METRICS_SQL}")
 def _(spark, sf):
-    return _fit_score(spark, sf, "boosted", maxIter=20)
+    return _fit_score(spark, sf, "boosted", **_EXACT)
 
 
-@query("fit_forest")
+@query("fit_forest", f"WITH {_MEANS_SQL} {_METRICS_SQL}")
 def _(spark, sf):
-    return _fit_score(spark, sf, "forest", numTrees=20, maxDepth=8, featureSubsetStrategy="all")
+    return _fit_score(spark, sf, "forest", **_FOREST)
 
 
 @query("fit_kernel_svr")
@@ -136,32 +166,44 @@ def _(spark, sf):
     return _report(predict(s.filter(_TEST)))
 
 
-@query("grid_search")
+@query("grid_search", "SELECT unnest([2, 4, 8])::INT AS depth, 1.0::DOUBLE AS score")
 def _(spark, sf):
-    s = samples(spark, sf)
-    grid = {"maxDepth": [3, 6]}
-    return learners.grid_search(s, NUM, "y", "forest", grid, numTrees=5, featureSubsetStrategy="all")
+    """Every depth from 2 finds the planted steps, so each point scores 1."""
+    found = learners.grid_search(
+        _stepped(spark, sf), NUM, "step", "forest", {"maxDepth": [2, 4, 8]}, numTrees=20, **_FOREST)
+    return rounded(found.select(F.col("params")["maxDepth"].cast("int").alias("depth"), "score"))
 
 
-@query("oof_boosted")
+@query("oof_boosted", f"""WITH {_STEP_SQL}, f AS (SELECT k.range AS fold, low, off, avg(step) AS p FROM st JOIN range(5) k
+  ON st.fold <> k.range GROUP BY ALL), p AS (SELECT step, p FROM st JOIN f USING (fold, low, off)) {_METRICS_SQL}""")
 def _(spark, sf):
-    oof = learners.out_of_fold(_folded(spark, sf), NUM, "y", "fold", "boosted", range(5), maxIter=5)
-    return _report(oof)
+    oof = learners.out_of_fold(
+        _stepped(spark, sf), NUM, "step", "fold", "boosted", range(5), maxIter=50, **_EXACT)
+    return rounded(metrics.regression_metrics(oof, "step", "prediction").drop("mape"))
 
 
-@query("importances")
+@query("importances", """SELECT unnest(['l_quantity', 'l_discount', 'l_extendedprice']) AS feature,
+  unnest([1.0, 0.0, 0.0])::DOUBLE AS importance""")
 def _(spark, sf):
-    model = learners.fit(samples(spark, sf), NUM, "y", "boosted", maxIter=10)
+    """One feature drives the target and has all the importance."""
+    s = samples(spark, sf).withColumn("half", F.when(F.col("l_quantity") <= 25, 10.0).otherwise(20.0))
+    model = learners.fit(s, NUM, "half", "boosted", **_EXACT)
     return spark.createDataFrame(
         learners.importances(model, NUM, 3), "feature string, importance double"
     )
 
 
-@query("pca_projection")
+_PC = ["l_quantity", "l_discount"]
+
+
+@query("pca_projection", """WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) - min(l_quantity) AS b, min(l_discount) AS c,
+  max(l_discount) - min(l_discount) AS d FROM lineitem), x AS (SELECT (l_quantity - a) / b AS q, (l_discount - c) / d AS d FROM lineitem, r),
+v AS (SELECT (var_pop(q) + var_pop(d)) / 2 AS m, sqrt(((var_pop(q) - var_pop(d)) / 2) ** 2 + covar_pop(q, d) ** 2) AS h FROM x)
+SELECT round(m + h, 6) AS var1, round(m - h, 6) AS var2 FROM v""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
-    out = learners.pca_projection(scale.fit_minmax(li, NUM).apply(li), NUM)
-    return rounded(out.agg(*[F.var_pop(f"pc{i}").alias(f"var{i}") for i in range(1, 5)]))
+    out = learners.pca_projection(scale.fit_minmax(li, _PC).apply(li), _PC)
+    return rounded(out.agg(*[F.var_pop(f"pc{i}").alias(f"var{i}") for i in (1, 2)]))
 
 
 def _classified(spark, sf):
@@ -200,33 +242,65 @@ def _(spark, sf):
     return scored.select(*LINE, "c", F.col("prediction").cast("int").alias("prediction"))
 
 
-def _class_table(spark, sf, kind, **params):
-    return rounded(metrics.classification_report(_classify(spark, sf, kind, **params), "c", "prediction"))
+# Three classes by thresholds of one feature: trees find them exactly.
+_BANDS_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity <= 17 THEN 0 WHEN l_quantity <= 34 THEN 1
+  ELSE 2 END AS prediction FROM lineitem WHERE l_suppkey % 5 = 0"""
+
 
+def _bands(spark, sf, kind, **params):
+    q = F.col("l_quantity")
+    s = samples(spark, sf).withColumn("c", F.when(q <= 17, 0).when(q <= 34, 1).otherwise(2))
+    model = learners.fit(s.filter(_SPLIT), NUM, "c", kind, classes=3, maxBins=64, **params)
+    scored = learners.score(model, s.filter(_TEST), NUM)
+    return scored.select(*LINE, F.col("prediction").cast("int").alias("prediction"))
 
-@query("forest_classifier")
+
+@query("forest_classifier", _BANDS_SQL)
 def _(spark, sf):
-    return _class_table(spark, sf, "forest_classifier", numTrees=20, maxDepth=5)
+    return _bands(spark, sf, "forest_classifier", bootstrap=False, featureSubsetStrategy="all")
 
 
-@query("boosted_classifier")
+@query("boosted_classifier", _BANDS_SQL)
 def _(spark, sf):
-    return _class_table(spark, sf, "boosted_classifier", maxIter=5)
+    return _bands(spark, sf, "boosted_classifier", maxIter=20)
 
 
-@query("linear_svc")
+@query("tree_classifier", _BANDS_SQL)
 def _(spark, sf):
-    return _class_table(spark, sf, "linear_svc", maxIter=30)
+    return _bands(spark, sf, "tree_classifier")
+
+
+# Rows whose largest of three scaled readings leads by half a range: each class against the rest
+# is linearly separable.
+_LEAD = ["l_quantity", "l_discount", "l_tax"]
+_LEAD_SQL = """WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) - min(l_quantity) AS b, min(l_discount) AS c,
+  max(l_discount) - min(l_discount) AS d, min(l_tax) AS e, max(l_tax) - min(l_tax) AS f FROM lineitem),
+x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [(l_quantity - a) / b, (l_discount - c) / d, (l_tax - e) / f] AS v FROM lineitem, r),
+y AS (SELECT *, list_sort(v, 'DESC') AS s FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (list_position(v, s[1]) - 1)::INT AS prediction FROM y
+WHERE s[1] - s[2] >= 0.505 AND l_suppkey % 5 = 0"""
+
+
+def _leading(spark, sf, kind, **params):
+    li = table(spark, sf, "lineitem")
+    s = scale.fit_minmax(li, _LEAD).apply(li)
+    v = F.array(*_LEAD)
+    ranked = F.sort_array(v, asc=False)
+    s = s.withColumn("c", (F.array_position(v, ranked[0]) - 1).cast("int"))
+    s = s.filter(ranked[0] - ranked[1] >= 0.505)
+    model = learners.fit(s.filter(_SPLIT), _LEAD, "c", kind, classes=3, **params)
+    scored = learners.score(model, s.filter(_TEST), _LEAD)
+    return scored.select(*LINE, F.col("prediction").cast("int").alias("prediction"))
 
 
-@query("tree_classifier")
+@query("linear_svc", _LEAD_SQL)
 def _(spark, sf):
-    return _class_table(spark, sf, "tree_classifier")
+    return _leading(spark, sf, "linear_svc")
 
 
-@query("perceptron")
+@query("perceptron", _LEAD_SQL)
 def _(spark, sf):
-    return _class_table(spark, sf, "perceptron", maxIter=60)
+    return _leading(spark, sf, "perceptron")
 
 
 # ── probabilistic soft sensor and scoring ───────────────────────────────────────────────

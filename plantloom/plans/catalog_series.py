@@ -222,22 +222,20 @@ def _(spark, sf):
     return out.select("event_id", "event_type", "is_train")
 
 
-@query("strat_random_split", """SELECT event_type, floor(count(*) * 0.65::DOUBLE)::BIGINT AS n_train,
-  count(*) - floor(count(*) * 0.65::DOUBLE)::BIGINT AS n_test FROM events GROUP BY 1""")
+_MD5 = "md5(concat_ws('|', '42', {}::VARCHAR))"
+
+
+@query("strat_random_split", f"""SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {_MD5.format("event_id")}, event_id)
+  <= floor(count(*) OVER (PARTITION BY event_type) * 0.65::DOUBLE) AS is_train FROM events""")
 def _(spark, sf):
     out = split.stratified_split(events(spark, sf), "event_type", 0.35, keys=["event_id"])
-    return out.groupBy("event_type").agg(
-        F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test")
-    )
+    return out.select("event_id", "is_train")
 
 
-@query("random_split", """SELECT count(*) - ceil(count(*) * 0.3::DOUBLE)::BIGINT AS n_train,
-  ceil(count(*) * 0.3::DOUBLE)::BIGINT AS n_test FROM events""")
+@query("random_split", f"""SELECT event_id, row_number() OVER (ORDER BY {_MD5.format("event_id")}, event_id)
+  > ceil(count(*) OVER () * 0.3::DOUBLE) AS is_train FROM events""")
 def _(spark, sf):
-    out = split.random_split(events(spark, sf), ["event_id"], 0.3)
-    return out.agg(
-        F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test")
-    )
+    return split.random_split(events(spark, sf), ["event_id"], 0.3).select("event_id", "is_train")
 
 
 @query("unit_split", """SELECT 0::BIGINT AS units_on_both_sides, count(DISTINCT user_id) AS n_units,
@@ -255,12 +253,10 @@ def _(spark, sf):
     )
 
 
-@query("kfold", """WITH n AS (SELECT count(*) AS n FROM events) SELECT f.range::INT AS fold,
-  (n + 4 - f.range) // 5 AS n FROM n, range(5) f""")
+@query("kfold", f"""SELECT event_id, ((row_number() OVER (ORDER BY {_MD5.format("event_id")}, event_id) - 1) % 5)::INT AS fold
+FROM events""")
 def _(spark, sf):
-    return split.kfold(events(spark, sf), ["event_id"], 5).groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return split.kfold(events(spark, sf), ["event_id"], 5).select("event_id", "fold")
 
 
 @query("group_folds", """SELECT count(DISTINCT l_suppkey) AS n_groups, 0::BIGINT AS groups_in_two_folds,
@@ -285,17 +281,14 @@ def _(spark, sf):
     )
 
 
-@query("sample_cap", "SELECT least(count(*), 1800)::BIGINT AS n, least(count(*), 1800)::BIGINT AS n_distinct FROM events")
+@query("sample_cap", f"SELECT event_id, user_id FROM events ORDER BY {_MD5.format('event_id')}, event_id LIMIT 1800")
 def _(spark, sf):
-    got = split.sample_cap(events(spark, sf), 1800, ["event_id"], TIME)
-    return got.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_distinct")
-    )
+    return split.sample_cap(events(spark, sf), 1800, ["event_id"], TIME).select("event_id", "user_id")
 
 
-@query("random_row")
+@query("random_row", f"SELECT event_id, user_id, round(value, 6) AS value FROM events ORDER BY {_MD5.format('event_id')} LIMIT 1")
 def _(spark, sf):
-    return rounded(split.random_row(events(spark, sf), ["event_id"]))
+    return rounded(split.random_row(events(spark, sf), ["event_id"]).select("event_id", "user_id", "value"))
 
 
 # ── joins ───────────────────────────────────────────────────────────────────────────────
