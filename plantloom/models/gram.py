@@ -23,6 +23,11 @@ def _column(batch: pa.RecordBatch, i: int) -> Matrix:
     return batch.column(i).to_numpy(zero_copy_only=False).astype(float)
 
 
+SUMS = "k int, part int, shape array<int>, v array<double>"
+# Tasks that add up the matrices of all others.
+ADDERS = 16
+
+
 def keyed_sums(
     df: DataFrame,
     columns: Sequence[str],
@@ -55,44 +60,73 @@ def keyed_sums(
                 for part, m in block(x[keys == value]).items():
                     spot = (int(value), part)
                     total[spot] = total[spot] + m if spot in total else m
-        for (value, part), m in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([value], pa.int32()),
-                    pa.array([part], pa.int32()),
-                    pa.array([list(m.shape)], pa.list_(pa.int32())),
-                    pa.array([m.ravel()], pa.list_(pa.float64())),
-                ],
-                names=["k", "part", "shape", "v"],
-            )
-
-    reduced = (
-        df.select(*sel)
-        .mapInArrow(sums, "k int, part int, shape array<int>, v array<double>")
-        .select("k", "part", "shape", F.posexplode("v").alias("pos", "v"))
-        .groupBy("k", "part", "shape", "pos")
-        .agg(F.sum("v").alias("v"))
-        .groupBy("k", "part", "shape")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("v"))
-    )
-    return {
-        (r["k"], r["part"]): np.array(r["v"]).reshape(r["shape"]) for r in reduced.collect()
-    }
+        yield from batches_of(total)
+
+    return added(df.select(*sel).mapInArrow(sums, SUMS))
+
+
+def batches_of(total: dict[tuple[int, int], Matrix]) -> Iterator[pa.RecordBatch]:
+    for (value, part), m in total.items():
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([value], pa.int32()),
+                pa.array([part], pa.int32()),
+                pa.array([list(m.shape)], pa.list_(pa.int32())),
+                pa.array([m.ravel()], pa.list_(pa.float64())),
+            ],
+            names=["k", "part", "shape", "v"],
+        )
+
+
+def added(partial: DataFrame) -> dict[tuple[int, int], Matrix]:
+    """Sum the matrices that tasks made: whole ones are added in a few tasks, then here.
+
+    What travels is one row per task, key and part, whatever the size of the matrices.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], Matrix] = {}
+        for batch in batches:
+            keys, parts = (batch.column(i).to_pylist() for i in (0, 1))
+            for i, spot in enumerate(zip(keys, parts, strict=True)):
+                shape = batch.column(2)[i].values.to_numpy()
+                m = batch.column(3)[i].values.to_numpy().reshape(shape)
+                total[spot] = total[spot] + m if spot in total else m
+        yield from batches_of(total)
+
+    out: dict[tuple[int, int], Matrix] = {}
+    for r in partial.repartition(ADDERS).mapInArrow(add, SUMS).collect():
+        spot, m = (r["k"], r["part"]), np.array(r["v"]).reshape(r["shape"])
+        out[spot] = out[spot] + m if spot in out else m
+    return out
+
+
+def column_means(df: DataFrame, columns: Sequence[str]) -> Matrix:
+    row = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return np.array([m or 0.0 for m in row], dtype=float)
 
 
 def gram(
-    df: DataFrame, features: Sequence[str], target: str, key: str | None = None
+    df: DataFrame, features: Sequence[str], target: str, key: str | None = None,
+    shift: Matrix | None = None,
 ) -> dict[int, Matrix]:
-    """Per key the Gram matrix of [1, features…, target]."""
+    """Per key the Gram matrix of [1, features…, target], each less its ``shift``."""
 
     def block(x: Matrix) -> dict[int, Matrix]:
-        z = np.hstack([np.ones((len(x), 1)), x])
+        z = np.hstack([np.ones((len(x), 1)), x if shift is None else x - shift])
         return {0: z.T @ z}
 
     got = keyed_sums(df, [*features, target], block, key)
     return {k: m for (k, _), m in got.items()}
 
 
+def unshifted(beta: Matrix, shift: Matrix) -> Matrix:
+    """Coefficients (intercept first) for the columns as they were before the shift."""
+    out = np.array(beta, dtype=float)
+    out[0] += shift[-1] - shift[:-1] @ out[1:]
+    return out
+
+
 def solve_ols(g: Matrix, ridge: float = 0.0) -> Matrix:
     """Coefficients (intercept first) from a Gram matrix of [1, X, y]."""
     a, b = g[:-1, :-1].copy(), g[:-1, -1]

@@ -6,12 +6,25 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
-from plantloom.models.gram import gram, keyed_sums, solve_ols, sse, sst
-from plantloom.operators.order import with_ordinal
+from plantloom.models.gram import (
+    SUMS,
+    added,
+    batches_of,
+    column_means,
+    gram,
+    solve_ols,
+    sse,
+    sst,
+    unshifted,
+)
+
+# Rows among which one task shuffles the targets of a permutation test.
+BLOCK_ROWS = 50_000
 
 
 def linear_expr(features: Sequence[str], beta: Sequence[float]) -> Column:
@@ -24,7 +37,8 @@ def linear_expr(features: Sequence[str], beta: Sequence[float]) -> Column:
 
 def fit_ols(df: DataFrame, features: Sequence[str], target: str) -> np.ndarray:
     known = df.na.drop(subset=[f"`{c}`" for c in [*features, target]])
-    return solve_ols(gram(known, features, target)[0])
+    shift = column_means(known, [*features, target])
+    return unshifted(solve_ols(gram(known, features, target, shift=shift)[0]), shift)
 
 
 def fit_gradient_descent(
@@ -91,7 +105,8 @@ def backward_elimination(
 
     One pass over the data; every refit uses a sub-matrix of the same Gram matrix.
     """
-    g = gram(df.na.drop(subset=[f"`{c}`" for c in [*features, target]]), features, target)[0]
+    known = df.na.drop(subset=[f"`{c}`" for c in [*features, target]])
+    g = gram(known, features, target, shift=column_means(known, [*features, target]))[0]
     kept, removed = list(range(len(features))), []
     while kept:
         pick = [0, *[i + 1 for i in kept], len(features) + 1]
@@ -114,7 +129,9 @@ def oof_linear(
 ) -> DataFrame:
     """Out-of-fold predictions: all fold models come from one pass of per-fold Gram sums."""
     known = df.na.drop(subset=[f"`{c}`" for c in [*features, target]])
-    betas = _fold_betas(gram(known, features, target, fold), ridge)
+    shift = column_means(known, [*features, target])
+    betas = _fold_betas(gram(known, features, target, fold, shift), ridge)
+    betas = {f: unshifted(b, shift) for f, b in betas.items()}
     if not betas:
         raise ValueError("no complete rows to fit on")
     width = len(features) + 1
@@ -128,29 +145,36 @@ def oof_linear(
     return known.withColumn("prediction", pred)
 
 
-def permuted_targets(
-    df: DataFrame, target: str, keys: Sequence[str], n: int, seed: int = 42, **sizing
+def _permuted_sums(
+    rows: DataFrame, p: int, n: int, seed: int, shift: np.ndarray
 ) -> DataFrame:
-    """Rows with ``shuffled``: the target under ``n`` independent seeded permutations.
+    """Per block of rows and fold: XᵀX, XᵀY and YᵀY, Y being the target and its ``n`` shuffles.
 
-    Each permutation ranks the rows by a hash of (permutation, key) and hands the i-th
-    target to the i-th row.  Ranks are per permutation, so they spread over all tasks.
+    Each shuffle is drawn inside the block from (seed, block, shuffle).
     """
-    base = with_ordinal(df, keys, name="__ord", **sizing)
-    draws = df.select(*[col(k) for k in keys], col(target).cast("double").alias("__y")).withColumn(
-        "__p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    )
-    draws = draws.withColumn(
-        "__h", F.xxhash64(F.lit(seed), F.col("__p"), *[col(k) for k in keys])
-    )
-    ranked = with_ordinal(draws, ["__h", *keys], ["__p"], "__ord", **sizing)
-    # Exactly n values land on every position.
-    dealt = ranked.groupBy("__ord").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("__p", "__y"))), lambda e: e["__y"]
-        ).alias("shuffled")
-    )
-    return base.join(dealt, "__ord").drop("__ord")
+
+    def sums(block: pa.Table) -> pa.Table:
+        fold, at = block["fold"].to_numpy(), block["__b"][0].as_py()
+        x = np.column_stack([block[f"c{i}"].to_numpy() for i in range(p + 1)]) - shift
+        order = np.argsort(np.array(block["__h"].to_pylist()), kind="stable")
+        fold, x = fold[order], x[order]
+        z, y = np.hstack([np.ones((len(x), 1)), x[:, :p]]), x[:, p]
+        rng = np.random.default_rng([seed, at])
+        folds = np.unique(fold)
+        cross = {f: np.empty((p + 1, n + 1)) for f in folds}
+        square = {f: np.empty((1, n + 1)) for f in folds}
+        for k in range(n + 1):
+            shuffled = y if k == 0 else y[rng.permutation(len(y))]
+            for f in folds:
+                own = fold == f
+                cross[f][:, k] = z[own].T @ shuffled[own]
+                square[f][0, k] = shuffled[own] @ shuffled[own]
+        out = {(int(f), 0): z[fold == f].T @ z[fold == f] for f in folds}
+        out |= {(int(f), 1): m for f, m in cross.items()}
+        out |= {(int(f), 2): m for f, m in square.items()}
+        return pa.Table.from_batches(list(batches_of(out)))
+
+    return rows.groupBy("__b").applyInArrow(sums, SUMS)
 
 
 def permutation_test(
@@ -162,22 +186,24 @@ def permutation_test(
     n: int = 200,
     ridge: float = 1e-9,
     seed: int = 42,
-    **sizing,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Out-of-fold R² against ``n`` target shuffles under the same folds; p = (ge+1)/(n+1).
 
-    One pass collects, per fold, XᵀX, XᵀY and YᵀY for the real and all shuffled targets.
+    Rows are dealt once, by a seeded hash of their key, to blocks of about ``block_rows``; the
+    target is shuffled inside each block, which keeps the test exact. One pass collects, per fold,
+    XᵀX, XᵀY and YᵀY for the real and all shuffled targets.
     """
     known = df.na.drop(subset=[f"`{c}`" for c in [*features, target]])
-    rows = permuted_targets(known, target, keys, n, seed, **sizing)
     p = len(features)
-
-    def block(x: np.ndarray) -> dict[int, np.ndarray]:
-        z = np.hstack([np.ones((len(x), 1)), x[:, :p]])
-        y = x[:, p:]
-        return {0: z.T @ z, 1: z.T @ y, 2: np.vstack([(y * y).sum(axis=0)])}
-
-    got = keyed_sums(rows, [*features, target], block, fold, array="shuffled")
+    shift = column_means(known, [*features, target])
+    blocks = max(1, -(-known.count() // block_rows))
+    rows = known.select(
+        F.coalesce(col(fold).cast("int"), F.lit(-1)).alias("fold"),
+        *[col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, target])],
+        F.xxhash64(F.lit(seed), *[col(k) for k in keys]).alias("__h"),
+    ).withColumn("__b", F.pmod(F.xxhash64("__h"), F.lit(blocks)))
+    got = added(_permuted_sums(rows, p, n, seed, shift))
     folds = sorted({k for k, _ in got})
     xx, xy, yy = (sum(got[f, part] for f in folds) for part in (0, 1, 2))
     errors = np.zeros(n + 1)

@@ -81,18 +81,15 @@ def unit_rolling_mean(
     **sizing,
 ) -> DataFrame:
     """``<sensor>_rm``: mean over the last ``width`` rows; the first rows keep their value."""
-    layout = sizing.pop("layout", None) or plan_layout(df, order, unit, **sizing)
-    placed = layout.strip(add_ordinal(layout.attach(df), layout, "__ord"))
 
     def build(w):
         last = w.rowsBetween(-(width - 1), 0)
-        full = F.col("__ord") >= width
+        full = F.count(F.lit(1)).over(w.rowsBetween(-width, 0)) > width
         return {
             f"{c}_rm": F.when(full, F.avg(col(c)).over(last)).otherwise(col(c)) for c in sensors
         }
 
-    out = apply_windows(placed, build, order, unit, sensors, back=width - 1, layout=layout)
-    return out.drop("__ord")
+    return apply_windows(df, build, order, unit, sensors, back=width, **sizing)
 
 
 def rul_label(df: DataFrame, unit: Sequence[str], cycle: str, name: str = "RUL") -> DataFrame:

@@ -27,6 +27,7 @@ from plantloom.sources import readers, sinks
 from plantloom.streaming import etl, stateful
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PC = ["l_quantity", "l_discount"]
 
 # ── linear models from sufficient statistics ────────────────────────────────────────────
 
@@ -159,11 +160,13 @@ def _(spark, sf):
     return _fit_score(spark, sf, "forest", **_FOREST)
 
 
-@query("fit_kernel_svr")
+@query("fit_kernel_svr", """SELECT count(*) AS n, 1.0::DOUBLE AS r2 FROM lineitem WHERE l_suppkey % 5 = 0""")
 def _(spark, sf):
-    s = samples(spark, sf)
-    predict = learners.fit_kernel_svr(s.filter(_SPLIT), NUM, "y")
-    return _report(predict(s.filter(_TEST)))
+    """A target without noise that is linear in two features."""
+    s = samples(spark, sf).withColumn("flat", 2 * F.col("l_quantity") - 300 * F.col("l_discount"))
+    predict = learners.fit_kernel_svr(s.filter(_SPLIT), _PC, "flat")
+    report = metrics.regression_metrics(predict(s.filter(_TEST)), "flat", "prediction")
+    return rounded(report.select("n", "r2"), 1)
 
 
 @query("grid_search", "SELECT unnest([2, 4, 8])::INT AS depth, 1.0::DOUBLE AS score")
@@ -193,9 +196,6 @@ def _(spark, sf):
     )
 
 
-_PC = ["l_quantity", "l_discount"]
-
-
 @query("pca_projection", """WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) - min(l_quantity) AS b, min(l_discount) AS c,
   max(l_discount) - min(l_discount) AS d FROM lineitem), x AS (SELECT (l_quantity - a) / b AS q, (l_discount - c) / d AS d FROM lineitem, r),
 v AS (SELECT (var_pop(q) + var_pop(d)) / 2 AS m, sqrt(((var_pop(q) - var_pop(d)) / 2) ** 2 + covar_pop(q, d) ** 2) AS h FROM x)
@@ -368,13 +368,18 @@ def _(spark, sf):
     return rounded(out)
 
 
-@query("horizon_eval")
+@query("horizon_eval", """WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS slot, arg_min(value, (ts, event_id)) AS y FROM events
+  GROUP BY 1 HAVING count(*) > 1), o AS (SELECT *, row_number() OVER (ORDER BY slot) AS rn FROM h),
+f AS (SELECT k AS horizon, a.slot, a.y, b.y AS t FROM (SELECT unnest([1, 3, 6, 12, 24]) AS k) JOIN o a ON TRUE JOIN o b ON b.rn = a.rn + k),
+c AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY slot) AS r, count(*) OVER (PARTITION BY horizon) AS n FROM f)
+SELECT 'y' AS target, horizon, count(*) AS n, round(1 - sum((t - y) ** 2) / (var_pop(t) * count(*)), 6) AS persistence_r2,
+  TRUE AS scored FROM c WHERE r > floor(n * 0.8::DOUBLE) GROUP BY horizon""")
 def _(spark, sf):
     hourly = _hours(spark, sf)
     names = [c for c in hourly.columns if c.startswith("value__")]
-    return rounded(experiments.evaluate_horizons(
-        hourly, names, ["y"], ["slot"], [1, 3, 6], {"maxIter": 5}
-    ))
+    report = experiments.evaluate_horizons(hourly, names, ["y"], ["slot"], boosted={"maxIter": 60})
+    return rounded(report.select(
+        "target", "horizon", "n", "persistence_r2", (F.col("model_r2") <= 1).alias("scored")))
 
 
 def _hours(spark, sf):
@@ -475,6 +480,91 @@ def _(spark, sf):
     )
 
 
+@query("raw_load", """SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus || ';' || o_orderpriority AS "Kind; rank",
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey::VARCHAR END AS o_custkey FROM orders""")
+def _(spark, sf):
+    """Text columns as they are: separators inside quotes, and lines without their last field."""
+    path = scratch_path(spark, "raw-csv")
+    o = table(spark, sf, "orders")
+    key, kind = F.col("o_orderkey"), F.concat_ws(";", "o_orderstatus", "o_orderpriority")
+    line = F.concat(key.cast("string"), F.lit(';"'), kind, F.lit('"'), F.when(
+        key % 3 == 0, "").otherwise(F.concat(F.lit(";"), F.col("o_custkey").cast("string"))))
+    head = spark.createDataFrame([('o_orderkey;"Kind; rank";o_custkey',)], "value string")
+    # The header is a file of its own, and the first by name.
+    head.coalesce(1).write.text(f"{path}/part=0")
+    o.select(line.alias("value")).write.text(f"{path}/part=1")
+    body = spark.read.text(path).coalesce(1).orderBy("part").select("value")
+    body.write.text(f"{path}-file")
+    return readers.read_raw_csv(spark, f"{path}-file", ";")
+
+
+@query("csv_stream", """SELECT o_orderdate::TIMESTAMP AS date, o_orderkey::DOUBLE AS o_orderkey,
+  round(o_totalprice, 2) AS total_price_usd FROM orders""")
+def _(spark, sf):
+    """CSV files as they arrive, with names, numbers, dates and column rules."""
+    path, out, log = (scratch_path(spark, n) for n in ("csv-in", "csv-out", "csv-log"))
+    price = F.regexp_replace(F.col("o_totalprice").cast("decimal(14,2)").cast("string"), r"\.", ",")
+    o = table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("Date"), "o_orderkey",
+        price.alias("Total Price (USD)"), F.col("o_comment").alias("note")
+        if "o_comment" in table(spark, sf, "orders").columns else F.lit("n").alias("note"))
+    o.repartition(3).write.options(header=True, sep=";").csv(path)
+    rules = readers.DatasetConfig("", "total_price_usd", "date", include=("key",))
+    stream = readers.stream_sensor_csv(
+        spark, path, ["Date", "o_orderkey", "Total Price (USD)", "note"], sep=";",
+        files_per_trigger=1, rules=rules)
+    etl.write_stream_table(stream, out, log)
+    return rounded(spark.read.parquet(out))
+
+
+@query("model_store", f"""WITH {SAMPLES_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN l_quantity <= 25 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END AS prediction FROM samples WHERE l_suppkey % 5 = 0""")
+def _(spark, sf):
+    """A fitted model written, checked against its digest, read again and applied."""
+    from plantloom.sources import sinks
+
+    s = samples(spark, sf).withColumn("half", F.when(F.col("l_quantity") <= 25, 10.0).otherwise(20.0))
+    model = learners.fit(s.filter(_SPLIT), NUM, "half", "forest", numTrees=5, **_FOREST)
+    path = scratch_path(spark, "model")
+    signed = sinks.save_model(spark, path, {"kind": "forest"}, model)
+    _, again, _ = sinks.load_model(spark, path, signed)
+    return rounded(learners.score(again, s.filter(_TEST), NUM).select(*LINE, "prediction"))
+
+
+@query("target_guards", """SELECT 'value' AS target, CASE WHEN count(value) >= 10 AND min(value) < max(value) THEN 'ok' END AS verdict FROM events
+UNION ALL SELECT 'flat', CASE WHEN min(1) = max(1) THEN 'constant' END FROM events
+UNION ALL SELECT 'event_type', CASE WHEN count(try_cast(event_type AS DOUBLE)) = 0 AND count(event_type) > 0 THEN 'not numeric' END FROM events
+UNION ALL SELECT 'endless', CASE WHEN count(*) FILTER (WHERE event_id % 101 = 0) > 0 THEN 'infinite' END FROM events
+UNION ALL SELECT 'few', CASE WHEN count(*) FILTER (WHERE event_id < 5) < 10 THEN 'needed' END FROM events
+UNION ALL SELECT 'absent', 'not found'""")
+def _(spark, sf):
+    """What the guards of a regression target say about columns of each kind."""
+    from plantloom.operators.validate import check_target
+
+    e = events(spark, sf).select(
+        "value", "event_type", F.lit(1.0).alias("flat"),
+        F.when(F.col("event_id") % 101 == 0, float("inf")).otherwise(F.col("value")).alias("endless"),
+        F.when(F.col("event_id") < 5, F.col("value")).alias("few"))
+    rows = []
+    for name in ("value", "flat", "event_type", "endless", "few", "absent"):
+        try:
+            check_target(e, name)
+            rows.append((name, "ok"))
+        except ValueError as exc:
+            words = ("constant", "not numeric", "infinite", "needed", "not found")
+            rows.append((name, next(w for w in words if w in str(exc))))
+    return spark.createDataFrame(rows, "target string, verdict string")
+
+
+@query("chrono_sort", """SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events""")
+def _(spark, sf):
+    """The sorted table's rows numbered as they come."""
+    from plantloom.operators.order import row_sorted, with_ordinal
+
+    rows = row_sorted(events(spark, sf), TIME).withColumn("m", F.monotonically_increasing_id())
+    return with_ordinal(rows.select("event_id", "m"), ["m"], name="place").select("event_id", "place")
+
+
 # ── streams ─────────────────────────────────────────────────────────────────────────────
 
 

@@ -17,7 +17,7 @@ from plantloom.functions.safe import nan_to_null
 from plantloom.operators.clean import ffill
 from plantloom.operators.encode import numeric_coerce
 from plantloom.operators.validate import drop_missing
-from plantloom.sources.typing import parse_dates
+from plantloom.sources.typing import date_value, parse_dates
 
 SEPARATORS = (",", ";", "\t", "|")
 _BAD = "__bad_line"
@@ -133,6 +133,27 @@ def stream_csv(
     )
 
 
+def stream_sensor_csv(
+    spark: SparkSession, folder: str, header: Sequence[str], date_column: str = "date",
+    sep: str = ",", files_per_trigger: int = 10, rules: DatasetConfig | None = None,
+) -> DataFrame:
+    """New CSV files as typed rows: clean names, numbers, dates, and the column rules.
+
+    ``header`` names the columns of the files. A stream has no whole column to look at, so each
+    date takes the first format that reads it.
+    """
+    schema = ", ".join(f"`{c}` string" for c in header)
+    raw = sanitize_columns(stream_csv(spark, folder, schema, sep, files_per_trigger))
+    numbers = [c for c in raw.columns if "date" not in c and c != date_column]
+    typed = nan_to_null(numeric_coerce(raw, numbers))
+    if date_column in typed.columns:
+        typed = typed.withColumn(date_column, date_value(F.trim(col(date_column))))
+    if rules is None:
+        return typed
+    return select_by_rules(
+        typed, rules.target, rules.include, rules.exclude, rules.forced_drop, keep=[date_column])
+
+
 def resolve_inside(root: str, filename: str) -> str:
     """The path of ``filename`` below ``root``; anything that escapes raises ValueError."""
     scheme = urlsplit(root).scheme

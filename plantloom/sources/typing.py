@@ -19,6 +19,12 @@ DATE_FORMATS = (
 ACCEPT_SHARE = 0.8
 
 
+def date_value(text, formats=DATE_FORMATS):
+    """The first form that reads a text as a timestamp: ISO, then the formats; else NULL."""
+    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    return F.coalesce(text.try_cast("timestamp"), *tries)
+
+
 def parse_dates(df: DataFrame, column: str = "date", formats=DATE_FORMATS) -> DataFrame:
     """Text to timestamp with the first format that fits over 80 % of the column.
 
@@ -33,4 +39,4 @@ def parse_dates(df: DataFrame, column: str = "date", formats=DATE_FORMATS) -> Da
     for share, parsed in zip(shares, tries):
         if share is not None and share > ACCEPT_SHARE:
             return df.withColumn(column, parsed)
-    return df.withColumn(column, F.coalesce(text.try_cast("timestamp"), *tries))
+    return df.withColumn(column, date_value(text, formats))
