@@ -1,12 +1,11 @@
-"""Exact nearest neighbours: the query side travels in blocks of a fixed size.
+"""Exact nearest neighbours: blocks of queries meet shards of training rows in a grid.
 
-Every task keeps only the k best candidates per query of the block, so no pairs are ever
-emitted; a query set larger than one block takes one pass per block.
+Both sides are hashed into blocks of bounded size; each cell of the grid is one task that keeps
+the k best candidates per query, so no pairs are emitted and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
-from plantloom.operators.order import with_ordinal
 from plantloom.operators.position import cuts_at
 from plantloom.operators.split import hash_key
 
@@ -36,6 +34,16 @@ def _best(held, d, ids, labels, k):
     return pick(d), pick(ids), pick(labels)
 
 
+# Training rows of a shard, and those compared at a time.
+SHARD, CHUNK = 65_536, 8192
+NEAR = ["q", "i", "l", "d"]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
 def nearest(
     train: DataFrame,
     queries: DataFrame,
@@ -50,43 +58,43 @@ def nearest(
     total = queries.count()
     if not total:
         raise ValueError("no query rows")
-    placed = with_ordinal(queries.select(query_id, vector), [query_id], name="__ord")
+    blocks, shards = -(-total // block), max(1, -(-train.count() // SHARD))
+    asked = queries.select(col(query_id).cast("long").alias("q"), col(vector).alias("v"))
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn(
+        "s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     base = train.select(
         col(train_id).cast("long").alias("i"), col(label).cast("long").alias("l"), col(vector).alias("v")
     )
-    sc = train.sparkSession.sparkContext
-    parts = []
-    for start in range(0, total, block):
-        piece = placed.filter((col("__ord") >= start) & (col("__ord") < start + block))
-        rows = piece.select(col(query_id).cast("long"), vector).collect()
-        shared = sc.broadcast(
-            (np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float))
+    base = base.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int")).withColumn(
+        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.array([], pa.int64())
+        if not len(left) or not len(right):
+            return pa.table([empty, empty, empty, pa.array([], pa.float64())], NEAR)
+        q_ids, q = left["q"].to_numpy(), _matrix(left["v"])
+        order = np.argsort(right["i"].to_numpy(), kind="stable")
+        right = right.take(pa.array(order))
+        held = None
+        for at in range(0, len(right), CHUNK):
+            part = right.slice(at, CHUNK)
+            t = _matrix(part["v"])
+            sq = (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * q @ t.T
+            held = _best(held, np.maximum(sq, 0.0), part["i"].to_numpy(), part["l"].to_numpy(), k)
+        d, ids, labels = held
+        return pa.table(
+            [
+                pa.array(np.repeat(q_ids, d.shape[1])),
+                pa.array(ids.ravel()),
+                pa.array(labels.ravel()),
+                pa.array(np.sqrt(d.ravel())),
+            ],
+            NEAR,
         )
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            held = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t = np.array(batch.column(2).to_pylist(), dtype=float)
-                sq = (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * q @ t.T
-                ids = batch.column(0).to_numpy()
-                held = _best(held, np.maximum(sq, 0.0), ids, batch.column(1).to_numpy(), k)
-            if held is not None:
-                d, ids, labels = held
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(q_ids, d.shape[1])),
-                        pa.array(ids.ravel()),
-                        pa.array(labels.ravel()),
-                        pa.array(np.sqrt(d.ravel())),
-                    ],
-                    names=["q", "i", "l", "d"],
-                )
-
-        parts.append(base.mapInArrow(search, "q long, i long, l long, d double"))
-    found = reduce(lambda a, b: a.unionByName(b), parts)
+    found = asked.groupBy("b", "s").cogroup(base.groupBy("b", "s")).applyInArrow(
+        search, "q long, i long, l long, d double"
+    )
     first = Window.partitionBy("q").orderBy("d", "i")
     return (
         found.withColumn("place", F.row_number().over(first))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantloom.models import kernel, learners, linear, neighbors
-from plantloom.models.gram import gram
+from plantloom.models.gram import added, gram
 from plantloom.operators import scale, split
 from plantloom.plans import score
 from plantloom.plans.train import SensorModel, train
@@ -47,11 +47,17 @@ def test_permutation_test(line):
 
 
 def test_permutations_are_permutations(line):
-    got = linear.permuted_targets(line, "y", ["id"], 3).select("y", "shuffled").toPandas()
-    for i in range(3):
-        dealt = np.array([s[i] for s in got["shuffled"]])
-        assert np.allclose(np.sort(dealt), np.sort(got["y"]))
-        assert not np.allclose(dealt, got["y"])
+    """Shuffles in blocks keep every value, and the result does not hang on the row order."""
+    rows = line.select(
+        (F.col("id") % 2).cast("int").alias("fold"), F.col("`a.x`").alias("c0"), F.col("y").alias("c1"),
+        F.xxhash64("id").alias("__h"), (F.col("id") % 3).alias("__b"))
+    got = added(linear._permuted_sums(rows, 1, 5, 42, np.zeros(2)))
+    square, cross = (sum(got[f, part] for f in (0, 1)) for part in (2, 1))
+    assert square[0] == pytest.approx(np.full(6, square[0, 0]))
+    assert cross[0] == pytest.approx(np.full(6, cross[0, 0]))
+    assert len(np.unique(cross[1].round(6))) == 6
+    again = added(linear._permuted_sums(rows.repartition(7), 1, 5, 42, np.zeros(2)))
+    assert again[0, 1] == pytest.approx(got[0, 1])
 
 
 def test_kernel_regressor_is_calibrated(spark):
