@@ -617,6 +617,20 @@ def _(spark, sf):
     return rounded(rows.select("event_id", "feed_flow", "pulp_ph", "mystery"))
 
 
+@query("stream_clean", f"""WITH {PLANT_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS n FROM plant),
+b AS (SELECT *, (rn >= n // 3)::INT + (rn >= n * 2 // 3)::INT AS batch FROM r WHERE {_OK}),
+f AS (SELECT *, CASE WHEN isinf(mystery) THEN NULL ELSE mystery END AS m FROM b)
+SELECT event_id, round(coalesce(feed_flow, avg(feed_flow) OVER p), 6) AS feed_flow, round(coalesce(pulp_ph, avg(pulp_ph) OVER p), 6) AS pulp_ph,
+  round(coalesce(m, avg(m) OVER p), 6) AS mystery FROM f WINDOW p AS (PARTITION BY batch)""")
+def _(spark, sf):
+    """Each micro-batch cleaned by the mean strategy."""
+    out, stat, log = (scratch_path(spark, n) for n in ("clean-rows", "clean-stats", "clean-log"))
+    sensors = ["feed_flow", "pulp_ph", "mystery"]
+    _arriving(plant(spark, sf), "plant-files", 3, lambda src: etl.run_stream_etl(
+        src, out, stat, log, "ts", sensors, skip=["event_id", "user_id"], strategy="mean"))
+    return rounded(spark.read.parquet(out).select("event_id", *sensors))
+
+
 @query("stream_etl_stats", f"""WITH {PLANT_SQL} SELECT count(*)::BIGINT AS rows_in, count(*) FILTER (WHERE {_OK}) AS rows_out,
   count(*) FILTER (WHERE NOT ({_OK})) AS rows_rejected, count(*) FILTER (WHERE {_OK} AND isinf(mystery)) AS inf_replaced,
   3::BIGINT AS batches FROM plant""")
@@ -643,16 +657,20 @@ def _(spark, sf):
 
 @query("stream_features", """SELECT event_id, round(lag(value, 1) OVER w, 6) AS value_lag_1, round(lag(value, 20) OVER w, 6) AS value_lag_20,
   round(lag(value, 1) OVER w - lag(value, 6) OVER w, 6) AS value_diff_5, round(avg(value) OVER r, 6) AS value_rolling_mean_10,
-  round(stddev_samp(value) OVER r, 6) AS value_rolling_std_10, round(10 + 0.5 * lag(value, 1) OVER w, 6) AS prediction
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
+  round(stddev_samp(value) OVER r, 6) AS value_rolling_std_10, round(b + s * lag(value, 1) OVER w, 6) AS prediction
+FROM events, (SELECT regr_slope(value, x) AS s, regr_intercept(value, x) AS b FROM (SELECT value,
+  lag(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events)) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
   r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
-    """Online scoring: state → features → a (fixed linear) model per micro-batch."""
+    """Online scoring: state → features → the model fitted on batch features, per micro-batch."""
+    from plantloom.operators.timeseries import lag_features
+
     _stateful(spark)
     e = events(spark, sf).select("event_id", "ts", "user_id", "value")
+    beta = linear.fit_ols(lag_features(e, "value", TIME, ["user_id"]), ["value_lag_1"], "value")
     out, log = scratch_path(spark, "scored"), scratch_path(spark, "scored-log")
     predict = lambda b: b.withColumn(
-        "prediction", linear.linear_expr(["value_lag_1"], [10.0, 0.5]))
+        "prediction", linear.linear_expr(["value_lag_1"], beta))
     _arriving(e, "event-files", 2, lambda src: etl.score_stream(
         stateful.lag_stream(src, "value", ["user_id"], TIME), predict, out, log))
     cols = ["value_lag_1", "value_lag_20", "value_diff_5", "value_rolling_mean_10",

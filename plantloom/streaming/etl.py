@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plantloom.functions.names import PhysicalRules, col
 from plantloom.functions.safe import finite, is_infinite
+from plantloom.operators.clean import impute
 from plantloom.operators.validate import RULES, validate_rows
 
 
@@ -33,8 +34,14 @@ def run_stream_etl(
     skip: Sequence[str] = (),
     fill_value: float | None = None,
     wait: bool = True,
+    strategy: str | None = None,
+    order: Sequence[str] = (),
+    series: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Validate → replace infinities (→ fill) → append; one statistics row per micro-batch.
+    """Validate → clean → append; one statistics row per micro-batch.
+
+    Infinities become missing. A ``strategy`` of ``operators.clean`` fills missing values from
+    the rows of the same micro-batch, and ``fill_value`` what is still missing.
 
     The checkpoint makes a restart resume after the last finished batch.  Both outputs are
     written below a batch folder in overwrite mode, so a batch that is run again after a
@@ -48,6 +55,8 @@ def run_stream_etl(
         cleaned = Observation(f"clean_{batch_id}")
         kept = kept.observe(cleaned, infs.cast("long").alias("inf_replaced"))
         out = kept.withColumns({c: finite(col(c)) for c in columns})
+        if strategy is not None:
+            out = impute(out, columns, strategy, order, series)
         if fill_value is not None:
             out = out.withColumns({c: F.coalesce(col(c), F.lit(fill_value)) for c in columns})
         out.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
