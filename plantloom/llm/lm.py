@@ -14,9 +14,9 @@ from plantloom.llm.common import held_out, q, stored, table
 from plantloom.llm.ppm import END, GAP, ORDER, Trie, tally
 from plantloom.llm.shingles import in_parts, sentence_hashes
 
-HELD = 400_000  # words that a task counts before it hands them on
+HELD = 200_000  # words that a task counts before it hands them on
 COMMON = 400_000  # most frequent words that every task holds; the others are joined
-EDGES = 4_000_000  # edges of the trie that every task holds
+EDGES = 1_000_000  # edges of the trie that every task holds
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -55,6 +55,27 @@ def _edges(batches):
                     names=["k", "code", "n"])
 
 
+def pruned(edges: DataFrame, most: int) -> DataFrame:
+    """The edges (k, code, n) of a trie of at most ``most`` edges, or else of order 1.
+
+    Contexts of 2 or more bytes go if they were seen less often than a power of two, the smallest
+    that suffices; a context's suffixes were seen at least as often, so they stay with it.
+    """
+    edges = edges.withColumn("ctx", F.shiftright("code", 8))
+    contexts = edges.groupBy("k", "ctx").agg(F.sum("n").alias("seen"), F.count("*").alias("q"))
+    sizes = contexts.groupBy(
+        (F.col("k") >= 2).alias("long"), F.floor(F.log2("seen")).cast("int").alias("bits")
+    ).agg(F.sum("q").alias("q")).collect()
+    room = most - sum(r.q for r in sizes if not r.long)
+    least = 0
+    while sum(r.q for r in sizes if r.long and r.bits >= least) > max(0, room):
+        least += 1
+    if not least:
+        return edges.drop("ctx")
+    kept = contexts.where((F.col("k") < 2) | (F.col("seen") >= F.lit(1 << least)))
+    return edges.join(kept.select("k", "ctx"), ["k", "ctx"], "left_semi").drop("ctx")
+
+
 class Known(dict):
     """Word → place in the arrays of common words; missing ones give -1."""
 
@@ -75,10 +96,13 @@ def _score_rows(batches, common, base_end: float, end_known: int):
     place = Known(zip(words, range(len(words)), strict=True))
     score = np.append(score, 0.0)  # of place -1
     row = TaskContext.get().partitionId() << 40
+    rare = pa.list_(pa.struct([("w", pa.binary()), ("times", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), rare, pa.list_(pa.struct(
+        [("h", pa.int64()), ("score", pa.float64()), ("rare", rare)]))]
     for batch in batches:
-        out = []
         held = batch.column(1).to_pylist()
         for first, part in in_parts(batch.column(2).to_pylist()):
+            out = []
             hashes, count, edge = sentence_hashes(part)
             hashes = hashes.view("int64")
             for i, text in enumerate(part):
@@ -101,14 +125,11 @@ def _score_rows(batches, common, base_end: float, end_known: int):
                             float(base[hit].sum()) + base_end,
                             _listed(Counter(own[j] for j in np.flatnonzero(at < 0))), sentences))
                 row += 1
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        rare = pa.list_(pa.struct([("w", pa.binary()), ("times", pa.int64())]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), rare, pa.list_(pa.struct(
-            [("h", pa.int64()), ("score", pa.float64()), ("rare", rare)]))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1),
-             *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-            names=["_id", "held_out", "row", "n_tokens", "known", "base", "rare", "sentences"])
+            own = batch.slice(first, len(part))
+            yield pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(1),
+                 *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]],
+                names=["_id", "held_out", "row", "n_tokens", "known", "base", "rare", "sentences"])
 
 
 def ppm_scores(
@@ -125,7 +146,7 @@ def ppm_scores(
     is a symbol after a border.
 
     All sentences and all distinct words of the corpus are counted and scored as one table. Tasks hold the up to
-    400,000 most frequent words and a trie of up to 4 million edges (rarest contexts are pruned);
+    400,000 most frequent words and a trie of up to a million edges (rarest contexts are pruned);
     every other word of a document is joined with the table. NULL and empty texts are the end
     alone; NULL ids train; rows may repeat; an empty table gives an empty result.
     """
@@ -143,17 +164,20 @@ def ppm_scores(
     below = total + 0.1 * (types + 1)
 
     edges = vocab.where("c > 0").select("w", "c").mapInArrow(_edges, "k int, code long, n long")
-    edges = edges.groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
+    edges = stored(edges.groupBy("k", "code").agg(F.sum("n").alias("n")), "lm-edges")
+    kept = pruned(edges, EDGES).toArrow()
+    order, codes_of, times_of = (kept[c].to_numpy() for c in ("k", "code", "n"))
     parts = []
     for k in range(ORDER + 1):
-        own = edges[edges["k"] == k].sort_values("code")
-        codes, n = own["code"].to_numpy("int64"), own["n"].to_numpy("int64")
+        codes, n = codes_of[order == k], times_of[order == k]
+        at = np.argsort(codes)
+        codes, n = codes[at], n[at]
         if k < 2 and learned:  # the ends of the training texts
             code = END if k == 0 else GAP << 8 | END
             at = np.searchsorted(codes, code)
             codes, n = np.insert(codes, at, code), np.insert(n, at, learned)
         parts.append((codes, n))
-    trie = df.sparkSession.sparkContext.broadcast(Trie.pruned(parts, EDGES))
+    trie = df.sparkSession.sparkContext.broadcast(Trie(parts))
     score_end, base_end = trie.value.end(), float(np.log10((learned + 0.1) / below))
 
     def scored(batches):
@@ -171,9 +195,9 @@ def ppm_scores(
         if held + times[t] > COMMON:
             break
         least, held = t, held + times[t]
-    top = vocab.where(F.least("n", F.lit(10_000)) >= least).toPandas()
+    top = vocab.where(F.least("n", F.lit(10_000)) >= least).toArrow()
     common = df.sparkSession.sparkContext.broadcast((
-        [bytes(w) for w in top["w"]], (top["c"] > 0).to_numpy(), top["base"].to_numpy(),
+        top["w"].to_pylist(), top["c"].to_numpy() > 0, top["base"].to_numpy(),
         top["score"].to_numpy()))
     listed = "array<struct<w: binary, times: long>>"
     rows = stored(docs.mapInArrow(

@@ -75,22 +75,6 @@ class Trie:
             below = parts[k - 1][1][_find(parts[k - 1][0], shorter)]
             self.excluded.append(np.add.reduceat(below, first))
 
-    @classmethod
-    def pruned(cls, parts, most: int):
-        """The trie of at most about ``most`` edges: rarest contexts of 2 or more bytes go first."""
-        least = 1
-        while sum(len(c) for c, _ in parts) > most and least < 1 << 40:
-            least *= 2
-            kept = []
-            for k, (codes, n) in enumerate(parts):
-                if k >= 2 and len(n):
-                    _, first, at = np.unique(codes >> 8, return_index=True, return_inverse=True)
-                    keep = np.add.reduceat(n, first)[at] >= least
-                    codes, n = codes[keep], n[keep]
-                kept.append((codes, n))
-            parts = kept
-        return cls(parts)
-
     def log10(self, code: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each code in its context."""
         out = np.zeros(len(code))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from plantloom.llm import ppm
-from plantloom.llm.lm import op4_ppm_scores, ppm_scores
+from plantloom.llm.lm import op4_ppm_scores, ppm_scores, pruned
 from plantloom.llm.shingles import sentence_hashes
 
 from .brute import ODD_SCHEMA, odd_rows
@@ -81,12 +81,17 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1)
 
 
-def test_pruning_keeps_low_orders():
+def test_pruning_keeps_low_orders(spark):
     counts = Counter({f"w{i}".encode(): 1 + i % 3 for i in range(3000)})
-    parts = [(c, s) for _, c, s in ppm.tally(list(counts), np.array(list(counts.values())))]
-    trie = ppm.Trie.pruned(parts, 500)
-    assert len(trie.edges[0]) == len(parts[0][0]) and sum(map(len, trie.edges)) < 600
-    assert np.isfinite(trie.words([b"w1", b"never"])).all()
+    rows = [(k, int(c), int(n)) for k, codes, sums in ppm.tally(
+        list(counts), np.array(list(counts.values()))) for c, n in zip(codes, sums, strict=True)]
+    df = spark.createDataFrame(rows, "k int, code long, n long")
+    assert pruned(df, len(rows)).count() == len(rows)
+    kept = sorted(map(tuple, pruned(df, 500).select("k", "code", "n").collect()))
+    assert len(kept) <= 500 and {r for r in rows if r[0] < 2} <= set(kept)
+    parts = [(np.array([c for x, c, _ in kept if x == k], "int64"),
+              np.array([n for x, _, n in kept if x == k], "int64")) for k in range(ppm.ORDER + 1)]
+    assert np.isfinite(ppm.Trie(parts).words([b"w1", b"never"])).all()
 
 
 def test_sentences():
