@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantloom.llm.common import q, table
+from plantloom.llm.common import q, stored, table
 from plantloom.session import scratch_path
 
 # Fixed values of the format.
@@ -132,14 +132,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Records with the payload size and page id of the response that each revisit names."""
-    own = found.select("*", F.octet_length("page").cast("long").alias("bytes")).drop("page")
-    answers = own.where("record_type = 'response'").groupBy(
-        F.col("record_id").alias("original")).agg(
-        F.first("id").alias("refers_to"), F.first("bytes").alias("_bytes"))
-    return own.join(answers, "original", "left").select(
-        "id", F.coalesce("bytes", "_bytes").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    """Records with the payload size and page id of the response that each revisit names.
+
+    Only revisits are joined, by the record they name; responses have their own size.
+    """
+    own = stored(found.select("*", F.octet_length("page").cast("long").alias("bytes"))
+                 .drop("page", "url"), "warc-records")
+    answers = own.where("record_type = 'response'")
+    named = answers.groupBy(F.col("record_id").alias("original")).agg(
+        F.first("id").alias("refers_to"), F.first("bytes").alias("payload_bytes"))
+    revisits = own.where("record_type <> 'response'").join(named, "original", "left")
+    shape = ["id", "payload_bytes", "digest", "record_type", "refers_to"]
+    return answers.select(
+        "id", F.col("bytes").alias("payload_bytes"), "digest", "record_type",
+        F.lit(None).cast("string").alias("refers_to"),
+    ).union(revisits.select(*shape)).withColumnRenamed("digest", "payload_digest")
 
 
 def op8_warc_revisits(spark, sf: str) -> DataFrame:
