@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantloom.llm.common import held_out, q, stored, table
-from plantloom.llm.ppm import END, GAP, ORDER, Trie, tally
+from plantloom.llm.ppm import (
+    CODE_BITS, END, GAP, ORDER, Held, Trie, running, tally_places,
+)
 from plantloom.llm.shingles import in_parts, sentence_hashes
 
 HELD = 200_000  # words that a task counts before it hands them on
 COMMON = 400_000  # most frequent words that every task holds; the others are joined
-EDGES = 1_000_000  # edges of the trie that every task holds
+PLACES = 1 << 22  # places of bytes that are sorted at a time
+WINDOWS = 2_000_000  # most frequent places that every task holds; the others are joined
+PARTS = 4  # of the training rows; each is scored by the bytes of the others
+GROUP = 100_000  # distinct places whose part of the trie is built at a time
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -45,19 +50,97 @@ def _word_counts(batches):
     yield flush()
 
 
-def _edges(batches):
+def _place_counts(batches):
+    """(key, part, times) with the part of the row, summed in the task as far as it holds."""
+    kept, times, new, size = np.zeros(0, "int64"), np.zeros(0, "int64"), [], 0
+
+    def merged():
+        keys, n = np.unique(np.concatenate(new), return_counts=True)
+        keys, n = np.concatenate([kept, keys]), np.concatenate([times, n])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.add.reduceat(n, first)
+
+    def rows():
+        for a in range(0, len(kept), 200_000):
+            key = kept[a: a + 200_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key >> 3), pa.array((key & 7).astype("int32")),
+                 pa.array(times[a: a + 200_000])], names=["key", "part", "n"])
+
     for batch in batches:
-        words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for a in range(0, len(words), 50_000):
-            for k, codes, sums in tally(words[a: a + 50_000], counts[a: a + 50_000]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), k, "int32")), pa.array(codes), pa.array(sums)],
-                    names=["k", "code", "n"])
+        parts = batch.column(1).to_numpy().astype("int64")
+        for first, part in in_parts(batch.column(0).to_pylist()):
+            _, key, start = running(part)
+            sizes = np.diff(np.append(start, len(key)))
+            new.append((key << 3 | np.repeat(parts[first: first + len(part)], sizes))[key >= 0])
+            size += len(key)
+            if size > PLACES:
+                kept, times = merged()
+                new.clear()
+                size = 0
+                if len(kept) > PLACES:
+                    yield from rows()
+                    kept, times = kept[:0], times[:0]
+    if new:
+        kept, times = merged()
+    yield from rows()
+
+
+def place_scores(places: DataFrame) -> DataFrame:
+    """``key, part, n, score`` of places (key, part, n): log10 of each symbol in its context.
+
+    Part 0, the held-out rows, is scored by the whole trie of the other parts; each other part by
+    that of all but part 0 and itself. Tries are built by groups of contexts: contexts that share
+    their last two bytes are met by places with these bytes alone, so a group of such pairs holds
+    all their edges. Contexts of at most one byte are the same 65,536 edges at most for all groups.
+    """
+    pair = F.col("key").bitwiseAND((1 << 16) - 1).alias("code")
+    low = places.where("part > 0").groupBy(pair, "part").agg(F.sum("n").alias("n")).toArrow()
+    low = [low[x].to_numpy().astype("int64") for x in ("code", "part", "n")]
+    groups = 200 + places.count() // GROUP
+
+    def learned(code, depth, part, n, without, orders):
+        own = (part > 0) & (part != without)
+        return [(codes, sums) for _, codes, sums in
+                tally_places(code[own], depth[own], n[own], orders)]
+
+    short = [learned(low[0], np.ones(len(low[0])), *low[1:], without, (0, 1))
+             for without in range(PARTS + 1)]
+
+    def scored(t: pa.Table) -> pa.Table:
+        key, part, n = (t[x].to_numpy() for x in ("key", "part", "n"))
+        code, depth = key & ((1 << CODE_BITS) - 1), key >> CODE_BITS
+        score = np.zeros(len(key))
+        for p in np.unique(part):
+            long = learned(code, depth, part, n, p, range(2, ORDER + 1))
+            own = part == p
+            score[own] = Trie([*short[p], *long]).log10(code[own], depth[own])
+        return pa.table({"key": key, "part": part, "n": n, "score": score})
+
+    ends = F.shiftright("key", 8).bitwiseAND((1 << 16) - 1)
+    return places.withColumn("_group", F.pmod(F.xxhash64(ends), F.lit(groups))).groupBy(
+        "_group").applyInArrow(scored, "key long, part int, n long, score double")
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest ``n``, at most ``most``; rows of equal ``n`` stay or go together."""
+    times = {r.t: r["count"] for r in counted.groupBy(
+        F.least("n", F.lit(10_000)).alias("t")).count().collect()}
+    least, held = 10_001, 0
+    for t in sorted(times, reverse=True):
+        if held + times[t] > most:
+            break
+        least, held = t, held + times[t]
+    return counted.where(F.least("n", F.lit(10_000)) >= least)
 
 
 def pruned(edges: DataFrame, most: int) -> DataFrame:
     """The edges (k, code, n) of a trie of at most ``most`` edges, or else of order 1.
 
+    No query uses it: ``place_scores`` keeps all edges.
+
     Contexts of 2 or more bytes go if they were seen less often than a power of two, the smallest
     that suffices; a context's suffixes were seen at least as often, so they stay with it.
     """
@@ -87,49 +170,78 @@ def _listed(rare: Counter) -> list[dict]:
     return [{"w": w, "times": n} for w, n in rare.items()]
 
 
-def _score_rows(batches, common, base_end: float, end_known: int):
-    """One row per document: sums over its common words, its other words, and its sentences.
+def _sentences(part: list[bytes], owner: np.ndarray, held: Held, scores: np.ndarray):
+    """Of some texts: (list of sentences per text, score of the end, key of the end if not held).
 
-    Of a held-out document each sentence has the score of its common words and its other words.
+    A sentence stands once per text with its times ``own``, the summed score of its held places
+    and the keys of the others. ``owner`` is the part of each text.
     """
-    words, known, base, score = common.value
+    hashes, count, edge = sentence_hashes(part)
+    data, key, start = running(part)
+    at = held.find(key)
+    miss = np.flatnonzero((at < 0) & (key >= 0))
+    end = np.append(start[1:], len(data)) - 1
+    score = scores[at, np.repeat(owner, np.diff(np.append(start, len(data))))]
+    of_text = np.diff(edge)
+    begin = np.zeros(len(count), "int64")
+    if len(count):
+        border = np.flatnonzero((data == GAP) & (key >= 0))
+        begin[1:] = border[np.cumsum(count)[:-1] - 1] + 1
+        begin[edge[:-1][of_text > 0]] = start[of_text > 0] + 1
+    bounds = np.sort(np.concatenate([begin, end]))
+    sums = np.add.reduceat(score, bounds)[np.searchsorted(bounds, begin)]
+    text = np.repeat(np.arange(len(part)), of_text)
+    hashes = hashes.view("int64")
+    order = np.lexsort((hashes, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(text[order]) != 0) | (np.diff(hashes[order]) != 0)
+    first = np.flatnonzero(new)
+    place = np.empty(len(order), "int64")
+    place[order] = np.cumsum(new) - 1
+    own = np.diff(np.append(first, len(order)))
+    total = np.add.reduceat(sums[order], first) if len(first) else sums
+    open_end = np.zeros(len(data), bool)
+    open_end[miss] = True
+    miss = miss[data[miss] != END]
+    to = place[np.searchsorted(begin, miss, "right") - 1]
+    by = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[by], np.arange(len(first) + 1)).astype("int32")
+    rare = pa.ListArray.from_arrays(pa.array(edges), pa.array(key[miss[by]]))
+    each = pa.StructArray.from_arrays(
+        [pa.array(hashes[order][first]), pa.array(own), pa.array(total), rare],
+        names=["h", "own", "score", "rare"])
+    edges = np.searchsorted(text[order][first], np.arange(len(part) + 1)).astype("int32")
+    return (pa.ListArray.from_arrays(pa.array(edges), each), pa.array(score[end]),
+            pa.array(key[end], mask=~open_end[end]))
+
+
+def _score_rows(batches, common, places, base_end: float, end_known: int):
+    """One row per document: sums over its common words, its other words, and its sentences."""
+    held, scores = places.value
+    words, known, base = common.value
     place = Known(zip(words, range(len(words)), strict=True))
-    score = np.append(score, 0.0)  # of place -1
     row = TaskContext.get().partitionId() << 40
     rare = pa.list_(pa.struct([("w", pa.binary()), ("times", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), rare, pa.list_(pa.struct(
-        [("h", pa.int64()), ("score", pa.float64()), ("rare", rare)]))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), rare]
     for batch in batches:
-        held = batch.column(1).to_pylist()
+        owner = batch.column(3).to_numpy()
         for first, part in in_parts(batch.column(2).to_pylist()):
             out = []
-            hashes, count, edge = sentence_hashes(part)
-            hashes = hashes.view("int64")
-            for i, text in enumerate(part):
+            for text in part:
                 own = text.split()
                 at = np.fromiter(map(place.__getitem__, own), "int64", len(own))
                 hit = at[at >= 0]
-                sentences = []
-                word = 0
-                for k in range(edge[i], edge[i + 1]) if held[first + i] else ():
-                    here = slice(word, word + count[k])
-                    word += count[k]
-                    sentences.append({
-                        "h": hashes[k], "score": float(score[at[here]].sum()),
-                        "rare": _listed(Counter(own[j] for j in range(here.start, here.stop)
-                                                if at[j] < 0))})
-                if not held[first + i]:
-                    sentences = [{"h": h, "score": 0.0, "rare": None}
-                                 for h in hashes[edge[i]: edge[i + 1]]]
                 out.append((row, len(own) + 1, int(known[hit].sum()) + end_known,
                             float(base[hit].sum()) + base_end,
-                            _listed(Counter(own[j] for j in np.flatnonzero(at < 0))), sentences))
+                            _listed(Counter(own[j] for j in np.flatnonzero(at < 0)))))
                 row += 1
             own = batch.slice(first, len(part))
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1),
-                 *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]],
-                names=["_id", "held_out", "row", "n_tokens", "known", "base", "rare", "sentences"])
+                [own.column(0), own.column(1), own.column(3),
+                 *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                 *_sentences(part, owner[first: first + len(part)], held, scores)],
+                names=["_id", "held_out", "part", "row", "n_tokens", "known", "base", "rare", "sentences",
+                       "end", "end_key"])
 
 
 def ppm_scores(
@@ -139,21 +251,28 @@ def ppm_scores(
 
     Rows whose crc32(id as text) is divisible by ``folds`` are held out; the others train. A text,
     A-Z lower-cased, is its words and one end. ``base_score`` is its log10 probability under
-    add-0.1 word counts. ``score`` is that under prediction by partial matching. A sentence of the
-    training texts is one symbol of the longest level (its count over total plus distinct); any
-    other escapes to its words: each word's bytes and its border are coded in contexts of up to 6
-    bytes that reach back to the border before the word, with escapes and symbol exclusion. The end
-    is a symbol after a border.
-
-    All sentences and all distinct words of the corpus are counted and scored as one table. Tasks hold the up to
-    400,000 most frequent words and a trie of up to a million edges (rarest contexts are pruned);
-    every other word of a document is joined with the table. NULL and empty texts are the end
-    alone; NULL ids train; rows may repeat; an empty table gives an empty result.
+    add-0.1 word counts. ``score`` is that under prediction by partial matching. A sentence that
+    other training texts hold is one symbol of the longest level (its count over total plus
+    distinct; a training text's own sentences do not count for it). Any other escapes to its bytes,
+    each word with the border after it, in contexts of up to 6 bytes that reach back over words
+    and sentences to the start of the text, with escapes and symbol exclusion. The end is the last
+    byte. For a held-out text the trie holds the bytes of all training texts. These are dealt to 4
+    parts by their id; for one of them it holds those of the 3 other parts, so that a text never
+    foretells its own bytes.
+
+    All sentences, words and distinct places (a byte in its longest context) of the corpus are
+    counted as tables, and each distinct place is scored once in the whole trie. Tasks hold the up
+    to 400,000 most frequent words and 2 million most frequent places; the others of a document
+    are joined. NULL and empty texts are the end alone; NULL ids train; rows may repeat; an empty
+    table gives an empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
     out = held_out(q(id_col), folds)
     docs = df.select(q(id_col).alias("_id"), out.alias("held_out"),
-                     q(text_col).cast("string").alias("_text"))
+                     q(text_col).cast("string").alias("_text"),
+                     F.when(out, 0).otherwise(F.coalesce(F.floor(F.crc32(
+                         q(id_col).cast("string").cast("binary")) / folds) % PARTS, F.lit(0)) + 1)
+                     .cast("int").alias("_part"))
     vocab = stored(
         docs.select("_text", ~F.col("held_out")).mapInArrow(_word_counts, "w binary, c long, n long")
         .groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
@@ -163,71 +282,61 @@ def ppm_scores(
     types = (sums.v or 0) + (learned > 0)
     below = total + 0.1 * (types + 1)
 
-    edges = vocab.where("c > 0").select("w", "c").mapInArrow(_edges, "k int, code long, n long")
-    edges = stored(edges.groupBy("k", "code").agg(F.sum("n").alias("n")), "lm-edges")
-    kept = pruned(edges, EDGES).toArrow()
-    order, codes_of, times_of = (kept[c].to_numpy() for c in ("k", "code", "n"))
-    parts = []
-    for k in range(ORDER + 1):
-        codes, n = codes_of[order == k], times_of[order == k]
-        at = np.argsort(codes)
-        codes, n = codes[at], n[at]
-        if k < 2 and learned:  # the ends of the training texts
-            code = END if k == 0 else GAP << 8 | END
-            at = np.searchsorted(codes, code)
-            codes, n = np.insert(codes, at, code), np.insert(n, at, learned)
-        parts.append((codes, n))
-    trie = df.sparkSession.sparkContext.broadcast(Trie(parts))
-    score_end, base_end = trie.value.end(), float(np.log10((learned + 0.1) / below))
-
-    def scored(batches):
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(trie.value.words(words))], names=["w", "c", "n", "score"])
-
-    vocab = stored(vocab.mapInArrow(scored, "w binary, c long, n long, score double").withColumn(
-        "base", F.log10((F.col("c") + 0.1) / below)), "lm-scored")
-    times = {r.t: r["count"] for r in vocab.groupBy(
-        F.least("n", F.lit(10_000)).alias("t")).count().collect()}
-    least, held = 10_001, 0
-    for t in sorted(times, reverse=True):
-        if held + times[t] > COMMON:
-            break
-        least, held = t, held + times[t]
-    top = vocab.where(F.least("n", F.lit(10_000)) >= least).toArrow()
+    base_end = float(np.log10((learned + 0.1) / below))
+    places = stored(
+        docs.select("_text", "_part").mapInArrow(_place_counts, "key long, part int, n long")
+        .groupBy("key", "part").agg(F.sum("n").alias("n")), "lm-places")
+    places = stored(place_scores(places), "lm-scored")
+    by_part = [F.max(F.when(F.col("part") == p, F.col("score"))).alias(f"s{p}")
+               for p in range(PARTS + 1)]
+    top = most_frequent(stored(places.groupBy("key").agg(F.sum("n").alias("n"), *by_part),
+                               "lm-frequent"), WINDOWS).orderBy(F.desc("n")).drop("n").toArrow()
+    scores = np.zeros((len(top) + 1, PARTS + 1))  # the last row is of place -1
+    for p in range(PARTS + 1):
+        scores[:-1, p] = np.nan_to_num(top[f"s{p}"].to_numpy())
+    held = df.sparkSession.sparkContext.broadcast(
+        (Held(top["key"].to_numpy().astype("int64")), scores))
+    del top, scores
+
+    vocab = vocab.withColumn("base", F.log10((F.col("c") + 0.1) / below))
+    top = most_frequent(vocab, COMMON).toArrow()
     common = df.sparkSession.sparkContext.broadcast((
-        top["w"].to_pylist(), top["c"].to_numpy() > 0, top["base"].to_numpy(),
-        top["score"].to_numpy()))
-    listed = "array<struct<w: binary, times: long>>"
+        top["w"].to_pylist(), top["c"].to_numpy() > 0, top["base"].to_numpy()))
     rows = stored(docs.mapInArrow(
-        lambda it: _score_rows(it, common, base_end, int(learned > 0)),
-        f"_id {kind}, held_out boolean, row long, n_tokens long, known long, base double,"
-        f" rare {listed}, sentences array<struct<h: long, score: double, rare: {listed}>>",
+        lambda it: _score_rows(it, common, held, base_end, int(learned > 0)),
+        f"_id {kind}, held_out boolean, part int, row long, n_tokens long, known long, base double,"
+        " rare array<struct<w: binary, times: long>>, sentences array<struct<h: long, own: long,"
+        " score: double, rare: array<bigint>>>, end double, end_key long",
     ), "lm-rows")
 
-    # Sentences: seen ones by their count, the others by an escape and their words.
-    seen = stored(rows.where("NOT held_out").select(F.explode("sentences.h").alias("h"))
-                  .groupBy("h").agg(F.count("*").alias("times")), "lm-sentences")
+    # Sentences: those of other training texts by their count, the others by an escape and bytes.
+    seen = stored(rows.where("NOT held_out").select(F.explode("sentences").alias("s"))
+                  .groupBy("s.h").agg(F.sum("s.own").alias("times")), "lm-sentences")
     size = seen.agg(F.sum("times").alias("n"), F.count("*").alias("types")).first()
-    room = max(1, (size.n or 0) + size.types)
-    escape = float(np.log10(max(1, size.types) / room))
-    each = rows.select("row", F.explode("sentences").alias("s")).select(
-        "row", "s.h", "s.score", "s.rare").join(seen, "h", "left")
-    coded = each.groupBy("row").agg(F.sum(
-        F.when(F.col("times") > 0, F.log10(F.col("times") / room))
-        .otherwise(F.col("score") + escape)).alias("_coded"))
-
-    def with_words(rare: DataFrame) -> DataFrame:
-        return rare.select("row", "r.w", "r.times").join(vocab.select("w", "c", "score", "base"), "w")
-
-    more = with_words(rows.select("row", F.explode("rare").alias("r"))).groupBy("row").agg(
+    mine = F.when(F.col("held_out"), 0).otherwise(F.col("own"))
+    each = rows.select("row", "held_out", "part", F.explode("sentences").alias("s")).select(
+        "row", "held_out", "part", "s.*").join(seen, "h", "left").withColumn(
+        "others", F.coalesce("times", F.lit(0)) - mine)
+    whole, own = F.col("others") > 0, F.col("own")
+    coded = each.groupBy("row").agg(
+        F.sum(F.when(whole, own * F.log10("others")).otherwise(F.col("score"))).alias("_coded"),
+        F.sum(F.when(whole, own).otherwise(0)).alias("_whole"),
+        F.sum(F.when(whole, 0).otherwise(own)).alias("_escaped"),
+        (F.lit(size.n or 0) - F.sum(mine)).alias("_n"),
+        (F.lit(size.types) - F.count_if(~F.col("held_out") & ~whole)).alias("_types"))
+    room = F.log10(F.greatest(F.col("_n") + F.col("_types"), F.lit(1)))
+    coded = coded.select("row", (
+        F.col("_coded") - F.col("_whole") * room
+        + F.col("_escaped") * (F.log10(F.greatest("_types", F.lit(1))) - room)).alias("_coded"))
+    more = rows.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.times").join(
+        vocab.select("w", "c", "base"), "w").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"),
         F.sum(F.col("times") * F.col("base")).alias("_base"))
-    unseen = rows.where("held_out").select("row", F.explode("sentences").alias("s")).select(
-        "row", "s.h", "s.rare").join(seen, "h", "left_anti")
-    spelled = with_words(unseen.select("row", F.explode("rare").alias("r"))).groupBy("row").agg(
-        F.sum(F.col("times") * F.col("score")).alias("_spelled"))
+    rare = each.where(~whole).select("row", "part", F.explode("rare").alias("key")).union(
+        rows.where("end_key IS NOT NULL").select("row", "part", "end_key"))
+    spelled = rare.join(places.select(
+        "key", "part", F.col("score").alias("p")), ["key", "part"]).groupBy("row").agg(
+        F.sum("p").alias("_spelled"))
     none = F.lit(0)
     return (
         rows.drop("rare", "sentences").join(more, "row", "left").join(coded, "row", "left")
@@ -236,7 +345,7 @@ def ppm_scores(
             (F.col("known") + F.coalesce("_known", none)).alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("_base", none)).alias("base_score"),
-            (F.coalesce("_coded", none) + F.coalesce("_spelled", none) + score_end)
+            (F.coalesce("_coded", none) + F.coalesce("_spelled", none) + F.col("end"))
             .alias("score")))
 
 

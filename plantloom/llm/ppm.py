@@ -1,4 +1,4 @@
-"""Prediction by partial matching over the bytes of words: trie, escapes, symbol exclusion."""
+"""Prediction by partial matching over bytes: trie, escapes, symbol exclusion."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import numpy as np
 ORDER = 6  # bytes of context
 GAP, END = 0x20, 0x0A  # word border and end of text; neither occurs in a word
 ALPHABET = 256
+CODE_BITS = 8 * (ORDER + 1)  # of a key; its depth stands above them
 
 
 def windows(words: list[bytes]):
@@ -28,11 +29,9 @@ def windows(words: list[bytes]):
     return code, depth, owner
 
 
-def tally(words: list[bytes], counts: np.ndarray):
-    """Per order: (order, distinct codes, summed counts) of the words' places."""
-    code, depth, owner = windows(words)
-    weight = np.asarray(counts, "int64")[owner]
-    for k in range(ORDER + 1):
+def tally_places(code: np.ndarray, depth: np.ndarray, weight: np.ndarray, orders=range(ORDER + 1)):
+    """Per order: (order, distinct codes, summed weights) of places."""
+    for k in orders:
         here = depth >= k
         own = code[here] & ((1 << 8 * (k + 1)) - 1)
         codes, at = np.unique(own, return_inverse=True)
@@ -41,6 +40,33 @@ def tally(words: list[bytes], counts: np.ndarray):
         yield k, codes, sums
 
 
+def tally(words: list[bytes], counts: np.ndarray):
+    """Per order: (order, distinct codes, summed counts) of the words' places."""
+    code, depth, owner = windows(words)
+    yield from tally_places(code, depth, np.asarray(counts, "int64")[owner])
+
+
+def running(texts: list[bytes]):
+    """Places of running texts: (bytes, key of each byte, first byte of each text).
+
+    A text is a border, its words with a border after each, and END; contexts reach back to its
+    first border. A key is the code with the depth above it; -1 at the first border.
+    """
+    raw = [b" " + b" ".join([*t.split(), b"\n"]) for t in texts]
+    data = np.frombuffer(b"".join(raw), "uint8")
+    sizes = np.fromiter(map(len, raw), "int64", len(raw))
+    first = np.cumsum(sizes) - sizes
+    wide = data.astype("int64")
+    key = wide | (ORDER << CODE_BITS)
+    for k in range(1, ORDER + 1):
+        key[k:] |= wide[:-k] << (8 * k)
+    for k in range(1, ORDER):
+        at = first[sizes > k] + k
+        key[at] = key[at] & ((1 << 8 * (k + 1)) - 1) | (k << CODE_BITS)
+    key[first] = -1
+    return data, key, first
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index of each key in a sorted table, -1 where it is missing."""
     if not len(table):
@@ -111,6 +137,38 @@ class Trie:
         code, depth, owner = windows(words)
         return np.bincount(owner, weights=self.log10(code, depth), minlength=len(words))
 
-    def end(self) -> float:
-        """log10 probability of the end of a text at a word border."""
-        return float(self.log10(np.array([GAP << 8 | END]), np.array([1]))[0])
+
+class Held:
+    """Keys → places in a list: hash tables of one key per slot, then a sorted rest."""
+
+    def __init__(self, keys: np.ndarray):
+        """``keys`` come most frequent first, so these are found in the first table."""
+        self.levels, at = [], np.arange(len(keys), dtype="int32")
+        for factor in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9):
+            shift = 64 - max(4, len(keys).bit_length())
+            used, first = np.unique(self._slot(keys, factor, shift), return_index=True)
+            table, value = np.full(1 << (64 - shift), -2), np.zeros(1 << (64 - shift), "int32")
+            table[used], value[used] = keys[first], at[first]
+            self.levels.append((factor, shift, table, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, at = keys[rest], at[rest]
+        order = np.argsort(keys)
+        self.keys, self.at = keys[order], at[order]
+
+    @staticmethod
+    def _slot(keys, factor: int, shift: int):
+        return ((keys.view("uint64") * np.uint64(factor)) >> np.uint64(shift)).view("int64")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in the list, -1 where it is missing or negative."""
+        out, open_ = np.full(len(keys), -1), np.flatnonzero(keys >= 0)
+        for factor, shift, table, value in self.levels:
+            own = keys[open_]
+            slot = self._slot(own, factor, shift)
+            hit = table[slot] == own
+            out[open_[hit]] = value[slot[hit]]
+            open_ = open_[~hit]
+        at = _find(self.keys, keys[open_])
+        out[open_[at >= 0]] = self.at[at[at >= 0]]
+        return out

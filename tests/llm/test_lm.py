@@ -138,3 +138,74 @@ def test_rare_words_are_joined(spark, sf, monkeypatch):
         assert b[i].n_known == r.n_known
         assert b[i].base_score == pytest.approx(r.base_score)
         assert b[i].score == pytest.approx(r.score)
+
+
+def plain_scores(docs):
+    """Scores of (id, text) rows symbol by symbol: other texts' sentences, else running bytes."""
+    def cut(text):
+        out, now = [], []
+        for w in words(text):
+            now.append(w)
+            if w[-1:] in (b".", b"!", b"?") or len(now) == 16:
+                out.append(tuple(now))
+                now = []
+        return [*out, tuple(now)] if now else out
+
+    parts_of = [1 + zlib.crc32(str(i).encode()) // 10 % 4 for i, _ in docs]
+    tries = [PlainTrie({}) for _ in range(5)]
+    learn = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs]
+    for (_, t), on, part in zip(docs, learn, parts_of, strict=True):
+        s = b" " + b"".join(w + b" " for w in words(t)) + b"\n"
+        for i in range(1, len(s)) if on else ():
+            for k in range(min(i, ppm.ORDER) + 1):
+                for p in range(5):
+                    if p != part:
+                        tries[p].next[s[i - k: i]][s[i]] += 1
+    seen = Counter(x for (_, t), on in zip(docs, learn, strict=True) if on for x in cut(t))
+    out = []
+    for (_, t), on, part in zip(docs, learn, parts_of, strict=True):
+        trie = tries[part if on else 0]
+        others = seen - Counter(cut(t)) if on else seen
+        types = len(others)
+        room = max(1, sum(others.values()) + types)
+        s, at, score = b" ", 1, 0.0
+        parts = [(x, b"".join(w + b" " for w in x)) for x in cut(t)] + [(None, b"\n")]
+        for x, raw in parts:
+            s += raw
+            if others[x]:
+                score += math.log10(others[x] / room)
+            else:
+                score += math.log10(max(1, types) / room) if x else 0
+                score += sum(trie.log10(s[max(0, i - ppm.ORDER): i], s[i]) for i in range(at, len(s)))
+            at = len(s)
+        out.append(score)
+    return out
+
+
+RUNNING = ["one two three. four five six.", "one two three. seven eight", "four five six. nine",
+           "a b. a b. c", None, "", "zq\0xv jjkw", "été là. one two three.", "b a. c d e f g",
+           "three two one. six five four.", "one two four. five six seven", "eight nine. zero"] * 2
+
+
+@pytest.mark.parametrize("places", [2_000_000, 5, 0])
+def test_running_bytes_against_dictionaries(spark, monkeypatch, places):
+    """Every text, whether trained on or not, wherever its places are looked up."""
+    from plantloom.llm import lm
+
+    monkeypatch.setattr(lm, "WINDOWS", places)
+    docs = list(enumerate(RUNNING[:-1]))
+    got = {r.doc_id: r.score for r in ppm_scores(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == pytest.approx(plain_scores(docs))
+
+
+def test_training_noise_and_word_order_show(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    ids = [i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 10]
+    text = next(t for _, t in rows if t and len(t.split()) > 60).lower().replace(".", "").split()[:16]
+    noise = " ".join("".join(chr(97 + (i * i * 7 + j * j * 13 + i * j) % 26) for j in range(len(w)))
+                     for i, w in enumerate(text))
+    more = [(ids[0], " ".join(text)), (ids[1], noise), (ids[2], " ".join(sorted(text)))]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm_scores(df).collect()}
+    assert got[ids[1]] < got[ids[0]] and got[ids[2]] != pytest.approx(got[ids[0]], rel=1e-3)
