@@ -220,8 +220,9 @@ def near_duplicates(
         f"_id {kind}, text_key long, n long, fp1 long, fp2 long, bands array<bigint>",
     ).withColumn("c", F.xxhash64("n", "fp1", "fp2")), "near-sketch")
     reps = stored(sketch.groupBy("c").agg(
-        F.min("_id").alias("_id"), F.count("*").alias("copies"), F.first("n").alias("n"),
-        F.first("bands").alias("bands")), "near-texts")
+        F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "text_key")).alias("rep"),
+        F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+    ).select("c", "rep._id", "rep.text_key", "copies", "n", "bands"), "near-texts")
 
     each = reps.where("n > 0").select("c", F.posexplode("bands").alias("band", "h"))
     buckets = each.groupBy("band", "h").agg(
@@ -231,11 +232,18 @@ def near_duplicates(
     buckets = buckets.select("b.band", "b.h", "size")
     member = each.join(buckets, ["band", "h"]).groupBy("c").agg(
         F.collect_list(F.struct("band", "h", "size")).alias("bucket"))
-    wanted = stored(member.join(reps, "c").select("c", "_id", "copies", "n", "bands", "bucket"),
-                    "near-wanted").withColumnRenamed("_id", "_rep")
+    wanted = stored(member.join(reps, "c").select(
+        "c", "_id", "text_key", "copies", "n", "bands", "bucket"), "near-wanted").select(
+        F.col("_id").alias("_rep"), F.col("text_key").alias("_rep_key"), "c", "copies", "bands",
+        "bucket", F.xxhash64("_id", "text_key").alias("_row"))
     block = F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int")
+    # One row per class, by id and text: ids repeat, and NULL ids would all meet.
+    keyed = docs.withColumn("_key", F.xxhash64("_text")).withColumn(
+        "_row", F.xxhash64("_id", "_key"))
+    same = F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_key") == F.col("_rep_key"))
+    texts = keyed.join(wanted, "_row").where(same).dropDuplicates(["_row", "c"])
     placed = (
-        docs.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")))
+        texts
         .select("c", "copies", "bands", "_text", F.explode("bucket").alias("b"))
         .select("c", "copies", "bands", "_text", "b.band", "b.h",
                 F.ceil(F.col("b.size") / BLOCK).cast("int").alias("blocks"))

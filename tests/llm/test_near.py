@@ -60,3 +60,23 @@ def test_empty(spark):
 def test_documents_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(spark, rows)
+
+
+def test_ids_that_repeat_over_different_texts(spark):
+    def near(p):
+        base = [f"{p}{i}" for i in range(60)]
+        return [" ".join(base), " ".join(base[1:]), " ".join(base[2:])]
+
+    texts = [t for p in "abcdefgh" for t in near(p)]
+    ids = [None if i % 3 == 0 else i % 4 for i in range(len(texts))]
+    rows = [*zip(ids, texts, strict=True), (ids[1], texts[1]), (ids[0], texts[0])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [sets_of(t) for _, t in rows]
+    links = jaccard_links(sets, 0.8)
+    comp, count = components(len(rows), links), Counter(x for pair in links for x in pair)
+    first = [min((rows[j][0] for j in range(len(rows))
+                  if comp[j] == c and rows[j][0] is not None), default=None) for c in comp]
+    assert Counter((r.doc_id, r.class_id, r.links) for r in got) == Counter(
+        (rows[i][0], first[i], count[i]) for i in range(len(rows)))
+    kept = first_of_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text[0] for r in kept) == list("abcdefgh")
