@@ -81,20 +81,29 @@ def _anchors(hits, word: str):
 
 
 def _aligned(hits, t: Template, idf: dict[str, float]):
-    """Alignments of a template: (start, covered share of its word weight)."""
+    """Alignments of a template: (start, covered share of its word weight).
+
+    The anchors are its rarest words of together more weight than an accepted alignment may lack.
+    """
     words, m = t.words, len(t.words)
-    a = max(range(m), key=lambda j: idf[words[j]])
     want, weight = F.array(*map(F.lit, words)), F.array(*[F.lit(idf[w]) for w in words])
     total = sum(idf[w] for w in words)
 
-    def covered(x):
+    anchors, lack = [], (1 - COVERED) * total
+    for j in sorted(range(m), key=lambda j: -idf[words[j]]):
+        anchors.append(j)
+        if sum(idf[words[k]] for k in anchors) > lack * (1 + 1e-9):
+            break
+
+    def covered(x, a):
         start = x.h.i - a
         near = F.slice(hits, F.greatest(x.k - a, F.lit(0)) + 1, F.lit(2 * m))
         share = F.aggregate(near, F.lit(0.0), lambda s, h: s + F.when(
             F.get(want, h.i - start) == h.w, F.get(weight, h.i - start)).otherwise(0.0))
         return F.struct(start.alias("start"), (share / total).alias("share"))
 
-    return F.transform(_anchors(hits, words[a]), covered)
+    return F.array_distinct(F.concat(*[
+        F.transform(_anchors(hits, words[a]), lambda x, a=a: covered(x, a)) for a in anchors]))
 
 
 def _any_within(places, start, room: int):
@@ -114,8 +123,8 @@ def scan_licenses(
 
     ``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, matches``. One
     pass keeps the positions of licence words only (words of any template). Document frequencies
-    of those words give their IDF; each template is looked up at the positions of its rarest word,
-    its other words are intersected by relative position, and it matches where at least 80 % of its
+    of those words give their IDF; each template is looked up at the positions of as many of its
+    rarest words as make up over 20 % of its IDF weight, its other words are intersected by relative position, and it matches where at least 80 % of its
     IDF weight stands in place and each key phrase stands inside it without a gap. Base phrases
     count at every exact place. ``labels`` are the base labels and those of matching templates;
     ``score`` is the best share of an accepted match; ``matches`` lists (label, start, share).

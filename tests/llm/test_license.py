@@ -55,3 +55,13 @@ def test_odd_rows(spark):
     assert len(got) == len(odd_rows())
     assert all(r.labels == "" and r.score == 0 and r.first_word is None for r in got)
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_near_copies_without_the_rarest_word(spark):
+    exact = ("permission is hereby granted free of charge to any person obtaining a copy of this"
+             " software and associated documentation files")
+    texts = [exact] * 2 + [exact.replace("obtaining", "getting")] * 5 + ["plain words"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(df).collect()}
+    assert all(got[i].labels == "mit" and len(got[i].matches) == 1 for i in range(7))
+    assert got[0].score > 0.999 and 0.8 <= got[2].score < 0.999 and got[7].labels == ""
