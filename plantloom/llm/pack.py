@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plantloom.llm.common import q, stored, table
 
 END = b"\0\0\0\0"  # id 0 after each document
+ADDED = "<|endoftext|>"  # the vocabulary's added token; its id follows the ranks
 REMEMBERED = 300_000  # words whose ids a Python worker keeps at a time
 BUCKET_TOKENS = 1 << 24  # tokens that one task packs
 
@@ -34,7 +35,9 @@ class WordIds(dict):
     """Word → its ids as little-endian 32-bit numbers; unseen words are encoded."""
 
     def __init__(self, path: str | None):
-        self.encode = _encoder(path).encode_ordinary
+        encoder = _encoder(path)
+        self.encode = encoder.encode_ordinary
+        self.added = np.asarray(encoder.max_token_value + 1, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -43,6 +46,10 @@ class WordIds(dict):
         return ids
 
     def document(self, text: str) -> bytes:
+        """Ids of a text and the end; the added token stands for itself wherever it occurs."""
+        return self.added.join(map(self.ordinary, text.split(ADDED))) + END
+
+    def ordinary(self, text: str) -> bytes:
         """Ids of a text. A cut before a space that a visible character follows is a token border."""
         head, *rest = text.split(" ")
         words = [head]
@@ -51,7 +58,7 @@ class WordIds(dict):
                 words.append(" " + part)
             else:
                 words[-1] += " " + part
-        return b"".join(map(self.__getitem__, words)) + END
+        return b"".join(map(self.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)

@@ -90,3 +90,14 @@ def test_odd_rows(spark, tokenizer):
     assert count[1, 0] == 2 and count[None, 0] == 1 and count[2, 0] == 1
     assert sum(r.length for r in got if r.doc_id == 3) == 1
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_added_token(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|> y <|endoftext|><|endoftext|>\n",
+             "<|endoftext|", "<|endof<|endoftext|>text|>"]
+    for t in texts:
+        ids = np.frombuffer(WordIds(None).document(t), "<u4").tolist()
+        assert ids == [*plain.encode(t, add_special_tokens=False).ids, 0], t
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(dict(enumerate(texts)), pack_documents(df, size=4).collect(), plain, 4)
