@@ -9,6 +9,7 @@ from plantloom.llm.lm import op4_ppm_scores
 from plantloom.llm.mix import op2_mix_sources
 from plantloom.llm.near import op3_ngram_jaccard_join
 from plantloom.llm.pack import op9_best_fit_packing
+from plantloom.llm.phrases import OP13_SQL, op13_collocations
 from plantloom.llm.shard import op1_kd_shards
 from plantloom.llm.topk import OP5_SQL, op5_ball_tree_topk
 from plantloom.llm.warc import op8_warc_revisits
@@ -24,6 +25,10 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_mixture": op10_language_mixture,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op5_ball_tree_topk": OP5_SQL}
+ORACLES: dict[str, str] = {
+    "op5_ball_tree_topk": OP5_SQL,
+    "op13_collocations": OP13_SQL,
+}

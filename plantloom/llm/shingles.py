@@ -32,9 +32,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return row(_BASE), row(pow(_BASE, -1, 1 << 64))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hash) of every word of a byte buffer that starts and ends with white space."""
-    gap = SPACES[data]
+def word_hashes(data: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of every word of a byte buffer that starts and ends with a gap."""
+    gap = gaps[data]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     up, down = _powers(max(1 << 21, 1 << len(data).bit_length()))
