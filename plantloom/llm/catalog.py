@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plantloom.llm.graph import op6_robust_graph
 from plantloom.llm.lang import op10_language_mixture
+from plantloom.llm.lexical import OP12_SQL, op12_lexical_search
 from plantloom.llm.license import op7_license_scan
 from plantloom.llm.lm import op4_ppm_scores
 from plantloom.llm.mix import op2_mix_sources
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_mixture": op10_language_mixture,
+    "op12_lexical_search": op12_lexical_search,
     "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op5_ball_tree_topk": OP5_SQL,
+    "op12_lexical_search": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
