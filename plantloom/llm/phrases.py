@@ -12,13 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantloom.llm.common import q, stored, table
-from plantloom.llm.hattrie import COUNT, EDGES, KEY, HatTrie
+from plantloom.llm.hattrie import COUNT, EDGES, HatTrie
 from plantloom.llm.shingles import mixed, word_hashes
 
 LONGEST = 5  # words of a phrase
 BITS = 26  # of the hash that a frequent phrase's bit stands at: 8 MB, whatever the corpus
 CHUNK = 1 << 22  # bytes of text that are cut into words at a time
 WORDS_HELD = 250_000  # distinct words that a task holds before it hands them on
+PLACES = 1 << 22  # word pairs whose codes are sorted at a time, and distinct ones that are held
+PART_PAIRS = 1 << 22  # word pairs of the corpus that one merge of runs meets
 BORDERS = np.zeros(256, bool)
 BORDERS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAPS = BORDERS.copy()
@@ -124,18 +126,88 @@ def _marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).view("int64")] >> (at & np.uint64(7)).astype("uint8")) & 1 > 0
 
 
-def _phrase_counts(batches, frequent):
-    """Sorted runs (prefix, left, right, key, n) that the task's trie spills."""
+def _pair_runs(batches, frequent, part_bits: int):
+    """Sorted runs of codes of word pairs: (prefix of the code, rests as steps, occurrences).
+
+    A code is the top 32 + ``part_bits`` bits of a pair's key. Pairs that share one count together,
+    so a run has no lower counts than the pairs.
+    """
+    bits = [np.frombuffer(x, "uint8") for x in frequent.value]
+    codes, times, new, size = np.zeros(0, "uint64"), np.zeros(0, "int64"), [], 0
+
+    def merged():
+        fresh, n = np.unique(np.concatenate(new), return_counts=True)
+        both = np.concatenate([codes, fresh])
+        order = np.argsort(both, kind="stable")
+        both, n = both[order], np.concatenate([times, n])[order]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        return both[first], np.add.reduceat(n, first)
+
+    def rows():
+        part = (codes >> np.uint64(32)).view("int64")
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(first, [*first[1:], len(part)], strict=False):
+            rest = codes[a:b].astype("uint32")
+            step = np.diff(rest, prepend=np.uint32(0)).astype("<u4")
+            planes = [step.view("uint8").reshape(-1, 4).T.tobytes(),
+                      times[a:b].astype("<u4").view("uint8").reshape(-1, 4).T.tobytes()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[a])], pa.int64()), *(pa.array([x]) for x in planes)],
+                names=["part", "steps", "times"])
+
+    for batch in batches:
+        for words in _segments(batch.column(0), batch.column(1).to_pylist()):
+            _, _, ids, piece, _ = _words(words)
+            if len(ids) < 2:
+                continue
+            _, left, right = _spelled(ids, piece, bits)
+            new.append(joined(left, right) >> np.uint64(32 - part_bits))
+            size += len(left)
+            if size > PLACES:
+                codes, times = merged()
+                new.clear()
+                size = 0
+                if len(codes) > PLACES:
+                    yield from rows()
+                    codes, times = codes[:0], times[:0]
+    if new and size:
+        codes, times = merged()
+    yield from rows()
+
+
+def _frequent_pairs(docs: DataFrame, held, total: int, least: int) -> DataFrame:
+    """Keys, right in their top bits, of all word pairs that may occur ``least`` times."""
+    part_bits = min(30, max(6, (total // PART_PAIRS).bit_length()))
+
+    def merge(part: pa.Table) -> pa.Table:
+        def column(name):
+            return [np.frombuffer(x.as_buffer(), "uint8").reshape(4, -1).T.copy().view("<u4").ravel()
+                    for x in part[name]]
+
+        rest = np.concatenate([np.cumsum(x, dtype="uint32") for x in column("steps")])
+        times = np.concatenate(column("times")).astype("int64")
+        order = np.argsort(rest, kind="stable")
+        rest, times = rest[order], times[order]
+        first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
+        kept = rest[first][np.add.reduceat(times, first) >= least].astype("uint64")
+        top = np.uint64(part["part"][0].as_py()) << np.uint64(64 - part_bits)
+        return pa.table({"key": pa.array((top | kept << np.uint64(32 - part_bits)).view("int64"))})
+
+    runs = docs.mapInArrow(lambda it: _pair_runs(it, held, part_bits),
+                           "part long, steps binary, times binary")
+    return runs.groupBy("part").applyInArrow(merge, "key long")
+
+
+def _phrase_counts(batches, frequent, pairs):
+    """Sorted runs (left, right, n) that the task's trie spills."""
     trie, bitmaps = HatTrie(), [np.frombuffer(x, "uint8") for x in frequent.value]
+    pairs = np.frombuffer(pairs.value, "uint8")
 
     def rows(run):
-        path = joined(run[:, 0].view("uint64"), run[:, EDGES - 1].view("uint64")).view("int64")
         for a in range(0, len(run), 100_000):
-            own = run[a: a + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(x)) for x in (
-                    path[a: a + 100_000], *(own[:, j] for j in (EDGES, EDGES + 1, KEY, COUNT)))],
-                names=["prefix", "left", "right", "key", "n"])
+                [pa.array(np.ascontiguousarray(run[a: a + 100_000, j]))
+                 for j in (EDGES, EDGES + 1, COUNT)], names=["left", "right", "n"])
 
     for batch in batches:
         for part in _segments(batch.column(0), batch.column(1).to_pylist()):
@@ -143,15 +215,26 @@ def _phrase_counts(batches, frequent):
             if len(ids) <= len(bitmaps):
                 continue
             here, left, right = _spelled(ids, piece, bitmaps)
+            key = joined(left, right)
+            if len(bitmaps) == 1:
+                own = _marked(pairs, key)
+                here, left, right, key = here[own], left[own], right[own], key[own]
             path = [ids[here + j].view("int64") for j in range(EDGES)]
-            trie.add(path, left.view("int64"), right.view("int64"),
-                     joined(left, right).view("int64"))
+            trie.add(path, left.view("int64"), right.view("int64"), key.view("int64"))
             for run in trie.spilled():
                 yield from rows(run)
     for run in trie.spilled(rest=True):
         yield from rows(run)
 
 
+def _keyed(batches):
+    for batch in batches:
+        left, right = (batch.column(j).to_numpy().view("uint64") for j in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(joined(left, right).view("int64")), *batch.columns],
+            names=["key", "left", "right", "f"])
+
+
 def _bitmap(spark, frequent: DataFrame):
     """One bit for each value of the top bits of the keys; its size is the same for any corpus."""
     place = F.shiftrightunsigned("key", 64 - BITS) + 1
@@ -173,7 +256,9 @@ def count_phrases(
     the phrase without its last and first word. A phrase is only counted where both of these are
     frequent, so no frequent one is missed: its parts are at least as frequent. Tasks know the
     frequent ones by a bitmap of 8 MB, in which a rare one may be marked, never a frequent one not.
-    Each task counts in a HAT-trie and spills sorted runs, summed per prefix of two words.
+    Most pairs of words are rare, so runs of short codes, merged per prefix of the code, mark those
+    that may be frequent first. Each task counts in a HAT-trie and spills its subtrees as sorted
+    runs, which are summed per prefix: the pair, or the phrase without its last word.
     Keys are 64-bit hashes of words and language; a phrase is told apart by those of both its
     parts.
     """
@@ -193,15 +278,20 @@ def count_phrases(
     while len(levels) < longest:
         bitmaps.append(_bitmap(spark, levels[-1]))
         held = spark.sparkContext.broadcast(bitmaps)
-        runs = docs.mapInArrow(lambda it, held=held: _phrase_counts(it, held),
-                               "prefix long, left long, right long, key long, n long")
-        counted = runs.repartition("prefix").groupBy("prefix", "left", "right", "key").agg(
-            F.sum("n").alias("f")).where(F.col("f") >= least)
+        if len(levels) == 1:
+            total = sizes.agg(F.sum("n")).first()[0] or 0
+            pairs = spark.sparkContext.broadcast(_bitmap(spark, stored(
+                _frequent_pairs(docs, held, total, least), "phrase-pairs")))
+        runs = docs.mapInArrow(lambda it, held=held, pairs=pairs: _phrase_counts(it, held, pairs),
+                               "left long, right long, n long")
+        runs = runs if len(levels) == 1 else runs.repartition("left")
+        counted = runs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(
+            F.col("f") >= least).mapInArrow(_keyed, "key long, left long, right long, f long")
         a = levels[-1].select(F.col("key").alias("left"), "lang", F.col("phrase").alias("begin"),
                               "heads", F.col("f").alias("f_left"))
         b = levels[-1].select(F.col("key").alias("right"), "last", "tails",
                               F.col("f").alias("f_right"))
-        level = stored(counted.drop("prefix").join(a, "left").join(b, "right").select(
+        level = stored(counted.join(a, "left").join(b, "right").select(
             "key", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f",
             F.concat("heads", F.array("f_left")).alias("heads"),
             F.concat("tails", F.array("f_right")).alias("tails"), "left", "right"), "phrases")
