@@ -11,6 +11,7 @@ from plantloom.llm.mix import op2_mix_sources
 from plantloom.llm.near import op3_ngram_jaccard_join
 from plantloom.llm.pack import op9_best_fit_packing
 from plantloom.llm.phrases import OP13_SQL, op13_collocations
+from plantloom.llm.private import op11_sanitise
 from plantloom.llm.shard import op1_kd_shards
 from plantloom.llm.topk import OP5_SQL, op5_ball_tree_topk
 from plantloom.llm.warc import op8_warc_revisits
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_mixture": op10_language_mixture,
+    "op11_sanitise": op11_sanitise,
     "op12_lexical_search": op12_lexical_search,
     "op13_collocations": op13_collocations,
 }
