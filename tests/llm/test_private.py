@@ -152,9 +152,12 @@ def test_odd_rows(spark):
     assert sanitise(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a" * 3_000_000, "1" * 3_000_000, "x@" + "y." * 500_000,
-                                  "1 " * 1_000_000, "+1" * 500_000, "a@b.cc " * 20_000])
-def test_long_texts(spark, text):
+# What the plain forms find, which take quadratic time on some of these.
+@pytest.mark.parametrize(("text", "want"), [
+    ("a" * 3_000_000, []), ("1" * 3_000_000, []), ("1 " * 1_000_000, []), ("+1" * 500_000, []),
+    ("x@" + "y." * 500_000, [(0, 0, 1_000_001)]),
+    ("a@b.cc " * 20_000, [(7 * i, 0, 7 * i + 6) for i in range(20_000)]),
+])
+def test_long_texts(spark, text, want):
     df = spark.createDataFrame([(1, text)], SCHEMA)
-    assert spans_of(find_private(df, support=10 ** 6).first()) == (
-        [] if text[:3] in ("aaa", "111") else base(text))  # the plain forms take quadratic time
+    assert spans_of(find_private(df, support=10 ** 6).first()) == want
