@@ -19,8 +19,8 @@ LONGEST = 5  # words of a phrase
 BITS = 26  # of the hash that a frequent phrase's bit stands at: 8 MB, whatever the corpus
 CHUNK = 1 << 22  # bytes of text that are cut into words at a time
 WORDS_HELD = 250_000  # distinct words that a task holds before it hands them on
-PLACES = 1 << 22  # word pairs whose codes are sorted at a time, and distinct ones that are held
-PART_PAIRS = 1 << 22  # word pairs of the corpus that one merge of runs meets
+PLACES = 1 << 22  # phrases whose codes are sorted at a time, and distinct ones that are held
+PART_WORDS = 1 << 22  # words of the corpus whose runs one task merges
 BORDERS = np.zeros(256, bool)
 BORDERS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAPS = BORDERS.copy()
@@ -126,11 +126,12 @@ def _marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).view("int64")] >> (at & np.uint64(7)).astype("uint8")) & 1 > 0
 
 
-def _pair_runs(batches, frequent, part_bits: int):
-    """Sorted runs of codes of word pairs: (prefix of the code, rests as steps, occurrences).
+def _code_runs(batches, frequent, part_bits: int):
+    """Sorted runs of codes of phrases one word longer than the last bitmap's: (prefix of the
+    code, rests as steps, occurrences).
 
-    A code is the top 32 + ``part_bits`` bits of a pair's key. Pairs that share one count together,
-    so a run has no lower counts than the pairs.
+    A code is the top 32 + ``part_bits`` bits of a phrase's key. Phrases that share one count
+    together, so a run has no lower counts than the phrases.
     """
     bits = [np.frombuffer(x, "uint8") for x in frequent.value]
     codes, times, new, size = np.zeros(0, "uint64"), np.zeros(0, "int64"), [], 0
@@ -158,7 +159,7 @@ def _pair_runs(batches, frequent, part_bits: int):
     for batch in batches:
         for words in _segments(batch.column(0), batch.column(1).to_pylist()):
             _, _, ids, piece, _ = _words(words)
-            if len(ids) < 2:
+            if len(ids) <= len(bits):
                 continue
             _, left, right = _spelled(ids, piece, bits)
             new.append(joined(left, right) >> np.uint64(32 - part_bits))
@@ -175,9 +176,9 @@ def _pair_runs(batches, frequent, part_bits: int):
     yield from rows()
 
 
-def _frequent_pairs(docs: DataFrame, held, total: int, least: int) -> DataFrame:
-    """Keys, right in their top bits, of all word pairs that may occur ``least`` times."""
-    part_bits = min(30, max(6, (total // PART_PAIRS).bit_length()))
+def _marks(docs: DataFrame, held, total: int, least: int) -> DataFrame:
+    """Keys, right in their top bits, of all phrases of the next length that may be frequent."""
+    part_bits = min(30, max(6, (total // PART_WORDS).bit_length()))
 
     def merge(part: pa.Table) -> pa.Table:
         def column(name):
@@ -193,36 +194,36 @@ def _frequent_pairs(docs: DataFrame, held, total: int, least: int) -> DataFrame:
         top = np.uint64(part["part"][0].as_py()) << np.uint64(64 - part_bits)
         return pa.table({"key": pa.array((top | kept << np.uint64(32 - part_bits)).view("int64"))})
 
-    runs = docs.mapInArrow(lambda it: _pair_runs(it, held, part_bits),
+    runs = docs.mapInArrow(lambda it: _code_runs(it, held, part_bits),
                            "part long, steps binary, times binary")
     return runs.groupBy("part").applyInArrow(merge, "key long")
 
 
-def _phrase_counts(batches, frequent, pairs):
-    """Sorted runs (left, right, n) that the task's trie spills."""
-    trie, bitmaps = HatTrie(), [np.frombuffer(x, "uint8") for x in frequent.value]
-    pairs = np.frombuffer(pairs.value, "uint8")
+def _phrase_counts(batches, marked):
+    """Sorted runs (prefix, left, right, n) of the marked phrases of 2 and more words."""
+    trie, marks = HatTrie(), [np.frombuffer(x, "uint8") for x in marked.value]
 
     def rows(run):
         for a in range(0, len(run), 100_000):
+            own = run[a: a + 100_000]
+            prefix = joined(own[:, 0].view("uint64"), own[:, EDGES - 1].view("uint64"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(run[a: a + 100_000, j]))
-                 for j in (EDGES, EDGES + 1, COUNT)], names=["left", "right", "n"])
+                [pa.array(prefix.view("int64")), *(pa.array(np.ascontiguousarray(own[:, j]))
+                                                   for j in (EDGES, EDGES + 1, COUNT))],
+                names=["prefix", "left", "right", "n"])
 
     for batch in batches:
         for part in _segments(batch.column(0), batch.column(1).to_pylist()):
             _, _, ids, piece, _ = _words(part)
-            if len(ids) <= len(bitmaps):
-                continue
-            here, left, right = _spelled(ids, piece, bitmaps)
-            key = joined(left, right)
-            if len(bitmaps) == 1:
-                own = _marked(pairs, key)
+            for length in range(2, min(len(marks), len(ids)) + 1):
+                here, left, right = _spelled(ids, piece, marks[: length - 1])
+                key = joined(left, right)
+                own = _marked(marks[length - 1], key)
                 here, left, right, key = here[own], left[own], right[own], key[own]
-            path = [ids[here + j].view("int64") for j in range(EDGES)]
-            trie.add(path, left.view("int64"), right.view("int64"), key.view("int64"))
-            for run in trie.spilled():
-                yield from rows(run)
+                path = [ids[here + j].view("int64") for j in range(EDGES)]
+                trie.add(path, left.view("int64"), right.view("int64"), key.view("int64"))
+                for run in trie.spilled():
+                    yield from rows(run)
     for run in trie.spilled(rest=True):
         yield from rows(run)
 
@@ -254,11 +255,11 @@ def count_phrases(
     The phrase tables have ``key, lang, phrase, last, f`` and ``heads, tails``: the counts of their
     proper beginnings and ends by number of words; from two words on ``left, right``, the keys of
     the phrase without its last and first word. A phrase is only counted where both of these are
-    frequent, so no frequent one is missed: its parts are at least as frequent. Tasks know the
-    frequent ones by a bitmap of 8 MB, in which a rare one may be marked, never a frequent one not.
-    Most pairs of words are rare, so runs of short codes, merged per prefix of the code, mark those
-    that may be frequent first. Each task counts in a HAT-trie and spills its subtrees as sorted
-    runs, which are summed per prefix: the pair, or the phrase without its last word.
+    frequent, so no frequent one is missed: its parts are at least as frequent. Which phrases may
+    be frequent is found by number of words: each task spills sorted runs of short codes, which are
+    merged per prefix of the code, and a bitmap of 8 MB marks the frequent codes; a rare phrase may
+    be marked, never a frequent one not. A last pass counts the marked phrases of all lengths in a
+    HAT-trie per task that spills its subtrees as sorted runs, summed per prefix of two words.
     Keys are 64-bit hashes of words and language; a phrase is told apart by those of both its
     parts.
     """
@@ -274,31 +275,28 @@ def count_phrases(
     levels = [stored(words.where(F.col("n") >= least).select(
         "key", "lang", text.alias("phrase"), text.alias("last"), F.col("n").alias("f"),
         none.alias("heads"), none.alias("tails")), "phrases")]
-    bitmaps = []
-    while len(levels) < longest:
-        bitmaps.append(_bitmap(spark, levels[-1]))
-        held = spark.sparkContext.broadcast(bitmaps)
-        if len(levels) == 1:
-            total = sizes.agg(F.sum("n")).first()[0] or 0
-            pairs = spark.sparkContext.broadcast(_bitmap(spark, stored(
-                _frequent_pairs(docs, held, total, least), "phrase-pairs")))
-        runs = docs.mapInArrow(lambda it, held=held, pairs=pairs: _phrase_counts(it, held, pairs),
-                               "left long, right long, n long")
-        runs = runs if len(levels) == 1 else runs.repartition("left")
-        counted = runs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(
-            F.col("f") >= least).mapInArrow(_keyed, "key long, left long, right long, f long")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    marks = [_bitmap(spark, levels[0])]
+    while len(marks) < longest and any(marks[-1]):
+        held = spark.sparkContext.broadcast(marks)
+        marks.append(_bitmap(spark, stored(_marks(docs, held, total, least), "phrase-marks")))
+        held.unpersist()
+    held = spark.sparkContext.broadcast(marks)
+    runs = docs.mapInArrow(lambda it: _phrase_counts(it, held),
+                           "prefix long, left long, right long, n long")
+    counted = stored(
+        runs.repartition("prefix").groupBy("prefix", "left", "right").agg(F.sum("n").alias("f"))
+        .where(F.col("f") >= least).drop("prefix")
+        .mapInArrow(_keyed, "key long, left long, right long, f long"), "phrase-counts")
+    for _ in marks[1:]:
         a = levels[-1].select(F.col("key").alias("left"), "lang", F.col("phrase").alias("begin"),
                               "heads", F.col("f").alias("f_left"))
         b = levels[-1].select(F.col("key").alias("right"), "last", "tails",
                               F.col("f").alias("f_right"))
-        level = stored(counted.join(a, "left").join(b, "right").select(
+        levels.append(stored(counted.join(a, "left").join(b, "right").select(
             "key", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f",
             F.concat("heads", F.array("f_left")).alias("heads"),
-            F.concat("tails", F.array("f_right")).alias("tails"), "left", "right"), "phrases")
-        levels.append(level)
-        held.unpersist()
-        if level.isEmpty():
-            break
+            F.concat("tails", F.array("f_right")).alias("tails"), "left", "right"), "phrases"))
     return sizes, levels
 
 
