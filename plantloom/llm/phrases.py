@@ -176,9 +176,14 @@ def _code_runs(batches, frequent, part_bits: int):
     yield from rows()
 
 
+def _part_bits(total: int) -> int:
+    """Bits of the prefix that parts the runs of a corpus of ``total`` words."""
+    return min(30, max(6, (total // PART_WORDS).bit_length()))
+
+
 def _marks(docs: DataFrame, held, total: int, least: int) -> DataFrame:
     """Keys, right in their top bits, of all phrases of the next length that may be frequent."""
-    part_bits = min(30, max(6, (total // PART_WORDS).bit_length()))
+    part_bits = _part_bits(total)
 
     def merge(part: pa.Table) -> pa.Table:
         def column(name):
@@ -199,18 +204,21 @@ def _marks(docs: DataFrame, held, total: int, least: int) -> DataFrame:
     return runs.groupBy("part").applyInArrow(merge, "key long")
 
 
-def _phrase_counts(batches, marked):
-    """Sorted runs (prefix, left, right, n) of the marked phrases of 2 and more words."""
+def _phrase_counts(batches, marked, part_bits: int):
+    """Sorted runs of the marked phrases of 2 and more words: (prefix part, left, right, n)."""
     trie, marks = HatTrie(), [np.frombuffer(x, "uint8") for x in marked.value]
 
     def rows(run):
-        for a in range(0, len(run), 100_000):
-            own = run[a: a + 100_000]
-            prefix = joined(own[:, 0].view("uint64"), own[:, EDGES - 1].view("uint64"))
+        prefix = joined(run[:, 0].view("uint64"), run[:, EDGES - 1].view("uint64"))
+        part = (prefix >> np.uint64(64 - part_bits)).view("int64")
+        order = np.argsort(part, kind="stable")
+        part, run = part[order], run[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(first, [*first[1:], len(part)], strict=False):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix.view("int64")), *(pa.array(np.ascontiguousarray(own[:, j]))
-                                                   for j in (EDGES, EDGES + 1, COUNT))],
-                names=["prefix", "left", "right", "n"])
+                [pa.array([int(part[a])], pa.int64()),
+                 *(pa.array([run[a:b, j].tobytes()]) for j in (EDGES, EDGES + 1, COUNT))],
+                names=["part", "left", "right", "n"])
 
     for batch in batches:
         for part in _segments(batch.column(0), batch.column(1).to_pylist()):
@@ -228,12 +236,19 @@ def _phrase_counts(batches, marked):
         yield from rows(run)
 
 
-def _keyed(batches):
-    for batch in batches:
-        left, right = (batch.column(j).to_numpy().view("uint64") for j in (0, 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(joined(left, right).view("int64")), *batch.columns],
-            names=["key", "left", "right", "f"])
+def _merged(part: pa.Table, least: int) -> pa.Table:
+    """The phrases of one prefix part that occur ``least`` times: (key, left, right, f)."""
+    left, right, n = (np.concatenate([np.frombuffer(x.as_buffer(), "int64") for x in part[c]])
+                      for c in ("left", "right", "n"))
+    order = np.lexsort((right, left))
+    left, right, n = left[order], right[order], n[order]
+    new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+    first = np.flatnonzero(new)
+    f = np.add.reduceat(n, first)
+    keep = f >= least
+    left, right, f = left[first][keep], right[first][keep], f[keep]
+    key = joined(left.view("uint64"), right.view("uint64")).view("int64")
+    return pa.table([pa.array(x) for x in (key, left, right, f)], names=["key", "left", "right", "f"])
 
 
 def _bitmap(spark, frequent: DataFrame):
@@ -259,7 +274,7 @@ def count_phrases(
     be frequent is found by number of words: each task spills sorted runs of short codes, which are
     merged per prefix of the code, and a bitmap of 8 MB marks the frequent codes; a rare phrase may
     be marked, never a frequent one not. A last pass counts the marked phrases of all lengths in a
-    HAT-trie per task that spills its subtrees as sorted runs, summed per prefix of two words.
+    HAT-trie per task that spills its subtrees as sorted runs, merged per prefix of two words.
     Keys are 64-bit hashes of words and language; a phrase is told apart by those of both its
     parts.
     """
@@ -282,12 +297,12 @@ def count_phrases(
         marks.append(_bitmap(spark, stored(_marks(docs, held, total, least), "phrase-marks")))
         held.unpersist()
     held = spark.sparkContext.broadcast(marks)
-    runs = docs.mapInArrow(lambda it: _phrase_counts(it, held),
-                           "prefix long, left long, right long, n long")
-    counted = stored(
-        runs.repartition("prefix").groupBy("prefix", "left", "right").agg(F.sum("n").alias("f"))
-        .where(F.col("f") >= least).drop("prefix")
-        .mapInArrow(_keyed, "key long, left long, right long, f long"), "phrase-counts")
+    part_bits = _part_bits(total)
+    runs = docs.mapInArrow(lambda it: _phrase_counts(it, held, part_bits),
+                           "part long, left binary, right binary, n binary")
+    counted = stored(runs.groupBy("part").applyInArrow(
+        lambda part: _merged(part, least), "key long, left long, right long, f long"),
+        "phrase-counts")
     for _ in marks[1:]:
         a = levels[-1].select(F.col("key").alias("left"), "lang", F.col("phrase").alias("begin"),
                               "heads", F.col("f").alias("f_left"))
