@@ -95,15 +95,18 @@ def _aligned(hits, t: Template, idf: dict[str, float]):
         if sum(idf[words[k]] for k in anchors) > lack * (1 + 1e-9):
             break
 
-    def covered(x, a):
-        start = x.h.i - a
-        near = F.slice(hits, F.greatest(x.k - a, F.lit(0)) + 1, F.lit(2 * m))
-        share = F.aggregate(near, F.lit(0.0), lambda s, h: s + F.when(
-            F.get(want, h.i - start) == h.w, F.get(weight, h.i - start)).otherwise(0.0))
-        return F.struct(start.alias("start"), (share / total).alias("share"))
+    def covered(a: int):
+        def share_at(x):
+            start = x.h.i - a
+            near = F.slice(hits, F.greatest(x.k - a, F.lit(0)) + 1, F.lit(2 * m))
+            share = F.aggregate(near, F.lit(0.0), lambda s, h: s + F.when(
+                F.get(want, h.i - start) == h.w, F.get(weight, h.i - start)).otherwise(0.0))
+            return F.struct(start.alias("start"), (share / total).alias("share"))
+
+        return share_at  # of one parameter: a second one would get the element's index
 
     return F.array_distinct(F.concat(*[
-        F.transform(_anchors(hits, words[a]), lambda x, a=a: covered(x, a)) for a in anchors]))
+        F.transform(_anchors(hits, words[a]), covered(a)) for a in anchors]))
 
 
 def _any_within(places, start, room: int):

@@ -1,6 +1,8 @@
 import re
 
-from plantloom.llm.license import BASE, op7_license_scan, scan_licenses
+import math
+
+from plantloom.llm.license import BASE, COVERED, TEMPLATES, op7_license_scan, scan_licenses
 
 from .brute import ODD_SCHEMA, odd_rows
 
@@ -65,3 +67,46 @@ def test_near_copies_without_the_rarest_word(spark):
     got = {r.doc_id: r for r in scan_licenses(df).collect()}
     assert all(got[i].labels == "mit" and len(got[i].matches) == 1 for i in range(7))
     assert got[0].score > 0.999 and 0.8 <= got[2].score < 0.999 and got[7].labels == ""
+
+
+def aligned(texts):
+    """Per text the (label, start, share) of each template by trying every start."""
+    docs = [WORD.findall((t or "").translate(UPPER)) for t in texts]
+    vocabulary = {w for t in (*BASE, *TEMPLATES) for p in (t.text, *t.keys) for w in p.split()}
+    df = {w: sum(w in d for d in docs) for w in vocabulary}
+    idf = {w: math.log((len(docs) + 2) / (df[w] + 1)) + 1e-6 for w in vocabulary}
+    out = []
+    for words in docs:
+        found = []
+        for t in BASE:
+            found += [(t.label, i, 1.0) for i in range(len(words))
+                      if words[i: i + len(t.words)] == t.words]
+        for t in TEMPLATES:
+            total = sum(idf[w] for w in t.words)
+            for start in range(-len(t.words), len(words)):
+                share = sum(idf[w] for j, w in enumerate(t.words)
+                            if 0 <= start + j < len(words) and words[start + j] == w) / total
+                inside = words[max(start, 0): start + len(t.words)]
+                keys = all(any(inside[i: i + len(k.split())] == k.split() for i in range(len(inside)))
+                           for k in t.keys)
+                if share >= COVERED and keys:
+                    found.append((t.label, start, share))
+        out.append(found)
+    return out
+
+
+def test_every_template_where_it_stands(spark):
+    pad = "one two three four five six seven "
+    texts = [p + t.text for t in TEMPLATES for p in ("", pad)]
+    texts += [pad + " ".join(w if j != len(t.words) // 2 else "changed" for j, w in enumerate(t.words))
+              for t in TEMPLATES]
+    texts += [pad * 9, "", TEMPLATES[0].text + " and " + TEMPLATES[5].text, *[pad] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(df).collect()}
+    for i, want in enumerate(aligned(texts)):
+        mine = sorted((m.label, m.start, round(m.share, 9)) for m in got[i].matches)
+        assert mine == sorted((a, b, round(c, 9)) for a, b, c in want), texts[i]
+    for i, t in enumerate(TEMPLATES):
+        for j, start in ((2 * i, 0), (2 * i + 1, 7)):
+            assert (t.label, start) in [(m.label, m.start) for m in got[j].matches]
+            assert t.label in got[j].labels.split(",") and got[j].score > 0.999
