@@ -17,9 +17,9 @@ from plantloom.llm.shingles import mixed, word_hashes
 
 LONGEST = 5  # words of a phrase
 BITS = 26  # of the hash that a frequent phrase's bit stands at: 8 MB, whatever the corpus
-CHUNK = 1 << 22  # bytes of text that are cut into words at a time
+CHUNK = 1 << 21  # bytes of text that are cut into words at a time
 WORDS_HELD = 250_000  # distinct words that a task holds before it hands them on
-PLACES = 1 << 22  # phrases whose codes are sorted at a time, and distinct ones that are held
+PLACES = 1 << 21  # phrases whose codes are sorted at a time, and distinct ones that are held
 PART_WORDS = 1 << 22  # words of the corpus whose runs one task merges
 BORDERS = np.zeros(256, bool)
 BORDERS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -106,19 +106,20 @@ def _word_counts(batches):
 
 
 def _spelled(ids: np.ndarray, piece: np.ndarray, frequent: list[np.ndarray]):
-    """Places of phrases one word longer than the longest bitmap's: (first word, left, right).
+    """By number of words from 2 on, places of phrases that may be frequent: (first word, left, right).
 
     Both the phrase without its last word and that without its first must be marked frequent, as
     must be their own parts; a marked phrase may be rare, a frequent one is always marked.
     """
     key, ok = ids, np.ones(len(ids), bool)
-    for length, bits in enumerate(frequent, 1):
-        if length > 1:
-            key = joined(key[:-1], key[1:])
-            ok = ok[:-1] & ok[1:] & (piece[: len(key)] == piece[length - 1:])
-        ok = ok & _marked(bits, key)
-    here = np.flatnonzero(ok[:-1] & ok[1:] & (piece[: len(key) - 1] == piece[len(frequent):]))
-    return here, key[here], key[here + 1]
+    for length, bits in enumerate(frequent, 2):
+        ok &= _marked(bits, key)
+        whole = ok[:-1] & ok[1:] & (piece[: len(key) - 1] == piece[length - 1:])
+        here = np.flatnonzero(whole)
+        yield here, key[here], key[here + 1]
+        if len(here) == 0:
+            return
+        key, ok = joined(key[:-1], key[1:]), whole
 
 
 def _marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -159,9 +160,10 @@ def _code_runs(batches, frequent, part_bits: int):
     for batch in batches:
         for words in _segments(batch.column(0), batch.column(1).to_pylist()):
             _, _, ids, piece, _ = _words(words)
-            if len(ids) <= len(bits):
+            found = list(_spelled(ids, piece, bits)) if len(ids) > len(bits) else []
+            if len(found) < len(bits):
                 continue
-            _, left, right = _spelled(ids, piece, bits)
+            _, left, right = found[-1]
             new.append(joined(left, right) >> np.uint64(32 - part_bits))
             size += len(left)
             if size > PLACES:
@@ -223,17 +225,20 @@ def _phrase_counts(batches, marked, part_bits: int):
     for batch in batches:
         for part in _segments(batch.column(0), batch.column(1).to_pylist()):
             _, _, ids, piece, _ = _words(part)
-            for length in range(2, min(len(marks), len(ids)) + 1):
-                here, left, right = _spelled(ids, piece, marks[: length - 1])
+            if len(ids) < 2:
+                continue
+            for (here, left, right), bits in zip(
+                    _spelled(ids, piece, marks[:-1]), marks[1:], strict=False):
                 key = joined(left, right)
-                own = _marked(marks[length - 1], key)
+                own = _marked(bits, key)
                 here, left, right, key = here[own], left[own], right[own], key[own]
                 path = [ids[here + j].view("int64") for j in range(EDGES)]
                 trie.add(path, left.view("int64"), right.view("int64"), key.view("int64"))
                 for run in trie.spilled():
                     yield from rows(run)
-    for run in trie.spilled(rest=True):
-        yield from rows(run)
+    runs = list(trie.spilled(rest=True))
+    if runs:
+        yield from rows(np.concatenate(runs))
 
 
 def _merged(part: pa.Table, least: int) -> pa.Table:
