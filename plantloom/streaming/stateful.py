@@ -1,11 +1,15 @@
-"""Per-series stream state: forward fill and causal lag features across micro-batches.
-
-State per series is a few numbers (last values, or the last 21 targets).  A series that
-owns much of the stream still needs its rows in time order, so the rows of one micro-batch
-are sorted per series; ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound that batch.
-Rows older than the state (late across batches) are passed on but never change it: they are
-filled from each other only, and get no lag features.
-The RocksDB state store must be configured, see ``plantloom.session``.
+"""Per-series stream state in event-time order: forward fill and causal lag features.
+
+Rows of a series wait in a buffer until the watermark passes them; then no earlier row can come,
+and they are worked on in time order. So arrivals that are out of order by less than the delay get
+the answer of the batch operators. Rows that still wait are given out as well, with what is known
+so far (``is_final`` is false), and again when that changes; ``streaming.etl.read_latest`` takes
+the last word on each row. Rows older than the watermark are dropped by Spark, as from a window.
+
+State per series: the rows of one delay (Arrow chunks in a list state), and a few numbers (the
+last values, or the last 21 targets). An event-time timer releases what waits, another forgets a
+series that had no rows for ``idle``. The RocksDB state store must be configured, see
+``plantloom.session``.
 """
 
 from __future__ import annotations
@@ -15,77 +19,150 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plantloom.operators.timeseries import LAGS, feature_names
 
+FINAL = "is_final"
+_NONE = np.iinfo("int64").min
 
-def _sorted(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    frame = pd.concat(list(rows), ignore_index=True)
-    return frame.sort_values(list(order), kind="stable", ignore_index=True)
 
+def _micros(frame: pd.DataFrame, name: str) -> np.ndarray:
+    """The event time in microseconds; a NULL comes before all others."""
+    times = pd.to_datetime(frame[name], utc=True)
+    out = times.astype("datetime64[us, UTC]").astype("int64").to_numpy().copy()
+    out[times.isna().to_numpy()] = _NONE
+    return out
 
-def _clock(frame: pd.DataFrame, name: str) -> np.ndarray:
-    """The leading order column as integers or floats that can be kept in the state."""
-    values = frame[name]
-    if pd.api.types.is_datetime64_any_dtype(values):
-        return values.astype("int64").to_numpy()
-    return values.astype(float).to_numpy()
 
+class InOrder(StatefulProcessor):
+    """Buffers the rows of a series and hands them to ``step`` in order of time.
 
-class ForwardFill(StatefulProcessor):
-    """Carries the last known value of each column."""
+    ``step(carry, frame)`` gets what the rows before left behind (None at first) and sorted rows;
+    it returns what these leave and the rows with their results. ``provisional`` also gives out
+    the rows that wait; without it a row comes once.
+    """
+
+    CARRY = ""
 
-    def __init__(self, columns: Sequence[str], order: Sequence[str], out: Sequence[str]):
-        self.columns, self.order, self.out = list(columns), list(order), list(out)
+    def __init__(self, schema: T.StructType, order: Sequence[str], out: Sequence[str],
+                 idle_ms: int | None = None, provisional: bool = True):
+        self.schema, self.order, self.out = schema, list(order), list(out)
+        self.idle_ms, self.provisional = idle_ms, provisional
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"v{i} double" for i in range(len(self.columns)))
-        self.last = handle.getValueState("last", f"seen double, {fields}")
+        self.handle = handle
+        self.arrow = to_arrow_schema(self.schema)
+        self.carry = handle.getValueState("carry", f"seen long, {self.CARRY}")
+        self.buffer = handle.getListState("buffer", "rows binary")
+
+    def step(self, carry: tuple | None, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        frame = _sorted(rows, self.order)
-        clock = _clock(frame, self.order[0])
-        seen, *held = self.last.get() if self.last.exists() else [None] * (len(self.columns) + 1)
-        late = np.zeros(len(frame), dtype=bool) if seen is None else clock < seen
-        after = []
-        for c, before in zip(self.columns, held):
-            values = frame[c].astype(float)
-            fresh = values[~late].ffill()
-            if before is not None:
-                fresh = fresh.fillna(before)
-            frame[c] = pd.concat([values[late].ffill(), fresh]).reindex(frame.index)
-            end = fresh.iloc[-1] if len(fresh) else before
-            after.append(None if end is None or pd.isna(end) else float(end))
-        newest = float(clock.max()) if seen is None else max(seen, float(clock.max()))
-        self.last.update((newest, *after))
-        yield frame[self.out]
+        newest = _NONE
+        for frame in rows:
+            if len(frame):
+                self.buffer.appendValue((self._packed(frame),))
+                newest = max(newest, int(_micros(frame, self.order[0]).max()))
+        if newest > _NONE:
+            self.handle.registerTimer(newest // 1000 + 1)
+            if self.idle_ms is not None:
+                self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        yield from self._released(timerValues, self.provisional)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
+        yield from self._released(timerValues, False)
+        if self.idle_ms is not None and self.carry.exists() and not self.buffer.exists():
+            seen = self.carry.get()[0]
+            if seen // 1000 + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
+                self.carry.clear()
+
+    def _packed(self, frame: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(frame[self.schema.names], self.arrow, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def _waiting(self) -> pd.DataFrame | None:
+        if not self.buffer.exists():
+            return None
+        chunks = [pa.ipc.open_stream(bytes(x[0])).read_all() for x in self.buffer.get()]
+        if not chunks:
+            return None
+        frame = pa.concat_tables(chunks).to_pandas()
+        return frame.sort_values(self.order, kind="stable", ignore_index=True, na_position="first")
+
+    def _released(self, timer: Any, provisional: bool) -> Iterator[pd.DataFrame]:
+        frame = self._waiting()
+        if frame is None:
+            return
+        watermark = timer.getCurrentWatermarkInMs() * 1000 or _NONE  # 0 until there is one
+        clock = _micros(frame, self.order[0])
+        done = int(np.searchsorted(clock, watermark, "right"))
+        seen, *carry = self.carry.get() if self.carry.exists() else (None,)
+        carry = tuple(carry) if seen is not None else None
+        if done:
+            carry, out = self.step(carry, frame.iloc[:done].reset_index(drop=True))
+            self.carry.update((max(int(clock[done - 1]), _NONE if seen is None else seen), *carry))
+            self.buffer.clear()
+            if done < len(frame):
+                self.buffer.put([(self._packed(frame.iloc[done:]),)])
+            yield self._given(out, True)
+        if provisional and done < len(frame):
+            _, out = self.step(carry, frame.iloc[done:].reset_index(drop=True))
+            yield self._given(out, False)
+
+    def _given(self, frame: pd.DataFrame, final: bool) -> pd.DataFrame:
+        frame[FINAL] = final
+        return frame[self.out]
 
     def close(self) -> None:
         pass
 
 
-class LagFeatures(StatefulProcessor):
-    """Keeps the last target values of a series and adds the causal features to new rows."""
+def _number(v) -> float | None:
+    return None if v is None or pd.isna(v) else float(v)
 
-    def __init__(self, target: str, order: Sequence[str], out: Sequence[str], lags: Sequence[int]):
-        self.target, self.order, self.out = target, list(order), list(out)
-        self.lags = list(lags)
-        self.keep = max([*self.lags, 10]) + 1
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getValueState("past", "seen double, values array<double>")
+class ForwardFill(InOrder):
+    """Carries the last known value of each column."""
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        frame = _sorted(rows, self.order)
-        clock = _clock(frame, self.order[0])
-        seen, old = self.past.get() if self.past.exists() else (None, [])
-        late = np.zeros(len(frame), dtype=bool) if seen is None else clock < seen
-        new = frame.loc[~late, self.target].astype(float)
-        history = [np.nan if v is None else v for v in old]
-        y = pd.Series(np.array([*history, *new], dtype=float))
+    CARRY = "held array<double>"
+
+    def __init__(self, columns: Sequence[str], *args, **options):
+        super().__init__(*args, **options)
+        self.columns = list(columns)
+
+    def step(self, carry, frame):
+        held = list(carry[0]) if carry else [None] * len(self.columns)
+        for i, c in enumerate(self.columns):
+            values = frame[c].astype(float).ffill()
+            if held[i] is not None:
+                values = values.fillna(held[i])
+            frame[c] = values
+            held[i] = _number(values.iloc[-1])
+        return (held,), frame
+
+
+class LagFeatures(InOrder):
+    """Keeps the last target values of a series and adds the causal features to its rows."""
+
+    CARRY = "past array<double>"
+
+    def __init__(self, target: str, lags: Sequence[int], *args, **options):
+        super().__init__(*args, **options)
+        self.target, self.lags = target, list(lags)
+        self.keep = max([*self.lags, 10]) + 1
+
+    def step(self, carry, frame):
+        history = [np.nan if v is None else v for v in (carry[0] if carry else [])]
+        y = pd.Series(np.array([*history, *frame[self.target].astype(float)], dtype=float))
         t, n, past = self.target, len(history), y.shift(1)
         made = {f"{t}_lag_{k}": y.shift(k) for k in self.lags}
         made[f"{t}_diff_1"] = past - y.shift(2)
@@ -93,46 +170,39 @@ class LagFeatures(StatefulProcessor):
         made[f"{t}_rolling_mean_10"] = past.rolling(10, min_periods=1).mean()
         made[f"{t}_rolling_std_10"] = past.rolling(10, min_periods=1).std()
         for name, values in made.items():
-            frame[name] = np.nan
-            frame.loc[~late, name] = values.to_numpy()[n:]
-        newest = float(clock.max()) if seen is None else max(seen, float(clock.max()))
-        kept = [None if np.isnan(v) else float(v) for v in y.to_numpy()[-self.keep:]]
-        self.past.update((newest, kept))
-        yield frame[self.out]
-
-    def close(self) -> None:
-        pass
+            frame[name] = values.to_numpy()[n:]
+        return ([_number(v) for v in y.to_numpy()[-self.keep:]],), frame
 
 
-def _double(schema: T.StructType, names: Sequence[str]) -> T.StructType:
+def _output(schema: T.StructType, names: Sequence[str]) -> T.StructType:
     fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
     known = {f.name for f in fields}
     fields += [T.StructField(n, T.DoubleType(), True) for n in names if n not in known]
-    return T.StructType(fields)
+    return T.StructType([*fields, T.StructField(FINAL, T.BooleanType(), False)])
+
+
+def _ordered(stream: DataFrame, processor: InOrder, schema, series, delay: str) -> DataFrame:
+    return stream.withWatermark(processor.order[0], delay).groupBy(*series).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
+        timeMode="EventTime")
 
 
 def ffill_stream(
-    stream: DataFrame, columns: Sequence[str], series: Sequence[str], order: Sequence[str]
+    stream: DataFrame, columns: Sequence[str], series: Sequence[str], order: Sequence[str],
+    delay: str = "1 hour", idle_ms: int | None = None, provisional: bool = True,
 ) -> DataFrame:
-    """Last known value per series, carried across micro-batches."""
-    schema = _double(stream.schema, [])
-    return stream.groupBy(*series).transformWithStateInPandas(
-        statefulProcessor=ForwardFill(columns, order, schema.names),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    """Last known value per series in order of time; ``order`` begins with the event time."""
+    schema = _output(stream.schema, [])
+    made = ForwardFill(columns, stream.schema, order, schema.names, idle_ms, provisional)
+    return _ordered(stream, made, schema, series, delay)
 
 
 def lag_stream(
     stream: DataFrame, target: str, series: Sequence[str], order: Sequence[str],
-    lags: Sequence[int] = LAGS,
+    lags: Sequence[int] = LAGS, delay: str = "1 hour", idle_ms: int | None = None,
+    provisional: bool = True,
 ) -> DataFrame:
     """The batch operator ``lag_features`` on a stream, history kept as state per series."""
-    schema = _double(stream.schema, feature_names(target, lags))
-    return stream.groupBy(*series).transformWithStateInPandas(
-        statefulProcessor=LagFeatures(target, order, schema.names, lags),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    schema = _output(stream.schema, feature_names(target, lags))
+    made = LagFeatures(target, lags, stream.schema, order, schema.names, idle_ms, provisional)
+    return _ordered(stream, made, schema, series, delay)
