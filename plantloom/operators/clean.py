@@ -17,6 +17,7 @@ from plantloom.operators.order import (
     plan_layout,
 )
 from plantloom.operators.quantiles import column_quantiles
+from plantloom.operators.stats import tallies
 
 STRATEGIES = ("ffill", "bfill", "interpolate", "mean", "median")
 
@@ -173,18 +174,20 @@ def fill_statistic(df: DataFrame, columns: Sequence[str], statistic: str) -> Dat
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column (ties: the smaller one), counted on executors."""
-    out = {}
-    for c in columns:
-        top = (
-            df.filter(col(c).isNotNull())
-            .groupBy(col(c).alias("v"))
-            .count()
-            .orderBy(F.desc("count"), "v")
-            .first()
-        )
-        out[c] = top["v"] if top else None
-    return out
+    """Most frequent value per column (ties: the smaller one); one job for all columns."""
+    if not columns:
+        return {}
+    kinds = dict(df.dtypes)
+    known_numbers = set(numeric_columns(df))
+    numbers = [i for i, c in enumerate(columns) if c in known_numbers]
+    counted = tallies(df, columns).filter(F.col("value").isNotNull()).withColumn(
+        "size", F.when(F.col("i").isin(numbers), F.col("value").try_cast("double")))
+    first = Window.partitionBy("i").orderBy(F.desc("n"), "size", "value")
+    top = counted.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1")
+    mode = [F.max(F.when(F.col("i") == i, F.col("value"))).cast(kinds[c]).alias(f"m{i}")
+            for i, c in enumerate(columns)]
+    row = top.agg(*mode).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantloom.functions.names import col
+from plantloom.session import written
 
 CELL = "__cell"
 LONG = "__long_series"
 HALO = "__halo"
 _KEY = "__order_key"
 _BOUNDS = "__bounds"
+# Bounds of the first level of cells, which the driver holds; each further level cuts every cell
+# into so many at most, by bounds that stay in a table.
+FIRST, FAN = 1024, 64
 
 TARGET_ROWS = 1_000_000
 # Key tuples drawn per cell, and at least, to choose bounds.  Bounds only balance the cells;
@@ -62,6 +66,7 @@ class Layout:
     series: tuple[str, ...] = ()
     bounds: tuple[tuple, ...] = ()
     long_series: tuple[tuple, ...] = ()
+    finer: tuple[DataFrame, ...] = ()
 
     @property
     def is_cut(self) -> bool:
@@ -89,28 +94,42 @@ class Layout:
         if not self.is_cut:
             return df.withColumn(CELL, F.lit(0).cast("long"))
         df = _flag_long(df, self).withColumn(_KEY, sort_key(df, self.order))
-        kind = T.StructType([
-            T.StructField("__one", T.IntegerType()),
-            T.StructField(_BOUNDS, T.ArrayType(df.schema[_KEY].dataType)),
-        ])
-        one = df.sparkSession.createDataFrame([(1, list(self.bounds))], kind)
-        df = df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
-        # Number of bounds at or below the key, by halving.
-        steps = [1 << i for i in reversed(range(len(self.bounds).bit_length()))]
-        cell = F.aggregate(
-            F.array(*map(F.lit, steps)),
-            F.lit(0),
-            lambda at, step: F.when(F.get(col(_BOUNDS), at + step - 1) <= col(_KEY), at + step)
-            .otherwise(at),
-        )
-        return df.withColumn(CELL, F.when(col(LONG), cell).otherwise(0).cast("long")).drop(
-            _KEY, _BOUNDS
-        )
+        return self._routed(df).withColumn(
+            CELL, F.when(col(LONG), col(CELL)).otherwise(0).cast("long")).drop(_KEY)
+
+    def _routed(self, df: DataFrame) -> DataFrame:
+        """Add the cell of the key: by the first bounds, a literal, then level by level."""
+        kind = T.ArrayType(df.schema[_KEY].dataType)
+        one = df.sparkSession.createDataFrame(
+            [(list(self.bounds),)], T.StructType([T.StructField(_BOUNDS, kind)]))
+        # Spark puts the one array into the expression below; no join, nothing travels with rows.
+        df = df.withColumn(_BOUNDS, one.scalar())
+        df = df.withColumn(CELL, _place(col(_BOUNDS), len(self.bounds)).cast("long")).drop(_BOUNDS)
+        for level in self.finer:
+            here = level.withColumnRenamed(CELL, "__up")
+            df = df.join(here, col(CELL) == col("__up"), "left").withColumn(
+                CELL, col(CELL) * FAN + F.coalesce(_place(col(_BOUNDS), FAN), F.lit(0))
+            ).drop("__up", _BOUNDS)
+        return df
 
     def strip(self, df: DataFrame) -> DataFrame:
         return df.drop(CELL, LONG, HALO)
 
 
+def _place(bounds: Column, most: int) -> Column:
+    """Number of sorted ``bounds`` at or below the key, by halving; ``most`` are there at most."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    # The bounds are a part of the running value: a lambda that names a column is given a copy.
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.struct(F.lit(0).alias("at"), bounds.alias("b"), col(_KEY).alias("k")),
+        lambda x, step: F.struct(
+            F.when(F.get(x["b"], x["at"] + step - 1) <= x["k"], x["at"] + step)
+            .otherwise(x["at"]).alias("at"), x["b"].alias("b"), x["k"].alias("k")),
+        lambda x: x["at"],
+    )
+
+
 def plan_layout(
     df: DataFrame,
     order: Sequence[str],
@@ -119,8 +138,8 @@ def plan_layout(
 ) -> Layout:
     """Measure the table (key columns only) and decide which series to cut, and where.
 
-    There is one cell per ``target_rows`` (by default a million) rows, so long series and bounds together are at most
-    rows / ``target_rows`` entries.
+    There is one cell per ``target_rows`` (by default a million) rows. The driver holds the long
+    series, at most one per cell, and ``FIRST`` bounds; those of further levels are a table.
     """
     order, series = tuple(order), tuple(series)
     target_rows = target_rows or TARGET_ROWS
@@ -140,12 +159,27 @@ def plan_layout(
         if not longs:
             return Layout(order, series)
     keyed = _flag_long(df, Layout(order, series, long_series=tuple(longs))).filter(col(LONG))
-    fraction = min(1.0, max(DRAWN, DRAWN_PER_CELL * cells) / total)
+    first = min(cells, FIRST)
     keys = keyed.select(sort_key(df, order).alias(_KEY))
-    drawn = keys.sample(fraction, seed=42) if fraction < 1 else keys
-    found = [tuple(r[_KEY]) for r in drawn.orderBy(_KEY).collect()]
-    picks = [found[len(found) * i // cells] for i in range(1, cells)] if found else []
-    return Layout(order, series, tuple(dict.fromkeys(picks)), tuple(longs))
+
+    def drawn(per_cell: int, seed: int) -> DataFrame:
+        share = min(1.0, max(DRAWN, DRAWN_PER_CELL * per_cell) / total)
+        return keys.sample(share, seed=seed) if share < 1 else keys
+
+    found = [tuple(r[_KEY]) for r in drawn(first, 42).orderBy(_KEY).collect()]
+    picks = [found[len(found) * i // first] for i in range(1, first)] if found else []
+    layout = Layout(order, series, tuple(dict.fromkeys(picks)), tuple(longs))
+    made = first
+    while made < cells and layout.is_cut:
+        cuts = min(FAN, -(-cells // made))
+        inside = layout._routed(drawn(made * cuts, 43 + len(layout.finer)))
+        spots = [F.get(col("__all"), F.floor(F.size("__all") * F.lit(i / cuts)).cast("int"))
+                 for i in range(1, cuts)]
+        level = inside.groupBy(CELL).agg(F.sort_array(F.collect_list(_KEY)).alias("__all")).select(
+            CELL, F.array_distinct(F.array(*spots)).alias(_BOUNDS))
+        layout = replace(layout, finer=(*layout.finer, written(level, "cell-bounds")))
+        made *= cuts
+    return layout
 
 
 def _flag_long(df: DataFrame, layout: Layout) -> DataFrame:

@@ -117,6 +117,15 @@ def _keys_at(keys: DataFrame, ranks: Sequence[int], total: int) -> dict[int, tup
     return {r: (s.found, starts[s.found]) for r, s in searches.items()}
 
 
+class TiedRows(ValueError):
+    """Equal rows stand on both sides of a position: ``skip`` of those at ``cut`` come before it."""
+
+    def __init__(self, position: int, order: Sequence[str], cut: Cut, equal: Column, skip: int):
+        super().__init__(
+            f"equal rows on both sides of position {position} in the order {list(order)}")
+        self.cut, self.equal, self.skip = cut, equal, skip
+
+
 def cuts_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> list[Cut]:
     """A cut before each position (0-based) of the table in the order of all keys.
 
@@ -140,19 +149,29 @@ def cuts_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> li
         ties = df.filter(key == bound).select(F.struct(row_hash.alias("h")).alias("k"))
         (found,), below = _keys_at(ties, [p - start], ties.count())[p - start]
         if below != p - start:
-            raise ValueError(f"equal rows on both sides of position {p} in the order {list(order)}")
+            raise TiedRows(p, order, Cut(key, bound, row_hash, found),
+                           (key == bound) & (row_hash == F.lit(found)), p - start - below)
         cuts[p] = Cut(key, bound, row_hash, found)
     return [cuts.get(p, Cut(none=p <= 0)) for p in positions]
 
 
 def last_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The last ``n`` rows by the order keys, ascending; ties as in :func:`cuts_at`."""
+    """The last ``n`` rows by the order keys, ascending; ties as in :func:`cuts_at`.
+
+    Of equal rows at the border as many are given as are missing.
+    """
     ascending = [col(c) for c in order]
     if n <= TOP_ROWS:
         plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         keys = [*[c.desc() for c in ascending], F.xxhash64(*[col(c) for c in plain]).desc()]
         return df.orderBy(*keys).limit(n).orderBy(*ascending)
-    cut = cuts_at(df, order, [df.count() - n])[0]
+    try:
+        cut = cuts_at(df, order, [df.count() - n])[0]
+    except TiedRows as tie:
+        later = df.filter(~tie.cut.before() & ~tie.equal)
+        times = F.explode(F.sequence(F.lit(1), F.lit(df.filter(tie.equal).count() - tie.skip)))
+        one = df.filter(tie.equal).limit(1).withColumn("__time", times).drop("__time")
+        return later.unionByName(one).orderBy(*ascending)
     return df.filter(~cut.before()).orderBy(*ascending)
 
 

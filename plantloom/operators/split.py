@@ -131,8 +131,9 @@ def group_folds(
 def sample_cap(
     df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """A seeded sample of n rows without replacement, back in row order."""
-    picked = df.orderBy(hash_key(keys, seed), *[col(k) for k in keys]).limit(n)
+    """A seeded sample of n rows without replacement, back in row order: a cut in hash order."""
+    keyed = df.withColumn("__h", hash_key(keys, seed))
+    picked = keyed.filter(cuts_at(keyed, ["__h", *keys], [n])[0].before()).drop("__h")
     return picked.orderBy(*[col(c) for c in order])
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
@@ -263,6 +263,17 @@ def strong_correlations(df, columns, threshold: float = 0.8) -> DataFrame:
     return correlations(df, columns).filter(F.abs("r") >= threshold)
 
 
+def tallies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, value, n``: how often each value, as text, stands in column number ``i``.
+
+    All columns are grouped in one job; tasks sum up before anything travels.
+    """
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("value"))
+        for i, c in enumerate(columns)])).alias("c")
+    return df.select(cells).select("c.*").groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: type, rows, missing, distinct, zeros, moments and quartiles if numeric."""
     names = list(columns or df.columns)
@@ -270,10 +281,16 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     kinds = dict(df.dtypes)
     quarts = column_quantiles(df, numbers, QUARTILES)
     none = F.lit(None).cast("double")
+    plain = df.select(*[(known(col(c)) if c in numbers else col(c)).alias(c) for c in names])
+    # 0.0 and -0.0 are one value.
+    plain = plain.withColumns({c: F.when(col(c) == 0, F.lit(0).cast(kinds[c])).otherwise(col(c))
+                               for c in numbers if kinds[c] in ("float", "double")})
+    distinct = {r["i"]: r["d"] for r in tallies(plain, names).groupBy("i").agg(
+        F.count("value").alias("d")).collect()}
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(names):
         v = known(col(c)) if c in numbers else col(c)
-        aggs += [F.count(v).alias(f"k{i}"), F.countDistinct(v).alias(f"d{i}")]
+        aggs.append(F.count(v).alias(f"k{i}"))
         if c in numbers:
             aggs += [
                 F.count_if(v == 0).alias(f"z{i}"),
@@ -296,7 +313,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
                 F.lit(kinds[c]).alias("type"),
                 col("n").alias("n_rows"),
                 (col("n") - col(f"k{i}")).alias("n_missing"),
-                col(f"d{i}").alias("n_distinct"),
+                F.lit(distinct.get(i, 0)).cast("long").alias("n_distinct"),
                 (col(f"z{i}") if c in numbers else F.lit(None).cast("long")).alias("n_zero"),
                 num(col(f"m{i}")).alias("mean"),
                 num(col(f"s{i}")).alias("std"),
@@ -312,16 +329,12 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
     """The k most frequent values per column (ties: smaller value first)."""
-    parts = []
-    for c in columns:
-        top = (
-            df.groupBy(col(c).cast("string").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), F.asc("value"))
-            .limit(k)
-        )
-        parts.append(top.select(F.lit(c).alias("column"), "value", "n"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    first = Window.partitionBy("i").orderBy(F.desc("n"), F.asc("value"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return (
+        tallies(df, columns).withColumn("__rn", F.row_number().over(first))
+        .filter(F.col("__rn") <= k)
+        .select(F.element_at(names, F.col("i") + 1).alias("column"), "value", "n"))
 
 
 def cycle_features(

@@ -107,3 +107,28 @@ def test_lag_values(spark):
     assert rows[25]["y_diff_5"] == 24**2 - 19**2
     assert rows[3]["y_rolling_mean_10"] == pytest.approx((0 + 1 + 4) / 3)
     assert rows[1]["y_rolling_std_10"] is None
+
+
+def test_cells_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(order, "FIRST", 3)
+    monkeypatch.setattr(order, "FAN", 4)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(777).alias("t"),
+        F.xxhash64("id").alias("u"), (F.col("id") % 2).alias("s"), "id")
+    for series in ([], ["s"]):
+        layout = plan_layout(df, ["t", "u"], series, target_rows=50)
+        assert len(layout.bounds) == 2 and len(layout.finer) >= 2
+        sizes = layout.attach(df).groupBy(*series, CELL).count()
+        assert sizes.count() > 20 and sizes.agg(F.max("count")).first()[0] < 400
+        w = Window.partitionBy(*(series or [F.lit(0)])).orderBy("t", "u")
+        want = df.withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
+        same(order.with_ordinal(df, ["t", "u"], series, layout=layout), want)
+    one = plan_layout(df.limit(0), ["t", "u"], target_rows=50)
+    assert not one.is_cut
+
+
+def test_routing_has_no_nested_loop(spark):
+    df = spark.range(500).select("id", F.xxhash64("id").alias("t"))
+    layout = plan_layout(df, ["t", "id"], target_rows=20)
+    plan = layout.attach(df)._jdf.queryExecution().executedPlan().toString()
+    assert len(layout.bounds) > 10 and "NestedLoop" not in plan and "Cartesian" not in plan

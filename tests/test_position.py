@@ -67,3 +67,12 @@ def test_long_keys_above_doubles(spark):
     df = spark.range(1000).selectExpr("id + 9007199254740992 AS k")
     cut = position.cuts_at(df, ["k"], [501])[0]
     assert df.filter(cut.before()).count() == 501
+
+
+@pytest.mark.parametrize("top", [10, 1000])
+def test_equal_rows_at_the_border_on_both_sides_of_the_switch(spark, monkeypatch, top):
+    monkeypatch.setattr(position, "TOP_ROWS", top)
+    df = spark.createDataFrame([(1, "a")] * 30 + [(2, "b")] * 30 + [(3, "c")] * 5, "t int, v string")
+    for n in (3, 5, 20, 35, 36, 50, 65, 80):
+        got = [r.v for r in position.last_rows(df, n, ["t"]).collect()]
+        assert got == (["a"] * 30 + ["b"] * 30 + ["c"] * 5)[-n:]
