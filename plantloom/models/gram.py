@@ -26,6 +26,12 @@ def _column(batch: pa.RecordBatch, i: int) -> Matrix:
 SUMS = "k int, part int, shape array<int>, v array<double>"
 # Tasks that add up the matrices of all others.
 ADDERS = 16
+# The key of rows whose key is NULL: a group like any other.
+NULL_KEY = -(1 << 31)
+
+
+def int_key(name: str):
+    return F.coalesce(col(name).cast("int"), F.lit(NULL_KEY))
 
 
 def keyed_sums(
@@ -40,7 +46,7 @@ def keyed_sums(
     ``block`` gets an n×p matrix (an ``array`` column is appended to it) and returns small
     matrices by part number, whose sums over row subsets add up.
     """
-    k = F.lit(0) if key is None else col(key).cast("int")
+    k = F.lit(0) if key is None else int_key(key)
     sel = [k.alias("k"), *[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]]
     if array:
         sel.append(col(array).alias("arr"))

@@ -93,6 +93,11 @@ class KernelModel:
 
     @classmethod
     def from_dict(cls, d: dict) -> KernelModel:
+        more = ()
+        if "landmarks" in d:
+            from plantloom.models.inducing import InducingModel
+
+            cls, more = InducingModel, (np.array(d["landmarks"]), np.array(d["root"]), d["signal"])
         return cls(
             KernelSpec(**d["spec"]),
             list(d["features"]),
@@ -102,6 +107,7 @@ class KernelModel:
             np.array(d["mean"]),
             np.array(d["cov"]),
             d["noise_var"],
+            *more,
         )
 
 
@@ -217,18 +223,3 @@ def forward_search(
             past = past + test
         results.append((spec, float(np.mean(scores)) if scores else -1.0))
     return sorted(results, key=lambda r: -r[1])
-
-
-def kernel_features(
-    df: DataFrame, features: Sequence[str], x_scaler: Scaler, spec: KernelSpec, out: str
-) -> DataFrame:
-    """Random features as an array column, for linear learners on top."""
-    w, b = spec.frequencies(len(features))
-
-    @F.pandas_udf("array<double>")
-    def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(list(basis(part.to_numpy(dtype=float), w, b)[:, 1:]))
-
-    cols = [x_scaler.expr(c).alias(f"f{i}") for i, c in enumerate(features)]
-    return df.withColumn(out, expand(F.struct(*cols)))

@@ -17,15 +17,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
-from plantloom.models.kernel import KernelSpec, kernel_features
-from plantloom.operators.scale import fit_robust
 
 VECTOR, LABEL = "__features", "__label"
 
@@ -110,12 +108,14 @@ def out_of_fold(
     df: DataFrame, features: Sequence[str], label: str, fold: str, kind: str, folds: Sequence[int],
     **params,
 ) -> DataFrame:
-    """Each fold is scored by the model fitted on all others."""
+    """Each fold is scored by the model fitted on all others; the rows without a fold are one."""
     known = df.na.drop(subset=[f"`{c}`" for c in [*features, label]])
+    own = known.filter(col(fold).isNull()).isEmpty()
     parts = []
-    for f in folds:
-        model = fit(known.filter(col(fold) != f), features, label, kind, **params)
-        parts.append(score(model, known.filter(col(fold) == f), features))
+    for f in [*folds, *([] if own else [None])]:
+        mine = col(fold).eqNullSafe(F.lit(f))
+        model = fit(known.filter(~mine), features, label, kind, **params)
+        parts.append(score(model, known.filter(mine), features))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -150,27 +150,6 @@ def grid_search(
     return df.sparkSession.createDataFrame(rows, "params map<string,string>, score double")
 
 
-def fit_kernel_svr(df: DataFrame, features: Sequence[str], label: str, spec: KernelSpec | None = None):
-    """Robust regression on RBF random features; returns a scoring function."""
-    spec = spec or KernelSpec(nu=None, length_scale=3.0)
-    known = df.na.drop(subset=[f"`{c}`" for c in [*features, label]])
-    scaler = fit_robust(known, features)
-
-    def lift(frame: DataFrame) -> DataFrame:
-        wide = kernel_features(frame, features, scaler, spec, "__phi")
-        return wide.withColumn(VECTOR, array_to_vector("__phi")).drop("__phi")
-
-    ready = lift(known).withColumn(LABEL, col(label).cast("double")).select(VECTOR, LABEL)
-    ready.persist()
-    try:
-        model = LinearRegression(
-            featuresCol=VECTOR, labelCol=LABEL, loss="huber", regParam=1e-4, maxIter=50
-        ).fit(ready)
-    finally:
-        ready.unpersist()
-    return lambda frame: model.transform(lift(frame)).drop(VECTOR)
-
-
 def pca_projection(df: DataFrame, features: Sequence[str], k: int | None = None) -> DataFrame:
     """Centred principal components as columns pc1…pck."""
     k = k or len(features)

@@ -17,6 +17,7 @@ from plantloom.models.gram import (
     batches_of,
     column_means,
     gram,
+    int_key,
     solve_ols,
     sse,
     sst,
@@ -127,7 +128,10 @@ def _fold_betas(grams: dict[int, np.ndarray], ridge: float) -> dict[int, np.ndar
 def oof_linear(
     df: DataFrame, features: Sequence[str], target: str, fold: str, ridge: float = 0.0
 ) -> DataFrame:
-    """Out-of-fold predictions: all fold models come from one pass of per-fold Gram sums."""
+    """Out-of-fold predictions: all fold models come from one pass of per-fold Gram sums.
+
+    Rows without a fold are a fold.
+    """
     known = df.na.drop(subset=[f"`{c}`" for c in [*features, target]])
     shift = column_means(known, [*features, target])
     betas = _fold_betas(gram(known, features, target, fold, shift), ridge)
@@ -138,7 +142,7 @@ def oof_linear(
     table = F.create_map(
         *[e for f, b in betas.items() for e in (F.lit(f), F.array(*[F.lit(float(v)) for v in b]))]
     )
-    mine = F.try_element_at(table, col(fold).cast("int"))
+    mine = F.try_element_at(table, int_key(fold))
     pred = mine[0]
     for j, name in zip(range(1, width), features):
         pred = pred + col(name) * mine[j]

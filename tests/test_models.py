@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plantloom.models import kernel, learners, linear, neighbors
+from plantloom.models import kernel, learners, linear, neighbors, svr
 from plantloom.models.gram import added, gram
 from plantloom.operators import scale, split
 from plantloom.plans import score
@@ -135,6 +135,58 @@ def test_nearest_matches_brute_force_over_blocks(spark):
     assert [r["neighbor"] for r in got] == np.argsort(d, axis=1)[:, :4].ravel().tolist()
 
 
+def test_pivots_spare_most_distances_and_lose_no_neighbour(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(30, 1, 8)) * 10 + rng.normal(size=(30, 40, 8))).reshape(-1, 8)
+    df = spark.createDataFrame(
+        [(i, [float(v) for v in r], int(i % 3)) for i, r in enumerate(x)],
+        "id long, v array<double>, label int").repartition(5)
+    q = df.filter("id % 4 = 0")
+    args = (df, q, "v", "label", "id", "id", 5)
+    got = neighbors.nearest(*args, block=16, pivot_rows=20, shard=25).orderBy("id", "place").collect()
+    d = np.sqrt(((x[::4, None] - x[None]) ** 2).sum(-1))
+    assert [r["neighbor"] for r in got] == np.argsort(d, axis=1, kind="stable")[:, :5].ravel().tolist()
+    work = neighbors.candidates(*args, 16, 20, 25).agg(F.sum("compared")).first()[0]
+    assert 5 * 300 <= work < 0.3 * 300 * 1200
+    few = neighbors.nearest(df.limit(3), q, "v", "label", "id", "id", 5, pivot_rows=1)
+    assert few.groupBy("id").count().filter("count <> 3").count() == 0
+
+
+def test_neighbours_with_ties_and_copies(spark):
+    rows = [(i, [float(i % 7), 0.0], i % 2) for i in range(140)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    got = neighbors.nearest(df, df.filter("id < 7"), "v", "label", "id", "id", 3, pivot_rows=10).collect()
+    for r in got:
+        assert r["neighbor"] == r["id"] + 7 * (r["place"] - 1) and r["distance"] == 0
+
+
+def test_svr_ignores_outliers_and_partitions(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-2, 2, (1500, 2))
+    y = np.sin(x[:, 0]) + 0.5 * x[:, 1]
+    off = np.arange(1500) % 15 == 0
+    df = spark.createDataFrame(
+        [(i, float(a), float(b), float(t + 40 * o)) for i, ((a, b), t, o) in enumerate(zip(x, y, off))],
+        "id long, a double, `b.c` double, y double")
+    models = [svr.fit_svr(df.repartition(n), ["a", "b.c"], "y", steps=30) for n in (1, 40)]
+    assert np.abs(models[0].weights - models[1].weights).max() < 1e-9
+    fall = np.diff(models[0].losses)
+    assert (fall <= 1e-9 * models[0].losses[0]).all()
+    got = models[0].predict(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    plain = np.abs(y - np.mean(y + 40 * off))[~off].mean()
+    assert np.abs(got - y)[~off].mean() < 0.15 < plain / 5  # outliers of 40 at one row in 15
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
+def test_rows_without_a_fold_are_a_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(v), None if i % 7 == 0 else i % 3, 2 * float(v) + 1) for i, v in enumerate(rng.normal(size=210))]
+    df = spark.createDataFrame(rows, "x double, fold int, y double")
+    got = linear.oof_linear(df, ["x"], "y", "fold").filter("abs(prediction - y) < 1e-6")
+    assert got.count() == 210
+    assert learners.out_of_fold(df, ["x"], "y", "fold", "linear", range(3)).count() == 210
+
+
 def test_hopkins_tells_clusters_from_noise(spark):
     rng = np.random.default_rng(1)
     tight = np.repeat(rng.normal(size=(4, 6)), 100, axis=0) + 0.01 * rng.normal(size=(400, 6))
@@ -158,3 +210,25 @@ def test_folds_and_splits(spark):
     assert len(a) == 100 and a == b
     blocks = split.forward_folds(df, ["id"]).groupBy("block").agg(F.min("id").alias("lo"), F.count("id").alias("n")).orderBy("block").collect()
     assert [(r["lo"], r["n"]) for r in blocks] == [(0, 250), (250, 250), (500, 250), (750, 250)]
+
+
+def test_spread_grows_back_to_the_prior_off_the_data(spark):
+    from plantloom.models.inducing import fit_inducing
+    from plantloom.operators.scale import fit_robust
+
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-3, 3, 2000)
+    y = np.sin(x) + rng.normal(0, 0.1, 2000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    both = fit_robust(df, ["x", "y"])
+    args = (["x"], "y", both.only(["x"]), both.only(["y"]), kernel.KernelSpec(length_scale=0.5, width=40))
+    model = fit_inducing(df, *args)
+    got = model.score(df).toPandas()
+    assert 0.9 <= (np.abs(got["y"] - got["prediction"]) <= 1.96 * got["std"]).mean() <= 1.0
+    assert np.abs(got["prediction"] - np.sin(got["x"])).max() < 0.1 and got["std"].max() < 0.2
+    far = model.score(spark.createDataFrame([(50.0,), (-50.0,)], "x double")).toPandas()
+    assert (far["std"] >= model.prior_std * (1 - 1e-9)).all() and model.prior_std > 0.3
+    again = kernel.KernelModel.from_dict(model.to_dict())
+    assert type(again) is type(model) and again.score(df.limit(1)).first()["std"] == model.score(df.limit(1)).first()["std"]
+    other = fit_inducing(df.repartition(11), *args).score(df).toPandas()
+    assert np.allclose(sorted(other["std"]), sorted(got["std"]), rtol=1e-4)
