@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantloom.models import learners, linear, neighbors
+from plantloom.models import boosting, learners, linear, neighbors, svr
 from plantloom.operators import metrics, scale, stats
 from plantloom.operators.position import cuts_at
 from plantloom.plans import experiments, score
@@ -27,6 +27,7 @@ from plantloom.sources import readers, sinks
 from plantloom.streaming import etl, stateful
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LEAD = ["l_quantity", "l_discount", "l_tax"]
 _PC = ["l_quantity", "l_discount"]
 
 # ── linear models from sufficient statistics ────────────────────────────────────────────
@@ -79,6 +80,36 @@ def _(spark, sf):
     return rounded(got.drop("best_shuffled_r2"))
 
 
+_SIGNAL_SQL = f"""WITH {SAMPLES_SQL}, t AS (SELECT l_suppkey, u,
+  CASE WHEN l_quantity <= 25 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END + CASE WHEN l_discount > 0.055 THEN 4 ELSE 0 END AS step,
+  (l_orderkey * 7 + l_partkey * 3) % 11 AS e FROM samples, (SELECT unnest([1, -1]) AS u))
+SELECT 'signal' AS target, round(1 - sum((u * e) ** 2) / (var_pop(step + u * e) * count(*)), 5) AS r2,
+  round(1.0::DOUBLE / 201, 6) AS p_value, TRUE AS significant, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_groups FROM t
+UNION ALL SELECT 'none', NULL, NULL, FALSE, count(*), count(DISTINCT l_suppkey) FROM samples"""
+
+
+@query("permutation_test_boosted", _SIGNAL_SQL)
+def _(spark, sf):
+    """A planted signal, each row with its noise added and taken away, so that the mean of any
+    group and cell is the step; and a target that follows no feature. No supplier in two folds."""
+    s = _stepped(spark, sf)
+    e = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 3) % 11
+    pairs = s.withColumn("u", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn(
+        "t", F.col("step") + F.col("u") * e)
+    noise = s.withColumn("t", (F.col("l_orderkey") * 104_729 + F.col("l_partkey") * 7919
+                               + F.col("l_linenumber") * 31) % 997)
+    cols = ["l_quantity", "l_discount"]
+    out = []
+    for name, df, keys in (("signal", pairs, [*LINE, "u"]), ("none", noise, LINE)):
+        r = boosting.permutation_test_boosted(df, cols, "t", "l_suppkey", keys)
+        planted = F.lit(name == "signal")
+        out.append(r.select(
+            F.lit(name).alias("target"), F.when(planted, F.round("r2", 5)).alias("r2"),
+            F.when(planted, F.round("p_value", 6)).alias("p_value"),
+            (F.col("p_value") < 0.05).alias("significant"), "n_rows", "n_groups"))
+    return out[0].unionByName(out[1])
+
+
 _TWO_SQL = f"""{SAMPLES_SQL}, a AS (SELECT count(*)::DOUBLE AS n, var_pop(l_quantity) * count(*) AS xx, var_pop(l_tax) * count(*) AS zz,
   covar_pop(l_quantity, l_tax) * count(*) AS xz, covar_pop(l_quantity, t) * count(*) AS xy, covar_pop(l_tax, t) * count(*) AS zy,
   var_pop(t) * count(*) AS yy FROM (SELECT *, 3 * l_quantity + (l_orderkey * 7 + l_partkey * 3) % 11 AS t FROM samples)),
@@ -111,7 +142,17 @@ def _(spark, sf):
     return neighbors.knn_classify(e.filter(~q), e.filter(q), "embedding", "label", "vec_id", 3)
 
 
-@query("hopkins")
+@query("hopkins", """WITH v AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[],
+  lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+n AS (SELECT count(*) AS n, floor(count(*) * 0.05::DOUBLE)::BIGINT AS m, max(len(v)) AS dims FROM v),
+d AS (SELECT j, min(v[j + 1]) AS lo, max(v[j + 1]) AS hi FROM v, n, range(n.dims) AS t(j) GROUP BY j),
+u AS (SELECT i, list(lo + ('0x' || substr(md5(i || ':' || j || ':42'), 1, 13))::UBIGINT / 4503599627370496.0 * (hi - lo) ORDER BY j) AS v
+  FROM d, n, range(n.m) AS t(i) GROUP BY i),
+s AS (SELECT id, v FROM v ORDER BY ('0x' || substr(md5('row:' || id || ':42'), 1, 13))::UBIGINT, id LIMIT (SELECT m FROM n)),
+a AS (SELECT sum(x) AS u FROM (SELECT min(list_distance(u.v, v.v)) AS x FROM u, v GROUP BY u.i)),
+b AS (SELECT sum(x) AS w FROM (SELECT s.id, list_distance(s.v, v.v) AS x, row_number() OVER (
+  PARTITION BY s.id ORDER BY list_distance(s.v, v.v), v.id) AS rn FROM s, v) WHERE rn = 2)
+SELECT round(u / (u + w), 6) AS hopkins, m::INT AS sampled FROM a, b, n""")
 def _(spark, sf):
     return rounded(neighbors.hopkins(table(spark, sf, "embeddings"), "embedding", "vec_id"))
 
@@ -162,10 +203,13 @@ def _(spark, sf):
 
 @query("fit_kernel_svr", """SELECT count(*) AS n, 1.0::DOUBLE AS r2 FROM lineitem WHERE l_suppkey % 5 = 0""")
 def _(spark, sf):
-    """A target without noise that is linear in two features."""
-    s = samples(spark, sf).withColumn("flat", 2 * F.col("l_quantity") - 300 * F.col("l_discount"))
-    predict = learners.fit_kernel_svr(s.filter(_SPLIT), _PC, "flat")
-    report = metrics.regression_metrics(predict(s.filter(_TEST)), "flat", "prediction")
+    """A target that is linear in two features, but for one training row in 20 that is far off."""
+    flat = 2 * F.col("l_quantity") - 300 * F.col("l_discount")
+    s = samples(spark, sf).withColumn("flat", flat)
+    off = s.filter(_SPLIT).withColumn("flat", F.when(
+        F.col("l_orderkey") % 20 == 0, 5000.0).otherwise(F.col("flat")))
+    model = svr.fit_svr(off, _PC, "flat", steps=25)
+    report = metrics.regression_metrics(model.predict(s.filter(_TEST)), "flat", "prediction")
     return rounded(report.select("n", "r2"), 1)
 
 
@@ -185,6 +229,40 @@ def _(spark, sf):
     return rounded(metrics.regression_metrics(oof, "step", "prediction").drop("mape"))
 
 
+@query("softmax_boosted", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_tax > 0.045 AND l_quantity <= 25 THEN 2
+  WHEN (l_quantity <= 25) <> (l_discount <= 0.055) THEN 1 ELSE 0 END AS prediction, 1.0::DOUBLE AS total, TRUE AS sure
+FROM lineitem WHERE l_suppkey % 5 = 0""")
+def _(spark, sf):
+    """Three classes that cross each other: no class is told from the rest by one feature."""
+    low, cheap = F.col("l_quantity") <= 25, F.col("l_discount") <= 0.055
+    c = F.when((F.col("l_tax") > 0.045) & low, 2).when(low != cheap, 1).otherwise(0)
+    s = samples(spark, sf).withColumn("c", c)
+    model = boosting.fit_boosting(s.filter(_SPLIT), _LEAD, "c", classes=3)
+    out = model.predict(s.filter(_TEST))
+    total = F.aggregate("probability", F.lit(0.0), lambda a, v: a + v)
+    return rounded(out.select(*LINE, "prediction", total.alias("total"),
+                              (F.array_max("probability") > 0.9).alias("sure")))
+
+
+@query("boosted_leaf", f"""WITH {SAMPLES_SQL}, t AS (SELECT l_linenumber % 3 = 0 AS missing, l_quantity <= 25 AS low,
+  CASE WHEN l_linenumber % 3 <> 0 AND l_quantity <= 25 THEN 10 ELSE 20 END + l_partkey % 7 AS t FROM samples),
+s AS (SELECT *, NOT missing AND low AS a, avg(t) OVER () AS base FROM t),
+g AS (SELECT a, max(base) + 0.5 * sum(t - base) / (count(*) + 5) AS p FROM s GROUP BY a)
+SELECT missing, CASE WHEN NOT missing THEN low END AS low, count(*) AS n, round(max(p), 6) AS prediction
+FROM s JOIN g USING (a) GROUP BY 1, 2""")
+def _(spark, sf):
+    """One tree of one split: leaf values with an l2 penalty, missing readings on their own side."""
+    missing = F.col("l_linenumber") % 3 == 0
+    x = F.when(~missing, F.col("l_quantity"))
+    s = samples(spark, sf).withColumn("x", x).withColumn(
+        "t", F.when(F.col("x") <= 25, 10).otherwise(20) + F.col("l_partkey") % 7)
+    model = boosting.fit_boosting(
+        s, ["x", "l_tax"], "t", rounds=1, depth=1, rate=0.5, l2=5.0, gamma=0.1)
+    out = model.predict(s).groupBy(missing.alias("missing"), (F.col("x") <= 25).alias("low")).agg(
+        F.count("*").alias("n"), F.max("prediction").alias("prediction"))
+    return rounded(out)
+
+
 @query("importances", """SELECT unnest(['l_quantity', 'l_discount', 'l_extendedprice']) AS feature,
   unnest([1.0, 0.0, 0.0])::DOUBLE AS importance""")
 def _(spark, sf):
@@ -272,7 +350,6 @@ def _(spark, sf):
 
 # Rows whose largest of three scaled readings leads by half a range: each class against the rest
 # is linearly separable.
-_LEAD = ["l_quantity", "l_discount", "l_tax"]
 _LEAD_SQL = """WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) - min(l_quantity) AS b, min(l_discount) AS c,
   max(l_discount) - min(l_discount) AS d, min(l_tax) AS e, max(l_tax) - min(l_tax) AS f FROM lineitem),
 x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [(l_quantity - a) / b, (l_discount - c) / d, (l_tax - e) / f] AS v FROM lineitem, r),
@@ -303,6 +380,24 @@ def _(spark, sf):
     return _leading(spark, sf, "perceptron")
 
 
+_CROSS_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_quantity > 25) <> (l_discount > 0.05))::INT AS prediction
+FROM lineitem WHERE abs(l_quantity - 25.5) > 8 AND abs(l_discount - 0.05) > 0.015 AND l_suppkey % 5 = 0"""
+
+
+@query("perceptron_relu", _CROSS_SQL)
+def _(spark, sf):
+    """Two bands that cross: no line parts the classes, rectified units do."""
+    from plantloom.models.perceptron import fit_perceptron
+
+    li = table(spark, sf, "lineitem")
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    s = li.filter((F.abs(q - 25.5) > 8) & (F.abs(d - 0.05) > 0.015)).withColumn(
+        "c", ((q > 25) != (d > 0.05)).cast("int")).withColumn("q", (q - 25) / 25).withColumn(
+        "d", (d - 0.05) / 0.05)
+    model = fit_perceptron(s.filter(_SPLIT), ["q", "d"], "c", 2, rate=5e-3)
+    return model.predict(s.filter(_TEST)).select(*LINE, "prediction")
+
+
 # ── probabilistic soft sensor and scoring ───────────────────────────────────────────────
 
 
@@ -332,6 +427,25 @@ def _series_model(spark, sf):
     return e, model
 
 
+@query("inducing_posterior", """SELECT q.range AS q, round(2.0::DOUBLE * q.range + 7, 0) AS prediction, TRUE AS sure, FALSE AS prior FROM range(5, 46, 5) AS q
+UNION ALL SELECT unnest([500, -500]), NULL, FALSE, TRUE""")
+def _(spark, sf):
+    """Predictions where readings are, and the spread of the prior where none are."""
+    from plantloom.models.inducing import fit_inducing
+    from plantloom.models.kernel import KernelSpec
+
+    s = samples(spark, sf).withColumn("y", 2 * F.col("l_quantity") + 7)
+    both = scale.fit_robust(s, ["l_quantity", "y"])
+    model = fit_inducing(s, ["l_quantity"], "y", both.only(["l_quantity"]), both.only(["y"]),
+                         KernelSpec(length_scale=1.0, width=48))
+    spots = spark.createDataFrame([(q,) for q in [*range(5, 46, 5), 500, -500]], "q long")
+    scored = model.score(spots.withColumn("l_quantity", F.col("q").cast("double")))
+    known = F.abs("q") < 100
+    return rounded(scored.select(
+        "q", F.when(known, F.round("prediction", 0)).alias("prediction"),
+        (F.col("std") < 1).alias("sure"), (F.col("std") >= model.prior_std).alias("prior")))
+
+
 _OKAY = """TRUE AS predicted, TRUE AS confident, 'kernel' AS model_used"""
 
 
@@ -377,7 +491,7 @@ SELECT 'y' AS target, horizon, count(*) AS n, round(1 - sum((t - y) ** 2) / (var
 def _(spark, sf):
     hourly = _hours(spark, sf)
     names = [c for c in hourly.columns if c.startswith("value__")]
-    report = experiments.evaluate_horizons(hourly, names, ["y"], ["slot"], boosted={"maxIter": 60})
+    report = experiments.evaluate_horizons(hourly, names, ["y"], ["slot"])
     return rounded(report.select(
         "target", "horizon", "n", "persistence_r2", (F.col("model_r2") <= 1).alias("scored")))
 
@@ -387,17 +501,63 @@ def _hours(spark, sf):
     return stats.resample(e, "ts", ["value"], ["y"], "event_id").na.drop()
 
 
-@query("best_horizon")
+# Hours numbered in time order.
+_HOURS_SQL = """o AS (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS rn FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS slot FROM events GROUP BY 1 HAVING count(*) > 1))"""
+
+
+def _numbered(spark, sf):
+    from plantloom.operators.order import with_ordinal
+
+    return with_ordinal(_hours(spark, sf).select("slot"), ["slot"], name="rn")
+
+
+@query("best_horizon", f"""WITH {_HOURS_SQL}, y AS (SELECT rn, 10.0::DOUBLE * (rn // 24 % 2) AS y FROM o),
+f AS (SELECT k AS horizon, a.rn, a.y, b.y AS t FROM (SELECT unnest([1, 3, 6, 12, 24]) AS k) JOIN y a ON TRUE JOIN y b ON b.rn = a.rn + k),
+c AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY rn) AS r, count(*) OVER (PARTITION BY horizon) AS n FROM f),
+p AS (SELECT horizon, count(*) AS n, 1 - sum((t - y) ** 2) / (var_pop(t) * count(*)) AS p FROM c WHERE r > floor(n * 0.8::DOUBLE) GROUP BY 1)
+SELECT 'y' AS target, horizon, n, 1.0::DOUBLE AS model_r2, round(p, 6) AS persistence_r2, 'model' AS verdict, round(1 - p, 6) AS gap
+FROM p ORDER BY gap DESC, horizon LIMIT 1""")
 def _(spark, sf):
-    hourly = _hours(spark, sf).withColumn("y", F.hour("slot") * 1.0)
-    names = ["value__mean", "hour"]
-    report = experiments.evaluate_horizons(
-        hourly.withColumn("hour", F.hour("slot") * 1.0), names, ["y"], ["slot"], [6, 12],
-        {"maxIter": 5},
-    )
+    """A reading that turns every 24 hours, all horizons at the registered defaults."""
+    y = F.floor(F.col("rn") / 24) % 2 * 10.0
+    hours = _numbered(spark, sf).withColumn("y", y).withColumn("phase", F.col("rn") % 24)
+    report = experiments.evaluate_horizons(hours, ["y", "phase"], ["y"], ["slot"])
     return rounded(experiments.best_horizon(report))
 
 
+@query("hourly_experiment", f"""WITH {_HOURS_SQL}, a AS (SELECT rn, ('0x' || substr(md5(rn::VARCHAR), 1, 6))::UBIGINT % 10 AS a FROM o),
+y AS (SELECT rn, a, 10.0::DOUBLE * (coalesce(lag(a) OVER (ORDER BY rn), 0) > 4)::INT + (a > 4)::INT AS y, count(*) OVER () AS n FROM a),
+t AS (SELECT *, lag(y) OVER (ORDER BY rn) AS p, rn < floor(n * 0.8::DOUBLE) AS tr FROM y),
+g AS (SELECT a, avg(y) AS g FROM t WHERE tr GROUP BY a), m AS (SELECT avg(y) AS m FROM t WHERE tr),
+s AS (SELECT unnest(['mean', 'persistence', 'nowcast', 'input_lags']) AS model, unnest([m, p, g, y]) AS q, y FROM t JOIN g USING (a), m WHERE NOT tr),
+r AS (SELECT model, count(*) AS n, 1 - sum((y - q) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs(y - q)) AS mae FROM s GROUP BY 1)
+SELECT model, n, round(r2, 3) AS r2, round(mae, 3) AS mae,
+  CASE WHEN model IN ('nowcast', 'input_lags') THEN r2 > (SELECT r2 FROM r WHERE model = 'persistence') + 0.02 END AS beats_persistence FROM r""")
+def _(spark, sf):
+    """A target that follows the reading of the hour before more than that of the hour itself."""
+    a = F.conv(F.substring(F.md5(F.col("rn").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") % 10
+    hours = _numbered(spark, sf).withColumn("a", a)
+    before = F.coalesce(F.lag("a").over(Window.orderBy("rn")), F.lit(0))
+    hours = hours.withColumn("y", 10.0 * (before > 4).cast("int") + (F.col("a") > 4).cast("int"))
+    return rounded(experiments.hourly_experiment(hours, ["a"], "y", ["slot"]), 3)
+
+
+@query("model_comparison", """WITH f AS (SELECT p_size, CASE WHEN p_size <= 25 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END AS y,
+  (row_number() OVER (ORDER BY md5(concat_ws('|', '42', p_partkey::VARCHAR)), p_partkey) - 1) % 5 AS fold FROM part),
+m AS (SELECT k.range AS fold, regr_slope(y, p_size) AS w, regr_intercept(y, p_size) AS b FROM f JOIN range(5) k ON f.fold <> k.range GROUP BY 1),
+s AS (SELECT unnest(['linear', 'boosted', 'forest']) AS model, unnest([b + w * p_size, y, y]) AS q, y FROM f JOIN m USING (fold))
+SELECT 'y' AS target, model, count(*) AS n, round(avg(y), 3) AS mean, round(stddev_pop(y), 3) AS std,
+  round(1 - sum((y - q) ** 2) / (var_pop(y) * count(*)), 3) AS r2, round(avg(abs(y - q)), 3) AS mae FROM s GROUP BY 2""")
+def _(spark, sf):
+    """A step that trees find in every fold and a line does not; few rows of another target."""
+    parts = table(spark, sf, "part").withColumn(
+        "y", F.when(F.col("p_size") <= 25, 10.0).otherwise(20.0)).withColumn(
+        "few", F.when(F.col("p_partkey") <= 10, F.col("p_size")))
+    report = experiments.compare_models(parts, ["p_size"], ["y", "few"], ["p_partkey"], forest=_EXACT)
+    return rounded(report, 3)
+
+
 # ── sources and sinks ───────────────────────────────────────────────────────────────────
 
 
@@ -644,15 +804,25 @@ def _stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
+def _delayed(df: DataFrame) -> DataFrame:
+    """Events that arrive up to 42 minutes after their time, so out of order across batches."""
+    return df.withColumn(
+        "arrival", F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 7 * 7).cast("int")))
+
+
+ARRIVAL = ["arrival", "event_id"]
+
+
 @query("stream_ffill", f"""WITH {PLANT_SQL} SELECT event_id, round(last_value(pulp_ph IGNORE NULLS) OVER (PARTITION BY user_id
   ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS pulp_ph FROM plant""")
 def _(spark, sf):
+    """Readings that arrive out of order, filled as in the sorted table."""
     _stateful(spark)
     out, log = scratch_path(spark, "ffill-rows"), scratch_path(spark, "ffill-log")
-    p = plant(spark, sf).select("event_id", "ts", "user_id", "pulp_ph")
-    _arriving(p, "plant-files", 2, lambda src: etl.write_stream_table(
-        stateful.ffill_stream(src, ["pulp_ph"], ["user_id"], TIME), out, log))
-    return rounded(spark.read.parquet(out).select("event_id", "pulp_ph"))
+    p = _delayed(plant(spark, sf).select("event_id", "ts", "user_id", "pulp_ph"))
+    _arriving(p, "plant-files", 4, lambda src: etl.write_updates(
+        stateful.ffill_stream(src, ["pulp_ph"], ["user_id"], TIME), out, log), ARRIVAL)
+    return rounded(etl.read_latest(spark, out, ["event_id"]).select("event_id", "pulp_ph"))
 
 
 @query("stream_features", """SELECT event_id, round(lag(value, 1) OVER w, 6) AS value_lag_1, round(lag(value, 20) OVER w, 6) AS value_lag_20,
@@ -671,9 +841,9 @@ def _(spark, sf):
     out, log = scratch_path(spark, "scored"), scratch_path(spark, "scored-log")
     predict = lambda b: b.withColumn(
         "prediction", linear.linear_expr(["value_lag_1"], beta))
-    _arriving(e, "event-files", 2, lambda src: etl.score_stream(
-        stateful.lag_stream(src, "value", ["user_id"], TIME), predict, out, log))
+    _arriving(_delayed(e), "event-files", 4, lambda src: etl.score_stream(
+        stateful.lag_stream(src, "value", ["user_id"], TIME), predict, out, log), ARRIVAL)
     cols = ["value_lag_1", "value_lag_20", "value_diff_5", "value_rolling_mean_10",
             "value_rolling_std_10", "prediction"]
-    return rounded(spark.read.parquet(out).select("event_id", *cols))
+    return rounded(etl.read_latest(spark, out, ["event_id"]).select("event_id", *cols))
 

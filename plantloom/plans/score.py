@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
 from plantloom.operators.encode import scenario_sweep
+from plantloom.operators.split import join_flags
 from plantloom.operators.timeseries import lag_features
 from plantloom.plans.train import SensorModel
 
@@ -67,7 +68,7 @@ def score_series(
     by = list(series)
     sizes = df.groupBy(*[col(c) for c in by]).agg(F.count(F.lit(1)).alias("__n"))
     if by:
-        rows = rows.join(sizes, by, "left")
+        rows = join_flags(rows, sizes, by)
     else:
         rows = rows.withColumn("__n", F.lit(sizes.first()["__n"]))
     wanted = rows.filter(

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from plantloom.functions.names import col
 from plantloom.functions.scalars import confidence
 from plantloom.models import learners
+from plantloom.models.inducing import fit_inducing
 from plantloom.models.kernel import KernelModel, fit_kernel, forward_search, random_grid
-from plantloom.operators.encode import align_features
 from plantloom.operators.metrics import regression_metrics
+from plantloom.operators.order import subsample
 from plantloom.operators.prune import prune_features
 from plantloom.operators.scale import fit_robust
 from plantloom.operators.split import chronological_split, forward_folds
-from plantloom.operators.timeseries import LAGS, feature_names, lag_features
+from plantloom.operators.timeseries import LAGS, autocorr_diagnosis, feature_names, lag_features
 from plantloom.operators.validate import check_target, drop_missing
 from plantloom.session import written
 from plantloom.sources import sinks
@@ -39,6 +40,7 @@ class SensorModel:
     cv_score: float | None = None
     removed: dict[str, str] = field(default_factory=dict)
     metrics: dict[str, float] = field(default_factory=dict)
+    diagnosis: dict[str, object] = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, ``std`` (target units; 0 for trees) and ``confidence``."""
@@ -62,7 +64,7 @@ class SensorModel:
         info = {
             "kind": self.kind, "target": self.target, "features": self.features,
             "lags": self.lags, "cv_score": self.cv_score, "removed": self.removed,
-            "metrics": self.metrics,
+            "metrics": self.metrics, "diagnosis": self.diagnosis,
             "kernel": self.kernel.to_dict() if self.kernel else None,
         }
         return sinks.save_model(spark, path, info, self.pipeline)
@@ -75,7 +77,7 @@ class SensorModel:
         info, pipeline, kernel = sinks.load_model(spark, path, expected, trust_unsigned)
         return cls(
             info["target"], info["features"], info["lags"], info["kind"], kernel, pipeline,
-            info["cv_score"], info["removed"], info["metrics"],
+            info["cv_score"], info["removed"], info["metrics"], info.get("diagnosis", {}),
         )
 
 
@@ -94,12 +96,27 @@ def train(
     strict_leakage: bool = False,
     seed: int = 42,
     boosted: dict | None = None,
+    step: int | str = 1,
+    diagnose: bool = False,
+    inducing: bool = False,
     **options,
 ) -> tuple[SensorModel, DataFrame]:
-    """(model, scored test rows).  Every statistic is fitted on the training side only."""
+    """(model, scored test rows).  Every statistic is fitted on the training side only.
+
+    ``step`` takes every so many rows of each series; ``auto`` the step that the autocorrelation
+    diagnosis of the target recommends. With it, or with ``diagnose``, the diagnosis stays with
+    the model. ``inducing`` fits the kernel regressor on landmarks, so that ``std`` grows back to
+    the prior away from the training rows.
+    """
     check_target(df, target)
     inputs = list(features)
     rows = df.select(*[col(c) for c in dict.fromkeys([*order, *series, *inputs, target])])
+    diagnosis = {}
+    if diagnose or step == "auto":
+        diagnosis = autocorr_diagnosis(rows, target, order, **options).first().asDict()
+    step = int(diagnosis["recommended_step"]) if step == "auto" else step
+    if step > 1:
+        rows = subsample(rows, step, order, series, **options)
     if lags:
         rows = lag_features(rows, target, order, series, lags, **options)
         inputs += feature_names(target, lags)
@@ -109,7 +126,8 @@ def train(
     kept, removed = prune_features(train_rows, inputs, target, strict=strict_leakage)
     if not kept:
         raise ValueError(f"no usable feature is left: {removed}")
-    model = SensorModel(target, kept, list(lags), "kernel", removed=removed)
+    model = SensorModel(
+        target, kept, list(lags), "kernel", removed=removed, diagnosis={**diagnosis, "step": step})
     if force != "boosted":
         both = fit_robust(train_rows, [*kept, target])
         x_scaler, y_scaler = both.only(kept), both.only([target])
@@ -122,12 +140,9 @@ def train(
         model.kind = "boosted"
         model.pipeline = learners.fit(train_rows, kept, target, "boosted", **(boosted or {}))
     else:
-        model.kernel = fit_kernel(train_rows, kept, target, x_scaler, y_scaler, spec)
+        fit = fit_inducing if inducing else fit_kernel
+        model.kernel = fit(train_rows, kept, target, x_scaler, y_scaler, spec)
     scored = model.predict(test_rows)
     row = regression_metrics(scored, target, "prediction").first()
     model.metrics = row.asDict()
     return model, scored
-
-
-def aligned(df: DataFrame, model: SensorModel, keep: Sequence[str]) -> DataFrame:
-    return align_features(df, model.features, keep)
