@@ -138,10 +138,14 @@ def grid_search(
     ready = assembled(
         df.na.drop(subset=[f"`{c}`" for c in [*features, label]]), features, label
     ).select(VECTOR, LABEL)
-    found = CrossValidator(
-        estimator=stage, estimatorParamMaps=points, evaluator=judge, numFolds=folds,
-        parallelism=parallelism, seed=42,
-    ).fit(ready)
+    ready.persist()
+    try:
+        found = CrossValidator(
+            estimator=stage, estimatorParamMaps=points, evaluator=judge, numFolds=folds,
+            parallelism=parallelism, seed=42,
+        ).fit(ready)
+    finally:
+        ready.unpersist()
     rows = [
         ({p.name: str(v) for p, v in point.items()}, float(m))
         for point, m in zip(points, found.avgMetrics)

@@ -6,7 +6,8 @@ values are left inside they are read exactly.  Every pass is a map-only scan of
 columns (Arrow batches, NumPy inside) with a small result, so no data is shuffled.  The
 counts decide: an inaccurate pivot only costs another pass, never a wrong value.
 
-Grouped quantiles run over cells (``operators.order``) of value counts instead, so a group
+Grouped quantiles of a few groups are searched the same way, all groups in one pass; those of many
+groups run over cells (``operators.order``) of value counts instead, so a group
 that owns a third of the table is still spread over many tasks.
 """
 
@@ -15,11 +16,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantloom.functions.names import col
 from plantloom.functions.safe import known
@@ -36,6 +39,8 @@ from plantloom.operators.order import (
 EXACT_VALUES = 2_000_000
 PIVOT_SAMPLE = 20_000
 _COLUMNS_PER_PASS = 32
+# Groups whose ranks are searched by counting passes.
+FEW_GROUPS = 64
 
 
 @dataclass
@@ -250,6 +255,26 @@ def column_quantiles(
     return interpolate_at(df, positions, sizes, **options)
 
 
+def _quantiles_of_few(values: DataFrame, by, groups, probs: Mapping[str, float]) -> DataFrame:
+    """Each group as a column of its own, that is NULL in the rows of the others."""
+    kinds = {c: values.schema[c].dataType for c in by}
+    own = [
+        reduce(lambda a, b: a & b, [
+            col(c).eqNullSafe(F.lit(g[c]).cast(kinds[c])) for c in by])
+        for g in groups
+    ]
+    names = [f"g{i}" for i in range(len(groups))]
+    wide = values.select(*[
+        F.when(mine, col("__v")).cast("double").alias(n) for n, mine in zip(names, own)])
+    found = column_quantiles(wide, names, list(probs.values()))
+    schema = T.StructType([
+        *[T.StructField(c, kinds[c]) for c in by],
+        *[T.StructField(n, T.DoubleType()) for n in probs],
+    ])
+    rows = [(*[g[c] for c in by], *found[n]) for g, n in zip(groups, names)]
+    return values.sparkSession.createDataFrame(rows, schema)
+
+
 def grouped_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -258,10 +283,18 @@ def grouped_quantiles(
     layout: Layout | None = None,
     **sizing,
 ) -> DataFrame:
-    """One row per group with the named exact quantiles of ``value``."""
+    """One row per group with the named exact quantiles of ``value``.
+
+    The ranks of up to ``FEW_GROUPS`` groups are searched together by counting passes, so no value
+    is shuffled; the values of more groups are counted per group and value, in cells.
+    """
     values = df.select(
         *[col(c) for c in by], known(col(value)).alias("__v")
     ).filter(col("__v").isNotNull())
+    if layout is None and not sizing:
+        groups = values.select(*[col(c) for c in by]).distinct().limit(FEW_GROUPS + 1).collect()
+        if len(groups) <= FEW_GROUPS:
+            return _quantiles_of_few(values, by, groups, probs)
     layout = layout or plan_layout(values, ["__v"], by, **sizing)
     tally = values.groupBy(*[col(c) for c in by], "__v").agg(F.count(F.lit(1)).alias("__c"))
     cells = layout.attach(tally)

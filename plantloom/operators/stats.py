@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plantloom.functions.names import col
 from plantloom.functions.safe import finite, known, numeric_columns, rows_from
+from plantloom.models.gram import SUMS, added, batches_of
 from plantloom.operators.quantiles import column_quantiles, grouped_quantiles, interpolate_at
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -208,7 +209,8 @@ def correlations(
 def _pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlations (i, j, a, b, r) of all columns from one pass of matrix products.
 
-    A pair counts the rows where both values are finite; sums are centred on the means.
+    A pair counts the rows where both values are finite; sums are centred on the means. Tasks send
+    whole matrices, which a few tasks add up; the driver holds one entry per pair of columns.
     """
     p = len(columns)
     means = [F.avg(finite(col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)]
@@ -227,36 +229,18 @@ def _pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
             m = seen.astype(float)
             sq = x * x
             total += np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
-        flat = total.transpose(1, 2, 0).reshape(p, p * 6)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(p), pa.int32()), pa.array(flat.tolist(), pa.list_(pa.float64()))],
-            names=["i", "s"],
-        )
-
-    cells = (
-        narrow.mapInArrow(sums, "i int, s array<double>")
-        .select("i", F.posexplode("s").alias("pos", "v"))
-        .groupBy("i", "pos")
-        .agg(F.sum("v").alias("v"))
-    )
-    at = lambda k: F.max(F.when(F.col("pos") % 6 == k, F.col("v")))
-    pair = cells.groupBy("i", F.floor(F.col("pos") / 6).cast("int").alias("j")).agg(
-        *[at(k).alias(name) for k, name in enumerate(["n", "sx", "sy", "sxx", "syy", "sxy"])]
-    )
-    n = F.col("n")
-    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
-    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
-    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
-    flat_x = vx <= F.col("sxx") * 1e-13
-    flat_y = vy <= F.col("syy") * 1e-13
-    names = F.array(*[F.lit(c) for c in columns])
-    r = F.when(~flat_x & ~flat_y, F.try_divide(cov, F.sqrt(vx * vy)))
-    return pair.select(
-        "i", "j",
-        F.element_at(names, F.col("i") + 1).alias("a"),
-        F.element_at(names, F.col("j") + 1).alias("b"),
-        r.alias("r"),
-    )
+        yield from batches_of({(0, k): t for k, t in enumerate(total)})
+
+    got = added(narrow.mapInArrow(sums, SUMS))
+    n, sx, sy, sxx, syy, sxy = (got.get((0, k), np.zeros((p, p))) for k in range(6))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov, vx, vy = sxy - sx * sy / n, sxx - sx * sx / n, syy - sy * sy / n
+        r = np.where((vx > sxx * 1e-13) & (vy > syy * 1e-13), cov / np.sqrt(vx * vy), np.nan)
+    i, j = (x.ravel().astype("int32") for x in np.indices((p, p)))
+    names = np.array(columns, dtype=object)
+    return df.sparkSession.createDataFrame(pa.table({
+        "i": pa.array(i), "j": pa.array(j), "a": pa.array(names[i], pa.string()),
+        "b": pa.array(names[j], pa.string()), "r": pa.array(r.ravel(), mask=np.isnan(r.ravel()))}))
 
 
 def strong_correlations(df, columns, threshold: float = 0.8) -> DataFrame:

@@ -294,16 +294,15 @@ def _(spark, sf):
 # ── joins ───────────────────────────────────────────────────────────────────────────────
 
 
-@query("join_suffix", """SELECT s.s_suppkey, s_nationkey AS nation, round(s_acctbal, 6) AS acctbal,
-  round(c_acctbal, 6) AS acctbal_comm, c_custkey FROM supplier s JOIN customer c ON c_nationkey = s_nationkey""")
+@query("join_suffix", """SELECT l_orderkey AS k, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 6) AS price,
+  round(o_totalprice, 6) AS price_order FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def _(spark, sf):
-    s = table(spark, sf, "supplier").select(
-        "s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("acctbal")
-    )
-    c = table(spark, sf, "customer").select(
-        F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("acctbal"), "c_custkey"
-    )
-    return rounded(joins.join_suffix(s, c, ["nation"], "_comm"))
+    """Lines and their orders: the key is unique on one side."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("k"), *LINE[1:], F.col("l_extendedprice").alias("price"))
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return rounded(joins.join_suffix(li, o, ["k"], "_order"))
 
 
 @query("join_integrity", """WITH l AS (SELECT o_orderkey AS k, count(*) AS nl FROM orders GROUP BY 1),
