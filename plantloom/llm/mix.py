@@ -15,6 +15,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3  # times that a document, and so a source, can be taken
 # Exposures of one text up to which a step of the cost curve reaches; each step costs more.
 STEPS = (1, 2, 3, 4, 6, 8, 16, 64, 256, 1 << 40)
+MERGED = 1024  # groups into which the rarer patterns are merged
 
 
 def targets(sizes: list[int], weights=WEIGHTS, most: int = MOST) -> list[float]:
@@ -73,8 +74,9 @@ def mix_sources(
 
     NULL or blank texts have no words and are taken 0 times; rows equal in id and text are taken
     alike; an empty table gives an empty result. The driver holds one entry per source and the
-    ``max_patterns`` patterns of most words; documents of rarer patterns are routed by their own
-    source alone, so none is left out. A column of ``df`` named like a new one is replaced.
+    ``max_patterns`` patterns of most words; the rarer ones are merged by their hash into at most
+    1024 groups, each routed as one pattern with the words that its texts share. A column of
+    ``df`` named like a new one is replaced.
     """
     new = ["_size", "_source_size", "_target", "_repeats"]
     df = df.drop(*[c for c in df.columns if c.lower() in new])
@@ -90,7 +92,11 @@ def mix_sources(
     kept = stored(
         several.groupBy("_pattern").agg(F.sum("_size").alias("words"))
         .orderBy(F.desc("words"), "_pattern").limit(max_patterns), "mix-patterns")
-    shared = stored(several.join(F.broadcast(kept.select("_pattern")), "_pattern"), "mix-shared")
+    group = F.pmod(F.xxhash64("_pattern"), F.lit(MERGED)).cast("string")
+    shared = stored(
+        several.join(F.broadcast(kept.select("_pattern", F.lit(True).alias("_kept"))), "_pattern", "left")
+        .withColumn("_pattern", F.when(F.col("_kept"), F.col("_pattern"))
+                    .otherwise(F.array(F.lit("~"), group))).drop("_kept"), "mix-shared")
     rows = stored(
         df.select("*", *head).join(shared, key, "left").withColumn(
             "_pattern", F.coalesce("_pattern", F.array("_code"))), "mix-rows")
@@ -102,12 +108,15 @@ def mix_sources(
         F.sum("_size").alias("w"))
     patterns = dict(sorted((tuple(r._pattern), r.w) for r in distinct.collect()))
     names = sorted({s for _, s in cells}, key=lambda s: (s == "n", s))
-    sizes = [sum(w for (_, s), w in cells.items() if s == x) for x in names]
+    of_source = Counter()
+    for (_, s), w in cells.items():
+        of_source[s] += w
+    sizes = [of_source[x] for x in names]
     goals = targets(sizes, weights, most)
     routed = _route(patterns, cells, {s: int(g) for s, g in zip(names, goals, strict=True)}, most)
-    plan = []
+    plan, place = [], {s: i for i, s in enumerate(names)}
     for (p, s), w in cells.items():
-        words, i = routed.get((p, s), 0), names.index(s)
+        words, i = routed.get((p, s), 0), place[s]
         base = words // w if w else 0
         plan.append((list(p), s, i, int(base), (words - base * w) / w if w else 0.0,
                      sizes[i], float(goals[i])))

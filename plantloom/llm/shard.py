@@ -11,24 +11,31 @@ from pyspark.sql import types as T
 
 from plantloom.llm.common import q, stored, table
 from plantloom.llm.cuts import longs, weighted_cuts
+from plantloom.operators.order import with_ordinal
 
 CELL = (1 << 24) - 1  # grid of a dimension
 ROWS_PER_RUN = 65_536  # rows that one task numbers
 
 
 def _coordinate(df: DataFrame, name: str):
-    """A metadata column as a double whose order is the column's own; NULL and NaN as NULL."""
+    """A number or time as a double, NaN as NULL; of any other column the text, to be ranked."""
     c, kind = q(name), df.schema[name].dataType
     if isinstance(kind, T.NumericType | T.BooleanType):
         x = c.cast("double")
     elif isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
         x = c.cast("timestamp").cast("double")
-    else:  # the first six bytes of the text as one number
-        head = F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 6)), 12, "0")
-        x = F.conv(head, 16, 10).cast("double")
+    else:
+        return c.cast("string")
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def _ranked(base: DataFrame, name: str) -> DataFrame:
+    """A text column replaced by its value's place among the sorted distinct values."""
+    values = base.where(F.col(name).isNotNull()).select(name).distinct()
+    places = stored(with_ordinal(stored(values, "kd-values"), [name], name="_place"), "kd-places")
+    return base.join(places, name, "left").withColumn(name, F.col("_place").cast("double")).drop("_place")
+
+
 def kd_shards(
     df: DataFrame, dims: list[str], *, id_col: str = "doc_id", text_col: str = "text",
     shards: int | None = None, target_bytes: int | None = None, slack: float = 0.002,
@@ -43,18 +50,23 @@ def kd_shards(
     so go together, unless a cut falls into a group that holds over ``slack`` of a leaf's bytes:
     then the group itself is divided. ``slot`` numbers the rows of a shard from 0.
 
-    Size is the UTF-8 bytes of the text plus 1; a NULL text has size 1 and the checksum of no
+    A text dimension counts by the rank of its whole value among the distinct ones. Size is the UTF-8 bytes of the text plus 1; a NULL text has size 1 and the checksum of no
     bytes. NULL, NaN and infinite coordinates count as the smallest value. Repeated rows are kept.
     An empty table gives an empty result. Other columns are not looked at. Driver state is one
     entry per node of the tree, so it is bounded by ``shards``.
     """
     raw = F.coalesce(q(text_col), F.lit("")).cast("binary")
     names = [f"_c{i}" for i in range(len(dims))]
-    base = stored(df.select(
+    base = df.select(
         q(id_col).alias("_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"), F.xxhash64(q(text_col)).alias("_hash"),
-        *[_coordinate(df, d).alias(n) for d, n in zip(dims, names, strict=True)],
-    ), "kd-rows")
+        *[_coordinate(df, d).alias(n) for d, n in zip(dims, names, strict=True)])
+    base = stored(base, "kd-rows")
+    texts = [n for n in names if base.schema[n].dataType == T.StringType()]
+    if texts:
+        for n in texts:
+            base = _ranked(base, n)
+        base = stored(base, "kd-ranked")
     ends = base.agg(
         F.count("*").alias("n"), F.sum("size").alias("bytes"),
         *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)],

@@ -99,3 +99,21 @@ def test_odd_rows(spark):
     assert len(got) == len(odd_rows()) and all(r._repeats == 0 for r in got if not r._size)
     assert {r._source_size for r in got if r.source is None} == {4}
     assert mix_sources(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 2, 4096])
+def test_rare_patterns_are_routed_with_their_shared_words(spark, most):
+    """However few patterns are kept, targets are met and shared texts are not shown more often."""
+    r, rows = random.Random(9), []
+    for i in range(400):
+        text = " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(1, 9))) + f" t{i}"
+        for s in r.sample("abcdef", r.choice([1, 1, 2, 3])):
+            rows.append((len(rows), text, s))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(df, max_patterns=most).collect()
+    check([(i, t) for i, t, _ in rows], got)
+    assert len(got) == len(rows)
+    shown = Counter()
+    for x in got:
+        shown[x.text] += x._repeats
+    assert max(shown.values()) <= 9

@@ -63,3 +63,14 @@ def test_weighted_cuts_against_sorting(spark, slack):
                                 for _, k, _ in rows}).values())
         assert abs(left - needs[n]) <= max(heaviest, slack)
     assert cuts[1] == (1 << 60) - 1
+
+
+def test_text_dimension_counts_by_its_whole_value(spark):
+    """Values that share a long head are as far apart as their places among the distinct ones."""
+    rows = [(i, f"text {i}", f"https://example.com/common/{i % 40:03d}", 5) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = kd_shards(df, ["source", "n_chars"], shards=4).join(df, "doc_id").collect()
+    spans = {s: sorted({r.source for r in got if r.shard == s}) for s in range(4)}
+    for a, b in zip(range(3), range(1, 4), strict=True):
+        assert spans[a][-1] <= spans[b][0]  # a cut may fall into one value
+    assert all(len(v) in (10, 11, 12) for v in spans.values())
