@@ -24,6 +24,7 @@ from plantloom.models.trees import (
     Trees,
     allowed_features,
     boost,
+    boost_many,
     choose,
     descend,
     gradients,
@@ -414,28 +415,23 @@ def _held_out_error(scores, n, s) -> float:
 
 
 def _errors_in_tasks(table: DataFrame, folds, width: int, spec: BoostSpec, n: int) -> np.ndarray:
-    spread = table.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(TOGETHER // 4 - 1))))
+    """One task for a fold and ``TOGETHER`` targets, whose models are grown side by side."""
+    spread = table.withColumn("held", F.explode(F.array(*[F.lit(i) for i in range(len(folds))])))
 
     def some(group: pa.Table) -> pa.Table:
-        part, lane = group["part"][0].as_py(), group["lane"][0].as_py()
+        part, f = group["part"][0].as_py(), group["held"][0].as_py()
         bins, rows, sums = _pivot(group, folds, TOGETHER)
-        out = []
-        for j in range(lane * 4, lane * 4 + 4):
-            if part * TOGETHER + j > n:
-                break
-            error = 0.0
-            for f in range(len(folds)):
-                own = sums[f, :, j]
-                scores, _, _ = boost(bins, rows.sum(0) - rows[f],
-                                     (sums[:, :, j].sum(0) - own)[:, None], width, spec)
-                error += _held_out_error(scores[:, 0], rows[f], own)
-            out.append({"k": part * TOGETHER + j, "error": error})
-        return pa.Table.from_pylist(out, pa.schema([("k", pa.int32()), ("error", pa.float64())]))
-
-    got = spread.groupBy("part", "lane").applyInArrow(some, "k int, error double").collect()
+        live = min(TOGETHER, n + 1 - part * TOGETHER)
+        sums = sums[:, :, :live]
+        scores = boost_many(bins, rows.sum(0) - rows[f], sums.sum(0) - sums[f], width, spec)
+        error = (scores * (rows[f][:, None] * scores - 2 * sums[f])).sum(0)
+        return pa.table({"k": pa.array(np.arange(live) + part * TOGETHER, pa.int32()),
+                         "error": pa.array(error)})
+
+    got = spread.groupBy("part", "held").applyInArrow(some, "k int, error double").collect()
     errors = np.zeros(n + 1)
-    for r in got:
-        errors[r.k] = r.error
+    for r in sorted(got, key=lambda r: (r.k, r.error)):
+        errors[r.k] += r.error
     return errors
 
 

@@ -83,7 +83,7 @@ def choose(hist: np.ndarray, spec: BoostSpec, allowed: np.ndarray):
 
     ``hist`` is (G, H, rows) per node, feature and bin. Of splits of equal gain the first feature,
     then the lowest cut counts, missing values to the left first. Without a split that gains more
-    than ``gamma`` all rows go left.
+    than ``gamma`` all rows go left. ``allowed`` tells the features, for all nodes or for each.
     """
     g, h, n = hist
     nodes, p, width = g.shape
@@ -95,7 +95,8 @@ def choose(hist: np.ndarray, spec: BoostSpec, allowed: np.ndarray):
         gain = 0.5 * (gl ** 2 / (hl + spec.l2) + gr ** 2 / (hr + spec.l2)
                       - total[0] ** 2 / (total[1] + spec.l2))
     ok = (nl >= max(spec.min_rows, 0.5)) & (nr >= max(spec.min_rows, 0.5)) & np.isfinite(gain)
-    gain = np.where(ok & allowed[None, :, None, None], gain, -np.inf).reshape(nodes, -1)
+    open_ = np.broadcast_to(allowed, (nodes, p))[:, :, None, None]
+    gain = np.where(ok & open_, gain, -np.inf).reshape(nodes, -1)
     best = gain.max(1)
     at = np.argmax(gain >= (best - TIE * np.maximum(np.abs(best), 1e-300))[:, None], axis=1)
     split = best > spec.gamma
@@ -163,3 +164,35 @@ def _grow(bins, stats, width: int, spec: BoostSpec, allowed):
         if level + 1 < spec.depth:
             node = descend(bins, node, level, feature, cut, missing_left)
     return feature, cut, missing_left, leaf_values(g, h, spec)
+
+
+def boost_many(bins: np.ndarray, n: np.ndarray, sums: np.ndarray, width: int, spec: BoostSpec):
+    """Scores of all cells by one model of squared loss per column of ``sums``, grown side by side.
+
+    The same scores as of ``boost`` column by column: a node of a model is a node of one wide level.
+    """
+    if spec.loss != "squared":
+        raise ValueError("only models of squared loss are grown side by side")
+    bins = bins.astype("int64")
+    (cells, p), models = bins.shape, sums.shape[1]
+    row, model = np.arange(cells)[:, None], np.arange(models)
+    spots = (np.arange(p) * width + bins)[:, None, :]
+    rows = np.repeat(np.repeat(n, models), p)
+    scores = np.tile(sums.sum(0) / max(n.sum(), 1), (cells, 1))
+    for turn in range(spec.rounds):
+        g = np.repeat((n[:, None] * scores - sums).ravel(), p)
+        allowed = np.stack([allowed_features(spec, p, turn, 0)] * models)
+        node = np.zeros((cells, models), "int64")
+        for level in range(spec.depth):
+            k = 1 << level
+            wide = model * k + node
+            flat = (wide[:, :, None] * (p * width) + spots).ravel()
+            hist = np.stack([np.bincount(flat, x, models * k * p * width).reshape(-1, p, width)
+                             for x in (g, rows)])
+            feature, cut, left, gs, hs = choose(
+                hist[[0, 1, 1]], spec, np.repeat(allowed, k, axis=0))
+            value = bins[row, feature[wide]]
+            node = node * 2 + np.where(value == 0, ~left[wide], value > cut[wide])
+        leaf = leaf_values(gs, hs, spec)
+        scores += leaf[model * (1 << spec.depth) + node]
+    return scores

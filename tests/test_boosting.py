@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from plantloom.models.boosting import BoostSpec, cells_of, bin_edges, fit_boosting, permutation_test_boosted
-from plantloom.models.trees import boost, choose, histogram
+from plantloom.models.trees import boost, boost_many, choose, histogram
 
 
 def plain_best(bins, g, h, spec):
@@ -37,6 +37,17 @@ def test_split_is_the_best_of_all(seed):
     assert no[4][1] == 0 and no[3][0] == pytest.approx(g.sum())
 
 
+def test_models_side_by_side_are_those_one_by_one():
+    rng = np.random.default_rng(0)
+    bins, n = rng.integers(0, 9, (80, 3)), rng.integers(0, 4, 80).astype(float)
+    sums = rng.normal(size=(80, 5)) * n[:, None]
+    spec = BoostSpec(rounds=15, depth=3, rate=0.2, l2=0.2, min_rows=2)
+    many = boost_many(bins, n, sums, 10, spec)
+    for k in range(5):
+        one, _, _ = boost(bins, n, sums[:, k: k + 1], 10, spec)
+        assert np.allclose(one[:, 0], many[:, k], atol=1e-9)
+
+
 def _frame(spark, n=3000, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.integers(0, 7, (n, 3)).astype(float)
