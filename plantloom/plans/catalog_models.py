@@ -401,22 +401,19 @@ def _(spark, sf):
 # ── probabilistic soft sensor and scoring ───────────────────────────────────────────────
 
 
-@query("fit_probabilistic", """SELECT 'kernel' AS model, (count(*) - floor(count(*) * 0.8::DOUBLE))::BIGINT AS n,
-  TRUE AS fits, TRUE AS cv_fits, TRUE AS covers FROM lineitem""")
-def _(spark, sf):
-    model, scored = _soft_sensor(spark, sf)
-    band = F.abs(F.col("y") - F.col("prediction")) <= 1.96 * F.col("std")
-    return scored.agg(
-        F.lit(model.kind).alias("model"), F.count(F.lit(1)).alias("n"),
-        F.lit(bool(model.metrics["r2"] > 0.98)).alias("fits"),
-        F.lit(bool(model.cv_score > 0.98)).alias("cv_fits"),
-        F.avg(band.cast("double")).between(0.9, 1.0).alias("covers"),
-    )
-
-
-def _soft_sensor(spark: SparkSession, sf: str):
-    s = samples(spark, sf).withColumn("tie", F.xxhash64(*LINE[1:]))
-    return train(s, "y", NUM, ["l_orderkey", "tie"], lags=(), trials=4, width=64)
+@query("fit_probabilistic", """SELECT DISTINCT 'kernel' AS model, 10 * floor(l_quantity / 10) AS q, 3 * floor(round(l_discount * 100) / 3) AS d,
+  round(3 * 10 * floor(l_quantity / 10) - 4 * 3 * floor(round(l_discount * 100) / 3), 0) AS prediction, TRUE AS sure, TRUE AS cv_fits FROM lineitem""")
+def _(spark, sf):
+    """Predictions, spread and search score of a target that is linear in two coarse readings."""
+    s = samples(spark, sf).withColumns({
+        "q": F.floor(F.col("l_quantity") / 10) * 10.0,
+        "d": F.floor(F.round(F.col("l_discount") * 100) / 3) * 3.0,
+        "tie": F.xxhash64(*LINE[1:])})
+    s = s.withColumn("y", 3 * F.col("q") - 4 * F.col("d"))
+    model, scored = train(s, "y", ["q", "d"], ["l_orderkey", "tie"], lags=(), trials=4, width=64)
+    return rounded(scored.groupBy("q", "d").agg(
+        F.round(F.avg("prediction"), 0).alias("prediction"), (F.max("std") < 1).alias("sure")
+    ).withColumn("model", F.lit(model.kind)).withColumn("cv_fits", F.lit(bool(model.cv_score > 0.98))))
 
 
 def _series_model(spark, sf):
@@ -456,11 +453,25 @@ def _sane(scored: DataFrame, *keys: str) -> DataFrame:
     ))
 
 
-@query("score_latest", f"""SELECT user_id, event_id, round(value, 6) AS real, {_OKAY} FROM (SELECT *,
+_LATTICE_SQL = """(50 * floor(CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) / 25) + 100 * (event_id % 50 // 25))"""
+
+
+@query("score_latest", f"""SELECT user_id, event_id, round({_LATTICE_SQL}, 0) AS real, round({_LATTICE_SQL}, 0) AS predicted,
+  TRUE AS sure, TRUE AS confident, 'kernel' AS model_used FROM (SELECT *,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def _(spark, sf):
-    e, model = _series_model(spark, sf)
-    return _sane(score.score_latest(e, model, TIME, ["user_id"]), "user_id", "event_id")
+    """A target that is linear in two coarse readings: values predicted, with their spread."""
+    k = F.floor(F.regexp_extract("props", "[0-9]+", 0).cast("double") / 25) * 25.0
+    m = F.floor(F.col("event_id") % 50 / 25) * 25.0
+    e = events(spark, sf).withColumn("k", k).withColumn("m", m).withColumn(
+        "value", 2 * F.col("k") + 4 * F.col("m"))
+    model, _ = train(e, "value", ["k", "m"], TIME, ["user_id"], lags=(), trials=2, width=32,
+                     force="kernel", inducing=True)
+    scored = score.score_latest(e, model, TIME, ["user_id"])
+    return rounded(scored.select(
+        "user_id", "event_id", "real", F.round("predicted", 0).alias("predicted"),
+        (F.col("confidence_std") < 25).alias("sure"),
+        F.col("confidence_pct").between(5, 99).alias("confident"), "model_used"))
 
 
 @query("score_series", f"""SELECT user_id, event_id, round(value, 6) AS real, {_OKAY} FROM (SELECT *,
