@@ -185,7 +185,9 @@ def identify_languages(
     set of at most ``most`` languages is chosen by penalised likelihood. ``lang_pred`` has the
     largest proportion, ``lang_score``; ``lang_mix`` lists the set. NULL, empty and letterless texts
     are ``und`` with score 0 and no set, as is every text when nothing was learned. Columns of
-    ``df`` with these names are replaced; the others pass unchanged. Rows keep their number.
+    ``df`` with these names are replaced; the others pass unchanged. Rows keep their number, an
+    empty table stays empty. Of languages with equal proportions the first by name is taken. A text
+    is worked on whole in one task, in one number for each of its bytes and languages.
     """
     new = ["lang_pred", "lang_score", "lang_mix"]
     df = df.drop(*[c for c in df.columns if c.lower() in new])

@@ -264,7 +264,9 @@ def ppm_scores(
     counted as tables, and each distinct place is scored once in the whole trie. Tasks hold the up
     to 400,000 most frequent words and 2 million most frequent places; the others of a document
     are joined. NULL and empty texts are the end alone; NULL ids train; rows may repeat; an empty
-    table gives an empty result.
+    table gives an empty result. Other columns are not read. Words and places of equal counts are
+    held or joined together, which changes no score. A text is scored whole in one task, in arrays
+    of several times its size.
     """
     kind = df.schema[id_col].dataType.simpleString()
     out = held_out(q(id_col), folds)

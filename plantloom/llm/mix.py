@@ -76,7 +76,8 @@ def mix_sources(
     alike; an empty table gives an empty result. The driver holds one entry per source and the
     ``max_patterns`` patterns of most words; the rarer ones are merged by their hash into at most
     1024 groups, each routed as one pattern with the words that its texts share. A column of
-    ``df`` named like a new one is replaced.
+    ``df`` named like a new one is replaced. A text of any length is one value; only its number of
+    words is carried.
     """
     new = ["_size", "_source_size", "_target", "_repeats"]
     df = df.drop(*[c for c in df.columns if c.lower() in new])

@@ -211,6 +211,7 @@ def near_duplicates(
     shingle is one shingle; NULL, empty and blank texts have no shingle and are copies of each
     other. Repeated rows count as copies. Ids may be NULL or repeat; NULL is the smallest id only
     of a class that has no other. An empty table gives an empty result; other columns are ignored.
+    A text is hashed and verified whole in one task, in arrays of several times its size.
     """
     bands, rows = bands_for(similarity, recall)
     kind = df.schema[id_col].dataType.simpleString()

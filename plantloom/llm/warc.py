@@ -55,7 +55,9 @@ def write_archives(
     and have no payload. Smaller payloads are all responses. The payload is the page in UTF-8; a
     NULL page is an empty one. Rows that repeat both id and payload are the same capture and take
     the same type. A NULL id is never the smallest unless all ids of a payload are NULL; those are
-    responses. A NULL address has no address line.
+    responses. A NULL address has no address line. An empty table writes no record; other columns
+    are not read. A task holds a page at a time while it writes, and a whole archive, unpacked,
+    while it reads: with very long pages take a smaller ``records_per_file``.
     """
     text = F.coalesce(q(html_col).cast("string"), F.lit(""))
     rows = pages.select(q(id_col).alias("id"), q(url_col).alias("url"), text.alias("page")).select(
