@@ -29,14 +29,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it; documents taken 0 times go."""
+    """Repeat each document as often as the mix takes it; documents taken 0 times go.
+
+    NULL and blank texts have no words and go; a NULL source is a source like any other; ties,
+    repeated rows and long texts as in ``mix_sources``. An empty table stays empty.
+    """
     mixed = mix_sources(docs)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats"))).alias("_time")
     return mixed.where("_repeats > 0").select("*", times).select(*[q(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents placed in sequences of 2048 tokens."""
+    """Pieces of all documents placed in sequences of 2048 tokens.
+
+    A NULL text is an empty one, long texts are cut; columns but the id and the text are dropped.
+    """
     return pack_documents(docs)
 
 
@@ -50,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written as Parquet and read by the next."""
+    """The stages on ``documents``, each written as Parquet and read by the next.
+
+    An empty table gives no rows; columns that a stage does not know pass through all but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
