@@ -173,7 +173,18 @@ def candidates(train, queries, vector, label, train_id, query_id, k, block, pivo
     total = asked.count()
     if not total:
         raise ValueError("no query rows")
-    wanted = max(1, min(PIVOTS, base.count() // pivot_rows))
+    count = base.count()
+    wanted = min(PIVOTS, count // pivot_rows)
+    if wanted <= 1:  # one cell, where no distance can be spared
+        every = [F.lit(0).alias("c"), F.lit(0.0).alias("p")]
+        deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(max(1, n))).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+        lanes, blocks = -(-count // shard), -(-total // block)
+        left = asked.select("q", "v", *every, F.lit(float("inf")).alias("t"),
+                            deal("q", blocks).alias("b"), each(lanes).alias("s"))
+        right = base.select("i", "l", "v", *every, deal("i", lanes).alias("s"), each(blocks).alias("b"))
+        return left.groupBy("c", "s", "b").cogroup(right.groupBy("c", "s", "b")).applyInArrow(
+            lambda a, b: _searched(a, b, k), FOUND)
     drawn = base.orderBy(F.xxhash64(F.lit(7), "i"), "i").limit(wanted).select("v").toArrow()
     pivots = np.unique(_matrix(drawn["v"]), axis=0) if len(drawn) else np.zeros((1, 1))
     dealt = written(base.mapInArrow(
@@ -201,7 +212,7 @@ def candidates(train, queries, vector, label, train_id, query_id, k, block, pivo
             lambda a, b: _searched(a, b, k), FOUND)
 
     first = written(round_(asked.withColumn("t", F.lit(float("inf"))), False), "pivot-first")
-    if len(pivots) == 1:
+    if len(pivots) == 1:  # all drawn rows are copies
         return first
     limit = _first_k(first, k).groupBy("q").agg(
         F.when(F.count("*") == k, F.max("d")).otherwise(F.lit(float("inf"))).alias("t"))
