@@ -161,3 +161,32 @@ def test_stream_with_late_rows(spark, tmp_path):
     for i in range(200):
         assert got[i][0] == want[i] or got[i][0] is None and np.isnan(want[i])
     assert sum(final for _, final in got.values()) > 100
+
+
+def test_series_of_a_bucket_are_worked_on_side_by_side():
+    rng = np.random.default_rng(1)
+    n, schema = 400, T.StructType().add("s", "long").add("ts", "timestamp").add("v", "double")
+    frame = pd.DataFrame({
+        "s": rng.integers(0, 40, n) + (1 << 60), "ts": pd.to_datetime("2023-01-01") + pd.to_timedelta(
+            rng.permutation(n) * 100, "min"), "v": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))})
+    batch = (frame["ts"] + pd.to_timedelta(rng.uniform(0, 3, n), "D")).dt.day // 4
+    names = ["v_lag_1", "v_diff_5", "v_rolling_mean_10", "v_rolling_std_10"]
+    fills = ForwardFill(["v"], schema, ["ts"], [*frame.columns, FINAL], series=["s"], idle_ms=90 * DAY_MS)
+    lags = LagFeatures("v", [1], schema, ["ts"], [*frame.columns, *names, FINAL], series=["s"])
+    batches, mark = [], None
+    for b in sorted(batch.unique()):
+        batches.append((frame[batch == b], mark))
+        mark = max(1, int(frame["ts"][batch <= b].dt.day.max()) - 3)
+    want = frame.sort_values(["s", "ts"]).set_index(["s", "ts"])["v"]
+    filled, past = want.groupby("s").ffill(), want.groupby("s").shift(1)
+    ten = past.groupby("s").rolling(10, min_periods=1)
+    made = {"v_lag_1": past, "v_diff_5": past - want.groupby("s").shift(6),
+            "v_rolling_mean_10": ten.mean().droplevel(0), "v_rolling_std_10": ten.std().droplevel(0)}
+    for processor, told in ((fills, {"v": filled}), (lags, made)):
+        got = pd.concat(list(feed(processor, *batches)))
+        got["ts"] = pd.to_datetime(got["ts"], utc=True).dt.tz_localize(None)
+        got = got.groupby(["s", "ts"]).tail(1).set_index(["s", "ts"])
+        assert len(got) == n and got[FINAL].sum() > n / 2
+        for name, values in told.items():
+            np.testing.assert_allclose(got[name].reindex(values.index), values, atol=1e-9)
+        assert len(processor.handle.timers) < 20  # not one a series
