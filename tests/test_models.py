@@ -232,3 +232,45 @@ def test_spread_grows_back_to_the_prior_off_the_data(spark):
     assert type(again) is type(model) and again.score(df.limit(1)).first()["std"] == model.score(df.limit(1)).first()["std"]
     other = fit_inducing(df.repartition(11), *args).score(df).toPandas()
     assert np.allclose(sorted(other["std"]), sorted(got["std"]), rtol=1e-4)
+
+
+def test_trees_of_weighted_cells_are_those_of_the_rows(spark):
+    df = spark.range(6000).selectExpr(
+        "id", "CAST(id % 13 AS DOUBLE) AS a", "CAST(id * 7919 % 6007 AS DOUBLE) AS p",
+        "IF(id % 13 < 5, 10D, 20D) + IF(id * 7919 % 6007 < 2000, 4D, 0D) + id % 3 AS y",
+        "CAST(IF(id % 13 < 5, 0, IF(id % 13 < 9, 1, 2)) AS INT) AS c")
+    x, plain = ["a", "p"], dict(maxBins=32, maxDepth=3)
+    for kind, label, more in (
+            ("boosted", "y", dict(maxIter=4, subsamplingRate=1.0)),
+            ("forest", "y", dict(numTrees=2, bootstrap=False, featureSubsetStrategy="all")),
+            ("boosted_classifier", "c", dict(maxIter=2)), ("tree_classifier", "c", {})):
+        by_rows, by_cells = (learners.fit(
+            df, x, label, kind, 3 if label == "c" else None, cells_from=n, **plain, **more)
+            for n in (10_000, 6000))
+        assert len(by_rows.stages) == 1 and len(by_cells.stages) == 3
+        got, want = ([r.prediction for r in learners.score(m, df, x).orderBy("id").collect()]
+                     for m in (by_cells, by_rows))
+        if label == "c":
+            assert got == want
+        else:  # bounds of the bins of p are exact quantiles here, of a sample there
+            assert np.mean(np.abs(np.subtract(got, want)) < 0.15) > 0.95
+            best = df.selectExpr("avg(y) OVER (PARTITION BY id % 13 < 5, id * 7919 % 6007 < 2000) AS m",
+                                 "id").orderBy("id").toPandas()["m"]
+            assert kind == "boosted" or np.mean(np.abs(got - best) < 0.3) > 0.95
+        assert set(learners.score(by_cells, df, x).columns) == {*df.columns, "prediction"}
+
+
+def test_least_rows_of_a_node_count_rows_of_cells(spark):
+    df = spark.range(4000).selectExpr("CAST(id % 20 AS DOUBLE) AS x", "IF(id % 20 = 7, 9D, 0D) AS y")
+    one = dict(numTrees=1, bootstrap=False, featureSubsetStrategy="all", maxDepth=3)
+    for least, found in ((200, True), (201, False)):  # 200 rows, one cell, have x = 7
+        model = learners.fit(df, ["x"], "y", "forest", cells_from=1, minInstancesPerNode=least, **one)
+        assert (learners.score(model, df, ["x"]).agg({"prediction": "max"}).first()[0] == 9.0) is found
+
+
+def test_grid_search_on_cells(spark):
+    df = spark.range(5000).selectExpr("CAST(id % 50 AS DOUBLE) AS x", "IF(id % 50 < 25, 1D, 2D) AS y")
+    found = learners.grid_search(
+        df, ["x"], "y", "forest", {"maxDepth": [0, 2]}, cells_from=1, numTrees=2, bootstrap=False)
+    scores = {r.params["maxDepth"]: r.score for r in found.collect()}
+    assert scores["2"] == pytest.approx(1) and abs(scores["0"]) < 0.01
