@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -660,13 +661,14 @@ def _(spark, sf):
     key, kind = F.col("o_orderkey"), F.concat_ws(";", "o_orderstatus", "o_orderpriority")
     line = F.concat(key.cast("string"), F.lit(';"'), kind, F.lit('"'), F.when(
         key % 3 == 0, "").otherwise(F.concat(F.lit(";"), F.col("o_custkey").cast("string"))))
-    head = spark.createDataFrame([('o_orderkey;"Kind; rank";o_custkey',)], "value string")
-    # The header is a file of its own, and the first by name.
-    head.coalesce(1).write.text(f"{path}/part=0")
-    o.select(line.alias("value")).write.text(f"{path}/part=1")
-    body = spark.read.text(path).coalesce(1).orderBy("part").select("value")
-    body.write.text(f"{path}-file")
-    return readers.read_raw_csv(spark, f"{path}-file", ";")
+
+    def headed(batches):
+        yield pa.RecordBatch.from_pydict({"value": ['o_orderkey;"Kind; rank";o_custkey']})
+        yield from batches
+
+    # Every task writes a file with a header of its own.
+    o.select(line.alias("value")).mapInArrow(headed, "value string").write.text(path)
+    return readers.read_raw_csv(spark, path, ";")
 
 
 @query("csv_stream", """SELECT o_orderdate::TIMESTAMP AS date, o_orderkey::DOUBLE AS o_orderkey,

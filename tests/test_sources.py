@@ -104,3 +104,15 @@ def test_separator_of_a_long_file(spark, tmp_path):
     path.write_text("a,b\n" * 1200 + "x;y;z\n" * 5000)
     assert readers.detect_separator(spark, str(path)) == ";"
     assert readers.detect_separator(spark, str(path), lines=1000) == ","
+
+
+def test_raw_load_is_read_from_a_file_of_each_task(spark, tmp_path):
+    from plantloom.plans import catalog
+
+    spark.range(90).selectExpr(
+        "id AS o_orderkey", "id * 3 AS o_custkey", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority"
+    ).repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.queries()["raw_load"](spark, str(tmp_path))
+    assert got.count() == 90 and len(got.inputFiles()) >= 3
+    assert {tuple(r) for r in got.where("o_orderkey < 2").collect()} == {
+        ("0", "O;1-URGENT", None), ("1", "O;1-URGENT", "3")}
