@@ -160,22 +160,27 @@ def _permuted_sums(
     def sums(block: pa.Table) -> pa.Table:
         fold, at = block["fold"].to_numpy(), block["__b"][0].as_py()
         x = np.column_stack([block[f"c{i}"].to_numpy() for i in range(p + 1)]) - shift
-        order = np.argsort(np.array(block["__h"].to_pylist()), kind="stable")
+        order = np.argsort(block["__h"].to_numpy(), kind="stable")
         fold, x = fold[order], x[order]
-        z, y = np.hstack([np.ones((len(x), 1)), x[:, :p]]), x[:, p]
+        y = x[:, p]
+        # Rows by fold, so that a fold is a slice of the rows and of every shuffled target.
+        by_fold = np.argsort(fold, kind="stable")
+        folds, start = np.unique(fold[by_fold], return_index=True)
+        own = [slice(a, b) for a, b in zip(start, [*start[1:], len(fold)], strict=True)]
+        z = np.hstack([np.ones((len(x), 1)), x[:, :p]])[by_fold]
         rng = np.random.default_rng([seed, at])
-        folds = np.unique(fold)
-        cross = {f: np.empty((p + 1, n + 1)) for f in folds}
-        square = {f: np.empty((1, n + 1)) for f in folds}
+        cross = np.empty((len(folds), p + 1, n + 1))
+        square = np.empty((len(folds), 1, n + 1))
         for k in range(n + 1):
-            shuffled = y if k == 0 else y[rng.permutation(len(y))]
-            for f in folds:
-                own = fold == f
-                cross[f][:, k] = z[own].T @ shuffled[own]
-                square[f][0, k] = shuffled[own] @ shuffled[own]
-        out = {(int(f), 0): z[fold == f].T @ z[fold == f] for f in folds}
-        out |= {(int(f), 1): m for f, m in cross.items()}
-        out |= {(int(f), 2): m for f, m in square.items()}
+            shuffled = y[by_fold] if k == 0 else y[rng.permutation(len(y))[by_fold]]
+            for i, rows_of in enumerate(own):
+                part = shuffled[rows_of]
+                cross[i][:, k] = z[rows_of].T @ part
+                square[i][0, k] = part @ part
+        out = {}
+        for i, f in enumerate(folds):
+            mine = z[own[i]]
+            out |= {(int(f), 0): mine.T @ mine, (int(f), 1): cross[i], (int(f), 2): square[i]}
         return pa.Table.from_batches(list(batches_of(out)))
 
     return rows.groupBy("__b").applyInArrow(sums, SUMS)
