@@ -39,7 +39,8 @@ from plantloom.session import written
 CELLS = 50_000  # cells up to which a model is grown inside one task
 HELD = 200_000  # cells that a task sums before it hands them on
 BLOCK_ROWS = 50_000  # rows among which one task shuffles targets
-TOGETHER = 16  # shuffled targets that are grown in one task
+SPREAD = 256  # tasks from which on several blocks are shuffled in one
+TOGETHER = 16  # shuffled targets that are grown in one task, and the most blocks of one
 STORED = 8  # rounds after which the cells are written with their scores
 
 
@@ -363,7 +364,27 @@ def permutation_test_boosted(
     blocks, parts = max(1, -(-size // block_rows)), -(-(n + 1) // TOGETHER)
     outputs = [f"s{k}" for k in range(TOGETHER)]
 
-    def shuffled(block: pa.Table) -> pa.Table:
+    # Blocks of one task, whose sums leave it as one; small tables keep a task for each block.
+    at_once = max(1, min(TOGETHER, blocks // SPREAD))
+
+    def shuffled(some: pa.Table) -> pa.Table:
+        at = some["b"].to_numpy()
+        keys, sums = np.zeros((0, len(names) + 4), "uint8"), np.zeros((0, n + 2))
+        for b in np.unique(at):
+            more, own = one_block(some.filter(pa.array(at == b)), int(b))
+            keys, sums = _summed(np.vstack([keys, more]), np.vstack([sums, own]))
+        fold, out = np.ascontiguousarray(keys[:, :4]).view("int32").ravel(), []
+        for part in range(parts):
+            mine = sums[:, 1 + part * TOGETHER:1 + (part + 1) * TOGETHER]
+            wide = np.zeros((len(keys), TOGETHER + 1))
+            wide[:, 0], wide[:, 1:mine.shape[1] + 1] = sums[:, 0], mine
+            out.append(_cell_batch(
+                np.ascontiguousarray(keys[:, 4:]), wide, ["n", *outputs], fold=fold,
+                part=np.full(len(keys), part, "int32")))
+        return pa.Table.from_batches(out)
+
+    def one_block(block: pa.Table, b: int):
+        """(distinct folds and bins, their rows and the sums of the target and its shuffles)"""
         x = np.column_stack([block[c].to_numpy() for c in names])
         y, fold, h = (block[c].to_numpy() for c in ("y", "fold", "h"))
         order = np.lexsort([*x.T, y, h])
@@ -371,22 +392,17 @@ def permutation_test_boosted(
         keys = np.hstack([np.ascontiguousarray(fold).view("uint8").reshape(-1, 4), binned(x, edges)])
         raw = np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel()
         first, at = np.unique(raw, return_index=True, return_inverse=True)[1:]
-        rng = np.random.default_rng([seed, block["b"][0].as_py()])
-        rows, out = np.bincount(at).astype(float), []
-        for part in range(parts):
-            sums = np.zeros((len(first), TOGETHER))
-            for j in range(TOGETHER):
-                k = part * TOGETHER + j
-                if k <= n:
-                    sums[:, j] = np.bincount(at, y if k == 0 else y[rng.permutation(len(y))])
-            out.append(_cell_batch(
-                np.ascontiguousarray(keys[first][:, 4:]), np.hstack([rows[:, None], sums]),
-                ["n", *outputs], fold=fold[first], part=np.full(len(first), part, "int32")))
-        return pa.Table.from_batches(out)
+        rng = np.random.default_rng([seed, b])
+        sums = np.zeros((len(first), n + 2))
+        sums[:, 0], sums[:, 1] = np.bincount(at), np.bincount(at, y)
+        for k in range(1, n + 1):
+            sums[:, k + 1] = np.bincount(at, y[rng.permutation(len(y))])
+        return keys[first], sums
 
     kinds = ", ".join(f"{c} double" for c in ["n", *outputs])
     table = written(
-        rows.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(blocks))).groupBy("b").applyInArrow(
+        rows.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(blocks)))
+        .groupBy(F.floor(F.col("b") / at_once).alias("g")).applyInArrow(
             shuffled, f"cell binary, fold int, part int, {kinds}")
         .groupBy("part", "cell", "fold").agg(*[F.sum(c).alias(c) for c in ["n", *outputs]]),
         "boost-shuffles")

@@ -146,3 +146,19 @@ def test_permutations_find_a_planted_signal(spark):
     null = permutation_test_boosted(
         df.selectExpr("*", "pmod(xxhash64(id), 1000) / 1000.0 AS z"), FEATURES, "z", **args).first()
     assert null.p_value > 0.05
+
+
+def test_blocks_of_one_task_give_the_same_permutation_test(spark, monkeypatch):
+    from plantloom.models import boosting
+
+    df = spark.range(3000).selectExpr(
+        "id", "id % 40 AS g", "CAST(id % 11 AS DOUBLE) AS x", "IF(id % 11 < 4, 1D, 2D) + id * 7919 % 5 AS y")
+    sizes = []
+    for spread in (256, 1):  # with 1 task, the 6 blocks are in one
+        monkeypatch.setattr(boosting, "SPREAD", spread)
+        sizes.append(boosting.permutation_test_boosted(
+            df, ["x"], "y", "g", ["id"], n=20, block_rows=500,
+            spec=BoostSpec(rounds=5, depth=2, rate=0.3)).first())
+    assert sizes[0].n_rows == 3000 and sizes[0].n_as_good == sizes[1].n_as_good == 0
+    for a, b in zip(*sizes):
+        assert abs(a - b) < 1e-9
