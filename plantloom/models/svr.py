@@ -3,7 +3,8 @@
 The loss max(0, |r| - ε) is (|r - ε| + |r + ε|) / 2 - ε, and |t| lies below t²/(2c) + c/2, touching
 it at |t| = c. So each step solves a ridge regression whose two weights per row come from the
 step before: one pass that lifts rows to random features on the fly and adds up weighted Gram
-matrices. The loss never rises. Nothing but these matrices is kept.
+matrices. The loss never rises. Equal rows are counted once, in the first pass, and stand for all of
+them in the steps; nothing but these counts and the matrices is kept.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from plantloom.models.gram import keyed_sums
 from plantloom.models.kernel import KernelSpec, _scaled, basis
 from plantloom.operators.scale import Scaler, fit_robust
+from plantloom.session import written
 
 SMALLEST = 1e-2  # distance from the tube's edge, in scaled units, below which a weight no longer grows
 
@@ -50,11 +52,11 @@ class SupportVectorModel:
 
 
 def _step(rows: DataFrame, p: int, spec: KernelSpec, weights: np.ndarray | None, epsilon: float):
-    """(weighted ZᵀZ, weighted Zᵀy, loss of the weights, rows) over all rows."""
+    """(weighted ZᵀZ, weighted Zᵀy, loss of the weights, rows) over all rows, ``__n`` equal ones each."""
     w, b = spec.frequencies(p)
 
     def block(x: np.ndarray) -> dict[int, np.ndarray]:
-        z, y = basis(x[:, :p], w, b), x[:, p]
+        z, y, n = basis(x[:, :p], w, b), x[:, p], x[:, p + 1]
         if weights is None:  # the first step is least squares
             up = down = np.full(len(y), 0.5)
             loss = 0.0
@@ -62,12 +64,13 @@ def _step(rows: DataFrame, p: int, spec: KernelSpec, weights: np.ndarray | None,
             r = y - z @ weights
             up = 0.25 / np.maximum(np.abs(r - epsilon), SMALLEST)
             down = 0.25 / np.maximum(np.abs(r + epsilon), SMALLEST)
-            loss = float(np.maximum(np.abs(r) - epsilon, 0).sum())
+            loss = float(n @ np.maximum(np.abs(r) - epsilon, 0))
+        up, down = up * n, down * n
         target = up * (y - epsilon) + down * (y + epsilon)
         return {0: (z * (up + down)[:, None]).T @ z, 1: (z.T @ target)[:, None],
-                2: np.array([[loss, len(y)]])}
+                2: np.array([[loss, n.sum()]])}
 
-    got = keyed_sums(rows, [*[f"f{i}" for i in range(p)], "__y"], block)
+    got = keyed_sums(rows, [*[f"f{i}" for i in range(p)], "__y", "__n"], block)
     if not got:
         raise ValueError("no complete rows to fit on")
     (loss, n), = got[0, 2]
@@ -88,6 +91,7 @@ def fit_svr(
     known = df.na.drop(subset=[f"`{c}`" for c in [*features, target]])
     x_scaler, y_scaler = fit_robust(known, features), fit_robust(known, [target])
     rows = _scaled(known, features, target, x_scaler, y_scaler)
+    rows = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")), "svr-rows")
     p, weights, losses = len(features), None, []
     penalty = np.eye(spec.width + 1) / (2 * cost)
     penalty[0, 0] = 0

@@ -274,3 +274,13 @@ def test_grid_search_on_cells(spark):
         df, ["x"], "y", "forest", {"maxDepth": [0, 2]}, cells_from=1, numTrees=2, bootstrap=False)
     scores = {r.params["maxDepth"]: r.score for r in found.collect()}
     assert scores["2"] == pytest.approx(1) and abs(scores["0"]) < 0.01
+
+
+def test_svr_steps_read_equal_rows_once(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("CAST(id % 10 AS DOUBLE) AS x", "CAST(id % 10 * 2 AS DOUBLE) AS y")
+    read, plain = [], svr.keyed_sums
+    monkeypatch.setattr(svr, "keyed_sums", lambda rows, *a: read.append(rows.count()) or plain(rows, *a))
+    model = svr.fit_svr(df, ["x"], "y", steps=5)
+    assert set(read) == {10}
+    off = model.predict(df).selectExpr("max(abs(prediction - y))").first()[0]
+    assert off < 1.5
