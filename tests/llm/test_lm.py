@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plantloom.llm import ppm
@@ -209,3 +210,24 @@ def test_training_noise_and_word_order_show(spark, sf):
     df = spark.createDataFrame(rows + more, "doc_id long, text string")
     got = {r.doc_id: r.score for r in ppm_scores(df).collect()}
     assert got[ids[1]] < got[ids[0]] and got[ids[2]] != pytest.approx(got[ids[0]], rel=1e-3)
+
+
+def test_places_travel_packed():
+    """A task hands on each place once, with its counts by part, in fewer bytes than its key has."""
+    from plantloom.llm import lm
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcde"), 5)) for _ in range(400)) for _ in range(60)]
+    parts = rng.integers(0, 5, len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(parts.astype("int32"))], names=["t", "p"])
+    rows = list(lm._place_counts(iter([batch, batch]), 7))
+    got = {int(k): n.tolist() for r in rows for _, keys, counts in lm._tallies(r)
+           for k, n in zip(keys, counts, strict=True)}
+    want = defaultdict(lambda: [0] * 5)
+    for text, p in zip(texts, parts, strict=True):
+        _, key, _ = ppm.running([text.encode()])
+        for k in key[key >= 0].tolist():
+            want[k][p] += 2
+    assert got == want
+    assert sum(r.num_rows for r in rows) <= 7
+    assert sum(len(x) for r in rows for c in ("keys", "counts") for x in r[c].to_pylist()) < 7 * len(want)
