@@ -231,3 +231,17 @@ def test_places_travel_packed():
     assert got == want
     assert sum(r.num_rows for r in rows) <= 7
     assert sum(len(x) for r in rows for c in ("keys", "counts") for x in r[c].to_pylist()) < 7 * len(want)
+
+
+@pytest.mark.parametrize("sentences", [0, 2])
+def test_sentences_and_places_are_joined(spark, monkeypatch, sentences):
+    """The same scores if tasks hold few sentences and places and ask for the others in many slices."""
+    from plantloom.llm import lm
+
+    monkeypatch.setattr(lm, "SENTENCES", sentences)
+    monkeypatch.setattr(lm, "WINDOWS", 30)
+    monkeypatch.setattr(lm, "ASKED", 3)
+    docs = list(enumerate(RUNNING[:-1]))
+    got = {r.doc_id: r.score for r in ppm_scores(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == pytest.approx(plain_scores(docs))
