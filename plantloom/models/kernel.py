@@ -20,6 +20,9 @@ from plantloom.models.gram import keyed_sums
 from plantloom.operators.scale import Scaler
 
 
+BLOCK = 1024  # rows whose features are made at a time
+
+
 @dataclass(frozen=True)
 class KernelSpec:
     """Kernel and noise settings of one trial."""
@@ -41,8 +44,19 @@ class KernelSpec:
 
 def basis(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """[1, random features]; the features have unit kernel scale."""
-    phi = np.sqrt(2.0 / w.shape[1]) * np.cos(x @ w + b)
-    return np.hstack([np.ones((len(x), 1)), phi])
+    out = np.empty((len(x), w.shape[1] + 1))
+    out[:, 0] = 1.0
+    z = x @ w
+    z += b
+    np.cos(z, out=z)
+    np.multiply(z, np.sqrt(2.0 / w.shape[1]), out=out[:, 1:])
+    return out
+
+
+def blocks_of(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of rows whose features stay in the processor's cache."""
+    for a in range(0, len(x), BLOCK):
+        yield x[a: a + BLOCK]
 
 
 @dataclass
@@ -65,11 +79,14 @@ class KernelModel:
         @F.pandas_udf("mean double, std double")
         def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                phi = basis(part.to_numpy(dtype=float), w, b)
-                spread = np.sqrt(((phi @ root) ** 2).sum(axis=1) + noise)
-                yield pd.DataFrame(
-                    {"mean": phi @ mean * scale + centre, "std": spread * scale}
-                )
+                out = np.empty((2, len(part)))
+                for i, x in enumerate(blocks_of(part.to_numpy(dtype=float))):
+                    phi = basis(x, w, b)
+                    at = slice(i * BLOCK, i * BLOCK + len(x))
+                    z = phi @ root
+                    out[0, at] = phi @ mean * scale + centre
+                    out[1, at] = np.sqrt(np.einsum("ij,ij->i", z, z) + noise) * scale
+                yield pd.DataFrame({"mean": out[0], "std": out[1]})
 
         cols = [self.x_scaler.expr(c).alias(f"f{i}") for i, c in enumerate(self.features)]
         out = df.withColumn("__k", predict(F.struct(*cols)))
@@ -129,8 +146,10 @@ def _grams(df, p: int, specs: Sequence[KernelSpec], key: str | None):
     def block(x: np.ndarray) -> dict[int, np.ndarray]:
         out = {}
         for t, (w, b) in enumerate(maps):
-            z = np.hstack([basis(x[:, :p], w, b), x[:, p:]])
-            out[t] = z.T @ z
+            out[t] = np.zeros((w.shape[1] + 2, w.shape[1] + 2))
+            for part in blocks_of(x):
+                z = np.hstack([basis(part[:, :p], w, b), part[:, p:]])
+                out[t] += z.T @ z
         return out
 
     return keyed_sums(df, [*[f"f{i}" for i in range(p)], "__y"], block, key)

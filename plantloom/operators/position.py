@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,10 +96,13 @@ def _keys_at(keys: DataFrame, ranks: Sequence[int], total: int) -> dict[int, tup
 
     while wide := [s for s in searches.values() if s.found is None and s.inside > SORTED_ROWS]:
         pivots: dict[tuple, None] = {}
-        for s in wide:
-            drawn = keys.filter(s.within(k, kind)).sample(
-                min(1.0, PIVOT_SAMPLE / s.inside), seed=seed)
-            got = [tuple(r.k) for r in drawn.orderBy("k").collect()]
+        drawn = keys.withColumn("u", F.rand(seed)).select("k", *[
+            (s.within(k, kind) & (F.col("u") < PIVOT_SAMPLE / s.inside)).alias(f"w{i}")
+            for i, s in enumerate(wide)])
+        drawn = drawn.filter(F.greatest(F.lit(False), *[f"w{i}" for i in range(len(wide))]))
+        drawn = drawn.orderBy("k").collect()
+        for i, s in enumerate(wide):
+            got = [tuple(r.k) for r in drawn if r[f"w{i}"]]
             spot = (s.rank - s.below) / s.inside * len(got)
             reach = 2 * len(got) ** 0.5
             for x in (spot - reach, spot, spot + reach) if got else ():
@@ -109,10 +112,14 @@ def _keys_at(keys: DataFrame, ranks: Sequence[int], total: int) -> dict[int, tup
             counted = count(list(pivots))
             for s in wide:
                 s.narrow(counted)
-    for s in searches.values():
-        if s.found is None:
-            row = keys.filter(s.within(k, kind)).orderBy("k").offset(s.rank - s.below).limit(1)
-            s.found = tuple(row.first().k)
+    if left := [s for s in searches.values() if s.found is None]:
+        at = F.filter(F.array(*[F.when(s.within(k, kind), i) for i, s in enumerate(left)]), F.isnotnull)
+        place = F.row_number().over(Window.partitionBy("i").orderBy("k"))
+        ranks = F.array(*[F.lit(s.rank - s.below) for s in left])
+        rows = keys.select("k", F.explode(at).alias("i")).withColumn("n", place).filter(
+            F.col("n") == F.get(ranks, F.col("i")) + 1).collect()
+        for r in rows:
+            left[r.i].found = tuple(r.k)
     starts = {p: start for p, start, _ in count(list({s.found: None for s in searches.values()}))}
     return {r: (s.found, starts[s.found]) for r, s in searches.items()}
 
