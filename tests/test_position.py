@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from plantloom.operators import order, position, split
 
@@ -76,3 +77,20 @@ def test_equal_rows_at_the_border_on_both_sides_of_the_switch(spark, monkeypatch
     for n in (3, 5, 20, 35, 36, 50, 65, 80):
         got = [r.v for r in position.last_rows(df, n, ["t"]).collect()]
         assert got == (["a"] * 30 + ["b"] * 30 + ["c"] * 5)[-n:]
+
+
+def test_cuts_share_their_passes(spark, monkeypatch):
+    """Three positions cost about as many jobs as one."""
+    monkeypatch.setattr(position, "SORTED_ROWS", 2000)
+    df = spark.range(20_000).select("id", (20_000 - F.col("id")).alias("k"))
+    sc = spark.sparkContext
+
+    def jobs(positions):
+        group = f"cuts-{len(positions)}"
+        sc.setJobGroup(group, group)
+        cuts = position.cuts_at(df, ["k"], positions)
+        sc.setJobGroup("rest", "rest")
+        assert [df.filter(c.before()).count() for c in cuts] == positions
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs([2000, 10_000, 17_000]) <= jobs([10_000]) + 3
