@@ -245,3 +245,71 @@ def test_sentences_and_places_are_joined(spark, monkeypatch, sentences):
     got = {r.doc_id: r.score for r in ppm_scores(
         spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in docs] == pytest.approx(plain_scores(docs))
+
+
+@pytest.mark.parametrize("held, places", [(1 << 22, 1 << 23), (7, 50)])
+def test_counts_are_sorted_hashes(monkeypatch, held, places):
+    """One reading of a text gives its words and sentences, each once in a turn, whatever a turn holds."""
+    from plantloom.llm import lm, shingles
+
+    monkeypatch.setattr(lm, "HELD", held)
+    monkeypatch.setattr(lm, "PLACES", places)
+    calls, plain = [], shingles.word_hashes
+    monkeypatch.setattr(shingles, "word_hashes", lambda *a: calls.append(1) or plain(*a))
+    texts = ["a b a. c", None, "", "c c. \x0bA\tb a. d", "été \0x"]
+    learn = [True, True, False, False, True]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(learn)], names=["t", "l"])
+    rows = [r for b in lm._hash_counts(iter([batch, batch])) for r in b.to_pylist()]
+    assert len(calls) == 2
+    got, want = Counter(), Counter()
+    for r in rows:
+        got[r["sentence"], r["h"], "c"] += r["c"]
+        got[r["sentence"], r["h"], "n"] += r["n"]
+    for t, on in zip(texts, learn, strict=True):
+        for w in words(t):
+            h = int(plain(np.frombuffer(b" " + w + b" ", "uint8"))[1][0]) >> 1
+            want[False, h, "n"] += 2
+            want[False, h, "c"] += 2 * on
+        found = Counter((sentence_hashes([b" ".join(words(t))])[0] >> np.uint64(1)).tolist())
+        for h, n in found.items():
+            want[True, h, "n"] += 2
+            want[True, h, "c"] += 2 * on * n
+    assert +got == +want
+    if held > 7:
+        assert len(rows) == len({(r["sentence"], r["h"]) for r in rows})
+    parts = pa.array(np.arange(5, dtype="int32"))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), parts], names=["t", "p"])
+    got = Counter()
+    for r in lm._place_counts(iter([batch, batch]), 3):
+        for _, keys, counts in lm._tallies(r):
+            for k, n in zip(keys.tolist(), counts, strict=True):
+                got.update({(k, p): int(x) for p, x in enumerate(n)})
+    want = Counter()
+    for p, t in enumerate(texts):
+        key = ppm.running([(t or "").encode().lower()])[1]
+        want.update({(k, p): 2 * n for k, n in Counter(key[key >= 0].tolist()).items()})
+    assert +got == +want
+
+
+def test_packed_numbers_take_the_least_room():
+    from plantloom.llm.lm import packed, unpacked
+
+    rng = np.random.default_rng(5)
+    for most, item in ((200, 1), (60_000, 2), (1 << 31, 4), (1 << 60, 8)):
+        x = rng.integers(0, most, 999)
+        x[0] = most - 1
+        assert packed(x)[0] == item
+        assert (unpacked(packed(x), 999) == x).all()
+        assert (unpacked(packed(x.reshape(333, 3)), 333, 3) == x.reshape(333, 3)).all()
+    assert (unpacked(packed(-x), 999) == -x).all()
+    assert (unpacked(packed(x / 7), 999, kind="float64") == x / 7).all()
+    assert len(unpacked(packed(x[:0]), 0)) == 0
+
+
+def test_found_places_of_held_keys():
+    rng = np.random.default_rng(6)
+    keys = rng.permutation(np.unique(rng.integers(0, 1 << 60, 5000)))
+    asked = np.concatenate([keys, [-1, -1], rng.integers(0, 1 << 60, 500), keys[::-1]])
+    at = {int(k): i for i, k in enumerate(keys)}
+    assert ppm.Held(keys).find(asked).tolist() == [at.get(int(k), -1) for k in asked]
+    assert ppm.Held(keys[:0]).find(asked[:9]).tolist() == [-1] * 9
