@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,16 +67,19 @@ class _Interval:
 def _scan(
     df: DataFrame,
     columns: Sequence[str],
-    step: Callable[[int, np.ndarray], Iterator[tuple[int, np.ndarray]]],
+    step: Callable[[int, np.ndarray, np.random.Generator], Iterator[tuple[int, np.ndarray]]],
 ) -> DataFrame:
-    """Map-only pass: ``step(column number, values)`` yields (interval, array) per batch."""
+    """Map-only pass: ``step(column number, values, random numbers)`` yields (interval, array) per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One sequence a task, whatever its values: batches of equal values draw apart, and a
+        # re-run task draws the same rows.
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             ids, arrays = [], []
             for j in range(batch.num_columns):
                 x = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
-                for i, values in step(j, x):
+                for i, values in step(j, x, rng):
                     ids.append(i)
                     arrays.append(values)
             if ids:
@@ -105,14 +109,12 @@ def _draw(df, columns, intervals: list[_Interval], size: int) -> list[np.ndarray
     for i, iv in enumerate(intervals):
         by_column.setdefault(iv.column, []).append((i, iv))
 
-    def step(j: int, x: np.ndarray):
+    def step(j: int, x: np.ndarray, rng: np.random.Generator):
         for i, iv in by_column.get(j, ()):
             inner = iv.inner(x)
             share = size / iv.inside
             if share < 1 and len(inner):
-                # Seeded by the data itself, so a re-run task draws the same rows.
-                seed = int(np.abs(inner[:8].view(np.int64)).sum() % (2**32))
-                inner = inner[np.random.default_rng(seed).random(len(inner)) < share]
+                inner = inner[rng.random(len(inner)) < share]
             if len(inner):
                 yield i, inner
 
@@ -138,7 +140,7 @@ def _counts(df, columns, intervals: list[_Interval], pivots: list[np.ndarray]):
     for i, (iv, p) in enumerate(zip(intervals, pivots)):
         by_column.setdefault(iv.column, []).append((i, iv, p))
 
-    def step(j: int, x: np.ndarray):
+    def step(j: int, x: np.ndarray, _: np.random.Generator):
         for i, iv, p in by_column.get(j, ()):
             inner = iv.inner(x)
             slot = np.searchsorted(p, inner, "left") + np.searchsorted(p, inner, "right")

@@ -162,6 +162,13 @@ def test_ranks_with_ties_and_infinities(spark):
     assert [got["v", r] for r in ranks] == [values[r] for r in ranks]
 
 
+def test_ranks_of_whole_numbers_in_a_table_far_larger_than_the_sample(spark):
+    # Batches of whole numbers once shared one sequence of draws, in which no number was small enough.
+    df = spark.range(1_200_000).select((F.col("id") % 50).cast("double").alias("v"))
+    got = quantiles.column_quantiles(df, ["v"], [0, 0.5, 1], exact_values=1000, pivot_sample=50)
+    assert got["v"] == [0.0, 24.5, 49.0]
+
+
 def test_grouped_quantiles_hot_group(spark):
     df = spark.range(4000).select(
         F.when(F.col("id") % 4 != 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"),
