@@ -12,13 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantloom.llm.common import q, stored, table
-from plantloom.llm.hattrie import COUNT, EDGES, HatTrie
+from plantloom.llm.hattrie import COUNT, EDGES, HatTrie, first_of_equal
 from plantloom.llm.shingles import mixed, word_hashes
 
 LONGEST = 5  # words of a phrase
 BITS = 26  # of the hash that a frequent phrase's bit stands at: 8 MB, whatever the corpus
-CHUNK = 1 << 21  # bytes of text that are cut into words at a time
-WORDS_HELD = 250_000  # distinct words that a task holds before it hands them on
+CHUNK = 3 << 19  # bytes of text that are cut into words at a time
+WORD_BITS = 9  # of a word's id that part the runs of words
+WORDS_HELD = 1_000_000  # distinct words that a task holds before it hands them on
+RUN = 512  # ids of a stored run of words, more or less
+IDS = 1 << 19  # ids of words that are read at a time
 PLACES = 1 << 21  # phrases whose codes are sorted at a time, and distinct ones that are held
 PART_WORDS = 1 << 22  # words of the corpus whose runs one task merges
 BORDERS = np.zeros(256, bool)
@@ -61,11 +64,11 @@ def _words(part):
     """Of a run of texts: (bytes, first byte of each word, its id, its piece, its text)."""
     data = np.frombuffer(b"\n" + b"\n".join(raw for raw, _ in part) + b"\n", "uint8")
     starts, hashes = word_hashes(data, GAPS)
-    piece = np.cumsum(BORDERS[data])[starts]
+    piece = np.cumsum(BORDERS[data], dtype="int32")[starts]
     sizes = np.fromiter((len(raw) + 1 for raw, _ in part), "int64", len(part))
-    text = np.searchsorted(np.cumsum(sizes) + 1, starts, "right")
+    text = np.repeat(np.arange(len(part)), np.diff(np.searchsorted(starts, 1 + np.cumsum(sizes)), prepend=0))
     lang = np.array([_language(x)[1] for _, x in part], "uint64")
-    return data, starts, mixed(hashes ^ lang[text]), piece, text
+    return data, starts, np.maximum(mixed(hashes ^ lang[text]), 1), piece, text
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -73,53 +76,146 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * _JOIN + right)
 
 
-def _word_counts(batches):
-    """(language, word, its id, occurrences), summed in the task as far as it holds."""
-    counts, known = {}, {}
+def _taken(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of some words, one after the other."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
-    def flush():
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([
-            pa.array([known[k][0] for k in keys], pa.string()),
-            pa.array([known[k][1] for k in keys], pa.binary()),
-            pa.array(np.array(keys, "uint64").view("int64")),
-            pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "w", "key", "n"])
-        counts.clear()
-        known.clear()
-        return out
 
+def _word_runs(batches):
+    """Sorted runs of words: (top bits of the ids, ids, occurrences, numbers of their languages,
+    the languages, sizes, words), summed in the task as far as it holds."""
+    held, numbers = [], {}
+
+    def merged():
+        keys, n, lang, sizes = (np.concatenate([x[i] for x in held]) for i in range(4))
+        data = np.concatenate([x[4] for x in held])
+        order, first = first_of_equal(keys)
+        n, one = np.add.reduceat(n[order], first), order[first]
+        starts = np.cumsum(sizes) - sizes
+        return keys[one], n, lang[one], sizes[one], _taken(data, starts[one], sizes[one])
+
+    def rows():
+        keys, n, lang, sizes, data = held[0]
+        names = np.array(list(numbers), dtype=object)
+        edge = np.flatnonzero(np.diff(keys >> np.uint64(64 - WORD_BITS), prepend=np.uint64(1 << WORD_BITS)))
+        at = np.append(0, np.cumsum(sizes))
+        for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
+            known, own = np.unique(lang[a:b], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([int(keys[a] >> np.uint64(64 - WORD_BITS))], pa.int64()),
+                *(pa.array([x.tobytes()]) for x in (
+                    keys[a:b], n[a:b], own.astype("int32"), sizes[a:b], data[at[a]: at[b]])),
+                pa.array([names[known].tolist()], pa.list_(pa.string()))],
+                names=["part", "keys", "n", "own", "sizes", "words", "langs"])
+
+    fresh = 0
     for batch in batches:
         for part in _segments(batch.column(0), batch.column(1).to_pylist()):
             data, starts, ids, _, text = _words(part)
-            raw, keys = data.tobytes(), None
-            ends = np.flatnonzero(~GAPS[data][:-1] & GAPS[data][1:]) + 1
-            keys, first, n = np.unique(ids, return_index=True, return_counts=True)
-            for k, i, m in zip(keys.tolist(), first.tolist(), n.tolist(), strict=True):
-                if k in counts:
-                    counts[k] += m
-                else:
-                    counts[k] = m
-                    known[k] = _language(part[text[i]][1])[0], raw[starts[i]: ends[i]]
-            if len(counts) > WORDS_HELD:
-                yield flush()
-    yield flush()
-
-
-def _spelled(ids: np.ndarray, piece: np.ndarray, frequent: list[np.ndarray]):
+            if not len(ids):
+                continue
+            order, first = first_of_equal(ids)
+            one = order[first]
+            gap = GAPS[data]
+            sizes = (np.flatnonzero(~gap[:-1] & gap[1:]) + 1)[one] - starts[one]
+            number = np.array([numbers.setdefault(_language(x)[0], len(numbers)) for _, x in part], "int32")
+            held.append((ids[one], np.diff(np.append(first, len(ids))), number[text[one]], sizes,
+                         _taken(data, starts[one], sizes)))
+            fresh += len(one)
+            if fresh > WORDS_HELD:
+                held = [merged()]
+                fresh = 0
+                if len(held[0][0]) > WORDS_HELD:
+                    yield from rows()
+                    held = []
+    if held:
+        held = [merged()]
+        yield from rows()
+
+
+def _merged_words(part: pa.Table, least: int) -> pa.Table:
+    """Of one part of the ids: the words that occur ``least`` times, and the sum of each language,
+    with no word."""
+    keys, n, own, sizes = (
+        np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part[c]])
+        for c, kind in (("keys", "uint64"), ("n", "int64"), ("own", "int32"), ("sizes", "int64")))
+    langs, of_row = {}, part["langs"].to_pylist()
+    many = [len(x.as_buffer()) // 8 for x in part["keys"]]
+    begin = np.cumsum([0, *map(len, of_row)])[:-1]
+    number = np.array([langs.setdefault(x, len(langs)) for row in of_row for x in row])
+    lang = number[own + np.repeat(begin, many)]
+    order, first = first_of_equal(keys)
+    f = np.add.reduceat(n[order], first)
+    kept = np.flatnonzero(f >= least)
+    at, end = order[first][kept], np.cumsum(sizes)
+    raw, names = b"".join(x.as_buffer() for x in part["words"]), list(langs)
+    total = np.zeros(len(names), "int64")
+    np.add.at(total, lang, n)
+    return pa.table({
+        "key": pa.array([*keys[at].view("int64").tolist(), *[None] * len(names)], pa.int64()),
+        "lang": pa.array([*(names[i] for i in lang[at]), *names], pa.string()),
+        "w": pa.array([*(raw[end[i] - sizes[i]: end[i]].decode() for i in at), *[None] * len(names)],
+                      pa.string()),
+        "n": pa.array(np.concatenate([f[kept], total]))})
+
+
+def _spoken(batches, frequent):
+    """Words of the texts as runs of ids; a 0 stands where no phrase goes on.
+
+    Words that are not marked frequent, or have no neighbour that is, are in no phrase.
+    """
+    bits = np.frombuffer(frequent.value[0], "uint8")
+    for batch in batches:
+        for part in _segments(batch.column(0), batch.column(1).to_pylist()):
+            _, _, ids, piece, _ = _words(part)
+            ok = _marked(bits, ids)
+            pair = ok[:-1] & ok[1:] & (piece[:-1] == piece[1:])
+            kept = np.flatnonzero(np.append(pair, False) | np.append(False, pair)) if len(ids) else ids
+            if not len(kept):
+                continue
+            new = np.append(True, ~pair[kept[1:] - 1])
+            place = np.arange(len(kept)) + np.cumsum(new)
+            out = np.zeros(place[-1] + 1, "uint64")
+            out[place] = ids[kept]
+            first = place[new] - 1  # a run may begin at any 0
+            first = first[np.flatnonzero(np.diff(first // RUN, prepend=-1))]
+            edge = pa.py_buffer((np.append(first, len(out)) * 8).astype("int32"))
+            yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(
+                pa.binary(), len(first), [None, edge, pa.py_buffer(out)])], names=["ids"])
+
+
+def _ids(batches):
+    """The ids of stored runs, about ``IDS`` at a time."""
+    part, size = [], 0
+    for batch in batches:
+        for run in batch.column(0):
+            part.append(run.as_buffer())
+            size += part[-1].size
+            if size > 8 * IDS:
+                yield np.frombuffer(b"".join(part), "uint64")
+                part, size = [], 0
+    if part:
+        yield np.frombuffer(b"".join(part), "uint64")
+
+
+def _spelled(ids: np.ndarray, frequent: list[np.ndarray]):
     """By number of words from 2 on, places of phrases that may be frequent: (first word, left, right).
 
     Both the phrase without its last word and that without its first must be marked frequent, as
     must be their own parts; a marked phrase may be rare, a frequent one is always marked.
     """
-    key, ok = ids, np.ones(len(ids), bool)
-    for length, bits in enumerate(frequent, 2):
-        ok &= _marked(bits, key)
-        whole = ok[:-1] & ok[1:] & (piece[: len(key) - 1] == piece[length - 1:])
-        here = np.flatnonzero(whole)
-        yield here, key[here], key[here + 1]
-        if len(here) == 0:
+    here = np.flatnonzero(ids)
+    key = ids[here]
+    for bits in frequent:
+        ok = _marked(bits, key)
+        here, key = here[ok], key[ok]
+        both = np.flatnonzero(here[1:] == here[:-1] + 1)
+        here, left, right = here[both], key[both], key[both + 1]
+        yield here, left, right
+        if not len(here):
             return
-        key, ok = joined(key[:-1], key[1:]), whole
+        key = joined(left, right)
 
 
 def _marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -140,10 +236,8 @@ def _code_runs(batches, frequent, part_bits: int):
     def merged():
         fresh, n = np.unique(np.concatenate(new), return_counts=True)
         both = np.concatenate([codes, fresh])
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], np.concatenate([times, n])[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-        return both[first], np.add.reduceat(n, first)
+        order, first = first_of_equal(both << np.uint64(32 - part_bits))
+        return both[order[first]], np.add.reduceat(np.concatenate([times, n])[order], first)
 
     def rows():
         part = (codes >> np.uint64(32)).view("int64")
@@ -157,22 +251,20 @@ def _code_runs(batches, frequent, part_bits: int):
                 [pa.array([int(part[a])], pa.int64()), *(pa.array([x]) for x in planes)],
                 names=["part", "steps", "times"])
 
-    for batch in batches:
-        for words in _segments(batch.column(0), batch.column(1).to_pylist()):
-            _, _, ids, piece, _ = _words(words)
-            found = list(_spelled(ids, piece, bits)) if len(ids) > len(bits) else []
-            if len(found) < len(bits):
-                continue
-            _, left, right = found[-1]
-            new.append(joined(left, right) >> np.uint64(32 - part_bits))
-            size += len(left)
-            if size > PLACES:
-                codes, times = merged()
-                new.clear()
-                size = 0
-                if len(codes) > PLACES:
-                    yield from rows()
-                    codes, times = codes[:0], times[:0]
+    for ids in _ids(batches):
+        found = list(_spelled(ids, bits))
+        if len(found) < len(bits):
+            continue
+        _, left, right = found[-1]
+        new.append(joined(left, right) >> np.uint64(32 - part_bits))
+        size += len(left)
+        if size > PLACES:
+            codes, times = merged()
+            new.clear()
+            size = 0
+            if len(codes) > PLACES:
+                yield from rows()
+                codes, times = codes[:0], times[:0]
     if new and size:
         codes, times = merged()
     yield from rows()
@@ -183,7 +275,7 @@ def _part_bits(total: int) -> int:
     return min(30, max(6, (total // PART_WORDS).bit_length()))
 
 
-def _marks(docs: DataFrame, held, total: int, least: int) -> DataFrame:
+def _marks(spoken: DataFrame, held, total: int, least: int) -> DataFrame:
     """Keys, right in their top bits, of all phrases of the next length that may be frequent."""
     part_bits = _part_bits(total)
 
@@ -194,14 +286,12 @@ def _marks(docs: DataFrame, held, total: int, least: int) -> DataFrame:
 
         rest = np.concatenate([np.cumsum(x, dtype="uint32") for x in column("steps")])
         times = np.concatenate(column("times")).astype("int64")
-        order = np.argsort(rest, kind="stable")
-        rest, times = rest[order], times[order]
-        first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
-        kept = rest[first][np.add.reduceat(times, first) >= least].astype("uint64")
+        order, first = first_of_equal(rest.astype("uint64") << np.uint64(32))
+        kept = rest[order[first]][np.add.reduceat(times[order], first) >= least].astype("uint64")
         top = np.uint64(part["part"][0].as_py()) << np.uint64(64 - part_bits)
         return pa.table({"key": pa.array((top | kept << np.uint64(32 - part_bits)).view("int64"))})
 
-    runs = docs.mapInArrow(lambda it: _code_runs(it, held, part_bits),
+    runs = spoken.mapInArrow(lambda it: _code_runs(it, held, part_bits),
                            "part long, steps binary, times binary")
     return runs.groupBy("part").applyInArrow(merge, "key long")
 
@@ -222,23 +312,30 @@ def _phrase_counts(batches, marked, part_bits: int):
                  *(pa.array([run[a:b, j].tobytes()]) for j in (EDGES, EDGES + 1, COUNT))],
                 names=["part", "left", "right", "n"])
 
-    for batch in batches:
-        for part in _segments(batch.column(0), batch.column(1).to_pylist()):
-            _, _, ids, piece, _ = _words(part)
-            if len(ids) < 2:
-                continue
-            for (here, left, right), bits in zip(
-                    _spelled(ids, piece, marks[:-1]), marks[1:], strict=False):
-                key = joined(left, right)
-                own = _marked(bits, key)
-                here, left, right, key = here[own], left[own], right[own], key[own]
-                path = [ids[here + j].view("int64") for j in range(EDGES)]
-                trie.add(path, left.view("int64"), right.view("int64"), key.view("int64"))
-                for run in trie.spilled():
-                    yield from rows(run)
-    runs = list(trie.spilled(rest=True))
-    if runs:
-        yield from rows(np.concatenate(runs))
+    found, size = [], 0
+
+    def counted():
+        first, second, left, right, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        trie.add([first, second], left, right, key)
+        found.clear()
+        for run in trie.spilled():
+            yield from rows(run)
+
+    for ids in _ids(batches):
+        for (here, left, right), bits in zip(_spelled(ids, marks[:-1]), marks[1:], strict=False):
+            key = joined(left, right)
+            own = _marked(bits, key)
+            here, left, right, key = here[own], left[own], right[own], key[own]
+            found.append([x.view("int64") for x in (
+                *(ids[here + j] for j in range(EDGES)), left, right, key)])
+            size += len(key)
+        if size > PLACES // 2:
+            yield from counted()
+            size = 0
+    if size:
+        yield from counted()
+    for run in trie.spilled(rest=True):
+        yield from rows(run)
 
 
 def _merged(part: pa.Table, least: int) -> pa.Table:
@@ -275,7 +372,9 @@ def count_phrases(
     The phrase tables have ``key, lang, phrase, last, f`` and ``heads, tails``: the counts of their
     proper beginnings and ends by number of words; from two words on ``left, right``, the keys of
     the phrase without its last and first word. A phrase is only counted where both of these are
-    frequent, so no frequent one is missed: its parts are at least as frequent. Which phrases may
+    frequent, so no frequent one is missed: its parts are at least as frequent. Texts are read
+    twice: to count words, then to store the ids of frequent ones that stand together, which all
+    further passes read. Which phrases may
     be frequent is found by number of words: each task spills sorted runs of short codes, which are
     merged per prefix of the code, and a bitmap of 8 MB marks the frequent codes; a rare phrase may
     be marked, never a frequent one not. A last pass counts the marked phrases of all lengths in a
@@ -287,23 +386,27 @@ def count_phrases(
     docs = df.select(q(text_col).cast("string").alias("_text"),
                      q(lang_col).cast("string").alias("_lang"))
     words = stored(
-        docs.mapInArrow(_word_counts, "lang string, w binary, key long, n long")
-        .groupBy("lang", "w", "key").agg(F.sum("n").alias("n")), "phrase-words")
-    sizes = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
-    text = F.col("w").cast("string")
+        docs.mapInArrow(_word_runs, "part long, keys binary, n binary, own binary, sizes binary,"
+                        " words binary, langs array<string>")
+        .groupBy("part").applyInArrow(lambda part: _merged_words(part, least),
+                                      "key long, lang string, w string, n long"), "phrase-words")
+    sizes = stored(words.where("w IS NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
     none = F.array().cast("array<bigint>")
-    levels = [stored(words.where(F.col("n") >= least).select(
-        "key", "lang", text.alias("phrase"), text.alias("last"), F.col("n").alias("f"),
+    levels = [stored(words.where("w IS NOT NULL").select(
+        "key", "lang", F.col("w").alias("phrase"), F.col("w").alias("last"), F.col("n").alias("f"),
         none.alias("heads"), none.alias("tails")), "phrases")]
     total = sizes.agg(F.sum("n")).first()[0] or 0
     marks = [_bitmap(spark, levels[0])]
+    first = spark.sparkContext.broadcast(marks[:1])
+    spoken = stored(docs.mapInArrow(lambda it: _spoken(it, first), "ids binary"), "phrase-ids")
+    first.unpersist()
     while len(marks) < longest and any(marks[-1]):
         held = spark.sparkContext.broadcast(marks)
-        marks.append(_bitmap(spark, stored(_marks(docs, held, total, least), "phrase-marks")))
+        marks.append(_bitmap(spark, stored(_marks(spoken, held, total, least), "phrase-marks")))
         held.unpersist()
     held = spark.sparkContext.broadcast(marks)
     part_bits = _part_bits(total)
-    runs = docs.mapInArrow(lambda it: _phrase_counts(it, held, part_bits),
+    runs = spoken.mapInArrow(lambda it: _phrase_counts(it, held, part_bits),
                            "part long, left binary, right binary, n binary")
     counted = stored(runs.groupBy("part").applyInArrow(
         lambda part: _merged(part, least), "key long, left long, right long, f long"),

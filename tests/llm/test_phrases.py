@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from plantloom.llm import phrases
-from plantloom.llm.hattrie import COUNT, KEY, HatTrie
+from plantloom.llm.hattrie import COUNT, KEY, HatTrie, first_of_equal
 from plantloom.llm.phrases import collocations
 
 from .brute import ODD_SCHEMA, odd_rows
@@ -118,3 +120,46 @@ def test_trie_bursts_and_spills_all_it_counts():
             seen[row[KEY]] += row[COUNT]
             assert row[KEY] == row[2] * 100 + row[3] % 100
     assert seen == total
+
+
+def test_texts_are_read_twice_whatever_the_length_of_phrases(spark):
+    rows = [("a b c d e f. a b c d e", "x")] * 30
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("text", F.udf(read, "string")("text"))
+    assert got(df, least=20) == plain(rows, 20)
+    assert seen.value == 2 * len(rows)
+
+
+def test_words_are_summed_over_runs_of_any_size(monkeypatch):
+    rnd = random.Random(4)
+    rows = [(" ".join(rnd.choice("abcdefghijklmnop") * rnd.randrange(1, 3) for _ in range(40)),
+             rnd.choice(["x", "und", None])) for _ in range(60)] + [("", "y"), (None, None), (" .", "z")]
+    want = Counter((lang or "und", w) for text, lang in rows for w in (text or "").replace(".", "").split())
+    batches = [pa.RecordBatch.from_pylist([dict(text=t, lang=x) for t, x in rows[i: i + 20]],
+                                          pa.schema([("text", pa.string()), ("lang", pa.string())]))
+               for i in range(0, len(rows), 20)]
+    monkeypatch.setattr(phrases, "CHUNK", 300)
+    for held in (1, 50, 10 ** 6):
+        monkeypatch.setattr(phrases, "WORDS_HELD", held)
+        runs = pa.Table.from_batches(list(phrases._word_runs(iter(batches))))
+        part = np.array(runs["part"])
+        found, sums = [], Counter()
+        for i in np.unique(part):
+            for r in phrases._merged_words(runs.filter(pa.array(part == i)), 40).to_pylist():
+                if r["w"] is None:
+                    sums[r["lang"]] += r["n"]
+                else:
+                    found.append((r["lang"], r["w"], r["n"]))
+        assert sorted(found) == sorted((*k, n) for k, n in want.items() if n >= 40) and len(found) > 9
+        assert sums == {x: sum(n for (y, _), n in want.items() if x == y) for x in ("x", "und")}
+
+
+def test_hashes_alike_in_their_high_bits_are_told_apart():
+    keys = np.array([5, 2, 5, 1 << 63, 2, 1 << 63, 3], "uint64")
+    order, first = first_of_equal(keys)
+    assert order.tolist() == [1, 4, 6, 0, 2, 3, 5] and first.tolist() == [0, 2, 3, 5]
