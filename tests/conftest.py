@@ -20,6 +20,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def _no_frames_left(request):
+    """Frames that a test cached do not count as those that a later one leaves."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
